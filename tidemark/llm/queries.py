@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, packing
+from . import chat_format, decontamination, jaccard_join, license_scan, packing, topk_search, url_filter
 from .common import table
 
 
@@ -16,6 +17,46 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
+    turns = table(spark, sf_dir, "conversations").where("conv_id is not null").select(
+        F.expr("conv_id div 2").alias("pair_id"), F.when(F.expr("pmod(conv_id, 2) = 0"), "chosen").otherwise("rejected").alias("side"), "turn", "role", "text"
+    )
+    pairs = chat_format.preference_pairs(turns)
+    return pairs.select("pair_id", "prompt_turns", "prompt", "chosen", "rejected", chat_format.mask_string("chosen_mask").alias("chosen_mask"), chat_format.mask_string("rejected_mask").alias("rejected_mask"))
+
+
+_OP1_SQL = """WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS body, turn FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, body) AS pos FROM t),
+f AS (SELECT *, '<|' || role || '|>' || chr(10) AS head, body || '<|end|>' || chr(10) AS tail FROM r),
+d AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(min(coalesce(a.pos, b.pos)) FILTER (WHERE NOT coalesce(a.role = b.role AND a.body = b.body, false)), max(coalesce(a.pos, b.pos)) + 1) - 1 AS prompt_turns
+  FROM (SELECT * FROM f WHERE side = 0) a FULL JOIN (SELECT * FROM f WHERE side = 1) b ON a.pair_id = b.pair_id AND a.pos = b.pos GROUP BY 1)
+SELECT d.pair_id, CAST(d.prompt_turns AS BIGINT) AS prompt_turns,
+  coalesce(string_agg(head || tail, '' ORDER BY pos) FILTER (WHERE side = 0 AND pos <= prompt_turns), '') AS prompt,
+  coalesce(string_agg(head || tail, '' ORDER BY pos) FILTER (WHERE side = 0 AND pos > prompt_turns), '') AS chosen,
+  coalesce(string_agg(head || tail, '' ORDER BY pos) FILTER (WHERE side = 1 AND pos > prompt_turns), '') AS rejected,
+  coalesce(string_agg(length(head) || ',' || CASE WHEN role = 'assistant' THEN '+' ELSE '' END || length(tail), ',' ORDER BY pos) FILTER (WHERE side = 0 AND pos > prompt_turns), '') AS chosen_mask,
+  coalesce(string_agg(length(head) || ',' || CASE WHEN role = 'assistant' THEN '+' ELSE '' END || length(tail), ',' ORDER BY pos) FILTER (WHERE side = 1 AND pos > prompt_turns), '') AS rejected_mask
+FROM d JOIN f ON f.pair_id = d.pair_id GROUP BY d.pair_id, d.prompt_turns"""
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
+_OP3_SQL = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def pack(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
@@ -35,10 +76,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op6_decontamination, op8_jaccard_join)}
+    return {f.__name__: f for f in (op1_chat_format, op2_packing, op3_topk_search, op5_url_filter, op6_decontamination, op7_license_scan, op8_jaccard_join)}
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1_SQL, "op3_topk_search": _OP3_SQL, "op7_license_scan": license_scan.oracle()}
 
 
 def oracle_sql() -> dict[str, str]:
