@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, queries
+from tidemark.llm import decontamination, jaccard_join, quality, queries, secret_scan
 from tidemark.llm.common import materialize, table
 
 
+def _keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def _deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.deduplicate(docs)
+
+
+def _redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact_secrets(docs)
+
+
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
@@ -19,7 +31,10 @@ def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", _keep_good),
+    ("n-gram Jaccard join", _deduplicate),
     ("benchmark decontamination", _decontaminate),
+    ("secret scans", _redact),
     ("packing", _pack),
 ]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, jaccard_join, license_scan, packing, topk_search, url_filter
+from . import chat_format, decontamination, jaccard_join, license_scan, packing, quality, secret_scan, topk_search, url_filter
 from .common import table
 
 
@@ -75,8 +75,16 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_packing, op3_topk_search, op5_url_filter, op6_decontamination, op7_license_scan, op8_jaccard_join)}
+    return {f.__name__: f for f in (op1_chat_format, op2_packing, op3_topk_search, op5_url_filter, op6_decontamination, op7_license_scan, op8_jaccard_join, op9_quality_classifier, op10_secret_scan)}
 
 
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1_SQL, "op3_topk_search": _OP3_SQL, "op7_license_scan": license_scan.oracle()}
