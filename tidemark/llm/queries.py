@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, jaccard_join, license_scan, packing, quality, secret_scan, topk_search, url_filter
+from . import chat_format, decontamination, jaccard_join, license_scan, packing, pii, quality, secret_scan, topk_search, url_filter
 from .common import table
 
 
@@ -49,6 +49,10 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -84,7 +88,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_packing, op3_topk_search, op5_url_filter, op6_decontamination, op7_license_scan, op8_jaccard_join, op9_quality_classifier, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_chat_format, op2_packing, op3_topk_search, op4_pii, op5_url_filter, op6_decontamination, op7_license_scan, op8_jaccard_join, op9_quality_classifier, op10_secret_scan)}
 
 
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1_SQL, "op3_topk_search": _OP3_SQL, "op7_license_scan": license_scan.oracle()}
