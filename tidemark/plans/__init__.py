@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import timeline
+from . import graphs, slices, timeline
 
-_MODULES = (timeline,)
+_MODULES = (timeline, slices, graphs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
