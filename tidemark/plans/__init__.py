@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graphs, slices, timeline
+from . import enrichment, graphs, places, slices, timeline
 
-_MODULES = (timeline, slices, graphs)
+_MODULES = (timeline, slices, graphs, enrichment, places)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
