@@ -4,13 +4,14 @@ A document is the set of its distinct word shingles. Two documents link when the
 Jaccard similarity reaches a threshold (per cent, compared in whole numbers).
 
 1. Documents with one and the same set are a class; the smallest doc_id stands for it.
-2. Shingles have one global order, rare ones first: by the summed logarithms of their
+2. Shingles (as 64-bit hashes) have one global order, rare ones first: by the summed logarithms of their
    words' counts in all documents (a count sketch of a fixed size), then by hash. Two sets
    that link share a shingle among the first ``n - ceil(t n) + 1`` of each.
 3. Classes with identical prefixes and size collapse into one group. Groups that share a
    prefix shingle and whose sizes allow a link are candidates.
 4. Groups are expanded to their members, and a filter that can lose no link (sizes,
-   positions, and the Hamming distance of 256-bit parity sketches) thins the pairs.
+   the Hamming distance of 256-bit parity sketches, and for large sets the number of shared
+   tokens in longer prefixes) thins the pairs.
 5. Members are verified with their full sets, in two rounds. In the first each member meets
    only its most promising partner. What that links falls into components, and the second
    round verifies every candidate pair that still lies across two components. So thousands
@@ -90,11 +91,16 @@ def word_weights(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, hashes = np.zeros(1 << SKETCH_BITS, np.int64), _Hashes()
-        mask = np.uint64((1 << SKETCH_BITS) - 1)
+        mask, held, n = np.uint64((1 << SKETCH_BITS) - 1), [], 0
         for batch in batches:
             for text in batch.column(0):
-                if words := words_of(text.as_py()):
-                    np.add.at(total, (hashes.of(words) & mask).astype(np.int64), 1)
+                held.append(hashes.of(words_of(text.as_py())))
+                n += len(held[-1])
+                if n >= 1_000_000:
+                    total += np.bincount((np.concatenate(held) & mask).astype(np.int64), minlength=len(total))
+                    held, n = [], 0
+        if held:
+            total += np.bincount((np.concatenate(held) & mask).astype(np.int64), minlength=len(total))
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(_CHUNKS), pa.int32()), "counts": pa.array([x.tobytes() for x in np.split(total, _CHUNKS)], pa.binary())})
 
     schema = "chunk int, counts binary"
@@ -111,6 +117,12 @@ def word_weights(docs: DataFrame) -> np.ndarray:
 _SETS = "doc_id long, n long, f1 long, f2 long, gid long, prefix array<long>, sketch binary"
 
 
+def _shared_tokens(n: int) -> int:
+    """Tokens that the prefixes of two linked sets share at least, by the smaller set's size;
+    large sets have longer prefixes and must share more."""
+    return 1 if n <= 1000 else n // 50
+
+
 def _fingerprint(x: np.ndarray) -> tuple[int, int]:
     d = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
@@ -144,7 +156,7 @@ def shingle_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 seen.add((f1, f2))
                 w = log[(h & mask).astype(np.int64)]
                 weight = np.sum([w[i : i + len(all_shingles)] for i in range(size)], axis=0)[first] if len(h) >= size else np.zeros(1)
-                p = n - (percent * n + 99) // 100 + 1
+                p = n - (percent * n + 99) // 100 + _shared_tokens(n)
                 prefix = x[np.lexsort((x, weight))[:p]].view(np.int64)
                 bits = np.packbits((np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).tobytes()
                 rows.append((doc_id, n, f1, f2, _fingerprint(np.append(prefix, n))[0], prefix, bits))
@@ -155,97 +167,94 @@ def shingle_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SETS)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray | list]]:
-    """The rows of each token from batches sorted by token; only groups of two rows or more."""
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole token groups from batches sorted by token."""
     held: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         held = pa.concat_tables([held, table]) if held is not None else table
         token = held.column("token").to_numpy()
-        if not len(token):
-            continue
         cut = np.flatnonzero(token[1:] != token[:-1]) + 1
-        if not len(cut):
-            continue
-        yield from _split(held.slice(0, cut[-1]), token[: cut[-1]], cut[:-1])
-        held = held.slice(cut[-1])
+        if len(cut):
+            yield held.slice(0, cut[-1])
+            held = held.slice(cut[-1]).combine_chunks()
     if held is not None and held.num_rows:
-        token = held.column("token").to_numpy()
-        yield from _split(held, token, np.flatnonzero(token[1:] != token[:-1]) + 1)
-
-
-def _split(table: pa.Table, token: np.ndarray, cut: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
-    cols = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("token", "sketch")}
-    cols["sketch"] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, 4)
-    edges = np.concatenate([[0], cut, [len(token)]])
-    for i in np.flatnonzero(np.diff(edges) > 1):
-        yield {c: v[edges[i] : edges[i + 1]] for c, v in cols.items()}
+        yield held
 
 
 def _distance(g: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Hamming distances of the sketches of rows i and j; -1 where they cannot link."""
+    """Hamming distances of the sketches of rows i and j; -1 where they cannot link or need not."""
     ni, nj = g["n"][i], g["n"][j]
     least = -(-percent * (ni + nj) // (100 + percent))
-    room = np.minimum(ni - g["pos"][i], nj - g["pos"][j])
     d = np.bitwise_count(g["sketch"][i] ^ g["sketch"][j]).sum(axis=-1).astype(np.int64)
-    fits = (100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj)) & (room >= least) & (d <= ni + nj - 2 * least) & (g["comp"][i] != g["comp"][j])
+    fits = (100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj)) & (d <= ni + nj - 2 * least) & (g["comp"][i] != g["comp"][j]) & (g["id"][i] != g["id"][j])
     return np.where(fits, d, -1)
 
 
-_PAIRS = "a long, b long, d long"
-
-
-def _pair_batch(a: list, b: list, d: list) -> pa.RecordBatch:
-    cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-    return pa.RecordBatch.from_arrays([cat(a), cat(b), cat(d)], names=["a", "b", "d"])
+_PAIRS = "a long, b long, d long, n long, w long"
 
 
 def _pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Candidate pairs (a, b, sketch distance) within the tokens of members(token, pos, n, id,
-    copies, comp, sketch). every: all pairs across components, else one partner for each member."""
-
-    def promising(g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        c = len(g["id"])
-        rows = np.arange(c)
-        best, partner = np.full(c, 1 << 40), np.full(c, -1)
-        hubs = np.lexsort((g["id"], -g["copies"]))[:_HUBS]
-        for other in [*(np.full(c, h) for h in hubs), *(np.maximum(rows - k, 0) for k in range(1, _NEIGHBOURS + 1))]:
-            d = _distance(g, rows, other, percent)
-            better = (d >= 0) & (d < best) & (g["id"][rows] != g["id"][other])
-            best[better], partner[better] = d[better], other[better]
-        has = partner >= 0
-        return g["id"][partner[has]], g["id"][has], best[has]
-
-    def across(g: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        comps, counts = np.unique(g["comp"], return_counts=True)
-        if len(comps) < 2:
-            return
-        outside = np.flatnonzero(g["comp"] != comps[np.argmax(counts)])
-        is_outside = np.zeros(len(g["id"]), bool)
-        is_outside[outside] = True
+    """Candidate pairs (a, b) within the tokens of members(token, w, n, id, copies, comp, sketch);
+    a shared token counts w.
+    every: all pairs across components; else each member's most promising partner, that with
+    which it shares most tokens among its neighbours by size and the groups' most copied."""
+
+    def promising(g: dict, edges: np.ndarray) -> Iterator[tuple]:
+        rows = np.arange(len(g["id"]))
+        best, partner = np.full(len(rows), 1 << 40), np.full(len(rows), -1)
+
+        def meet(i: np.ndarray, j: np.ndarray) -> None:
+            d = _distance(g, i, j, percent)
+            better = (d >= 0) & (d < best[i])
+            best[i[better]], partner[i[better]] = d[better], j[better]
+
+        for k in range(1, _NEIGHBOURS + 1):
+            i = rows[k:][g["token"][k:] == g["token"][:-k]]
+            meet(i, i - k)
+        for at in np.flatnonzero(np.diff(edges) > _NEIGHBOURS + 1):
+            own = rows[edges[at] : edges[at + 1]]
+            for hub in own[np.lexsort((g["id"][own], -g["copies"][own]))[:_HUBS]]:
+                meet(own, np.full(len(own), hub))
+        i = np.flatnonzero(partner >= 0)
+        yield partner[i], i, best[i]
+
+    def across(g: dict, edges: np.ndarray) -> Iterator[tuple]:
+        starts = edges[:-1]
+        mixed = np.minimum.reduceat(g["comp"], starts) != np.maximum.reduceat(g["comp"], starts)
+        size = np.diff(edges)
+        small = np.repeat(mixed & (size <= _NEIGHBOURS + 1), size)
         rows = np.arange(len(g["id"]))
-        for i in outside:
-            others = rows[~is_outside | (rows > i)]
-            d = _distance(g, np.full(len(others), i), others, percent)
-            if (ok := d >= 0).any():
-                o = g["id"][others[ok]]
-                yield np.minimum(o, g["id"][i]), np.maximum(o, g["id"][i]), d[ok]
+        for k in range(1, _NEIGHBOURS + 1):
+            i = rows[k:][(g["token"][k:] == g["token"][:-k]) & small[k:]]
+            d = _distance(g, i, i - k, percent)
+            yield i[d >= 0] - k, i[d >= 0], d[d >= 0]
+        for at in np.flatnonzero(mixed & (size > _NEIGHBOURS + 1)):
+            own = rows[edges[at] : edges[at + 1]]
+            comps, counts = np.unique(g["comp"][own], return_counts=True)
+            outside = g["comp"][own] != comps[np.argmax(counts)]
+            for i in own[outside]:
+                others = own[~outside | (own > i)]
+                d = _distance(g, np.full(len(others), i), others, percent)
+                yield np.full((d >= 0).sum(), i), others[d >= 0], d[d >= 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, d, n = [], [], [], 0
-        for g in _groups(batches):
-            for x, y, z in across(g) if every else [promising(g)]:
-                a.append(x), b.append(y), d.append(z)
-                n += len(x)
-            if n >= 20_000:
-                yield _pair_batch(a, b, d)
-                a, b, d, n = [], [], [], 0
-        yield _pair_batch(a, b, d)
+        for table in _whole_groups(batches):
+            g = {c: table.column(c).to_numpy() for c in ("token", "w", "n", "id", "copies", "comp")}
+            g["sketch"] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, 4)
+            edges = np.concatenate([[0], np.flatnonzero(g["token"][1:] != g["token"][:-1]) + 1, [table.num_rows]])
+            for i, j, d in (across if every else promising)(g, edges):
+                a, b = g["id"][i], g["id"][j]
+                if every:
+                    a, b = np.minimum(a, b), np.maximum(a, b)
+                n = np.minimum(g["n"][i], g["n"][j])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, d, n, g["w"][i])], names=["a", "b", "d", "n", "w"])
 
     pairs = members.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(run, _PAIRS)
+    pairs = pairs.groupBy("a", "b").agg(F.sum("w").alias("tokens"), F.min("d").alias("d"), F.min("n").alias("n"))
     if every:
-        return pairs.select("a", "b").distinct()
-    return pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+        return pairs.where("tokens >= if(n <= 1000, 1, n div 50)").select("a", "b")
+    return pairs.groupBy("b").agg(F.min(F.struct((-F.col("tokens")).alias("t"), "d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
 
 def filter_by_ids(docs: DataFrame, ids: DataFrame, how: str, broadcast_ids: int = 500_000) -> DataFrame:
@@ -255,17 +264,17 @@ def filter_by_ids(docs: DataFrame, ids: DataFrame, how: str, broadcast_ids: int
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
-def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int, per_hub: int = 256, broadcast_ids: int = 500_000) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int, per_hub: int = 256, broadcast_pairs: int = 500_000) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold. The partners of one
     document are dealt to several tasks by salts, each of which gets its text once."""
     pairs = materialize(pairs.select("a", "b"), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    own_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = materialize(filter_by_ids(own_docs, ids, "left_semi", broadcast_ids), "texts").withColumnRenamed("doc_id", "id")
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_hub).cast("int").alias("salts"))
     salted = pairs.join(hubs, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
-    members = salted.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "salt", "b", "text")
-    own = hubs.join(texts.select(F.col("id").alias("a"), "text"), "a")
+    if pairs.limit(broadcast_pairs + 1).count() <= broadcast_pairs:
+        salted, hubs = F.broadcast(salted), F.broadcast(hubs)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    members = texts.join(salted, F.col("doc_id") == F.col("b")).select("a", "salt", "b", "text")
+    own = texts.join(hubs, F.col("doc_id") == F.col("a"))
     own = own.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,15 +305,17 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     classes = (
         sets.where("n > 0")
         .groupBy("f1", "f2")
-        .agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("gid").alias("gid"), F.max("prefix").alias("prefix"), F.max("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("gid").alias("gid"), F.max("sketch").alias("sketch"))
     )
     classes = materialize(classes, "classes")
     usable = classes.where("id is not null")
-    groups = usable.groupBy("gid").agg(F.max("n").alias("n"), F.max("prefix").alias("prefix"), F.count("*").alias("members"))
-    tokens = groups.select("gid", "n", "members", F.posexplode("prefix").alias("pos", "token"))
+    # a group that several tasks have met gives its tokens more than once
+    tokens = sets.where("prefix is not null").select("gid", "n", F.explode("prefix").alias("token")).repartition("token").groupBy("token", "gid").agg(F.max("n").alias("n"))
     by_size = Window.partitionBy("token").orderBy("n", "gid")
-    tokens = tokens.withColumns({"below": F.lag("n").over(by_size), "above": F.lead("n").over(by_size)}).where(f"100 * below >= {percent} * n or 100 * n >= {percent} * above or (members > 1 and pos = 0)")
-    members = tokens.select("gid", "token", "pos").join(usable.select("gid", "id", "n", "copies", "sketch"), "gid").drop("gid")
+    tokens = tokens.withColumns({"below": F.lag("n").over(by_size), "above": F.lead("n").over(by_size)}).where(f"100 * below >= {percent} * n or 100 * n >= {percent} * above")
+    # members of one group share their whole prefix
+    within = usable.groupBy("gid").agg(F.count("*").alias("members")).where("members > 1").select("gid", F.col("gid").alias("token"), F.lit(1 << 20).cast("long").alias("w"))
+    members = tokens.select("gid", "token", F.lit(1).cast("long").alias("w")).unionByName(within).join(usable.select("gid", "id", "n", "copies", "sketch"), "gid").drop("gid")
     members = materialize(members, "members")
 
     first = materialize(verify(docs, _pairs(members.withColumn("comp", F.col("id")), percent, False), size, percent), "links")
