@@ -101,7 +101,8 @@ def neutral_headers(text: Column | str) -> Column:
 
 
 def word_shingles(words: Column, n: int) -> Column:
-    """Distinct n-word shingles; fewer words give one short shingle; none for no words."""
+    """Distinct n-word shingles; fewer words give one short shingle; none for no words. words
+    should be a column, not an expression, which would be worked out anew for every shingle."""
     size = F.size(words)
     full = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
     return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(F.array_join(words, " "))).otherwise(F.array_distinct(full))

@@ -14,10 +14,11 @@ def word_chunks(docs: DataFrame, key: str, text: str, size: int = 512, overlap:
     """Windows of words: key, chunk (from 0), body. A shorter text is one untouched chunk; the
     last window may lie wholly in the one before it."""
     words = F.split(F.trim(F.regexp_replace(F.col(text), "[ \\t\\n\\r\\f]+", " ")), " ")
-    n = F.size(words)
+    n = F.size("__w")
     starts = F.sequence(F.lit(0), n - 1, F.lit(size - overlap))
-    chunks = F.when(n < size, F.array(F.col(text))).otherwise(F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " ")))
-    return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(chunks).alias("chunk", "body"))
+    # the words are a column of their own, so that they are not split anew for every chunk
+    chunks = F.when(n < size, F.array(F.col(text))).otherwise(F.transform(starts, lambda s: F.array_join(F.slice("__w", s + 1, size), " ")))
+    return docs.where(F.col(text).isNotNull()).withColumn("__w", words).select(key, F.posexplode(chunks).alias("chunk", "body"))
 
 
 def clean_body(text: Column, least_block: int = 45) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import enrichment, graphs, places, slices, timeline
+from . import enrichment, graphs, places, slices, texts, timeline
 
-_MODULES = (timeline, slices, graphs, enrichment, places)
+_MODULES = (timeline, slices, graphs, enrichment, places, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
