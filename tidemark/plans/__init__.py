@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import enrichment, graphs, places, slices, texts, timeline
+from . import enrichment, graphs, places, slices, streams, texts, timeline
 
-_MODULES = (timeline, slices, graphs, enrichment, places, texts)
+_MODULES = (timeline, slices, graphs, enrichment, places, texts, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -147,7 +147,7 @@ SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS
 CASE WHEN o.c_custkey IS NOT NULL AND n.c_custkey IS NOT NULL THEN n.seen WHEN o.c_custkey IS NOT NULL THEN o.seen ELSE -1 END AS seen FROM o FULL JOIN n ON o.c_custkey = n.c_custkey""",
     "alias_union": """WITH o AS (SELECT l_suppkey, list_sort(list(DISTINCT p_type)) AS a FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity <= 5 GROUP BY 1), n AS (SELECT l_suppkey, list_sort(list(DISTINCT p_type)) AS a FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 5 AND l_quantity <= 10 GROUP BY 1)
 SELECT coalesce(o.l_suppkey, n.l_suppkey) AS l_suppkey, array_to_string(list_concat(coalesce(o.a, []), list_filter(coalesce(n.a, []), lambda x: NOT list_contains(coalesce(o.a, []), x))), ',') AS aliases FROM o FULL JOIN n ON o.l_suppkey = n.l_suppkey""",
-    "bucket_dedup": "SELECT user_id, CAST(floor(epoch_ms(ts) / 900000.0) AS BIGINT) AS bucket, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, floor(epoch_ms(ts) / 900000.0) ORDER BY ts, event_id) = 1",
+    "bucket_dedup": "SELECT user_id, CAST(floor((epoch_us(ts) // 1000) / 900000.0) AS BIGINT) AS bucket, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, floor((epoch_us(ts) // 1000) / 900000.0) ORDER BY ts, event_id) = 1",
     "feed_priority_dedup": "SELECT p_name, p_partkey, p_type FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'SMALL' THEN 1 ELSE 2 END, p_partkey) = 1",
     "at_most_one_link": "SELECT n_name, s_suppkey FROM nation JOIN supplier ON n_nationkey = s_nationkey QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY s_acctbal DESC, s_suppkey) = 1",
     "partial_update": "SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'renamed' ELSE c_name END AS c_name, CASE WHEN c_custkey % 15 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer",

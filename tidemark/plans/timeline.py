@@ -31,7 +31,7 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.histogram(events, t.epoch_ms("ts"), START_MS, END_MS, BUCKETS, mapped("event_type", CATEGORY, "other"), mapped("event_type", SEVERITY, "unknown"))
 
 
-_COUNTS_SQL = f"""WITH c AS (SELECT CAST(least(greatest(floor((epoch_ms(ts) - {START_MS}) / {(END_MS - START_MS) // BUCKETS}.0), 0), {BUCKETS - 1}) AS INTEGER) AS bucket,
+_COUNTS_SQL = f"""WITH c AS (SELECT CAST(least(greatest(floor(((epoch_us(ts) // 1000) - {START_MS}) / {(END_MS - START_MS) // BUCKETS}.0), 0), {BUCKETS - 1}) AS INTEGER) AS bucket,
   {case('event_type', CATEGORY, 'other')} AS category, {case('event_type', SEVERITY, 'unknown')} AS severity, count(*) AS n
   FROM events WHERE ts BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}' GROUP BY ALL)"""
 
