@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import slug
 
@@ -84,7 +85,7 @@ def relation_hash(source: Column | str, relation: Column | str, target: Column |
     return parts_hash([source, relation, target, evidence])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def uuid5_url(names: pd.Series) -> pd.Series:
     """UUID of version 5 in the URL namespace."""
     import uuid
@@ -92,7 +93,7 @@ def uuid5_url(names: pd.Series) -> pd.Series:
     return names.map(lambda n: None if n is None else str(uuid.uuid5(uuid.NAMESPACE_URL, n)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def claim_hash(texts: pd.Series) -> pd.Series:
     """24 hexadecimal digits over the claim: NFKC, lower case, single spaces, no punctuation."""
     import hashlib

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _col(c: Column | str) -> Column:
@@ -16,7 +17,7 @@ def slug(text: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(_col(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded_slug(texts: pd.Series) -> pd.Series:
     """slug() of the text without accents (NFKD, ASCII only)."""
     import re
@@ -31,7 +32,7 @@ def folded_slug(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def entity_name(texts: pd.Series) -> pd.Series:
     """NFKC, lower case, punctuation to spaces, single spaces."""
     import re
@@ -40,7 +41,7 @@ def entity_name(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else " ".join(re.sub(r"[^\w\s]", " ", unicodedata.normalize("NFKC", t).lower()).split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def exact_name(texts: pd.Series) -> pd.Series:
     """NFKC, case folded, single spaces."""
     import unicodedata
@@ -139,4 +140,4 @@ def contractors(text: Column | str) -> Column:
     inner = F.regexp_extract(text, r"\(([^)]*)\)", 1)
     source = F.when(inner.rlike("[,;&]"), inner).otherwise(F.regexp_replace(text, r"\([^)]*\)", ""))
     parts = F.when(source.rlike("[,;]"), F.split(source, "[,;]")).otherwise(F.split(source, "&"))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")

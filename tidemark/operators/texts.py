@@ -24,7 +24,7 @@ def word_chunks(docs: DataFrame, key: str, text: str, size: int = 512, overlap:
 def clean_body(text: Column, least_block: int = 45) -> Column:
     """Without lines that are only a link, and without blocks shorter than least_block."""
     lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^\s*(?:[-*]\s*)?\[?[^\]\s]*\]?\(?https?://\S+\)?\s*$"))
-    blocks = F.filter(F.transform(F.split(F.array_join(lines, "\n"), r"\n\s*\n"), F.trim), lambda b: F.length(b) >= least_block)
+    blocks = F.filter(F.transform(F.split(F.array_join(lines, "\n"), r"\n\s*\n"), lambda x: F.trim(x)), lambda b: F.length(b) >= least_block)
     return F.array_join(blocks, "\n\n")
 
 

@@ -155,13 +155,13 @@ def markdown_blocks(files: DataFrame, text: Column) -> DataFrame:
     """Blocks under third-level headings with their **field:** values."""
     blocks = files.select(F.explode(F.split(text, r"(?m)^### ")).alias("b"), ).where(F.trim("b") != "").where(~F.col("b").rlike("^\\s*#"))
     pairs = F.regexp_extract_all("b", F.lit(r"(?m)^[-*]?\s*\*\*([^*:]+):?\*\*:?\s*(.+)$"), 1), F.regexp_extract_all("b", F.lit(r"(?m)^[-*]?\s*\*\*([^*:]+):?\*\*:?\s*(.+)$"), 2)
-    return blocks.select(F.trim(F.substring_index("b", "\n", 1)).alias("name"), F.map_from_arrays(F.transform(pairs[0], F.trim), F.transform(pairs[1], F.trim)).alias("fields"))
+    return blocks.select(F.trim(F.substring_index("b", "\n", 1)).alias("name"), F.map_from_arrays(F.transform(pairs[0], lambda x: F.trim(x)), F.transform(pairs[1], lambda x: F.trim(x))).alias("fields"))
 
 
 def pipe_table(files: DataFrame, text: Column, columns: Sequence[str]) -> DataFrame:
     """Rows of a Markdown table without its header and separator."""
     lines = files.select(F.posexplode(F.split(text, "\n")).alias("pos", "line")).where(F.trim("line").startswith("|"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     rows = lines.where(~F.col("line").rlike(r"^\s*\|[\s:|-]+\|\s*$")).select("pos", cells.alias("c")).where(F.size("c") == len(columns))
     return rows.where(F.lower(F.col("c")[0]) != columns[0].lower()).select("pos", *[F.col("c")[i].alias(n) for i, n in enumerate(columns)])
 
