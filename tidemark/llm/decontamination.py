@@ -108,25 +108,22 @@ def _blocks(benchmark: DataFrame, pattern_bytes: int) -> Iterator[list[tuple[str
 
 
 def find_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, pattern_bytes: int = 32 << 20) -> DataFrame:
-    """All rows and columns of docs, with n_words, hit_spans (word offsets, flat starts and
-    ends of disjoint spans) and hit_items (distinct ids of the items with an occurrence)."""
-    columns = docs.columns
+    """row (all columns of docs as a struct, so that no name can clash), n_words, hit_spans (word
+    offsets, flat starts and ends of disjoint spans) and hit_items (distinct ids of the items
+    with an occurrence)."""
     spark = docs.sparkSession
-    found = docs.select(*[docs[c] for c in columns], F.lit(0).cast("long").alias("__words"), F.array().cast("array<int>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
+    found = docs.select(F.struct(*docs.columns).alias("row"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
     schema = found.schema
-    blocks = _blocks(benchmark, pattern_bytes)
-    for k, items in enumerate(blocks):
+    for k, items in enumerate(_blocks(benchmark, pattern_bytes)):
         if k:
             found = materialize(found, "hits")
         shared = spark.sparkContext.broadcast(items)
-        text_at = columns.index("text")
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, text_at=text_at) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             tables = windows_of(shared.value, window)
             for batch in batches:
                 n_words, all_spans, all_items = [], [], []
-                old_spans, old_items = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-                for text, flat, before in zip(batch.column(text_at), old_spans, old_items, strict=True):
+                for text, flat, before in zip(batch.column(0).field("text"), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     words = words_of(text.as_py())
                     spans: list[tuple[int, int]] = []
                     hit: set[str] = set()
@@ -135,10 +132,10 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, pa
                     n_words.append(len(words))
                     all_spans.append(_merged(flat, spans) if spans else flat)
                     all_items.append(sorted(hit.union(before)) if hit else before)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(n_words, pa.int64()), pa.array(all_spans, _HITS), pa.array(all_items, _ITEMS)], names=batch.schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(all_spans, _HITS), pa.array(all_items, _ITEMS)], names=batch.schema.names)
 
         found = found.mapInArrow(run, schema)
-    return found.withColumnsRenamed({"__words": "n_words", "__spans": "hit_spans", "__items": "hit_items"})
+    return found
 
 
 def hit_count(spans: str = "hit_spans") -> F.Column:
@@ -150,7 +147,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = find_occurrences(docs.select("doc_id", "text"), benchmark, window, pattern_bytes)
     return found.select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         hit_count().alias("n_hit"),
         F.size("hit_items").cast("long").alias("n_items"),
@@ -162,4 +159,4 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, pattern_bytes: int = 32 << 20) -> DataFrame:
     """The documents without any occurrence, with docs' own columns."""
     found = find_occurrences(docs, benchmark, window, pattern_bytes)
-    return found.where(F.size("hit_spans") == 0).select(*docs.columns)
+    return found.where(F.size("hit_spans") == 0).select("row.*")

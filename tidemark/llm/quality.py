@@ -125,7 +125,8 @@ def site_posteriors(docs: DataFrame, labels: DataFrame, host: str, path: str) ->
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, sample: int = 20_000, broadcast_sites: int = 200_000) -> DataFrame:
-    """All rows and columns of docs with __evidence, __site_rate, __quality and __keep."""
+    """row (all columns of docs as a struct, so that no name can clash), evidence, site_rate,
+    quality (the posterior) and keep."""
     x, y = labelled_features(docs, labels, sample)
     model = fit(x, y) if len(y) and 0 < y.sum() < len(y) else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -138,22 +139,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
         return pd.Series(evidence(model, np.stack([features(t) for t in texts])))
 
     sites, rate = site_posteriors(docs, labels, host, path)
-    sites = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("host_rate").alias("__host_rate"), F.col("site_rate").alias("__site_rate"))
     if sites.limit(broadcast_sites + 1).count() <= broadcast_sites:
         sites = F.broadcast(sites)
-    keyed = docs.withColumns({"__evidence": ratio("text"), "__host": F.coalesce(host, F.lit("")), "__path": F.coalesce(path, F.lit(""))})
-    joined = keyed.join(sites, ["__host", "__path"], "left").withColumn("__site_rate", F.coalesce("__site_rate", "__host_rate", F.lit(rate)))
-    odds = F.col("__evidence") + F.log(F.col("__site_rate") / (1 - F.col("__site_rate")))
-    scored = joined.withColumn("__quality", 1 / (1 + F.exp(-odds))).withColumn("__keep", F.col("__quality") >= threshold)
-    return scored.select(*docs.columns, "__evidence", "__site_rate", "__quality", "__keep")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), ratio("text").alias("evidence"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    joined = keyed.join(sites, ["host", "path"], "left").withColumn("site_rate", F.coalesce("site_rate", "host_rate", F.lit(rate)))
+    odds = F.col("evidence") + F.log(F.col("site_rate") / (1 - F.col("site_rate")))
+    return joined.select("row", "evidence", "site_rate", (1 / (1 + F.exp(-odds))).alias("quality")).withColumn("keep", F.col("quality") >= threshold)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, evidence, site_rate, quality and keep."""
     scored = score_quality(docs.select("doc_id", "text", "source", "lang"), labels, **options)
-    return scored.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("evidence", "site_rate", "quality", "keep")])
+    return scored.select("row.doc_id", "evidence", "site_rate", "quality", "keep")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents of good quality, with docs' columns."""
-    return score_quality(docs, labels, **options).where("__keep").select(*docs.columns)
+    return score_quality(docs, labels, **options).where("keep").select("row.*")
