@@ -87,3 +87,39 @@ def by_scope(reports: DataFrame, requests: DataFrame) -> DataFrame:
     w = Window.partitionBy("request")
     ranked = found.withColumns({"__n": F.row_number().over(w.orderBy("pos", "report_id")), "candidates": F.count("*").over(w)})
     return ranked.where("__n = 1").select("request", "report_id", "scope", "candidates")
+
+
+def linked_evidence(documents: DataFrame, events: DataFrame, most: int = 5) -> DataFrame:
+    """Each document's linked events (linked_event_ids), the highest scores first, at most so many."""
+    pairs = documents.select("url", F.explode("linked_event_ids").alias("event_id")).join(events, "event_id")
+    return first_per_key(pairs, "url", most, [F.col("score").desc(), F.col("event_id")])
+
+
+def geo_backfill(events: DataFrame, located: DataFrame, raw: DataFrame) -> DataFrame:
+    """Positions for events that have none yet. events, located: event_id; raw: event_id, lat, lon."""
+    return events.join(located, "event_id", "left_anti").join(raw.where("lat is not null and lon is not null and not (lat = 0 and lon = 0)"), "event_id")
+
+
+def rows_of(old: DataFrame, new: DataFrame, key: str, recorded: str) -> DataFrame:
+    """Candidates of two runs, one per key, with the time at which each was first recorded."""
+    both = old.unionByName(new)
+    return both.groupBy(key).agg(F.min(recorded).alias(recorded), *[F.max_by(c, recorded).alias(c) for c in old.columns if c not in (key, recorded)])
+
+
+def judge_misses(relations: DataFrame, cache: DataFrame, config: str) -> DataFrame:
+    """Relations whose verdict under this configuration is not cached; errors never are."""
+    known = cache.where((F.col("config") == config) & (F.col("verdict") != "error")).select("relation_hash")
+    return relations.join(known, "relation_hash", "left_anti")
+
+
+def skipped_by_type(items: DataFrame, kind: str, ok: Column) -> DataFrame:
+    """How many items of each type could not be built."""
+    return items.where(~F.coalesce(ok, F.lit(False))).groupBy(kind).agg(F.count("*").alias("skipped"))
+
+
+def hotspot_mentions(titles: DataFrame, hotspots: DataFrame, most: int = 100) -> DataFrame:
+    """Titles that name each hotspot (keyword, one word), counted up to a limit that the level needs."""
+    words = titles.select("id", F.explode(F.array_distinct(F.split(F.lower("title"), "[^a-z0-9]+"))).alias("keyword"))
+    named = words.join(hotspots.select("hotspot", F.lower("keyword").alias("keyword")), "keyword").select("id", "hotspot").distinct()
+    counted = named.groupBy("hotspot").agg(F.count("*").alias("n"))
+    return hotspots.select("hotspot").distinct().join(counted, "hotspot", "left").select("hotspot", F.least(F.coalesce("n", F.lit(0)), F.lit(most)).cast("long").alias("mentions"))
