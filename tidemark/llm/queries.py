@@ -87,11 +87,37 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP6_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP6_SQL = f"""WITH d AS (SELECT doc_id AS k, {_OP6_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS k, {_OP6_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+dt AS (SELECT k, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d), bt AS (SELECT k, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM b),
+dw AS (SELECT k, i, list(x) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM dt),
+bw AS (SELECT k, least(n, 10) AS m, list(x) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM bt),
+p AS (SELECT DISTINCT k AS item, m, array_to_string(l[1:m], ' ') AS s FROM bw WHERE len(l) >= m),
+h AS (SELECT dw.k, dw.i, g.m, p.item FROM dw JOIN (SELECT DISTINCT m FROM p) g ON len(dw.l) >= g.m JOIN p ON p.m = g.m AND p.s = array_to_string(dw.l[1:g.m], ' ')),
+c AS (SELECT k, count(DISTINCT j) AS n_hit FROM (SELECT k, unnest(range(i, i + m)) AS j FROM h) GROUP BY k),
+t AS (SELECT k, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY k)
+SELECT d.k AS doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON c.k = d.k LEFT JOIN t ON t.k = d.k"""
+
+_OP8_SQL = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT DISTINCT doc_id, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o AS s FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT * FROM g WHERE s IS NOT NULL UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM j JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT DISTINCT a AS k, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l ON r.k = l.a),
+m AS (SELECT k, min(c) AS c FROM r GROUP BY k)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.k = d.doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_chat_format, op2_packing, op3_topk_search, op4_pii, op5_url_filter, op6_decontamination, op7_license_scan, op8_jaccard_join, op9_quality_classifier, op10_secret_scan)}
 
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1_SQL, "op3_topk_search": _OP3_SQL, "op7_license_scan": license_scan.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1_SQL, "op3_topk_search": _OP3_SQL, "op6_decontamination": _OP6_SQL, "op7_license_scan": license_scan.oracle(), "op8_jaccard_join": _OP8_SQL}
 
 
 def oracle_sql() -> dict[str, str]:
