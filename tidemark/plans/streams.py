@@ -93,7 +93,7 @@ def severity_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-09: clusters of a user's events that close after a quiet half day."""
-    return twins.sessions(_ev(spark, sf_dir), ["user_id"], F.col("s"), 43200, "event_id")
+    return twins.sessions(_ev(spark, sf_dir), ["user_id"], F.col("s"), 43200)
 
 
 def escalation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 
 
 def sliding_count(events: DataFrame, keys: Sequence[str], seconds: Column, window: int) -> DataFrame:
-    """Each event with the number of its key's events in the window that ends with it."""
+    """Each event with the number of its key's events in the window that ends with it. The
+    window runs over counts per second, so that a hot key is small before it is sorted."""
+    timed = events.withColumn("__s", seconds.cast("long"))
+    per = timed.groupBy(*keys, "__s").agg(F.count("*").alias("__n"))
     w = Window.partitionBy(*keys).orderBy("__s").rangeBetween(-(window - 1), 0)
-    return events.withColumn("__s", seconds.cast("long")).withColumn("hits", F.count("*").over(w)).drop("__s")
+    per = per.withColumn("hits", F.sum("__n").over(w)).drop("__n")
+    right = per.select(*[F.col(c).alias(f"__r_{c}") for c in (*keys, "__s")], "hits")
+    on = F.lit(True)
+    for c in (*keys, "__s"):
+        on = on & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return timed.join(right, on).select(*events.columns, "hits")
 
 
 def ignitions(events: DataFrame, keys: Sequence[str], seconds: Column, window: int, least: int, order: str) -> DataFrame:
@@ -21,13 +29,14 @@ def ignitions(events: DataFrame, keys: Sequence[str], seconds: Column, window: i
     return counted.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__s")
 
 
-def sessions(events: DataFrame, keys: Sequence[str], seconds: Column, quiet: int, order: str) -> DataFrame:
-    """Clusters that close after so many quiet seconds: per key and session its start, end and hits."""
-    w = Window.partitionBy(*keys).orderBy("__s", order)
-    s = events.withColumn("__s", seconds.cast("long"))
-    s = s.withColumn("__new", F.coalesce((F.col("__s") - F.lag("__s").over(w) > quiet).cast("int"), F.lit(1)))
+def sessions(events: DataFrame, keys: Sequence[str], seconds: Column, quiet: int) -> DataFrame:
+    """Clusters that close after so many quiet seconds: per key and session its start, end and
+    hits, from counts per second."""
+    per = events.withColumn("__s", seconds.cast("long")).groupBy(*keys, "__s").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*keys).orderBy("__s")
+    s = per.withColumn("__new", F.coalesce((F.col("__s") - F.lag("__s").over(w) > quiet).cast("int"), F.lit(1)))
     s = s.withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy(*keys, "session").agg(F.min("__s").alias("start_s"), F.max("__s").alias("end_s"), F.count("*").alias("hits"))
+    return s.groupBy(*keys, "session").agg(F.min("__s").alias("start_s"), F.max("__s").alias("end_s"), F.sum("__n").alias("hits"))
 
 
 def escalation(hits: Column, curve: Sequence[tuple[int, str]], default: str) -> Column:
