@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import enrichment, graphs, places, policies, slices, streams, texts, timeline
+from . import catalogs, enrichment, graphs, places, policies, slices, streams, texts, timeline
 
-_MODULES = (timeline, slices, graphs, enrichment, places, texts, streams, policies)
+_MODULES = (timeline, slices, graphs, enrichment, places, texts, streams, policies, catalogs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -191,3 +191,10 @@ def first_provider(feeds: Sequence[DataFrame]) -> DataFrame:
         if not feed.isEmpty():
             return feed
     return feeds[-1]
+
+
+def canonical_mentions(rows: DataFrame) -> DataFrame:
+    """Mentions in their canonical form; a missing confidence is 0."""
+    from ..functions.keys import event_id
+
+    return rows.select(event_id("global_event_id").alias("event_id"), F.col("mention_identifier").alias("mention_url"), F.col("mention_doc_tone").cast("double").alias("tone"), F.coalesce(F.col("confidence").cast("int"), F.lit(0)).alias("confidence"), F.col("char_offset").cast("int").alias("char_offset"))
