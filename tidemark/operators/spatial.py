@@ -29,9 +29,11 @@ def near_pairs(a: DataFrame, b: DataFrame, reach_km: float, days: int, degrees:
     column = lambda lon, n: F.floor((F.col(lon) + 180) / 360 * n)
     here = lambda df: df.where("lat between -90 and 90 and lon between -180 and 180 and day is not null")
     left = here(a).withColumn("r", row("lat")).withColumn("k", F.pmod(column("lon", count(F.col("r"))), count(F.col("r")))).withColumn("d", F.unix_date("day"))
-    right = here(b).withColumn("r", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: row("lat") + i)))
-    right = right.withColumn("k", F.explode(F.array_distinct(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: F.pmod(column("lon", count(F.col("r"))) + i, count(F.col("r")))))))
-    right = right.withColumn("d", F.explode(F.sequence(F.unix_date("day") - days, F.unix_date("day") + days)))
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    near_days = F.sequence(F.unix_date("day") - days, F.unix_date("day") + days)
+    columns = lambda r: F.array_distinct(F.transform(around, lambda i: F.pmod(column("lon", count(r)) + i, count(r))))
+    cells = F.flatten(F.transform(F.transform(around, lambda i: row("lat") + i), lambda r: F.flatten(F.transform(columns(r), lambda k: F.transform(near_days, lambda d: F.struct(r.alias("r"), k.alias("k"), d.alias("d")))))))
+    right = here(b).withColumn("__cell", F.explode(cells)).select("*", "__cell.*").drop("__cell")
     left = left.select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.col("day").alias("a_day"), "r", "k", "d")
     right = right.select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), F.col("day").alias("b_day"), "r", "k", "d")
     met = left.join(right, ["r", "k", "d"]).withColumn("distance_km", haversine_km("a_lat", "a_lon", "b_lat", "b_lon"))
