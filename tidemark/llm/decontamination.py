@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 
 #: Lower-cases A-Z, keeps 0-9, a-z and all bytes of non-ASCII characters, and turns the rest into spaces.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -112,6 +112,7 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, pa
     offsets, flat starts and ends of disjoint spans) and hit_items (distinct ids of the items
     with an occurrence)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     found = docs.select(F.struct(*docs.columns).alias("row"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
     schema = found.schema
     for k, items in enumerate(_blocks(benchmark, pattern_bytes)):

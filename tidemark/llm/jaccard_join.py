@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, mix64
+from .common import bounded_batches, materialize, mix64
 from .components import components
 
 SKETCH_BITS = 18
 _CHUNKS = 64
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _HUBS, _NEIGHBOURS = 16, 4
-_CACHE = 500_000
+_CACHE = 150_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -105,8 +105,8 @@ def word_weights(docs: DataFrame) -> np.ndarray:
 
     schema = "chunk int, counts binary"
     part = docs.select("text").mapInArrow(count, schema)
-    part = part.repartition(_CHUNKS, "chunk", F.spark_partition_id() % 16).mapInArrow(_sum_chunks, schema)
-    part = part.repartition(_CHUNKS, "chunk").mapInArrow(_sum_chunks, schema)
+    part = part.repartition("chunk", F.spark_partition_id() % 16).mapInArrow(_sum_chunks, schema)
+    part = part.repartition("chunk").mapInArrow(_sum_chunks, schema)
     total = np.zeros(1 << SKETCH_BITS, np.int64)
     width = len(total) // _CHUNKS
     for chunk, counts in part.toLocalIterator():
@@ -301,6 +301,7 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int, per_hub:
 
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """A row per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
+    bounded_batches(docs.sparkSession)
     sets = materialize(shingle_sets(docs, size, percent), "sets")
     classes = (
         sets.where("n > 0")

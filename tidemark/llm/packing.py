@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 _ARROW = pa.schema([(c, pa.int64()) for c in _COLUMNS])
@@ -46,7 +48,7 @@ class ChunkEncoder:
 
     PLAIN = re.compile(r"[\n\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 
-    def __init__(self, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, cache_size: int = 400_000):
+    def __init__(self, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, cache_size: int = 200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -219,6 +221,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str | None
 
     docs: doc_id, text. sequence_id is unique; its upper bits are the task's partition.
     """
+    bounded_batches(docs.sparkSession)
     end = np.array([separator], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("regex", "gazetteer", "context", "border")
@@ -142,7 +142,7 @@ def votes(text: str, kind: str, start: int, end: int, strict: bool) -> str:
     for_it = any(w.startswith(k) for w in around for k in CONTEXT[kind] if len(k) > 2 or w == k)
     context = "+" if for_it else "-" if any(w in AGAINST for w in around) else "0"
     left, right = text[start - 1 : start], text[end : end + 1]
-    border = "-" if left.isalnum() or right.isalnum() or left in ("_", "/", "#") and left else "+"
+    border = "-" if left.isalnum() or right.isalnum() or left in ("_", "/", "#") else "+"
     return regex + gazetteer + context + border
 
 
@@ -242,6 +242,7 @@ def span_score(model: dict, kind: str, vote: str, x: list[int]) -> float:
 
 def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Per row of docs: doc_id and spans, an array of (kind, start, end, base, score) by kind and start."""
+    bounded_batches(docs.sparkSession)
     found = materialize(find_candidates(docs), "candidates")
     shared = docs.sparkSession.sparkContext.broadcast(train(found))
     order = {k: i for i, k in enumerate(KINDS)}

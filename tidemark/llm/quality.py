@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 
 #: Classes of bytes whose shares are features.
 _KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"|", b"#$%&*+=<>@\\^_`{}~", b"!?", b".,;:'\"()-/[]", b"\n", b" \t\r"]
@@ -127,6 +127,7 @@ def site_posteriors(docs: DataFrame, labels: DataFrame, host: str, path: str) ->
 def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, sample: int = 20_000, broadcast_sites: int = 200_000) -> DataFrame:
     """row (all columns of docs as a struct, so that no name can clash), evidence, site_rate,
     quality (the posterior) and keep."""
+    bounded_batches(docs.sparkSession)
     x, y = labelled_features(docs, labels, sample)
     model = fit(x, y) if len(y) and 0 < y.sum() < len(y) else None
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import bounded_batches
+
 _EXACT = float(2**53)
 
 
@@ -129,6 +131,7 @@ def _shards(whole: DataFrame, size: int, leaf: int) -> DataFrame:
 def top_k(vectors: DataFrame, is_query: str, k: int = 10, scale: int = 1024, shard_size: int = 4096, leaf: int = 128, block_size: int = 256, groups: int = 8) -> DataFrame:
     """For each row that ``is_query`` selects (an SQL condition on vec_id): query_id, rank
     (from 1), vec_id and score of its k best candidates among all other rows."""
+    bounded_batches(vectors.sparkSession)
     whole = _whole(vectors, scale)
     queries = whole.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select(F.col("vec_id").alias("query_id"), "q.dim", "q.v")
     blocks = -(-max(1, vectors.where(is_query).count()) // block_size)
