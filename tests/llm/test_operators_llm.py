@@ -408,6 +408,15 @@ def test_secrets_found_and_false_positives_removed(spark, odd, none):
     assert secret_scan.secret_report(none).count() == 0
 
 
+def test_secrets_of_the_tables(spark, sf):
+    docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    want = {d: {m.span(1) for m in re.finditer('token = "([0-9a-f]{40})"', t)} for d, t in texts.items()}
+    got = {r["doc_id"]: {tuple(map(int, f.split(":")[1:])) for f in r["findings"].split(",")} for r in secret_scan.secret_report(docs).collect() if r["findings"]}
+    assert {d: s for d, s in want.items() if s} and all(s <= got[d] for d, s in want.items() if s)
+    assert all(re.fullmatch("[0-9A-Fa-f]{20,}", texts[d][a:b]) for d, s in got.items() for a, b in s)
+
+
 def test_forest_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 5))
