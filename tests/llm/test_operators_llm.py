@@ -103,11 +103,11 @@ def test_packing_round_trip(spark, sf, odd, none):
     assert queries.pack(none).count() == 0
 
 
-def test_chunked_encoding_is_the_tokenizers_own():
+def test_encoding_is_the_tokenizers_own():
     import public_tokenizers as P
 
     tk = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    enc = packing.ChunkEncoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 50)
+    enc = packing.TextEncoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     random.seed(2)
     bits = ["a", "the", "'s", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "é", "ß", "中", "12", "<|endoftext|>", "!", "\r\n", "\x1c", "\u0085", "😀", "I'll", "word"]
     for _ in range(4000):

@@ -19,7 +19,9 @@ table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -36,19 +38,18 @@ _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id
 _ARROW = pa.schema([(c, pa.int64()) for c in _COLUMNS])
 
 
-class ChunkEncoder:
+class TextEncoder:
     """Ids of whole texts as little-endian uint32 bytes.
 
-    The pre-tokenizer never joins a space to a character before it that isn't white space,
-    so a text is cut before such spaces and the ids of each chunk are kept in a bounded
-    cache; natural text repeats most of its chunks. Chunks of plain Latin characters are
-    encoded from the same vocabulary as merge ranks, which is faster for short strings and
-    gives the same ids; all others go through the tokenizer itself.
+    Texts of plain Latin characters are encoded from the same vocabulary as merge ranks, which
+    is faster and gives the same ids. The pre-tokenizer never joins a space to a character
+    before it that isn't white space, so any other text is cut before such spaces, and only
+    the runs of pieces that aren't plain go through the tokenizer itself.
     """
 
     PLAIN = re.compile(r"[\n\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 
-    def __init__(self, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, cache_size: int = 200_000):
+    def __init__(self, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,34 +65,27 @@ class ChunkEncoder:
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[str, bytes] = {}
-        self.cache_size = cache_size
 
-    def _encode(self, chunk: str) -> bytes:
-        if self.fast is not None and "<|" not in chunk and self.PLAIN.fullmatch(chunk):
-            ids = self.fast.encode_ordinary(chunk)
-        else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+    def _plain(self, text: str) -> bool:
+        return self.fast is not None and "<|" not in text and self.PLAIN.fullmatch(text) is not None
+
+    def _encode(self, text: str, plain: bool) -> bytes:
+        if plain:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if re.search(r"\s ", text):
-            first, *rest = re.split(r"(?<=\S) ", text)
-        else:
-            first, *rest = text.split(" ")
-        cache = self.cache
-        found = [self._encode(first)] if first else []
-        get = cache.get
-        for chunk in rest:
-            ids = get(chunk)
-            if ids is None:
-                ids = self._encode(" " + chunk)
-                if len(chunk) <= 64:
-                    if len(cache) >= self.cache_size:
-                        cache.clear()
-                    cache[chunk] = ids
-            found.append(ids)
-        return b"".join(found)
+        if self._plain(text):
+            return self._encode(text, True)
+        first, *rest = re.split(r"(?<=\S) ", text)
+        runs = itertools.groupby([first, *(" " + x for x in rest)], self._plain)
+        return b"".join(self._encode("".join(run), plain) for plain, run in runs)
+
+
+@functools.cache
+def encoder_of(tokenizer_path: str, ranks_path: str | None, pattern: str | None) -> TextEncoder:
+    """One encoder for each Python worker: the tasks that it runs share its tables and cache."""
+    return TextEncoder(tokenizer_path, ranks_path, pattern)
 
 
 def differencing(lengths: list[int], k: int) -> list[list[int]]:
@@ -227,7 +221,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         packer = Packer(window, pool_size, (context.partitionId() if context else 0) << 40)
-        encoder = ChunkEncoder(tokenizer_path, ranks_path, pattern)
+        encoder = encoder_of(tokenizer_path, ranks_path, pattern)
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 packer.add(doc_id.as_py(), encoder.encode(text.as_py() or "") + end)
