@@ -417,6 +417,23 @@ def test_secrets_of_the_tables(spark, sf):
     assert all(re.fullmatch("[0-9A-Fa-f]{20,}", texts[d][a:b]) for d, s in got.items() for a, b in s)
 
 
+def test_secrets_longer_than_512_characters_go_whole(spark):
+    random.seed(9)
+    key = lambda n: "".join(random.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    long = {0: key(800), 1: "eyJ" + ".".join(key(400) for _ in range(3)), 2: "ghp_" + key(600), 3: "xoxb-" + key(700), 4: key(900) + "/" + key(90) + "=="}
+    forms = ['token = "{}"', "token={}", "secret: '{}'", "see {} there"]
+    texts = [(10 * i + j, "the house " + f.format(s) + " and the river") for i, s in long.items() for j, f in enumerate(forms) if j < 3 or i in (1, 2, 3)]
+    for i, t in texts:
+        assert [t[a:b] for _, a, b in secret_scan.candidates(t)] == [long[i // 10]]
+    plain = [(1000 + i, f"a mountainstationriverhousemountain by the river, password = changemechangeme {i}") for i in range(40)]
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(doc_frame(spark, texts + plain)).collect()}
+    for i, t in texts:
+        assert clean[i] == t.replace(long[i // 10], "[SECRET]")
+    tail = key(600)  # features see the whole value
+    corpus = {"surprise": np.zeros((28, 28)), "words": set(), "paths": {}}
+    assert secret_scan.describe("a" * 512 + tail, "generic", 0, 1112, "", corpus)[6] > 3
+
+
 def test_forest_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 5))

@@ -36,9 +36,9 @@ from .jaccard_join import SKETCH_BITS, word_weights
 
 #: Names that a secret is assigned to, and formats of known keys.
 KEYWORDS = ("token", "secret", "passw", "pwd", "apikey", "api_key", "api-key", "access_key", "access-key", "credential", "private_key", "auth")
-KEYED = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|credentials?|private[_-]?key|auth)["']?\s{0,4}(?:=>|[=:])\s{0,4}["']?([^\s"',;]{8,512})""")
+KEYED = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|credentials?|private[_-]?key|auth)["']?\s{0,4}(?:=>|[=:])\s{0,4}["']?([^\s"',;]{8,})""")
 KNOWN = re.compile(
-    r"AKIA[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk_live_[0-9A-Za-z]{16,255}|AIza[0-9A-Za-z_-]{35}"
+    r"AKIA[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}"
     r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
 )
 KNOWN_MARKS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "AIza", "eyJ", "PRIVATE KEY")
@@ -55,7 +55,9 @@ CONTEXT = slice(11, 16)  # features of the surroundings
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of all candidates, disjoint and in order."""
+    """(kind, start, end) of all candidates, disjoint and in order. Of overlapping ones the surest
+    kind counts, from its own start to the last end; a generic run's part before it stays a candidate
+    if it is long enough."""
     raw = text.encode()
     low = raw.lower()
     found: list[tuple[str, int, int]] = []
@@ -68,11 +70,16 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     order = {"keyed": 0, "known": 1, "generic": 2}
     kept: list[tuple[str, int, int]] = []
     for one in sorted(found, key=lambda c: (c[1], order[c[0]], -c[2])):
-        if kept and one[1] < kept[-1][2]:
-            if order[one[0]] < order[kept[-1][0]]:
-                kept[-1] = one
+        if not kept or one[1] >= kept[-1][2]:
+            kept.append(one)
             continue
-        kept.append(one)
+        kind, start, end = kept[-1]
+        end = max(end, one[2])
+        if order[one[0]] < order[kind]:
+            kept[-1:] = [(kind, start, one[1])] if one[1] - start >= 20 else []
+            kept.append((one[0], one[1], end))
+        else:
+            kept[-1] = (kind, start, end)
     return kept
 
 
@@ -108,7 +115,7 @@ def coverage(value: str, words: Dictionary | set[str]) -> float:
 
 def describe(text: str, kind: str, start: int, end: int, path: str, corpus: dict) -> np.ndarray:
     """The features of one candidate."""
-    value = text[start : min(end, start + 512)]
+    value = text[start:end]
     n = len(value)
     counts = Counter(value)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
