@@ -434,6 +434,17 @@ def test_secrets_longer_than_512_characters_go_whole(spark):
     assert secret_scan.describe("a" * 512 + tail, "generic", 0, 1112, "", corpus)[6] > 3
 
 
+def test_every_spelling_of_a_name_is_found_by_itself():
+    keys = [f"{k}{mid}key" for k in ("api", "access", "private") for mid in ("", "_", "-")]
+    names = ["token", "secret", "passwd", "password", "pwd", "credential", "credentials", "auth", *keys, "accessKey", "privateKey", "PRIVATE-KEY", "\u017fecret", "to\u212aen"]
+    for name in names:
+        for sign in (' = "', ": ", "=>'"):
+            text = f"the river {name}{sign}Zk39dPq81x"
+            assert [(k, text[a:b]) for k, a, b in secret_scan.candidates(text)] == [("keyed", "Zk39dPq81x")], text
+            x = secret_scan.describe(text, "keyed", len(text) - 10, len(text), "", {"surprise": np.zeros((28, 28)), "words": set(), "paths": {}})
+            assert x[11] == 1 or not name.isascii(), name
+
+
 def test_forest_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 5))

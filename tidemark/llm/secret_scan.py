@@ -35,7 +35,8 @@ from .forest import RandomForest
 from .jaccard_join import SKETCH_BITS, word_weights
 
 #: Names that a secret is assigned to, and formats of known keys.
-KEYWORDS = ("token", "secret", "passw", "pwd", "apikey", "api_key", "api-key", "access_key", "access-key", "credential", "private_key", "auth")
+KEYWORDS = ("token", "secret", "passw", "pwd", *(f"{k}{mid}key" for k in ("api", "access", "private") for mid in ("", "_", "-")), "credential", "auth")
+ODD_CASE = ("\u017f", "\u212a")  # what KEYED takes for s and k besides the ASCII letters
 KEYED = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|credentials?|private[_-]?key|auth)["']?\s{0,4}(?:=>|[=:])\s{0,4}["']?([^\s"',;]{8,})""")
 KNOWN = re.compile(
     r"AKIA[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}"
@@ -61,7 +62,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     raw = text.encode()
     low = raw.lower()
     found: list[tuple[str, int, int]] = []
-    if any(k.encode() in low for k in KEYWORDS):
+    if any(k.encode() in low for k in KEYWORDS) or any(c in text for c in ODD_CASE):
         found += [("keyed", m.start(1), m.end(1)) for m in KEYED.finditer(text)]
     if any(k in text for k in KNOWN_MARKS):
         found += [("known", *m.span()) for m in KNOWN.finditer(text)]
