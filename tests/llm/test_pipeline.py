@@ -25,5 +25,15 @@ def test_stages(spark, sf):
     assert docs.agg({"sequence_id": "max"}).first()[0] is not None
 
 
+def test_equal_rows_with_one_id_stay_once(spark, sf):
+    from test_operators_llm import doc_frame
+
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    one, two = "the house by the river is old and grey", "a mountain station stands far above the town"
+    texts = [(1, one), (1, one), (1, one), (2, one), (3, two), (4, None), (4, None), (5, " "), (5, " "), (None, two), (None, "no id here at all")]
+    out = stage(spark, doc_frame(spark, texts), sf)
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted([(1, one), (3, two), (4, None), (4, None), (5, " "), (5, " "), (None, two), (None, "no id here at all")], key=repr)
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0

@@ -331,6 +331,14 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
 
 def deduplicate(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """The documents that stand for their component, with docs' columns: those whose doc_id is
-    the component's smallest. Rows without shingles or without an id stay."""
-    gone = materialize(jaccard_components(docs, size, percent).where("doc_id <> component_id").select("doc_id"), "gone")
-    return filter_by_ids(docs, gone, "left_anti").select(*docs.columns)
+    the component's smallest. Of rows with one doc_id and text the first in the order of all
+    columns stays. Rows without shingles or without an id stay."""
+    labels = materialize(jaccard_components(docs, size, percent).where("n_shingles > 0 and doc_id is not null"), "labels")
+    kept = filter_by_ids(docs, labels.where("doc_id <> component_id").select("doc_id"), "left_anti").select(*docs.columns)
+    repeated = labels.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    repeated = materialize(repeated, "repeated")
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = filter_by_ids(kept.where(has_words), repeated, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.where(~has_words).unionByName(filter_by_ids(kept.where(has_words), repeated, "left_anti").select(*docs.columns)).unionByName(once)
