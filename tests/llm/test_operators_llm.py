@@ -271,6 +271,42 @@ def test_license_rules_in_order(spark, odd, none):
     assert license_scan.scan_licenses(odd).count() == odd.count() and license_scan.scan_licenses(none).count() == 0
 
 
+def test_official_notices_are_found_wrapped_and_in_comments(spark):
+    import textwrap
+
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."]
+    bsd = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    notices = {
+        "MIT": mit,
+        "BSD-2-Clause": bsd,
+        "BSD-3-Clause,BSD-2-Clause": [*bsd, third],
+        "GPL-2.0": [gpl],
+        "GPL-3.0": [gpl.replace("; you", ": you").replace("; either version 2", ", either version 3")],
+        "LGPL-2.1": [gpl.replace("program", "library").replace("General", "Lesser General").replace("version 2 ", "version 2.1 ")],
+        "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+        "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "http://www.apache.org/licenses/LICENSE-2.0"],
+        "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    }
+    texts, want = [], {}
+    for name, parts in notices.items():
+        for width in (40, 72, 5000):
+            for sign in ("", "# ", " * ", "// "):
+                for end in ("\n", "\r\n"):
+                    lines = ["Copyright (c) 2020 Some Holder", "", *"\n\n".join(textwrap.fill(p, width) for p in parts).split("\n"), "", "import os"]
+                    want[len(texts)] = name
+                    texts.append((len(texts), end.join(sign + line for line in lines)))
+    apart = len(texts)
+    texts.append((apart, "Released under the\n\nMIT License"))  # a blank line ends a sentence
+    texts.append((apart + 1, "SPDX-License-Identifier: MIT"))
+    want |= {apart: "", apart + 1: "MIT"}
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan_licenses(doc_frame(spark, texts)).collect()}
+    assert {i: g for i, g in got.items() if g != want[i]} == {}
+    closed = license_scan.scan_licenses(doc_frame(spark, texts)).where("restricted").select("licenses").distinct().collect()
+    assert {r[0] for r in closed} == {"GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"}
+
+
 # --- 8
 
 

@@ -1,15 +1,19 @@
 """Operator 7: sentence-rule licence recognition with DataFrame functions.
 
-A text is cut into sentences at line ends and at ``.``, ``!``, ``?``, ``;`` or ``:`` before
-white space. A sentence is normalised (A-Z lower-cased, everything but a-z and 0-9 to one
-space) and looked up in a table of known licence sentences. The identifiers that a text
-holds, in its order and without the sentences that are unknown, are matched against rules:
+A text is cut into pieces at line ends and at ``.``, ``!``, ``?``, ``;`` or ``:`` before
+white space. Pieces are normalised (A-Z lower-cased, everything but a-z and 0-9 to one
+space), so that comment signs vanish. A sentence is one or more whole pieces one after another
+without a blank line between them (a wrapped line, or a sentence with ``v. 2`` or ``;`` in it)
+that read as an entry of a table of known licence sentences; of those that begin at one piece
+the longest counts. The identifiers that a text holds, in its order and without the sentences that are unknown, are matched against rules:
 sequences of identifiers that must stand one after another. Rules have an order; a rule
 whose identifiers are all taken by an earlier rule of the same licence family adds nothing,
 since a licence is reported once.
 
 Everything happens in the row; nothing is shuffled.
 
+The SQL twin knows a sentence only where it is one piece.
+
 Nulls and odd rows: a null or empty text has no licence; repeated rows each get theirs;
 extra columns are ignored; an empty table gives no rows.
 """
@@ -51,6 +55,9 @@ SENTENCES = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
 }
 
+#: Further sentences, which the SQL twin does not know.
+MORE_SENTENCES = {"this library is free software": "gpl-free"}
+
 #: Licence, whether it is open, and the identifiers in their order; the first rules are the most specific.
 RULES = [
     ("BSD-3-Clause", True, ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
@@ -85,13 +92,13 @@ def _lists(rules: list) -> list[tuple[str, bool]]:
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    sentences = F.split(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), CUT, "\n"), "\n")
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    lengths = sorted({len(s) for s in SENTENCES})
-    # a sentence shorter or much longer than all known ones is not normalised
-    near = F.filter(sentences, lambda s: F.length(s) >= lengths[0])
-    ids = F.transform(near, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, JUNK, " "))))
-    return F.filter(ids, lambda x: x.isNotNull())
+    pieces = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), CUT, "\n")
+    pieces = F.trim(F.regexp_replace(F.regexp_replace(pieces, r"[^a-z0-9\n]+", " "), " ?\n ?", "\n"))
+    sentences = SENTENCES | MORE_SENTENCES
+    known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
+    longest_first = "|".join(s.replace(" ", r"[ \n]") for s in sorted(sentences, key=len, reverse=True))
+    found = F.regexp_extract_all(pieces, F.lit(rf"(?<![^\n])(?:{longest_first})(?![^\n])"), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
