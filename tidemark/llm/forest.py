@@ -11,14 +11,15 @@ class RandomForest:
     def __init__(self, trees: int = 24, depth: int = 8, bins: int = 32, least: int = 4, seed: int = 7):
         self.trees, self.depth, self.bins, self.least, self.seed = trees, depth, bins, least, seed
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> RandomForest:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> RandomForest:
+        """weight: how often a row is to be drawn for a tree, on average (once if not given)."""
         rng = np.random.default_rng(self.seed)
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
         binned = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(self.cuts, x.T, strict=True)], axis=1)
         some = max(2, int(np.sqrt(x.shape[1]) + 1))
         self.forest = []
         for _ in range(self.trees):
-            rows = rng.integers(0, len(y), len(y))
+            rows = rng.integers(0, len(y), len(y)) if weight is None else rng.choice(len(y), int(weight.sum()), p=weight / weight.sum())
             nodes: list[list[float]] = []  # feature, bin, left, right, share of positives
             self._grow(binned[rows], y[rows], 0, some, rng, nodes)
             self.forest.append(np.array(nodes, np.float64))

@@ -6,11 +6,14 @@ length and character mix, its entropy, its class changes and letter pairs (again
 counts of the whole corpus), how much of it dictionary words cover (words that are frequent
 among all words of all texts, by a count sketch of a fixed size), its path (the ``source`` column), and the words around it.
 
-The forest is trained on labelled findings: by default those that ``seed_label`` is sure
-of (known formats and named values are secrets; plain words, numbers and placeholders are
-not), on a bounded sample per label. Each positive is also shown without its context, so
-that a secret that stands alone is recognised. Without findings of both labels the seed
-labels decide.
+The forest is trained on labelled findings. Where none are passed, ``seed_label`` labels those
+that something other than the features vouches for: the issuer's format of a key, a name with
+a value that holds digits and no placeholder, and on the other side placeholders, words of
+the dictionary and runs of letters that nothing assigns. Format and placeholder are no features.
+Each positive is also shown without its context, so that a secret that stands alone is
+recognised. Distinct findings are sampled, so that copies do not fill the sample; a path's
+log odds come from all labelled findings. A known format that is no placeholder is always a
+finding; without findings of both labels the seed labels decide.
 
 Nulls and odd rows: a null or empty text has no candidates; a null source is the path "";
 repeated rows each get their findings; extra columns are kept or ignored; an empty table
@@ -40,9 +43,12 @@ ODD_CASE = ("\u017f", "\u212a")  # what KEYED takes for s and k besides the ASCI
 KEYED = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|credentials?|private[_-]?key|auth)["']?\s{0,4}(?:=>|[=:])\s{0,4}["']?([^\s"',;]{8,})""")
 KNOWN = re.compile(
     r"AKIA[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}"
-    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 )
-KNOWN_MARKS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "AIza", "eyJ", "PRIVATE KEY")
+KNOWN_MARKS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "AIza", "eyJ")
+PEM_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----")
+PEM_END = re.compile(r"-----END [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----")
+PEM_LINES = re.compile(r"(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})*+")
 GENERIC = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}")
 PLACEHOLDER = re.compile(r"(?i)x{4,}|\*{3,}|example|changeme|placeholder|your[_-]|<|\$\{|0{8,}|1234567")
 
@@ -51,14 +57,30 @@ _PAIR[[*range(97, 123)]] = range(26)
 _PAIR[[*range(65, 91)]] = range(26)
 _PAIR[[*range(48, 58)]] = 26
 _WORD = re.compile(r"[^\W\d_]+")
-NAMES = 20
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ASSIGNED = re.compile(r"(?:=>|[=:])\s*[\"']?$")
+ODDS = 16  # the feature of the path
 CONTEXT = slice(11, 16)  # features of the surroundings
 
 
+def pem_blocks(text: str) -> list[tuple[int, int]]:
+    """Private keys from their BEGIN line to their END line; where that is missing before the next
+    key begins, to the last line of key characters."""
+    begins, ends = [m.span() for m in PEM_BEGIN.finditer(text)], [m.span() for m in PEM_END.finditer(text)]
+    found, j = [], 0
+    for i, (start, head) in enumerate(begins):
+        while j < len(ends) and ends[j][0] < head:
+            j += 1
+        stop = begins[i + 1][0] if i + 1 < len(begins) else len(text)
+        closed = j < len(ends) and ends[j][0] < stop
+        found.append((start, ends[j][1] if closed else PEM_LINES.match(text, head, stop).end()))
+    return found
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of all candidates, disjoint and in order. Of overlapping ones the surest
-    kind counts, from its own start to the last end; a generic run's part before it stays a candidate
-    if it is long enough."""
+    """(kind, start, end) of all candidates, disjoint and in order. Overlapping ones become one, of
+    the surest kind and to the last end. It begins with the first of them that is assigned or of a
+    known format; a generic run's part before that stays a candidate if it is long enough."""
     raw = text.encode()
     low = raw.lower()
     found: list[tuple[str, int, int]] = []
@@ -66,9 +88,11 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         found += [("keyed", m.start(1), m.end(1)) for m in KEYED.finditer(text)]
     if any(k in text for k in KNOWN_MARKS):
         found += [("known", *m.span()) for m in KNOWN.finditer(text)]
+    if "PRIVATE KEY" in text:
+        found += [("known", *span) for span in pem_blocks(text)]
     if any(len(w) >= 20 for w in raw.split()):
         found += [("generic", *m.span()) for m in GENERIC.finditer(text)]
-    order = {"keyed": 0, "known": 1, "generic": 2}
+    order = {"known": 0, "keyed": 1, "generic": 2}
     kept: list[tuple[str, int, int]] = []
     for one in sorted(found, key=lambda c: (c[1], order[c[0]], -c[2])):
         if not kept or one[1] >= kept[-1][2]:
@@ -76,7 +100,9 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             continue
         kind, start, end = kept[-1]
         end = max(end, one[2])
-        if order[one[0]] < order[kind]:
+        if kind != "generic":
+            kept[-1] = (min(kind, one[0], key=order.__getitem__), start, end)
+        elif one[0] != "generic":
             kept[-1:] = [(kind, start, one[1])] if one[1] - start >= 20 else []
             kept.append((one[0], one[1], end))
         else:
@@ -114,8 +140,8 @@ def coverage(value: str, words: Dictionary | set[str]) -> float:
     return covered / max(len(low), 1)
 
 
-def describe(text: str, kind: str, start: int, end: int, path: str, corpus: dict) -> np.ndarray:
-    """The features of one candidate."""
+def describe(text: str, start: int, end: int, odds: float, corpus: dict) -> np.ndarray:
+    """The features of one candidate; odds are its path's log odds."""
     value = text[start:end]
     n = len(value)
     counts = Counter(value)
@@ -142,26 +168,29 @@ def describe(text: str, kind: str, start: int, end: int, path: str, corpus: dict
             coverage(value, words),
             sum(c in "aeiouAEIOU" for c in value) / n,
             float(any(k in low for k in KEYWORDS)),
-            float(bool(re.search(r"(?:=>|[=:])\s*[\"']?$", before))),
+            float(bool(_ASSIGNED.search(before))),
             float(before[-1:] in "\"'" and before != ""),
             float(bool(previous) and previous[-1] in words),
             float(bool(following) and following[0] in words),
-            float(kind == "known"),
-            float(value.isdigit()),
-            float(bool(PLACEHOLDER.search(value))),
-            corpus["paths"].get(path, 0.0),
+            odds,
         ]
     )
 
 
-def seed_label(kind: str, value: str, x: np.ndarray) -> int | None:
+def seed_label(text: str, kind: str, start: int, end: int, words: Dictionary | set[str]) -> int | None:
     """1 for a sure secret, 0 for a sure false positive, else None."""
-    if x[18] or (kind == "generic" and (value.isdigit() or value.isalpha() and x[9] > 0.5)):
+    value = text[start:end]
+    if PLACEHOLDER.search(value) if kind != "known" else value.upper().endswith("EXAMPLE"):
         return 0
     if kind == "known":
         return 1
+    parts = [w.lower() for w in _PIECE.findall(value) if len(w) > 2]
+    if 2 * sum(map(len, parts)) > len(value) and all(w in words for w in parts):
+        return 0
     if kind == "keyed":
-        return 1 if x[6] >= 3.0 and x[1] > 0 and x[9] < 0.5 else 0
+        return 1 if any(c.isdigit() for c in value) else None
+    if value.isdigit() or not any(c.isdigit() for c in value) and not _ASSIGNED.search(text[max(0, start - 8) : start]):
+        return 0
     return None
 
 
@@ -182,7 +211,7 @@ def corpus_model(docs: DataFrame, share: float) -> dict:
     for pair, n in counts.collect():
         pairs[pair] += n
     pairs = pairs.reshape(28, 28)
-    return {"surprise": -np.log2(pairs / pairs.sum(axis=1, keepdims=True)), "words": Dictionary(word_weights(docs), share), "paths": {}}
+    return {"surprise": -np.log2(pairs / pairs.sum(axis=1, keepdims=True)), "words": Dictionary(word_weights(docs), share)}
 
 
 def labelled_findings(docs: DataFrame, corpus: dict, path: str) -> DataFrame:
@@ -190,34 +219,42 @@ def labelled_findings(docs: DataFrame, corpus: dict, path: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(corpus)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        corpus = shared.value
         for batch in batches:
             rows = []
             for text, where in zip(batch["text"], batch["path"], strict=True):
                 for kind, start, end in candidates(text or ""):
-                    x = describe(text, kind, start, end, where, shared.value)
-                    if (y := seed_label(kind, text[start:end], x)) is not None:
-                        rows.append((y, where, x))
+                    if (y := seed_label(text, kind, start, end, corpus["words"])) is not None:
+                        rows.append((y, where, describe(text, start, end, 0.0, corpus)))
             yield pd.DataFrame(rows, columns=["y", "path", "x"])
 
     return docs.select("text", F.coalesce(path, F.lit("")).alias("path")).mapInPandas(run, "y int, path string, x array<double>")
 
 
-def train(findings: DataFrame, corpus: dict, sample: int) -> tuple[RandomForest | None, dict]:
-    """A forest from at most ``sample`` findings of each label, and the paths' log odds."""
-    rows = [r for y in (0, 1) for r in findings.where(F.col("y") == y).orderBy(F.xxhash64("x", "path"), "path").limit(sample).collect()]
+def path_odds(findings: DataFrame) -> DataFrame:
+    """path and its log odds of secrets against those of all labelled findings, shrunk by 20 of these."""
+    total = findings.agg(F.sum("y").alias("k"), F.count("*").alias("n")).first()
+    share = ((total["k"] or 0) + 1) / (total["n"] + 2)
+    n, k = F.count("*"), F.sum("y")
+    odds = F.log((k + 20 * share) / (n - k + 20 * (1 - share))) - math.log(share / (1 - share))
+    return findings.groupBy("path").agg(odds.alias("odds"))
+
+
+def train(findings: DataFrame, odds: DataFrame, sample: int) -> RandomForest | None:
+    """A forest from at most ``sample`` distinct findings of each label, each drawn by the root of its copies."""
+    distinct = findings.join(odds, "path").groupBy("y", "path", "x", "odds").agg(F.count("*").alias("copies"))
+    rows = [r for y in (0, 1) for r in distinct.where(F.col("y") == y).orderBy(F.xxhash64("x", "path"), "path").limit(sample).collect()]
     if len({r["y"] for r in rows}) < 2:
-        return None, {}
-    totals, hits = Counter(r["path"] for r in rows), Counter(r["path"] for r in rows if r["y"])
-    share = sum(hits.values()) / len(rows)
-    paths = {p: math.log((hits[p] + 20 * share) / (n - hits[p] + 20 * (1 - share))) - math.log(share / (1 - share)) for p, n in totals.items()}
+        return None
     x, y = np.array([r["x"] for r in rows]), np.array([float(r["y"]) for r in rows])
-    x[:, 19] = [paths[r["path"]] for r in rows]
+    x[:, ODDS] = [r["odds"] for r in rows]
+    weight = np.sqrt([r["copies"] for r in rows])
     bare = x[y == 1].copy()
     bare[:, CONTEXT] = 0.0
-    return RandomForest().fit(np.concatenate([x, bare]), np.concatenate([y, np.ones(len(bare))])), paths
+    return RandomForest().fit(np.concatenate([x, bare]), np.concatenate([y, np.ones(len(bare))]), np.concatenate([weight, weight[y == 1]]))
 
 
-def scan_secrets(docs: DataFrame, path: str = "source", sample: int = 5_000, share: float = 1e-4, threshold: float = 0.5, findings: DataFrame | None = None, mark: str | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, path: str = "source", sample: int = 5_000, share: float = 1e-4, threshold: float = 0.5, findings: DataFrame | None = None, mark: str | None = None, broadcast_paths: int = 200_000) -> DataFrame:
     """row (all columns of docs as a struct, so that no name can clash), candidates (their number),
     found (kind, start, end and score of each confirmed secret) and clean (the text with mark in
     place of its secrets; null without a mark or secret). findings: labelled ones (y, path, x)
@@ -226,35 +263,42 @@ def scan_secrets(docs: DataFrame, path: str = "source", sample: int = 5_000, sha
     corpus = corpus_model(docs, share)
     if findings is None:
         findings = materialize(labelled_findings(docs, corpus, path), "findings")
-    forest, corpus["paths"] = train(findings, corpus, sample)
+    odds = materialize(path_odds(findings), "paths")
+    forest = train(findings, odds, sample)
     shared = docs.sparkSession.sparkContext.broadcast((corpus, forest))
     schema = "n long, found array<struct<kind: string, start: int, end: int, score: double>>, clean string"
 
     @F.pandas_udf(schema)
-    def scan(texts: pd.Series, paths: pd.Series) -> pd.DataFrame:
+    def scan(texts: pd.Series, odds: pd.Series) -> pd.DataFrame:
         corpus, forest = shared.value
         rows, xs = [], []
-        for i, (text, where) in enumerate(zip(texts, paths, strict=True)):
+        for i, (text, where) in enumerate(zip(texts, odds, strict=True)):
             for kind, start, end in candidates(text or ""):
-                xs.append(describe(text, kind, start, end, where, corpus))
-                rows.append((i, kind, start, end, text[start:end]))
-        if forest is not None and xs:
-            scores = forest.predict(np.array(xs))
-        else:
-            scores = [float(seed_label(r[1], r[4], x) == 1) for r, x in zip(rows, xs, strict=True)]
+                xs.append(describe(text, start, end, where, corpus))
+                rows.append((i, kind, start, end))
+        scores = forest.predict(np.array(xs)) if forest is not None and xs else None
         n, found = [0] * len(texts), [[] for _ in range(len(texts))]
-        for (i, kind, start, end, _), score in zip(rows, scores, strict=True):
+        for j, (i, kind, start, end) in enumerate(rows):
             n[i] += 1
+            score = 0.0 if scores is None else float(scores[j])
+            if kind == "known" or scores is None:
+                score = max(score, float(seed_label(texts.iloc[i], kind, start, end, corpus["words"]) == 1))
             if score >= threshold:
-                found[i].append({"kind": kind, "start": start, "end": end, "score": float(score)})
+                found[i].append({"kind": kind, "start": start, "end": end, "score": score})
         clean: list[str | None] = [None] * len(texts)
         for i, spans in enumerate(found if mark is not None else []):
-            for span in reversed(spans):
-                text = texts.iloc[i] if clean[i] is None else clean[i]
-                clean[i] = text[: span["start"]] + mark + text[span["end"] :]
+            if spans:
+                text, at, parts = texts.iloc[i], 0, []
+                for span in spans:
+                    parts += [text[at : span["start"]], mark]
+                    at = span["end"]
+                clean[i] = "".join([*parts, text[at:]])
         return pd.DataFrame({"n": n, "found": found, "clean": pd.Series(clean, dtype=object)})
 
-    scanned = docs.select(F.struct(*docs.columns).alias("row"), scan("text", F.coalesce(path, F.lit(""))).alias("scan"))
+    if odds.limit(broadcast_paths + 1).count() <= broadcast_paths:
+        odds = F.broadcast(odds)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(path, F.lit("")).alias("path")).join(odds, "path", "left")
+    scanned = keyed.select("row", scan("row.text", F.coalesce("odds", F.lit(0.0))).alias("scan"))
     return scanned.select("row", F.col("scan.n").alias("candidates"), F.col("scan.found").alias("found"), F.col("scan.clean").alias("clean"))
 
 
