@@ -214,6 +214,80 @@ def test_url_rules_and_segmentation(spark):
     assert url_filter.judge_urls(df.where("false")).count() == 0
 
 
+def brute_judge(urls, blocked, plain, longest=20):
+    """Everything in plain Python; segmentations by trying all of them."""
+    hosts = [re.sub("[A-Z]", lambda m: m[0].lower(), re.split("[/?#]", (u or "").split("://", 1)[1], maxsplit=1)[0]) if "://" in (u or "") else "" for u in urls]
+    paths = [re.match("[^/?#]*([^?#]*)", u.split("://", 1)[1], re.S)[1] if "://" in (u or "") else "" for u in urls]
+    runs = [re.findall("[a-z]+", (".".join(h.split(".")[:-1]) + " " + p).lower()) for h, p in zip(hosts, paths, strict=True)]
+    on = collections.defaultdict(set)
+    for h, rs in zip(hosts, runs, strict=True):
+        for r in rs:
+            on[r].add(h)
+    counts = collections.Counter({r: len(h) - 1 for r, h in on.items() if len(h) > 1})
+    floor = max(1, sum(counts.values()) // 10_000)
+    counts.update({w: floor for w in {*blocked, *plain}})
+    total = sum(counts.values())
+    cost = lambda w: -np.log(counts[w] / (total + 1)) if w in counts else np.log(total + 1) + 2 + 2.5 * len(w)
+
+    def best(run):
+        options = []
+        for cuts in range(1 << (len(run) - 1)):
+            at = [0, *(i + 1 for i in range(len(run) - 1) if cuts >> i & 1), len(run)]
+            words = [run[a:b] for a, b in zip(at, at[1:], strict=False)]
+            options.append((sum(map(cost, words)), words))
+        return min(options)[1]
+
+    split = {r: best(r) for r in {r for rs in runs for r in rs}}
+    words = [[w for r in rs for w in split[r]] for rs in runs]
+    bad = {h for h, ws in zip(hosts, words, strict=True) if set(ws) & set(blocked)}
+    a, b = collections.Counter(), collections.Counter()
+    for h, ws in zip(hosts, words, strict=True):
+        (b if h in bad else a).update(ws)
+    size = len({*a, *b}) + 1
+    w = lambda x: np.log((b[x] + 0.5) / (b.total() + 0.5 * size)) - np.log((a[x] + 0.5) / (a.total() + 0.5 * size))
+    n_bad = sum(h in bad for h in hosts)
+    prior = np.log((n_bad + 1) / (len(hosts) - n_bad + 1))
+    return [(h, p, " ".join(ws), prior + sum(map(w, ws))) for h, p, ws in zip(hosts, paths, words, strict=True)]
+
+
+def test_url_words_and_scores_against_brute_force(spark):
+    random.seed(5)
+    word = lambda: random.choice(["cheap", "pills", "river", "house", "stone", "lamp", "xq", "fast", "oak"])
+    urls = [f"http://{random.choice(['www.', ''])}{word()}{random.choice(['', '-'])}{word()}.{random.choice(['com', 'org', 'De'])}/{word()}/{random.choice(['a1', '', word() + '.html?q=x'])}" for _ in range(60)]
+    urls += [None, "none", urls[0], "http://10.0.0.1/", "http://x"]
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)).orderBy("page_id").collect()
+    for r, (host, path, words, score) in zip(got, brute_judge(urls, url_filter.BLOCKED_WORDS, url_filter.PLAIN_WORDS), strict=True):
+        assert (r["host"], r["path"], r["words"]) == (host, path, words) and abs(r["score"] - score) < 1e-9
+        assert r["verdict"] == ("block" if score > 0 else "allow")
+
+
+def test_url_columns_and_rules_against_sql(spark, sf):
+    import duckdb
+
+    rest = "CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    fits = {h + p: f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in url_filter.RULES}
+    rule = " ".join(f"WHEN {fits[r]} THEN '{r}'" for r in sorted(fits, key=len, reverse=True))
+    sql = f"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce({rest}, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce({rest}, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM '{sf}/../sf0.01/pages.parquet')
+    SELECT *, CASE {rule} END AS rule FROM u"""
+    judged = queries.op5_url_filter(spark, f"{sf}/../sf0.01")
+    assert sorted(map(tuple, judged.select("page_id", "host", "path", "rule").collect()), key=repr) == sorted(duckdb.sql(sql).fetchall(), key=repr)
+    assert all(r["verdict"] == ("allow" if r["rule"] in ("example.net/en/", "org/fr/") else "block") for r in judged.where("rule is not null").collect())
+
+
+def test_url_held_out_seeds(spark):
+    """Hosts that carry several seeds teach the words beside them: seeds kept from training are found on other hosts."""
+    random.seed(6)
+    sellers, plain = list(url_filter.BLOCKED_WORDS), ["river", "house", "stone", "lamp", "school", "garden", "music", "paper"]
+    urls = [f"http://{''.join(random.sample(sellers, 2))}{i}.com/{random.choice(sellers)}/{i}" for i in range(400)] + [f"http://{''.join(random.sample(plain, 2))}{i}.com/{random.choice(plain)}/{i}" for i in range(400)]
+    known = [w for i, w in enumerate(sellers) if i % 3]
+    held = [w for i, w in enumerate(sellers) if i % 3 == 0 and w not in ("ads", "sex", "win", "bet")]
+    urls += [f"http://{a}-{b}.org/1" for a, b in zip(held, held[1:], strict=False)]
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=[], blocked=known).orderBy("page_id").collect()
+    recall = np.mean([r["verdict"] == "block" for r in got[800:]])
+    print(f"recall on held-out seeds {recall:.3f}")
+    assert recall >= 0.8 and np.mean([r["verdict"] == "allow" for r in got[400:800]]) >= 0.99
+
+
 # --- 6
 
 
