@@ -326,6 +326,23 @@ def test_decontamination_against_brute_force(spark, block):
     assert kept.columns == frame.columns and sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(g[0] for g in got if not g[5])
 
 
+def test_search_tables_are_small_and_built_once():
+    import tracemalloc
+
+    random.seed(7)
+    items = [(str(i), " ".join(f"w{random.randint(0, 50_000)}" for _ in range(400))) for i in range(1000)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    tables = decontamination._tables_of("one", items, 10)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 24 * size and decontamination._tables_of("one", [], 10) is tables
+    words = decontamination.words_of("x y " + items[5][1] + " z")
+    spans, found = [], set()
+    tables[0].search(words, decontamination._Hashes(), spans, found)
+    assert decontamination._merged(spans) == [2, 402] and found == {"5"}
+
+
 def test_decontamination_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "two words")], "item_id long, text string")
     rows = decontamination.contamination_report(odd, bench).collect()
