@@ -68,7 +68,7 @@ class WuManber:
         pair = hashes.copy()
         if self.block == 2:
             pair[:-1] = hashes[:-1] * np.uint64(_ODD) + hashes[1:]
-        bits = min(24, max(12, int(len(starts) * m).bit_length() + 2))
+        bits = min(26, max(12, int(len(starts) * m).bit_length() + 2))
         self.low = (1 << bits) - 1
         self.default = m - self.block + 1
         shift = np.full(1 << bits, min(self.default, 255), np.uint8)

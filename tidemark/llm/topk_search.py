@@ -1,15 +1,16 @@
 """Operator 3: exact top-k inner-product search with KD-trees per shard.
 
 A task packs the vectors that it reads into shards of a bounded size and builds a KD-tree
-for each: median splits on the widest dimension, and a tight bounding box for each node.
-Queries are packed into blocks; each block is sent to the shards of its shard groups by an
-equality join on (block, group). A task then walks the shards of one block and group with
-the kth best scores so far: nodes are visited best first by the greatest score that their
-box allows, and a node is left when that is below the kth score. The top k of all groups
-are merged by a window per query.
+for each: median splits on the widest dimension, and a tight bounding box for each node. The
+trees are written once and stay where they are: queries travel. They are packed into blocks of a
+bounded number of bytes, and each block is broadcast to the tasks that hold the trees. A task walks
+its shards with the kth best scores so far: nodes are visited best first by the greatest score
+that their box allows, and a node is left when that is below the kth score. Only the k best of
+each task and query are shuffled, and merged by a window per query.
 
-Components are floor(scale * x), products are exact: in floating point while all sums stay
-below 2 ** 53, else in 64-bit integers.
+Components are floor(scale * x), products are exact: in floating point while all sums stay below
+2 ** 53, in 64-bit integers below 2 ** 63, else in Python's whole numbers; a score beyond the
+range of a long is reported, and ranked, as the end of that range.
 
 Nulls and odd rows: vectors that are null, empty or hold null or non-finite components,
 and rows with a null id, take no part. Vectors meet only those of their own dimension. A
@@ -31,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches
+from .common import bounded_batches, materialize
 
 _EXACT = float(2**53)
+_LEAST, _MOST = -(2**63), 2**63 - 1
 
 
 class Tree:
@@ -43,9 +45,10 @@ class Tree:
         order = np.arange(len(ids))
         self.lo, self.hi, self.span, self.children = [], [], [], []
         self._build(vectors, order, 0, len(ids), leaf)
-        self.lo, self.hi = np.array(self.lo, np.float64), np.array(self.hi, np.float64)
-        most = np.abs(vectors).max()
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.int64)
+        self.lo, self.hi = np.array(self.lo), np.array(self.hi)
+        most = np.abs(vectors.astype(np.float64)).max()
+        kind = np.int16 if most < 2**15 - 1 else np.int32 if most < 2**31 - 1 else np.int64
+        self.ids, self.vectors, self.lo, self.hi = ids[order], vectors[order].astype(kind), self.lo.astype(kind), self.hi.astype(kind)
 
     def _build(self, vectors: np.ndarray, order: np.ndarray, start: int, end: int, leaf: int) -> int:
         node, rows = len(self.lo), vectors[order[start:end]]
@@ -62,11 +65,13 @@ class Tree:
 
 def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, best: list[list[tuple[int, int]]], k: int) -> None:
     """Update best[i], a heap of (score, -id) for query i, with this tree's candidates."""
-    largest = max(np.abs(tree.lo).max(), np.abs(tree.hi).max()) * np.abs(queries).max() * queries.shape[1]
-    kind = np.float64 if largest < _EXACT else np.int64
+    largest = float(np.abs(tree.vectors.astype(np.float64)).max()) * float(np.abs(queries.astype(np.float64)).max()) * queries.shape[1]
+    kind = np.float64 if largest < _EXACT else np.int64 if largest < 2.0**62 else object
     vectors, q = tree.vectors.astype(kind), queries.astype(kind)
     lo, hi = tree.lo.astype(kind), tree.hi.astype(kind)
     bounds = np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
+    clamp = (lambda x: np.clip(x, _LEAST, _MOST)) if kind is object else (lambda x: x)
+    bounds = clamp(bounds)
     for i, (own, found) in enumerate(zip(query_ids, best, strict=True)):
         row = bounds[i]
         open_nodes = [(-row[0], 0)]
@@ -80,7 +85,7 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, best: list[li
                         heapq.heappush(open_nodes, (-row[child], child))
                 continue
             start, end = tree.span[node]
-            scores = vectors[start:end] @ q[i]
+            scores = clamp(vectors[start:end] @ q[i])
             at = np.arange(end - start) if len(found) < k else np.flatnonzero(scores >= found[0][0])
             for j in at:
                 if (one := int(tree.ids[start + j])) != own:
@@ -128,42 +133,43 @@ def _shards(whole: DataFrame, size: int, leaf: int) -> DataFrame:
     return whole.mapInArrow(run, "shard long, dim int, tree binary")
 
 
-def top_k(vectors: DataFrame, is_query: str, k: int = 10, scale: int = 1024, shard_size: int = 4096, leaf: int = 128, block_size: int = 256, groups: int = 8) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: str, k: int = 10, scale: int = 1024, shard_size: int = 4096, leaf: int = 128, block_bytes: int = 32 << 20) -> DataFrame:
     """For each row that ``is_query`` selects (an SQL condition on vec_id): query_id, rank
     (from 1), vec_id and score of its k best candidates among all other rows."""
-    bounded_batches(vectors.sparkSession)
+    spark = vectors.sparkSession
+    bounded_batches(spark)
     whole = _whole(vectors, scale)
+    trees = materialize(_shards(whole, shard_size, leaf), "trees")
     queries = whole.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select(F.col("vec_id").alias("query_id"), "q.dim", "q.v")
-    blocks = -(-max(1, vectors.where(is_query).count()) // block_size)
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    blocked = queries.groupBy(block.alias("block"), "dim").agg(F.collect_list("query_id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
-    blocked = blocked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    shards = _shards(whole, shard_size, leaf).withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int"))
-    shards = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = shards.join(blocked, ["block", "group", "dim"]).select("block", "group", "dim", "shard", "tree", "ids", "vs")
-    met = met.sortWithinPartitions("block", "group", "dim", "shard")
+    queries = materialize(queries, "queries")
+    sizes = queries.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect()
+
+    found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    for dim, n in sizes:
+        blocks = -(-n * dim * 8 // block_bytes)
+        mine = trees.where(F.col("dim") == dim).select("tree")
+        for b in range(blocks):
+            part = queries.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).select("query_id", "v").toArrow()
+            if part.num_rows:
+                ids, flat = part.column(0).to_numpy(), part.column(1).combine_chunks().flatten().to_numpy()
+                found = found.unionByName(_searched(mine, ids, flat.reshape(len(ids), dim), k))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result() -> pa.RecordBatch:
-            rows = [(int(q), -e[1], e[0]) for q, found in zip(ids, best, strict=True) for e in found]
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
-        key, ids, queries, best = None, np.zeros(0), None, []
+def _searched(trees: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+    """The k best of each task's trees for one block of queries."""
+    shared = trees.sparkSession.sparkContext.broadcast((query_ids, queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = shared.value
+        best: list[list[tuple[int, int]]] = [[] for _ in ids]
         for batch in batches:
-            for r in range(batch.num_rows):
-                now = tuple(batch.column(c)[r].as_py() for c in range(3))
-                if now != key:
-                    if key is not None:
-                        yield result()
-                    key = now
-                    ids = np.array(batch.column(5)[r].as_py(), np.int64)
-                    queries = np.array(batch.column(6)[r].as_py(), np.int64).reshape(len(ids), now[2])
-                    best = [[] for _ in ids]
-                search(pickle.loads(batch.column(4)[r].as_py()), ids, queries, best, k)
-        if key is not None:
-            yield result()
-
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for tree in batch.column(0):
+                search(pickle.loads(tree.as_py()), ids, queries, best, k)
+        rows = [(int(q), -e[1], e[0]) for q, found in zip(ids, best, strict=True) for e in found]
+        for at in range(0, len(rows), 100_000):
+            cols = zip(*rows[at : at + 100_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+
+    return trees.mapInArrow(run, "query_id long, vec_id long, score long")
