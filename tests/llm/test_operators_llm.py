@@ -449,6 +449,21 @@ def test_jaccard_components_against_brute_force(spark, seed):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("rounds_until", [0, 10**9])
+def test_jaccard_hot_tokens_in_cells(spark, rounds_until):
+    """One template near the threshold, so that its tokens are hot, among other documents."""
+    random.seed(5)
+    base = [f"w{random.randint(0, 900)}" for _ in range(120)]
+    rows = near_copies(6, 40)
+    for i in range(120):
+        w = list(base)
+        for _ in range(random.randint(0, 3)):
+            w[random.randrange(len(w))] = f"w{random.randint(0, 900)}"
+        rows.append((1000 + i, " ".join(w)))
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(doc_frame(spark, rows).repartition(3), split=16, rounds_until=rounds_until).collect())
+    assert got == brute_components(rows)
+
+
 def test_jaccard_large_sets_need_more_shared_tokens(spark):
     random.seed(9)
     base = [f"v{random.randint(0, 5000)}" for _ in range(2500)]

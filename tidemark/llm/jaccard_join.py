@@ -12,10 +12,14 @@ Jaccard similarity reaches a threshold (per cent, compared in whole numbers).
 4. Groups are expanded to their members, and a filter that can lose no link (sizes,
    the Hamming distance of 256-bit parity sketches, and for large sets the number of shared
    tokens in longer prefixes) thins the pairs.
-5. Members are verified with their full sets, in two rounds. In the first each member meets
-   only its most promising partner. What that links falls into components, and the second
-   round verifies every candidate pair that still lies across two components. So thousands
+5. Members are verified with their full sets, in rounds. In a round each member meets only its
+   most promising partner and the most promising hub (a token's most copied member) of another
+   component; what that links falls into components. Rounds go on while they link much; the
+   last one verifies every candidate pair that still lies across two components. So thousands
    of near copies do not meet all against all, and no link between components is lost.
+6. The members of a token that more than ``_SPLIT`` members share are dealt to cells by hashes of
+   their ids: in a round a cell holds some of them and the token's hub, and for the last round the
+   members outside the token's biggest component meet all of them cell by cell. A cell is bounded.
 
 Nulls and odd rows: null and empty texts have no shingles and link with nothing; repeated
 rows are one class; rows with a null doc_id link with nothing unless their class has an id;
@@ -41,6 +45,7 @@ SKETCH_BITS = 18
 _CHUNKS = 64
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _HUBS, _NEIGHBOURS = 16, 4
+_SPLIT, _PARTNERS = 4096, 8
 _CACHE = 150_000
 
 
@@ -167,14 +172,18 @@ def shingle_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SETS)
 
 
+def _edges(token: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Where a new cell begins."""
+    return np.flatnonzero((token[1:] != token[:-1]) | (slot[1:] != slot[:-1])) + 1
+
+
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole token groups from batches sorted by token."""
+    """Tables of whole cells (token, slot) from batches sorted by these."""
     held: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         held = pa.concat_tables([held, table]) if held is not None else table
-        token = held.column("token").to_numpy()
-        cut = np.flatnonzero(token[1:] != token[:-1]) + 1
+        cut = _edges(held.column("token").to_numpy(), held.column("slot").to_numpy())
         if len(cut):
             yield held.slice(0, cut[-1])
             held = held.slice(cut[-1]).combine_chunks()
@@ -191,70 +200,138 @@ def _distance(g: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray
     return np.where(fits, d, -1)
 
 
-_PAIRS = "a long, b long, d long, n long, w long"
+_PAIRS = "a long, b long, d long, n long, w long, hub boolean"
+_COLUMNS = ["token", "slot", "w", "n", "id", "copies", "comp", "main", "role", "sketch"]
+
+
+def _hot_tokens(members: DataFrame, split: int) -> DataFrame:
+    """token and rows of the tokens that more than ``split`` members share."""
+    return materialize(members.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > split), "hot")
+
+
+def _small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _dealt(members: DataFrame, hot: DataFrame, every: bool, split: int) -> DataFrame:
+    """members with their cell (token, slot), the token's biggest component (main; -1 if it is not
+    hot) and their role: 1 for those that meet the others in a cell of a hot token, else 0."""
+    slots = F.ceil(F.col("rows") / split).cast("int")
+    slot = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    none = F.lit(-1).cast("long")
+    cold = members.join(_small(hot.select("token")), "token", "left_anti").select("*", F.lit(0).alias("slot"), none.alias("main"), F.lit(0).alias("role"))
+    if hot.isEmpty():
+        return cold.select(*_COLUMNS)
+    many = members.join(_small(hot), "token")
+    if not every:
+        own = many.select("*", slot(slots, 0).alias("slot"))
+        row = F.struct("w", "n", "id", "copies", "comp", "sketch")
+        hubs = many.groupBy("token").agg(F.max_by(row, F.struct("copies", -F.col("id"))).alias("hub"), F.max("rows").alias("rows")).select("token", "hub.*", each(slots).alias("slot"))
+        dealt = own.drop("rows").unionByName(hubs).select("*", none.alias("main"), F.lit(0).alias("role"))
+    else:
+        comps = many.groupBy("token", "comp").agg(F.count("*").alias("n"))
+        main = comps.groupBy("token").agg(F.sum("n").alias("rows"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main")).where("most < rows")
+        main = materialize(main.select("token", "rows", "main", F.ceil((F.col("rows") - F.col("most")) / split).cast("int").alias("parts")), "mains")
+        mixed = members.join(_small(main), "token")
+        built = mixed.select("*", slot(slots, 0).alias("s"), each(F.col("parts")).alias("p"), F.lit(0).alias("role"))
+        probes = mixed.where("comp <> main").select("*", each(slots).alias("s"), slot(F.col("parts"), 1).alias("p"), F.lit(1).alias("role"))
+        dealt = built.unionByName(probes).withColumn("slot", F.col("s") * F.col("parts") + F.col("p"))
+    return cold.select(*_COLUMNS).unionByName(dealt.select(*_COLUMNS))
 
 
-def _pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
+def _pairs(members: DataFrame, hot: DataFrame, percent: int, every: bool, split: int, partners: int = 1) -> DataFrame:
     """Candidate pairs (a, b) within the tokens of members(token, w, n, id, copies, comp, sketch);
     a shared token counts w.
-    every: all pairs across components; else each member's most promising partner, that with
-    which it shares most tokens among its neighbours by size and the groups' most copied."""
+    every: all pairs across components; else each member's most promising partners (the closest by
+    sketch among its neighbours by size and its cells' most copied) and its most promising hub,
+    among the most copied of all its cells."""
 
     def promising(g: dict, edges: np.ndarray) -> Iterator[tuple]:
         rows = np.arange(len(g["id"]))
-        best, partner = np.full(len(rows), 1 << 40), np.full(len(rows), -1)
-
-        def meet(i: np.ndarray, j: np.ndarray) -> None:
-            d = _distance(g, i, j, percent)
-            better = (d >= 0) & (d < best[i])
-            best[i[better]], partner[i[better]] = d[better], j[better]
-
-        for k in range(1, _NEIGHBOURS + 1):
-            i = rows[k:][g["token"][k:] == g["token"][:-k]]
-            meet(i, i - k)
-        for at in np.flatnonzero(np.diff(edges) > _NEIGHBOURS + 1):
-            own = rows[edges[at] : edges[at + 1]]
-            for hub in own[np.lexsort((g["id"][own], -g["copies"][own]))[:_HUBS]]:
-                meet(own, np.full(len(own), hub))
-        i = np.flatnonzero(partner >= 0)
-        yield partner[i], i, best[i]
+        size = np.diff(edges)
+        cell, first = np.repeat(np.arange(len(size)), size), np.repeat(edges[:-1], size)
+        order = np.lexsort((g["id"], -g["copies"], cell))
+        others = [rows - k for k in range(1, _NEIGHBOURS + 1)] + [rows + k for k in range(1, _NEIGHBOURS + 1)]
+        others += [order[np.minimum(first + k, len(rows) - 1)] for k in range(_HUBS if partners == 1 else 4 * _HUBS) if (size > k).any()]
+        found = np.full((partners, len(rows)), 1 << 40)
+        at = np.full((partners, len(rows)), -1)
+        for k, j in enumerate(others):
+            i = rows[(j >= 0) & (j < len(rows))]
+            i = i[cell[j[i]] == cell[i]]
+            d = _distance(g, i, j[i], percent)
+            i, d = i[d >= 0], d[d >= 0]
+            if k == 2 * _NEIGHBOURS:
+                yield j[i], i, d, True
+            now_d, now_j = d, j[i]
+            for slot in range(partners):  # the closest stay, each pushing the next one down
+                better = now_d < found[slot, i]
+                old_d, old_j = found[slot, i], at[slot, i]
+                found[slot, i], at[slot, i] = np.where(better, now_d, old_d), np.where(better, now_j, old_j)
+                now_d, now_j = np.where(better, old_d, now_d), np.where(better, old_j, now_j)
+        for slot in range(partners):
+            i = rows[at[slot] >= 0]
+            yield at[slot, i], i, found[slot, i], False
 
     def across(g: dict, edges: np.ndarray) -> Iterator[tuple]:
         starts = edges[:-1]
-        mixed = np.minimum.reduceat(g["comp"], starts) != np.maximum.reduceat(g["comp"], starts)
         size = np.diff(edges)
-        small = np.repeat(mixed & (size <= _NEIGHBOURS + 1), size)
+        mixed = (np.minimum.reduceat(g["comp"], starts) != np.maximum.reduceat(g["comp"], starts)) | (g["main"][starts] >= 0)
+        few = mixed & (size <= _NEIGHBOURS + 1) & (g["main"][starts] < 0)
+        cell, small = np.repeat(np.arange(len(size)), size), np.repeat(few, size)
         rows = np.arange(len(g["id"]))
         for k in range(1, _NEIGHBOURS + 1):
-            i = rows[k:][(g["token"][k:] == g["token"][:-k]) & small[k:]]
+            i = rows[k:][(cell[k:] == cell[:-k]) & small[k:]]
             d = _distance(g, i, i - k, percent)
-            yield i[d >= 0] - k, i[d >= 0], d[d >= 0]
-        for at in np.flatnonzero(mixed & (size > _NEIGHBOURS + 1)):
-            own = rows[edges[at] : edges[at + 1]]
-            comps, counts = np.unique(g["comp"][own], return_counts=True)
-            outside = g["comp"][own] != comps[np.argmax(counts)]
-            for i in own[outside]:
-                others = own[~outside | (own > i)]
+            yield i[d >= 0] - k, i[d >= 0], d[d >= 0], False
+        for c in np.flatnonzero(mixed & ~few):
+            own = rows[edges[c] : edges[c + 1]]
+            own = own[np.argsort(g["n"][own], kind="stable")]
+            main = g["main"][own[0]]
+            if main < 0:
+                comps, counts = np.unique(g["comp"][own], return_counts=True)
+                outside = g["comp"][own] != comps[np.argmax(counts)]
+                probes, built, built_outside = own[outside], own, outside
+            else:
+                probes, built = own[g["role"][own] == 1], own[g["role"][own] == 0]
+                built_outside = g["comp"][built] != main
+            n, ids = g["n"][built], g["id"][built]
+            low, high = np.searchsorted(n, -(-g["n"][probes] * percent // 100)), np.searchsorted(n, g["n"][probes] * 100 // percent, side="right")
+            for i, a, b in zip(probes, low, high, strict=True):
+                # two members outside meet once, from the smaller id
+                others = built[a:b][~built_outside[a:b] | (ids[a:b] > g["id"][i])]
                 d = _distance(g, np.full(len(others), i), others, percent)
-                yield np.full((d >= 0).sum(), i), others[d >= 0], d[d >= 0]
+                yield np.full((d >= 0).sum(), i), others[d >= 0], d[d >= 0], False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
-            g = {c: table.column(c).to_numpy() for c in ("token", "w", "n", "id", "copies", "comp")}
+            g = {c: table.column(c).to_numpy() for c in _COLUMNS[:-1]}
             g["sketch"] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, 4)
-            edges = np.concatenate([[0], np.flatnonzero(g["token"][1:] != g["token"][:-1]) + 1, [table.num_rows]])
-            for i, j, d in (across if every else promising)(g, edges):
+            edges = np.concatenate([[0], _edges(g["token"], g["slot"]), [table.num_rows]])
+            held, rows = [], 0
+            for i, j, d, hub in (across if every else promising)(g, edges):
                 a, b = g["id"][i], g["id"][j]
                 if every:
                     a, b = np.minimum(a, b), np.maximum(a, b)
-                n = np.minimum(g["n"][i], g["n"][j])
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, d, n, g["w"][i])], names=["a", "b", "d", "n", "w"])
-
-    pairs = members.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(run, _PAIRS)
-    pairs = pairs.groupBy("a", "b").agg(F.sum("w").alias("tokens"), F.min("d").alias("d"), F.min("n").alias("n"))
+                held.append((a, b, d, np.minimum(g["n"][i], g["n"][j]), g["w"][i], np.full(len(a), hub)))
+                rows += len(a)
+                if rows >= 10_000:
+                    yield batch_of(held)
+                    held, rows = [], 0
+            if rows:
+                yield batch_of(held)
+
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:-1]] + [pa.array(cols[-1], pa.bool_())], names=["a", "b", "d", "n", "w", "hub"])
+
+    pairs = _dealt(members, hot, every, split).repartition("token", "slot").sortWithinPartitions("token", "slot", "n", "id").mapInArrow(run, _PAIRS)
+    pairs = pairs.groupBy("a", "b", "hub").agg(F.sum("w").alias("tokens"), F.min("d").alias("d"), F.min("n").alias("n"))
     if every:
         return pairs.where("tokens >= if(n <= 1000, 1, n div 50)").select("a", "b")
-    return pairs.groupBy("b").agg(F.min(F.struct((-F.col("tokens")).alias("t"), "d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    one = F.struct((-F.col("tokens")).alias("t"), "d", "a") if partners == 1 else F.struct("d", (-F.col("tokens")).alias("t"), "a")
+    best = pairs.groupBy("b", "hub").agg(F.slice(F.array_sort(F.collect_list(one)), 1, F.when(F.col("hub"), 1).otherwise(partners)).alias("m"))
+    return best.select(F.explode("m.a").alias("a"), "b").distinct()
 
 
 def filter_by_ids(docs: DataFrame, ids: DataFrame, how: str, broadcast_ids: int = 500_000) -> DataFrame:
@@ -299,8 +376,17 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int, per_hub:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """A row per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
+def _work_left(labelled: DataFrame) -> int:
+    """How many meetings of members the last round would have at most: within each token, of those
+    outside its biggest component with all."""
+    comps = labelled.groupBy("token", "comp").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("rows"), F.max("n").alias("most"))
+    return comps.where("rows > most").agg(F.coalesce(F.sum((F.col("rows") - F.col("most")) * F.col("rows").cast("double")), F.lit(0.0))).first()[0]
+
+
+def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, split: int = _SPLIT, rounds_until: int = 16) -> DataFrame:
+    """A row per row of docs (doc_id, text): doc_id, n_shingles, component_id. More rounds of promising
+    pairs are made while the last round would have more than ``rounds_until`` meetings a member and
+    they become fewer; no parameter but size and percent changes the result."""
     bounded_batches(docs.sparkSession)
     sets = materialize(shingle_sets(docs, size, percent), "sets")
     classes = (
@@ -319,11 +405,20 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     members = tokens.select("gid", "token", F.lit(1).cast("long").alias("w")).unionByName(within).join(usable.select("gid", "id", "n", "copies", "sketch"), "gid").drop("gid")
     members = materialize(members, "members")
 
-    first = materialize(verify(docs, _pairs(members.withColumn("comp", F.col("id")), percent, False), size, percent), "links")
-    comps = components(first)
-    labelled = members.join(comps.select(F.col("node").alias("id"), F.col("comp").alias("c")), "id", "left").withColumn("comp", F.coalesce("c", "id")).drop("c")
-    second = verify(docs, _pairs(labelled, percent, True), size, percent)
-    comps = components(first.unionByName(second))
+    hot, n_members = _hot_tokens(members, split), members.count()
+    links = materialize(verify(docs, _pairs(members.withColumn("comp", F.col("id")), hot, percent, False, split), size, percent), "links")
+    left = float("inf")
+    while True:
+        comps = components(links)
+        labelled = members.join(comps.select(F.col("node").alias("id"), F.col("comp").alias("c")), "id", "left").withColumn("comp", F.coalesce("c", "id")).drop("c")
+        labelled = materialize(labelled, "labelled")
+        before, left = left, _work_left(labelled)
+        if left <= rounds_until * n_members or left > 0.8 * before:
+            break
+        more = verify(docs, _pairs(labelled, hot, percent, False, split, _PARTNERS), size, percent)
+        links = materialize(links.unionByName(more).distinct(), "links")
+    second = verify(docs, _pairs(labelled, hot, percent, True, split), size, percent)
+    comps = components(links.unionByName(second))
 
     labels = classes.join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").select("f1", "f2", F.coalesce("comp", "id").alias("component"))
     return sets.join(labels, ["f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
