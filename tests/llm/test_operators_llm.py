@@ -58,6 +58,21 @@ def test_preference_prefix_masks_and_odd_rows(spark):
     assert chat_format.preference_pairs(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_swapped_answers_share_their_prefix(spark, sf):
+    schema = "conv_id long, turn long, role string, text string, side string"
+    t = [(0, 0, "user", "q", "x"), (0, 1, "assistant", "a0", "x"), (0, 2, "user", "more", "x"), (0, 3, "assistant", "b0", "x"), (1, 0, "user", "Q", "x"), (1, 1, "assistant", "b1", "x"), (1, 1, "assistant", "b1", "x"), (2, 0, "assistant", "alone", "x"), (3, 0, "user", "no answer", "x"), (4, None, None, None, "x"), (None, 0, "user", "q", "x")]
+    got = {r["pair_id"]: r for r in chat_format.preference_pairs(chat_format.swapped_answers(spark.createDataFrame(t, schema))).collect()}
+    assert {i: r["prompt_turns"] for i, r in got.items()} == {0: 3, 1: 1, 2: 0, 3: 1, 4: 1}
+    assert got[0]["chosen"] == "<|assistant|>\nb0<|end|>\n" and got[0]["rejected"] == "<|assistant|>\nb1<|end|>\n"
+    assert got[1]["rejected"] == 2 * "<|assistant|>\nb0<|end|>\n" and got[2]["rejected"] == "<|assistant|>\n<|end|>\n" and got[3]["chosen"] == ""
+    pairs = queries.op1_chat_format(spark, f"{sf}/../sf0.01")
+    n, shared = pairs.agg(F.count("*"), F.count_if(F.col("prompt_turns") > 0)).first()
+    assert n == spark.read.parquet(f"{sf}/../sf0.01/conversations.parquet").select("conv_id").distinct().count() and shared == n
+    long = [(1, s, 0, "user", "word " * 300_000) for s in ("chosen", "rejected")] + [(1, "chosen", 1, "a|>b", "x")]
+    r = chat_format.preference_pairs(spark.createDataFrame(long, "pair_id long, side string, turn long, role string, text string")).first()
+    assert r["prompt_turns"] == 1 and len(r["prompt"]) > 1_500_000 and r["chosen"] == "<|a| >b|>\nx<|end|>\n"
+
+
 def test_preference_plan_is_native(spark, sf):
     plan = queries.op1_chat_format(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -202,6 +217,22 @@ def test_pii_report(spark, odd, none):
     assert pii.pii_report(none).count() == 0
 
 
+def test_many_spans_in_one_text_take_linear_time():
+    import time
+
+    text = "".join(f"call +1 (212) 555-{i % 10_000:04d} or 212-555-{i % 10_000:04d}, " for i in range(100_000))
+    began = time.perf_counter()
+    base = pii.base_spans(text)
+    loose = pii.loose_spans(text, base)
+    assert len(base) == 100_000 and len(loose) == 100_000 and time.perf_counter() - began < 10
+    random.seed(4)
+    for _ in range(3000):
+        t = "".join(random.choice(["212-555-0100", "+1 212 555 0100", " 10.0.0.1", " ", "4111 1111 1111 1111", "a@b.de", "x (at) y (dot) com", "5", "-"]) for _ in range(random.randint(1, 6)))
+        base, kept = pii.base_spans(t), pii.loose_spans(t, pii.base_spans(t))
+        for k, (_, s, e) in enumerate(kept):
+            assert all(b <= s or a >= e for _, a, b in base) and (k == 0 or kept[k - 1][2] <= s)
+
+
 def test_reliabilities_prefer_the_better_labeler():
     p, rates = pii.reliabilities({"++0+": 900, "+-0+": 30, "-+0-": 20, "--0-": 400})
     assert p["++0+"] > 0.9 and p["--0-"] < 0.1
@@ -514,6 +545,47 @@ def test_quality_held_out_and_shrinking(spark, sf, odd, none):
     assert all(r["keep"] for r in quality.quality_report(odd, labels.where("false")).collect())
 
 
+def test_site_posteriors_by_hand(spark):
+    """Two levels of shrinkage, computed in plain Python from the same rows."""
+    random.seed(13)
+    rows = [(i, "t", random.choice(["en", "de", "fr", None]), random.choice(["a", "b", "c", "d", None]), 1, *EXTRA) for i in range(300)]
+    labels = [(r[0], int(random.random() < {"a": 0.9, "b": 0.2}.get(r[3], 0.6)), 0) for r in rows if r[0] % 3] + [(None, 1, 0), (7, None, 0)]
+    n, k = collections.Counter(), collections.Counter()
+    site = {r[0]: (r[3] or "", r[2] or "") for r in rows}
+    for d, q, _ in labels:
+        if d is not None and q is not None:
+            n[site[d]] += 1
+            k[site[d]] += q
+    rate = (k.total() + 1) / (n.total() + 2)
+
+    def strength(groups):
+        m, tot, square = len(groups), sum(g[0] for g in groups), sum(g[0] ** 2 for g in groups)
+        chance = sum(c * r * (1 - r) for c, _, r in groups) / tot
+        spread = (sum(c * (x / c - r) ** 2 for c, x, r in groups) - (m - 1) * chance) / (tot - square / tot)
+        return min(max(chance / spread - 1, 1.0), 1e4) if spread > 0 else 1e4
+
+    hn, hk = collections.Counter(), collections.Counter()
+    for (h, _), c in n.items():
+        hn[h] += c
+    for (h, _), c in k.items():
+        hk[h] += c
+    s = strength([(hn[h], hk[h], rate) for h in hn])
+    host = {h: (hk[h] + rate * s) / (hn[h] + s) for h in hn}
+    s = strength([(n[x], k[x], host[x[0]]) for x in n])
+    want = {x: (host[x[0]], (k[x] + host[x[0]] * s) / (n[x] + s)) for x in n}
+    frame = spark.createDataFrame(rows, DOC)
+    found, overall = quality.site_posteriors(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "source", "lang")
+    got = {(r["host"], r["path"]): (r["host_rate"], r["site_rate"]) for r in found.collect()}
+    assert abs(overall - rate) < 1e-12 and got.keys() == want.keys()
+    assert all(np.allclose(got[x], want[x], rtol=1e-9) for x in want)
+    for r in quality.quality_report(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect():
+        h, p = site[r["doc_id"]]
+        prior = want.get((h, p), (0, host.get(h, rate)))[1] if (h, p) in want else None
+        if prior is not None:
+            odds = r["evidence"] + np.log(prior / (1 - prior))
+            assert np.isclose(r["site_rate"], prior) and np.isclose(r["quality"], 1 / (1 + np.exp(-odds))) and r["keep"] == (r["quality"] >= 0.5)
+
+
 def test_sparse_sites_stay_near_the_prior(spark):
     rows = [(i, "t", "en", "big" if i < 400 else "small", 1, *EXTRA) for i in range(402)] + [(1000 + i, "t", "en", f"m{i % 20}", 1, *EXTRA) for i in range(400)]
     labels = [(r[0], 1 if r[0] >= 1000 and int(r[3][1:]) % 2 else int(r[0] % 4 > 0 and r[0] >= 400), 0) for r in rows]

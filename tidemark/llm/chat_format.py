@@ -11,7 +11,7 @@ of turn (null first), role, text, so repeated rows stand beside each other and a
 rows without a pair or side are left out; a pair with one side only has an empty prompt
 and an empty completion for the missing side; identical conversations have empty
 completions; extra columns are ignored; an empty table gives no rows. Marks inside a text
-are broken up (``<|`` becomes ``< |``) so that they cannot pass for turns.
+are broken up (``<|`` becomes ``< |``) so that they cannot pass for turns, in a role also ``|>``.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def preference_pairs(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)
     """turns: pair_id, side (chosen or rejected), turn, role, text. A row per pair: pair_id,
     prompt_turns, prompt, chosen, rejected (completions), chosen_mask, rejected_mask."""
     clean = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
-    turn = F.struct("turn", clean(F.coalesce("role", F.lit("unknown"))).alias("role"), clean(F.coalesce("text", F.lit(""))).alias("text"))
+    turn = F.struct("turn", F.replace(clean(F.coalesce("role", F.lit("unknown"))), F.lit("|>"), F.lit("| >")).alias("role"), clean(F.coalesce("text", F.lit(""))).alias("text"))
     side = lambda name: F.sort_array(F.collect_list(F.when(F.col("side") == name, turn))).alias(name)
     both = turns.where("pair_id is not null and side in ('chosen', 'rejected')").groupBy("pair_id").agg(side("chosen"), side("rejected"))
     same = F.zip_with("chosen", "rejected", lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False)))
@@ -63,6 +63,21 @@ def preference_pairs(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)
     )
 
 
+def swapped_answers(turns: DataFrame, answers: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """turns: conv_id, turn, role, text. Rows for preference_pairs, a pair for each conversation: the
+    conversation itself, and as the rejected side the same with its last answer (the greatest
+    turn, then text; rows equal to it as well) replaced by the last answer of the conversation that
+    differs in the last bit of the id; by an empty text if that has none."""
+    rows = turns.where("conv_id is not null").select("conv_id", "turn", "role", "text")
+    order = F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
+    last = rows.where(F.col("role").isin(*answers)).groupBy("conv_id").agg(F.max(order).alias("own"))
+    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("own.text").alias("other"))
+    joined = rows.withColumn("this", order).join(last, "conv_id", "left").join(other, "conv_id", "left")
+    is_last = F.coalesce(F.col("role").isin(*answers) & (F.col("this") == F.col("own")), F.lit(False))
+    sides = F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("text")), F.struct(F.lit("rejected").alias("side"), F.when(is_last, F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text")))
+    return joined.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.explode(sides).alias("s")).select("pair_id", "s.side", "turn", "role", "s.text")
+
+
 def mask_string(mask: str) -> Column:
     """A mask as text: lengths, with a plus before those that count in training."""
     return F.array_join(F.transform(F.col(mask), lambda m: F.concat(F.when(m["train"], "+").otherwise(""), m["length"].cast("string"))), ",")

@@ -17,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and only where
-    that is unset (tests on one machine) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, and only where that is unset
+    and everything runs on one machine (tests) a folder of our own. A cluster must name one."""
     global _OWN_DIR
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _OWN_DIR is None:
         _OWN_DIR = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
     return _OWN_DIR

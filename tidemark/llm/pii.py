@@ -113,10 +113,17 @@ def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and not (len(d) >= 16 and luhn(d)):
             found.append(("card", *m.span()))
-    taken = sorted((s, e) for _, s, e in base)
-    kept = []
+    taken: list[tuple[int, int]] = []
+    for _, start, end in sorted(base, key=lambda b: b[1]):
+        if taken and start < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(end, taken[-1][1]))
+        else:
+            taken.append((start, end))
+    kept, at = [], 0
     for one in sorted(found, key=lambda f: (f[1], -f[2])):
-        if all(e <= one[1] or s >= one[2] for s, e in taken) and not (kept and one[1] < kept[-1][2]):
+        while at < len(taken) and taken[at][1] <= one[1]:
+            at += 1
+        if not (at < len(taken) and taken[at][0] < one[2]) and not (kept and one[1] < kept[-1][2]):
             kept.append(one)
     return kept
 

@@ -18,15 +18,18 @@ def _vocabulary(name: str) -> str:
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
-    turns = table(spark, sf_dir, "conversations").where("conv_id is not null").select(
-        F.expr("conv_id div 2").alias("pair_id"), F.when(F.expr("pmod(conv_id, 2) = 0"), "chosen").otherwise("rejected").alias("side"), "turn", "role", "text"
-    )
+    """Each conversation, and the same with its last answer taken from another one."""
+    turns = chat_format.swapped_answers(table(spark, sf_dir, "conversations"))
     pairs = chat_format.preference_pairs(turns)
     return pairs.select("pair_id", "prompt_turns", "prompt", "chosen", "rejected", chat_format.mask_string("chosen_mask").alias("chosen_mask"), chat_format.mask_string("rejected_mask").alias("rejected_mask"))
 
 
-_OP1_SQL = """WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS body, turn FROM conversations WHERE conv_id IS NOT NULL),
+_OP1_SQL = """WITH c AS (SELECT conv_id, turn, role, text, coalesce(turn, -9223372036854775808) AS k, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, k, x FROM c WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC, x DESC) = 1),
+u AS (SELECT c.conv_id AS pair_id, 0 AS side, c.turn, c.role, c.text FROM c
+  UNION ALL SELECT c.conv_id, 1, c.turn, c.role, CASE WHEN c.role = 'assistant' AND c.k = l.k AND c.x = l.x THEN coalesce(o.x, '') ELSE c.text END
+  FROM c LEFT JOIN l ON l.conv_id = c.conv_id LEFT JOIN l o ON o.conv_id = xor(c.conv_id, 1)),
+t AS (SELECT pair_id, side, replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >') AS role, replace(coalesce(text, ''), '<|', '< |') AS body, turn FROM u),
 r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, body) AS pos FROM t),
 f AS (SELECT *, '<|' || role || '|>' || chr(10) AS head, body || '<|end|>' || chr(10) AS tail FROM r),
 d AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(min(coalesce(a.pos, b.pos)) FILTER (WHERE NOT coalesce(a.role = b.role AND a.body = b.body, false)), max(coalesce(a.pos, b.pos)) + 1) - 1 AS prompt_turns
