@@ -1,4 +1,12 @@
-"""The corpus pipeline: quality classifier, near-duplicate join, decontamination, secret scan, packing."""
+"""The corpus pipeline: quality classifier, near-duplicate join, decontamination, secret scan, packing.
+
+Near duplicates are documents whose sets of five-word shingles have a similarity of 0.8 or more.
+
+Nulls and odd rows: a null or empty text is judged by the classifier like any other and, if kept, links
+with nothing, holds no passage and no secret, and is packed as its separator alone; a row with a
+null doc_id is kept by the join; equal rows with one doc_id stay once; extra columns are
+carried through to packing, whatever their names; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +23,7 @@ def _keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.deduplicate(docs)
+    return jaccard_join.deduplicate(docs, size=5, percent=80)
 
 
 def _redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
