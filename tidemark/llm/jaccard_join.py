@@ -12,11 +12,12 @@ Jaccard similarity reaches a threshold (per cent, compared in whole numbers).
 4. Groups are expanded to their members, and a filter that can lose no link (sizes,
    the Hamming distance of 256-bit parity sketches, and for large sets the number of shared
    tokens in longer prefixes) thins the pairs.
-5. Members are verified with their full sets, in rounds. In a round each member meets only its
-   most promising partner and the most promising hub (a token's most copied member) of another
-   component; what that links falls into components. Rounds go on while they link much; the
-   last one verifies every candidate pair that still lies across two components. So thousands
-   of near copies do not meet all against all, and no link between components is lost.
+5. Members are verified with their full sets, in rounds. In the first each member meets only its
+   most promising partner; what that links falls into components. Where many candidate pairs still
+   lie across components, further rounds let each member meet its most promising partners and
+   hub (a token's most copied member) of other components. The last round verifies every
+   candidate pair that still lies across two components. So thousands of near copies do not
+   meet all against all, and no link between components is lost.
 6. The members of a token that more than ``_SPLIT`` members share are dealt to cells by hashes of
    their ids: in a round a cell holds some of them and the token's hub, and for the last round the
    members outside the token's biggest component meet all of them cell by cell. A cell is bounded.
@@ -261,7 +262,7 @@ def _pairs(members: DataFrame, hot: DataFrame, percent: int, every: bool, split:
             i = i[cell[j[i]] == cell[i]]
             d = _distance(g, i, j[i], percent)
             i, d = i[d >= 0], d[d >= 0]
-            if k == 2 * _NEIGHBOURS:
+            if k == 2 * _NEIGHBOURS and partners > 1:
                 yield j[i], i, d, True
             now_d, now_j = d, j[i]
             for slot in range(partners):  # the closest stay, each pushing the next one down
@@ -383,10 +384,10 @@ def _work_left(labelled: DataFrame) -> int:
     return comps.where("rows > most").agg(F.coalesce(F.sum((F.col("rows") - F.col("most")) * F.col("rows").cast("double")), F.lit(0.0))).first()[0]
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, split: int = _SPLIT, rounds_until: int = 16) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, split: int = _SPLIT, rounds_until: int = 4) -> DataFrame:
     """A row per row of docs (doc_id, text): doc_id, n_shingles, component_id. More rounds of promising
-    pairs are made while the last round would have more than ``rounds_until`` meetings a member and
-    they become fewer; no parameter but size and percent changes the result."""
+    pairs are made while the last round would have more than ``rounds_until`` pairs a document and
+    its meetings become fewer; no parameter but size and percent changes the result."""
     bounded_batches(docs.sparkSession)
     sets = materialize(shingle_sets(docs, size, percent), "sets")
     classes = (
@@ -405,7 +406,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, split:
     members = tokens.select("gid", "token", F.lit(1).cast("long").alias("w")).unionByName(within).join(usable.select("gid", "id", "n", "copies", "sketch"), "gid").drop("gid")
     members = materialize(members, "members")
 
-    hot, n_members = _hot_tokens(members, split), members.count()
+    hot, n_members, n_ids = _hot_tokens(members, split), members.count(), members.select("id").distinct().count()
     links = materialize(verify(docs, _pairs(members.withColumn("comp", F.col("id")), hot, percent, False, split), size, percent), "links")
     left = float("inf")
     while True:
@@ -413,11 +414,13 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, split:
         labelled = members.join(comps.select(F.col("node").alias("id"), F.col("comp").alias("c")), "id", "left").withColumn("comp", F.coalesce("c", "id")).drop("c")
         labelled = materialize(labelled, "labelled")
         before, left = left, _work_left(labelled)
-        if left <= rounds_until * n_members or left > 0.8 * before:
-            break
+        if left <= 64 * rounds_until * n_members or left > 0.8 * before:
+            last = materialize(_pairs(labelled, hot, percent, True, split), "last")
+            if left > 0.8 * before or last.limit(rounds_until * n_ids + 1).count() <= rounds_until * n_ids:
+                break
         more = verify(docs, _pairs(labelled, hot, percent, False, split, _PARTNERS), size, percent)
         links = materialize(links.unionByName(more).distinct(), "links")
-    second = verify(docs, _pairs(labelled, hot, percent, True, split), size, percent)
+    second = verify(docs, last, size, percent)
     comps = components(links.unionByName(second))
 
     labels = classes.join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").select("f1", "f2", F.coalesce("comp", "id").alias("component"))
