@@ -416,7 +416,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, split:
         before, left = left, _work_left(labelled)
         if left <= 64 * rounds_until * n_members or left > 0.8 * before:
             last = materialize(_pairs(labelled, hot, percent, True, split), "last")
-            if left > 0.8 * before or last.limit(rounds_until * n_ids + 1).count() <= rounds_until * n_ids:
+            few = min(rounds_until * n_ids, 2**31 - 2)
+            if left > 0.8 * before or last.limit(few + 1).count() <= few:
                 break
         more = verify(docs, _pairs(labelled, hot, percent, False, split, _PARTNERS), size, percent)
         links = materialize(links.unionByName(more).distinct(), "links")
