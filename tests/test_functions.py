@@ -68,11 +68,47 @@ def test_geo_and_classes(spark):
     assert one(spark, geo.in_bbox(lit(0.0), lit(179.0), -1, 170, 1, -170), geo.in_bbox(lit(None).cast("double"), lit(0.0), -1, -1, 1, 1)) == (True, False)
     assert tuple(one(spark, geo.wkt_point(lit("Point(3.5 -4)")))[0]) == (-4.0, 3.5)
     assert tuple(one(spark, geo.map_url_point(lit("https://m/@10.5,20.25,5z")))[0]) == (20.25, 10.5)
-    assert one(spark, classify.severity(lit(" Severe ")), classify.severity(lit("odd")), classify.severity_rank(lit("major"))) == ("critical", "unknown", 3)
+    assert one(spark, classify.severity(lit(" Severe ")), classify.severity(lit("odd")), classify.severity_rank(lit("elevated"))) == ("critical", "unknown", 3)
     assert one(spark, classify.category(lit("a.b")), classify.category(lit(None).cast("string"))) == ("a", "other")
     got = one(spark, classify.theme_match(lit("X;NUKE_TEST;"), ["A"], ["NUKE"]), classify.theme_match(lit("NUKEX"), [], ["NUKE"]), classify.theme_match(lit(None).cast("string"), [""], []))
     assert got == (True, False, False)
-    assert one(spark, classify.content_junk(lit("")), classify.content_junk(lit("A" * 80)), classify.content_junk(lit("word " * 60))) == ("empty", "base64_heavy", "low_prose")
+    assert one(spark, classify.content_junk(lit("")), classify.content_junk(lit("x data:image/png;base64," + "A" * 80)), classify.content_junk(lit("word " * 60))) == ("empty", "base64_heavy", "low_prose")
     assert one(spark, classify.shifted_level(lit(3), lit(31)), classify.shifted_level(lit(1), lit(0))) == (5, 1)
-    assert one(spark, classify.credibility(lit("p"), lit("news"), {"p": 0.7}), classify.credibility(lit("q"), lit("news"), {"p": 0.7})) == (0.7, 0.6)
+    assert one(spark, classify.credibility(lit("p"), lit("rss"), {"p": 0.7}), classify.credibility(lit("q"), lit("rss"), {"p": 0.7})) == (0.7, 0.6)
     assert one(spark, classify.name_prefix(lit("STARLINK-12"), [("STARLINK", "comms")]), classify.name_prefix(lit("STARLINKED"), [("STARLINK", "comms")])) == ("comms", "other")
+
+
+def test_rules_by_literal_values(spark):
+    lit, no, yes = F.lit, F.lit(False), F.lit(True)
+    score = geo.correlation_score
+    assert one(spark, score(lit(0.0), lit(0), no, no, no), score(lit(25.0), lit(0), no, no, no), score(lit(25.0), lit(1), no, no, no), score(lit(50.0), lit(0), yes, yes, yes), score(lit(0.0), lit(0), yes, yes, yes), score(lit(80.0), lit(0), no, no, no)) == (1.0, 0.5, 0.25, 0.6, 1.0, 0.0)
+    got = one(spark, geo.concern_score(lit(9.0), lit(0.0), lit(0.0)), geo.concern_score(lit(4.5), lit(5.0), lit(20.0)), geo.concern_score(lit(1.0), lit(30.0), lit(90.0)))
+    assert got == (95.0, 47.5, 5.0)
+    assert one(spark, *[geo.concern_level(lit(x)) for x in (75.0, 50.0, 25.0, 24.9)]) == ("critical", "elevated", "moderate", None)
+    assert one(spark, *[classify.severity(lit(w)) for w in ("warning", "elevated", "moderate", "extreme", "major")]) == ("low", "high", "medium", "critical", "unknown")
+    junk = classify.content_junk
+    claim = "This is a plain claim with more than eight words in it."
+    assert one(spark, junk(lit("  ")), junk(lit(claim)), junk(lit(claim + " data:image/png;base64,QUJD")), junk(lit("A" * 80)), junk(lit("word " * 7 + "x" * 40)), junk(lit("a b c d e f g h i"))) == ("empty", None, "base64_heavy", "too_few_words", None, "too_short")
+    assert one(spark, classify.survey_class(lit("short")), classify.survey_class(lit("word " * 20)), classify.survey_class(lit("word " * 60)), classify.survey_class(lit("word " * 60), yes), classify.survey_class(lit("x base64," + "A" * 60))) == ("EMPTY", "ok", "LOW_PROSE", "ok", "IMAGE_HEAVY")
+    assert one(spark, classify.entity_type(lit("vessel")), classify.entity_type(lit("PERSON"))) == ("VESSEL", "PERSON")
+    try:
+        one(spark, classify.entity_type(lit("company")))
+        raise AssertionError
+    except Exception as e:  # noqa: BLE001
+        assert "unknown entity type: company" in str(e)
+    assert one(spark, text.alias_key(lit("U.S. Navy")), text.alias_key(lit("US Navy")), text.alias_key(lit("Ministère\u2019s A/B"))) == ("us navy", "us navy", "ministère sab")
+    assert one(spark, text.contractors(lit("A, B. und C; etc. ")), text.contractors(lit("n/a")), text.contractors(lit("Group X (A & B)")), text.contractors(lit("Solo (Berlin)"))) == (["A", "B. und C"], [], ["A", "B"], ["Solo (Berlin)"])
+    import hashlib
+
+    assert one(spark, keys.claim_hash(lit(" A - b! ")))[0] == hashlib.sha256(b"a  b").hexdigest()[:24]
+
+
+def test_bodies_and_latest_years(spark):
+    from tidemark.operators import enrich, texts
+
+    body = "[a](http://x) [b](y)\nShort head\n" + "A sentence of prose that is surely longer than forty-five.\n" * 2
+    df = spark.createDataFrame([(body,)], "b string").select(texts.clean_body(F.col("b")).alias("c"))
+    got = df.select("c", texts.prose_blocks(F.col("c")), texts.body_quality(F.col("c"), 100, 2), texts.body_quality(F.col("c"), 100, 3)).first()
+    assert got[0].startswith("Short head\nA sentence") and tuple(got)[1:] == (2, True, False)
+    years = lambda **kv: enrich.latest_year(F.create_map(*[F.lit(x) for k, v in kv.items() for x in (k.replace("_", " "), v)]))
+    assert one(spark, years(first_2019="a", est_2021="b", note="n"), years(plain="p", other="q"), years(x_2020="a", text="t"), years(a_2020="1", b_2020="2")) == ("b", "q", "t", "2")

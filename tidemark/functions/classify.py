@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Severity words and their four levels, with ranks.
-SEVERITY = {"critical": "critical", "extreme": "critical", "severe": "critical", "high": "high", "major": "high", "medium": "medium", "moderate": "medium", "low": "low", "minor": "low"}
+SEVERITY = {"low": "low", "warning": "low", "moderate": "medium", "medium": "medium", "elevated": "high", "high": "high", "critical": "critical", "severe": "critical", "extreme": "critical"}
 SEVERITY_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1, "unknown": 0}
 
 #: Codes of event families.
@@ -16,7 +16,7 @@ ROOT_CATEGORY = {15: "posture", 18: "conflict.assault", 19: "conflict.armed", 20
 TACTICAL_ROOTS = (15, 18, 19, 20)
 
 #: Baseline credibility of source types.
-CREDIBILITY = {"official": 0.9, "sensor": 0.85, "wire": 0.8, "news": 0.6, "social": 0.3}
+CREDIBILITY = {"rss": 0.60, "telegram": 0.40, "gdelt": 0.50, "dataset": 0.80, "notebooklm": 0.60, "unknown": 0.30}
 
 
 def _col(c: Column | str) -> Column:
@@ -82,24 +82,32 @@ def name_prefix(name: Column | str, rules: Sequence[tuple[str, str]], default: s
     return first_rule([(text.rlike(rf"^{prefix}(\b|[0-9-])"), label) for prefix, label in rules], default)
 
 
+_EDGES = r"^[ \t\n\r\f]+|[ \t\n\r\f]+$"
+
+
 def content_junk(text: Column | str) -> Column:
-    """Why a text is junk, by the first rule that holds; null if it isn't."""
-    text = F.coalesce(_col(text), F.lit(""))
-    n = F.length(text)
-    encoded = F.aggregate(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9+/]{40,}={0,2})"), 1), F.lit(0), lambda a, x: a + F.length(x))
-    words = F.size(F.filter(F.split(text, "[ \\t\\n\\r\\f]+"), lambda w: w != ""))
+    """Why a text is junk, by the first rule that holds; null if it isn't. Embedded data URIs count
+    against the text's length, and the other rules look at what is left without them."""
+    raw = F.coalesce(_col(text), F.lit(""))
+    n_raw = F.length(F.regexp_replace(raw, _EDGES, ""))
+    bare = F.regexp_replace(raw, r"data:[^, \t\n\r\f]*;base64,[A-Za-z0-9+/=]+", "")
+    prose = F.regexp_replace(bare, _EDGES, "")
+    n = F.length(prose)
+    words = F.regexp_count(prose, F.lit(r"[^ \t\n\r\f]+"))
     return first_rule(
-        [(F.trim(text) == "", "empty"), (encoded > 0.25 * n, "base64_heavy"), (n < 40, "too_short"), (words < 8, "too_few_words"), ((n >= 200) & ~text.rlike(r"[.!?;:\n]"), "low_prose")]
+        [(n_raw == 0, "empty"), (F.length(raw) - F.length(bare) > 0.25 * n_raw, "base64_heavy"), (n < 40, "too_short"), (words < 8, "too_few_words"), ((n >= 200) & ~prose.rlike(r"[.!?;:\n]"), "low_prose")]
     )
 
 
-def survey_class(text: Column | str) -> Column:
-    """The corpus survey's class: its thresholds differ from content_junk's."""
-    text = F.coalesce(_col(text), F.lit(""))
-    n = F.length(text)
-    encoded = F.aggregate(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9+/]{40,}={0,2})"), 1), F.lit(0), lambda a, x: a + F.length(x))
-    sentences = F.size(F.regexp_extract_all(text, F.lit(r"([.!?])"), 1))
-    return first_rule([(n < 30, "tiny"), (encoded > 0.30 * n, "base64"), (sentences <= 1, "fragment")], "prose")
+def survey_class(text: Column | str, notebook: Column | None = None) -> Column:
+    """The corpus survey's class, whose thresholds differ from content_junk's; notebook: whether an
+    item comes from a notebook, whose single sentences are prose."""
+    raw = F.coalesce(_col(text), F.lit(""))
+    n = F.length(F.regexp_replace(raw, _EDGES, ""))
+    encoded = F.length(raw) - F.length(F.regexp_replace(raw, r"base64,[A-Za-z0-9+/=]+", ""))
+    sentences = F.regexp_count(raw, F.lit("[.!?]"))
+    plain = F.lit(True) if notebook is None else ~F.coalesce(notebook, F.lit(False))
+    return first_rule([(n < 30, "EMPTY"), (encoded > 0.30 * n, "IMAGE_HEAVY"), (plain & (n >= 200) & (sentences <= 1), "LOW_PROSE")], "ok")
 
 
 def shifted_level(level: Column | str, mentions: Column | str) -> Column:
@@ -109,9 +117,9 @@ def shifted_level(level: Column | str, mentions: Column | str) -> Column:
     return F.least(F.greatest(_col(level) + step, F.lit(1)), F.lit(5))
 
 
-def credibility(provider: Column | str, kind: Column | str, overrides: dict[str, float]) -> Column:
+def credibility(provider: Column | str, kind: Column | str, overrides: dict[str, float], baselines: dict[str, float] = CREDIBILITY) -> Column:
     """A provider's own value, else its type's; an unknown type is an error."""
-    base = F.try_element_at(F.create_map(*[F.lit(x) for p in CREDIBILITY.items() for x in p]), _col(kind))
+    base = F.try_element_at(F.create_map(*[F.lit(x) for p in baselines.items() for x in p]), _col(kind))
     own = F.try_element_at(F.create_map(*[F.lit(x) for p in overrides.items() for x in p]), _col(provider)) if overrides else F.lit(None).cast("double")
     return F.coalesce(own, base, F.raise_error(F.concat(F.lit("unknown source type: "), F.coalesce(_col(kind), F.lit("null")))).cast("double"))
 
@@ -121,13 +129,14 @@ def possible_explosion(frp: Column | str, brightness: Column | str) -> Column:
 
 
 #: Legacy entity types and their present names.
-ENTITY_TYPES = {"person": "PERSON", "org": "ORGANIZATION", "organisation": "ORGANIZATION", "company": "ORGANIZATION", "place": "LOCATION", "country": "LOCATION", "weapon": "WEAPON_SYSTEM", "vehicle": "WEAPON_SYSTEM"}
+ENTITY_TYPES = {"person": "PERSON", "organization": "ORGANIZATION", "location": "LOCATION", "military_unit": "MILITARY_UNIT", "weapon_system": "WEAPON_SYSTEM", "vessel": "VESSEL", "aircraft": "AIRCRAFT", "satellite": "SATELLITE"}
 
 
-def entity_type(kind: Column | str) -> Column:
-    """The present name of a legacy type; others pass."""
+def entity_type(kind: Column | str, present: Sequence[str] = tuple(ENTITY_TYPES.values())) -> Column:
+    """The present name of a legacy type; present names pass, anything else is an error."""
     made = F.create_map(*[F.lit(x) for pair in ENTITY_TYPES.items() for x in pair])
-    return F.coalesce(F.try_element_at(made, F.lower(_col(kind))), _col(kind))
+    unknown = F.raise_error(F.concat(F.lit("unknown entity type: "), F.coalesce(_col(kind), F.lit("null")))).cast("string")
+    return F.when(_col(kind).isin(*present), _col(kind)).otherwise(F.coalesce(F.try_element_at(made, _col(kind)), unknown))
 
 
 def source_tier(name: Column | str, tiers: Sequence[tuple[str, Sequence[str]]], default: str = "tier3") -> Column:

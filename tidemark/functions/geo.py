@@ -56,22 +56,23 @@ def cell(lat: Column | str, lon: Column | str, degrees: float) -> Column:
 
 
 def correlation_score(distance_km: Column, days: Column, high: Column, confident: Column, boosted: Column, reach_km: float = 50.0) -> Column:
-    """Linear in the distance, less a half for other days, plus bonuses; at most 1."""
-    near = F.greatest(1 - distance_km / reach_km, F.lit(0.0)) * F.when(days == 0, 1.0).otherwise(0.5)
+    """Linear in the distance, half on other days, plus bonuses; two decimals, at most 1."""
+    base = F.greatest(1 - distance_km / reach_km, F.lit(0.0)) * F.when(days == 0, 1.0).otherwise(0.5)
     bonus = F.when(high, 0.3).otherwise(0.0) + F.when(boosted, 0.2).otherwise(0.0) + F.when(confident, 0.1).otherwise(0.0)
-    return F.least(near * 0.5 + bonus, F.lit(1.0))
+    return F.least(F.round(base + bonus, 2), F.lit(1.0))
 
 
 def concern_score(magnitude: Column, depth_km: Column, distance_km: Column) -> Column:
-    """0 to 100: magnitude, shallowness and nearness to a site."""
-    size = F.least(F.greatest((magnitude - 2.0) / 4.0, F.lit(0.0)), F.lit(1.0)) * 40
-    shallow = F.least(F.greatest(1 - depth_km / 30.0, F.lit(0.0)), F.lit(1.0)) * 30
-    near = F.least(F.greatest(1 - distance_km / 100.0, F.lit(0.0)), F.lit(1.0)) * 30
-    return size + shallow + near
+    """0 to 95: 45 for the magnitude (of 9), 35 for the nearness within 40 km, 15 for a depth below 10 km; two decimals."""
+    size = F.least(magnitude, F.lit(9.0)) / 9.0 * 0.45
+    near = F.greatest((40.0 - F.least(distance_km, F.lit(40.0))) / 40.0, F.lit(0.0)) * 0.35
+    shallow = F.greatest(1.0 - depth_km / 10.0, F.lit(0.0)) * 0.15
+    return F.round((size + near + shallow) * 100.0, 2)
 
 
 def concern_level(score: Column) -> Column:
-    return F.when(score >= 75, "critical").when(score >= 50, "high").when(score >= 25, "elevated").otherwise("low")
+    """Null below 25."""
+    return F.when(score >= 75, "critical").when(score >= 50, "elevated").when(score >= 25, "moderate")
 
 
 def wkt_point(text: Column | str) -> Column:

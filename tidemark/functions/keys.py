@@ -95,7 +95,7 @@ def uuid5_url(names: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def claim_hash(texts: pd.Series) -> pd.Series:
-    """24 hexadecimal digits over the claim: NFKC, lower case, single spaces, no punctuation."""
+    """24 hexadecimal digits over the claim: NFKC, lower case, single spaces, then no punctuation."""
     import hashlib
     import re
     import unicodedata
@@ -103,7 +103,7 @@ def claim_hash(texts: pd.Series) -> pd.Series:
     def one(text: str | None) -> str | None:
         if text is None:
             return None
-        clean = re.sub(r"[^\w\s]", "", unicodedata.normalize("NFKC", text).lower())
-        return hashlib.sha256(" ".join(clean.split()).encode()).hexdigest()[:24]
+        spaced = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text).lower().strip())
+        return hashlib.sha256(re.sub(r"[^\w\s]", "", spaced).encode()).hexdigest()[:24]
 
     return texts.map(one)

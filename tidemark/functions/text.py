@@ -65,9 +65,9 @@ def split_list(text: Column | str, separator: str = ";") -> Column:
 
 
 def alias_key(text: Column | str) -> Column:
-    """Lower case, punctuation to spaces, single spaces, runs of single letters folded (u s a: usa)."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(_col(text)), "[^a-z0-9 ]", " "), " +", " "))
-    return F.regexp_replace(plain, r"(?<=\b[a-z]) (?=[a-z]\b)", "")
+    """Lower case, ``._,'’"-/`` to spaces, single spaces, runs of single letters folded (u s a: usa)."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(_col(text)), "[._,'\u2019\"\\-/]", " "), r"(?U)\s+", " "))
+    return F.regexp_replace(plain, r"(?U)(?<=\b[a-z]) (?=[a-z]\b)", "")
 
 
 def strip_html(html: Column | str) -> Column:
@@ -134,10 +134,16 @@ def host_and_first_segment(url: Column | str) -> Column:
     return F.lower(F.regexp_extract(_col(url), r"^[A-Za-z]+://([^/?#]+(?:/[^/?#]+)?)", 1))
 
 
+#: What stands for no contractor.
+_NOBODY = ("/", "n/a", "na", "", "-")
+
+
 def contractors(text: Column | str) -> Column:
-    """Names out of a list: a bracketed group first, then commas and semicolons, else ampersands."""
-    text = _col(text)
-    inner = F.regexp_extract(text, r"\(([^)]*)\)", 1)
-    source = F.when(inner.rlike("[,;&]"), inner).otherwise(F.regexp_replace(text, r"\([^)]*\)", ""))
-    parts = F.when(source.rlike("[,;]"), F.split(source, "[,;]")).otherwise(F.split(source, "&"))
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    """Names out of a list: a bracketed group with commas or ampersands first, then commas and
+    semicolons, else ampersands; never "und". Placeholders and "etc" go."""
+    text = F.trim(F.coalesce(_col(text), F.lit("")))
+    inner = F.regexp_extract(text, r"\(([^)]+)\)", 1)
+    source = F.when(inner.rlike("[,&]"), inner).otherwise(text)
+    parts = F.when(source.rlike("[,;]"), F.split(source, r"\s*[,;]\s*")).otherwise(F.split(source, r"\s*&\s*"))
+    names = F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^[ .]+|[ .]+$", "")), lambda x: ~F.lower(x).isin(*_NOBODY, "etc"))
+    return F.when(F.lower(text).isin(*_NOBODY), F.array().cast("array<string>")).otherwise(names)

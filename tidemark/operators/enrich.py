@@ -48,10 +48,12 @@ def drift(approved: DataFrame, fresh: DataFrame, keys: Sequence[str], columns: S
 
 
 def latest_year(values: Column) -> Column:
-    """The value of the greatest four-digit year in a map; a later key wins ties."""
-    entries = F.filter(F.map_entries(values), lambda e: e["key"].rlike(r"\d{4}"))
-    keyed = F.transform(entries, lambda e, i: F.struct(F.regexp_extract(e["key"], r"(\d{4})", 1).cast("int").alias("year"), i.alias("pos"), e["value"].alias("value")))
-    return F.array_max(keyed)["value"]
+    """The value of the greatest four-digit year among a map's keys (0 for keys without one, a note
+    left out); a later key wins ties. A value under ``text`` goes before all."""
+    entries = F.filter(F.map_entries(values), lambda e: e["key"] != "note")
+    year = lambda k: F.coalesce(F.try_to_number(F.regexp_extract(k, r"(\d{4})\b", 1), F.lit("9999")).cast("int"), F.lit(0))
+    keyed = F.transform(entries, lambda e, i: F.struct(year(e["key"]).alias("year"), i.alias("pos"), e["value"].alias("value")))
+    return F.when(F.map_contains_key(values, "text"), F.try_element_at(values, F.lit("text"))).otherwise(F.array_max(keyed)["value"])
 
 
 def first_per_key(rows: DataFrame, key: str, n: int, order: Sequence[Column]) -> DataFrame:
@@ -69,13 +71,14 @@ def longest_contained(texts: DataFrame, names: DataFrame, text: str, least: int
     into word runs that are looked up, so texts and names never meet pairwise."""
     known = names.where(F.length("name") >= least).select("name", F.lower("name").alias("__key"), F.size(F.split(F.lower("name"), " ")).alias("__words")).distinct()
     longest = known.agg(F.max("__words")).first()[0] or 0
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    rows = texts.withColumn("__id", F.monotonically_increasing_id()).withColumn("__w", words)
+    words = F.filter(F.split(F.regexp_replace(F.lower("__id"), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    # each distinct text is looked up once; its rows get the name by the text itself
+    rows = texts.select(F.col(text).alias("__id")).distinct().withColumn("__w", words)
     runs = [F.transform(F.sequence(F.lit(1), F.size("__w") - (n - 1)), _run(n)) for n in range(1, longest + 1)]
     safe = [F.when(F.size("__w") >= n + 1, r).otherwise(F.array().cast("array<string>")) for n, r in enumerate(runs)]
     keys = rows.select("__id", F.explode(F.array_distinct(F.flatten(F.array(*safe)))).alias("__key")) if safe else rows.select("__id", F.lit("").alias("__key"))
     best = keys.join(F.broadcast(known) if known.limit(100_001).count() <= 100_000 else known, "__key").groupBy("__id").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("contained"))
-    return rows.join(best, "__id", "left").drop("__id", "__w")
+    return texts.join(best, texts[text] == best["__id"], "left").drop("__id")
 
 
 def by_scope(reports: DataFrame, requests: DataFrame) -> DataFrame:

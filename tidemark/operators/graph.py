@@ -64,11 +64,12 @@ def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def merge_eligible(entities: DataFrame) -> DataFrame:
-    """Groups of entities with one lower-cased name that may be merged: a single type, or types
-    that all belong to the hierarchy of places. entities: id, name, type."""
-    places = F.array(*[F.lit(t) for t in ("LOCATION", "COUNTRY", "REGION", "CITY")])
-    groups = entities.groupBy(F.lower(F.trim("name")).alias("key")).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("type")).alias("types"))
-    return groups.where((F.col("n") > 1) & ((F.size("types") == 1) | (F.size(F.array_except("types", places)) == 0)))
+    """Groups of entities with one lower-cased name that may be merged: a single type, or countries
+    with regions and locations, or regions with locations. entities: id, name, type."""
+    only = lambda *allowed: F.size(F.array_except("types", F.array(*[F.lit(t) for t in allowed]))) == 0
+    groups = entities.groupBy(F.lower("name").alias("key")).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("type")).alias("types"))
+    places = (F.array_contains("types", "COUNTRY") & only("COUNTRY", "REGION", "LOCATION")) | (F.array_contains("types", "REGION") & only("REGION", "LOCATION"))
+    return groups.where((F.col("n") > 1) & ((F.size("types") == 1) | places))
 
 
 def survivors(entities: DataFrame, key: Column) -> DataFrame:
@@ -87,29 +88,32 @@ def transfer_edges(edges: DataFrame, survivor: DataFrame) -> DataFrame:
 
 
 def relation_support(relations: DataFrame, samples: int = 5) -> DataFrame:
-    """Per relation: its distinct provenance (sorted), its support, and the first evidence samples."""
-    grouped = relations.groupBy("src", "rel", "dst").agg(F.sort_array(F.collect_set("provenance")).alias("provenance"), F.sort_array(F.collect_set("evidence")).alias("evidence"))
-    return grouped.withColumn("support", F.size("provenance")).withColumn("evidence", F.slice("evidence", 1, samples))
-
-
-def gate_relations(relations: DataFrame, rules: DataFrame, symmetric: tuple[str, ...], least: float = 0.6) -> DataFrame:
-    """Each relation (src, src_type, rel, dst, dst_type, confidence, evidence) with its lane and
-    the first gate that it fails: known relation, allowed types, not a loop, evidence,
-    confidence. Symmetric relations are sorted by their ends. rules: rel, src_type, dst_type."""
-    is_symmetric = F.col("rel").isin(*symmetric)
-    ends = lambda s, d: (F.struct(F.col(s).alias("k"), F.col(f"{s}_type").alias("t")), F.struct(F.col(d).alias("k"), F.col(f"{d}_type").alias("t")))
-    a, b = ends("src", "dst")
-    first, second = F.when(is_symmetric, F.least(a, b)).otherwise(a), F.when(is_symmetric, F.greatest(a, b)).otherwise(b)
-    sorted_rows = relations.select(first.alias("x"), "rel", second.alias("y"), "confidence", "evidence")
-    sorted_rows = sorted_rows.select(F.col("x.k").alias("src"), F.col("x.t").alias("src_type"), "rel", F.col("y.k").alias("dst"), F.col("y.t").alias("dst_type"), "confidence", "evidence")
-    known = rules.select("rel").distinct().withColumn("__known", F.lit(True))
-    allowed = rules.select("rel", "src_type", "dst_type").distinct().withColumn("__allowed", F.lit(True))
-    checked = sorted_rows.join(known, "rel", "left").join(allowed, ["rel", "src_type", "dst_type"], "left")
+    """Per relation: its distinct provenance (sorted), its support, and the first evidence samples in
+    order; no more evidence than that is gathered."""
+    keys = ["src", "rel", "dst"]
+    provenance = relations.groupBy(*keys).agg(F.sort_array(F.collect_set("provenance")).alias("provenance"))
+    few = relations.select(*keys, "evidence").where("evidence is not null").distinct()
+    few = few.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("evidence"))).where(F.col("__n") <= samples)
+    few = few.groupBy(*keys).agg(F.sort_array(F.collect_list("evidence")).alias("evidence"))
+    return provenance.join(few, keys, "left").withColumn("support", F.size("provenance"))
+
+
+def gate_relations(relations: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each relation (src, src_type, rel, dst, dst_type, confidence, evidence) with its lane and the
+    first gate that it fails: a known relation, resolved types, no candidate-only relation, the
+    source's type, the target's type. Symmetric relations that pass are sorted by their ends.
+    rules: rel, mode, source_types, target_types, symmetric; a row per relation."""
+    checked = relations.join(F.broadcast(rules.withColumnRenamed("rel", "__rel")), F.col("rel") == F.col("__rel"), "left")
     gate = (
-        F.when(F.col("__known").isNull(), "unknown_relation")
-        .when(F.col("__allowed").isNull(), "types")
-        .when(F.col("src") == F.col("dst"), "loop")
-        .when(F.coalesce(F.trim("evidence"), F.lit("")) == "", "evidence")
-        .when(F.coalesce(F.col("confidence"), F.lit(0.0)) < least, "confidence")
+        F.when(F.col("__rel").isNull(), "relation_type_unknown")
+        .when(F.col("src_type").isNull() | F.col("dst_type").isNull(), "entity_type_unresolved")
+        .when(F.col("mode") == "candidate_only", "relation_type_candidate_only")
+        .when(~F.array_contains("source_types", F.col("src_type")), F.concat("rel", F.lit(".source_type")))
+        .when(~F.array_contains("target_types", F.col("dst_type")), F.concat("rel", F.lit(".target_type")))
     )
-    return checked.select("src", "src_type", "rel", "dst", "dst_type", "confidence", gate.alias("failed_gate"), F.when(gate.isNull(), "canonical").otherwise("candidate").alias("lane"))
+    checked = checked.withColumn("failed_gate", gate)
+    ends = lambda s: F.struct(F.col(s).alias("k"), F.col(f"{s}_type").alias("t"))
+    swap = F.col("failed_gate").isNull() & F.col("symmetric") & (ends("dst") < ends("src"))
+    side = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a)
+    lane = F.when(F.col("failed_gate").isNull(), "canonical").otherwise("candidate").alias("lane")
+    return checked.select(side("src", "dst"), side("src_type", "dst_type"), "rel", side("dst", "src"), side("dst_type", "src_type"), "confidence", "failed_gate", lane)

@@ -11,25 +11,29 @@ from pyspark.sql import functions as F
 
 
 def word_chunks(docs: DataFrame, key: str, text: str, size: int = 512, overlap: int = 50) -> DataFrame:
-    """Windows of words: key, chunk (from 0), body. A shorter text is one untouched chunk; the
+    """Windows of words: key, chunk (from 0), body. A text of at most size words is one untouched chunk; the
     last window may lie wholly in the one before it."""
     words = F.split(F.trim(F.regexp_replace(F.col(text), "[ \\t\\n\\r\\f]+", " ")), " ")
     n = F.size("__w")
     starts = F.sequence(F.lit(0), n - 1, F.lit(size - overlap))
     # the words are a column of their own, so that they are not split anew for every chunk
-    chunks = F.when(n < size, F.array(F.col(text))).otherwise(F.transform(starts, lambda s: F.array_join(F.slice("__w", s + 1, size), " ")))
+    chunks = F.when(n <= size, F.array(F.col(text))).otherwise(F.transform(starts, lambda s: F.array_join(F.slice("__w", s + 1, size), " ")))
     return docs.where(F.col(text).isNotNull()).withColumn("__w", words).select(key, F.posexplode(chunks).alias("chunk", "body"))
 
 
-def clean_body(text: Column, least_block: int = 45) -> Column:
-    """Without lines that are only a link, and without blocks shorter than least_block."""
-    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^\s*(?:[-*]\s*)?\[?[^\]\s]*\]?\(?https?://\S+\)?\s*$"))
-    blocks = F.filter(F.transform(F.split(F.array_join(lines, "\n"), r"\n\s*\n"), lambda x: F.trim(x)), lambda b: F.length(b) >= least_block)
-    return F.array_join(blocks, "\n\n")
+def clean_body(text: Column) -> Column:
+    """Without lines that are only links; all other text stays."""
+    lines = F.filter(F.split(text, "\r?\n|\r"), lambda x: ~x.rlike(r"^\s*(?:\[[^\]]*\]\([^)]*\)\s*)+$"))
+    return F.regexp_replace(F.array_join(lines, "\n"), r"^\s+|\s+$", "")
 
 
-def body_quality(text: Column, least_chars: int = 400, least_paragraphs: int = 2) -> Column:
-    return (F.length(text) >= least_chars) & (F.size(F.split(text, r"\n\s*\n")) >= least_paragraphs)
+def prose_blocks(cleaned: Column, least_block: int = 45) -> Column:
+    """The number of lines of so many characters; blocks end at any run of line ends."""
+    return F.size(F.filter(F.split(cleaned, "\n+"), lambda x: F.length(F.trim(x)) >= least_block))
+
+
+def body_quality(cleaned: Column, least_chars: int = 400, least_paragraphs: int = 2) -> Column:
+    return (F.length(cleaned) >= least_chars) & (prose_blocks(cleaned) >= least_paragraphs)
 
 
 def markdown_chunks_of(text: str, limit: int = 2600, overlap: int = 400) -> list[str]:
@@ -93,15 +97,21 @@ def context_window(text: Column, needle: Column, radius: int = 500, fallback: in
 
 
 def evidence(rows: DataFrame, text: Column, limit: int = 700) -> DataFrame:
-    """rows with an excerpt and the provenance class: canonical, legacy by its source, or unknown."""
-    kind = (
-        F.when(F.col("source_type").isNotNull() & F.col("provider").isNotNull(), "canonical")
-        .when(F.col("source").startswith("gdelt"), "legacy_gdelt")
-        .when(F.col("source").startswith("rss"), "legacy_news")
-        .when(F.col("source").startswith("telegram"), "legacy_social")
-        .otherwise("unknown")
-    )
-    return rows.withColumns({"excerpt": F.substring(text, 1, limit), "provenance_class": kind})
+    """rows with an excerpt and its provenance: the class (canonical, or a legacy source by what the
+    row holds: a notebook, a channel, or exactly one of the known sources) and the provider."""
+    have = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    filled = lambda c: F.coalesce(have(c) != "", F.lit(False))
+    source = F.lower(F.coalesce(have("source"), F.lit("")))
+    handle = F.lower(F.regexp_replace(F.coalesce(have("telegram_channel"), F.lit("")), "^@+", ""))
+    canonical = filled("source_type") & filled("provider")
+    notebook, channel = have("notebook_id").isNotNull(), have("telegram_channel").isNotNull() | (source == "telegram")
+    first = lambda *names: F.coalesce(*[F.when(filled(c), have(c)) for c in names])
+    kind = F.when(canonical, "canonical").when(notebook, "notebooklm").when(channel, "telegram").when(source == "rss", "rss").when(source.isin("gdelt", "gdelt_gkg"), "gdelt").otherwise("unknown")
+    provider = (
+        F.when(canonical, have("provider")).when(notebook, F.concat(F.lit("notebooklm:"), have("notebook_id"))).when(channel & (handle != ""), F.concat(F.lit("telegram:"), handle)).when(channel, "telegram")
+        .when(source == "rss", F.lower(F.coalesce(first("feed_name", "provider"), F.lit("rss")))).when(source.isin("gdelt", "gdelt_gkg"), F.lower(F.coalesce(first("source_name"), F.lit("gdelt")))).otherwise("?")
+    )
+    return rows.withColumns({"excerpt": F.substring(text, 1, limit), "provenance_class": kind, "provenance_provider": provider})
 
 
 def report_sections(text: Column) -> Column:

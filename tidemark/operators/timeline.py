@@ -61,3 +61,12 @@ def samples(events: DataFrame, order: Sequence[Column], limit: int) -> DataFrame
 def ranked_first(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, rank: str = "rank") -> DataFrame:
     """The first n rows of each key in an order without ties."""
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
+
+
+def notables(candidates: DataFrame, key: str, seconds: str, most: int) -> DataFrame:
+    """candidates (severity, is_incident) in one ranking: critical ones, incidents, high ones, others;
+    newer first in each. An id counts once, by its best place."""
+    tier = F.when(F.col("severity") == "critical", 0).when(F.col("is_incident"), 1).when(F.col("severity") == "high", 2).otherwise(3)
+    order = [F.col("tier"), F.col(seconds).desc(), F.col("is_incident"), F.col(key)]
+    once = candidates.withColumn("tier", tier).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
+    return once.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -112,9 +112,10 @@ def signals_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_year_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-15: each customer's total in its latest year, from a map of years."""
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"))
-    maps = o.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("FY "), F.col("y").cast("string")), "n"))).alias("m"))
+    """WIN-15: each customer's total in its latest year, from a map of years; years before 1994 have no number."""
+    year = F.year("o_orderdate")
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey", F.when(year < 1994, "early").otherwise(F.concat(F.lit("FY "), year.cast("string"))).alias("y")).agg(F.count("*").alias("n"))
+    maps = o.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("y", "n"))).alias("m"))
     return maps.select("o_custkey", e.latest_year(F.col("m")).alias("latest"))
 
 
@@ -161,7 +162,7 @@ SELECT p_partkey AS fresh_id, upper(p_name) AS fresh_name, CASE WHEN n IS NULL T
     "almanac_assembly": """SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'override' ELSE n_name END AS name, r_name, coalesce(c, 0) AS customers, coalesce(s, 0) AS suppliers FROM nation LEFT JOIN region ON n_regionkey = r_regionkey
 LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey""",
     "signals_by_country": "SELECT c_nationkey, o_orderkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS place FROM orders JOIN customer ON o_custkey = c_custkey QUALIFY place <= 5",
-    "latest_year_value": "SELECT o_custkey, n AS latest FROM (SELECT o_custkey, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY y DESC) = 1",
+    "latest_year_value": "SELECT o_custkey, n AS latest FROM (SELECT o_custkey, CASE WHEN year(o_orderdate) < 1994 THEN 0 ELSE year(o_orderdate) END AS y, count(*) AS n FROM orders GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY y DESC) = 1",
     "contained_name": """WITH n AS (SELECT DISTINCT string_split(p_name, ' ')[-1] AS name FROM part), k AS (SELECT name FROM n WHERE length(name) >= 4),
 t AS (SELECT p_partkey, string_split(trim(regexp_replace(lower(p_name || ' / ' || p_type), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM part)
 SELECT p_partkey, max_by(name, length(name) || ':' || name) AS contained FROM t LEFT JOIN k ON list_contains(w, lower(name)) GROUP BY p_partkey""",

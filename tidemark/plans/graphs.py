@@ -90,7 +90,7 @@ def duplicate_key_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_merge_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DD-06: part names, with brands' last digits as types."""
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("LOCATION", "CITY", "REGION", "PERSON")]), (F.col("p_partkey") % 3 + F.when(F.col("p_name").like("r%"), 1).otherwise(0) + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("LOCATION", "REGION", "COUNTRY", "CITY")]), (F.col("p_partkey") % 3 + F.when(F.col("p_name").like("r%"), 1).otherwise(0) + 1).cast("int"))
     entities = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), kind.alias("type"))
     return g.merge_eligible(entities).select("key", "n", F.array_join("types", ",").alias("types"))
 
@@ -120,15 +120,16 @@ def relation_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DD-11: orders as relations; counts per lane and gate."""
+    """DD-11: orders as relations; counts per lane and gate, and the sum of the first ends as sorted."""
     o = table(spark, sf_dir, "orders")
     relations = o.select(
-        F.expr("o_custkey % 7").alias("src"), F.when(F.expr("o_custkey % 2 = 0"), "ORG").otherwise("PERSON").alias("src_type"), F.substring("o_orderpriority", 1, 1).alias("rel"),
+        F.expr("o_custkey % 7").alias("src"), F.expr("case when o_custkey % 13 = 0 then null when o_custkey % 2 = 0 then 'ORG' else 'PERSON' end").alias("src_type"), F.substring("o_orderpriority", 1, 1).alias("rel"),
         F.expr("o_orderkey % 7").alias("dst"), F.when(F.expr("o_orderkey % 3 = 0"), "ORG").otherwise("PERSON").alias("dst_type"), F.expr("o_orderkey % 10 / 10.0D").alias("confidence"), F.when(F.expr("o_orderkey % 11 > 0"), "text").alias("evidence"),
     )
-    rules = table(spark, sf_dir, "orders").where("o_orderkey in (0, 1, 2, 3, 4, 6)").select(F.explode(F.array(*[F.lit(x) for x in "1234"])).alias("rel")).distinct()
-    rules = rules.select("rel", F.lit("ORG").alias("src_type"), F.lit("PERSON").alias("dst_type")).unionByName(rules.where("rel < '3'").select("rel", F.lit("PERSON").alias("src_type"), F.lit("PERSON").alias("dst_type")))
-    return g.gate_relations(relations, rules, ("1", "2")).groupBy("lane", "failed_gate").agg(F.count("*").alias("n"))
+    both = ["ORG", "PERSON"]
+    rules = [("1", "canonical", both, both, True), ("2", "canonical", ["ORG"], both, False), ("3", "canonical", both, ["PERSON"], False), ("4", "candidate_only", both, both, False)]
+    rules = spark.createDataFrame(rules, "rel string, mode string, source_types array<string>, target_types array<string>, symmetric boolean")
+    return g.gate_relations(relations, rules).groupBy("lane", "failed_gate").agg(F.count("*").alias("n"), F.sum("src").alias("src_sum"))
 
 
 QUERIES = {
@@ -151,17 +152,16 @@ SELECT x.entity, y.entity AS other, count(*) AS shared FROM l x JOIN l y ON x.ev
     "integrity_orphans": f"""WITH {_EDGES}, n AS (SELECT 'c' || c_custkey AS node, 'customer' AS label FROM customer UNION ALL SELECT 't' || p_partkey, 'part' FROM part)
 SELECT label, count(*) AS n, count(*) FILTER (WHERE node NOT IN (SELECT a FROM b)) AS orphans FROM n GROUP BY label""",
     "duplicate_key_preflight": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
-    "entity_merge_eligible": """WITH e AS (SELECT lower(trim(p_name)) AS key, ['LOCATION', 'CITY', 'REGION', 'PERSON'][p_partkey % 3 + CASE WHEN p_name LIKE 'r%' THEN 1 ELSE 0 END + 1] AS type FROM part),
+    "entity_merge_eligible": """WITH e AS (SELECT lower(p_name) AS key, ['LOCATION', 'REGION', 'COUNTRY', 'CITY'][p_partkey % 3 + CASE WHEN p_name LIKE 'r%' THEN 1 ELSE 0 END + 1] AS type FROM part),
 k AS (SELECT key, count(*) AS n, list_sort(list(DISTINCT type)) AS types FROM e GROUP BY key)
-SELECT key, n, array_to_string(types, ',') AS types FROM k WHERE n > 1 AND (len(types) = 1 OR NOT list_contains(types, 'PERSON'))""",
+SELECT key, n, array_to_string(types, ',') AS types FROM k WHERE n > 1 AND (len(types) = 1 OR (NOT list_contains(types, 'CITY') AND (list_contains(types, 'COUNTRY') OR list_contains(types, 'REGION'))))""",
     "entity_survivor": """WITH d AS (SELECT l_partkey AS id, count(*) AS degree, min(l_shipdate) AS first_seen FROM lineitem GROUP BY 1)
 SELECT p_partkey AS id, first_value(p_partkey) OVER (PARTITION BY lower(p_name) ORDER BY coalesce(degree, 0) DESC, first_seen ASC NULLS LAST, p_partkey) AS survivor FROM part LEFT JOIN d ON id = p_partkey""",
     "merged_edges": """WITH m AS (SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY lower(p_name)) AS survivor FROM part), x AS (SELECT DISTINCT l_orderkey, l_returnflag AS rel, coalesce(survivor, l_partkey) AS dst FROM lineitem LEFT JOIN m ON l_partkey = id)
 SELECT rel, count(*) AS edges, count(DISTINCT dst) AS targets FROM x GROUP BY rel""",
     "relation_support": """WITH r AS (SELECT s_nationkey AS src, l_returnflag AS rel, c_nationkey AS dst, s_suppkey AS p, o_orderkey AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)
 SELECT src, rel, dst, count(DISTINCT p) AS support, array_to_string(list_slice(list_sort(list(DISTINCT e)), 1, 5), ',') AS evidence FROM r GROUP BY ALL""",
-    "relation_gate": """WITH r AS (SELECT o_custkey % 7 AS s, CASE WHEN o_custkey % 2 = 0 THEN 'ORG' ELSE 'PERSON' END AS st, substr(o_orderpriority, 1, 1) AS rel, o_orderkey % 7 AS d, CASE WHEN o_orderkey % 3 = 0 THEN 'ORG' ELSE 'PERSON' END AS dt, (o_orderkey % 10) / 10.0 AS c, o_orderkey % 11 > 0 AS ev FROM orders),
-x AS (SELECT rel, c, ev, s, d, CASE WHEN rel IN ('1', '2') AND (d < s OR (d = s AND dt < st)) THEN dt ELSE st END AS a, CASE WHEN rel IN ('1', '2') AND (d < s OR (d = s AND dt < st)) THEN st ELSE dt END AS z FROM r),
-g AS (SELECT CASE WHEN rel NOT IN ('1', '2', '3', '4') THEN 'unknown_relation' WHEN NOT (z = 'PERSON' AND (a = 'ORG' OR rel < '3')) THEN 'types' WHEN s = d THEN 'loop' WHEN NOT ev THEN 'evidence' WHEN c < 0.6 THEN 'confidence' END AS failed_gate FROM x)
-SELECT CASE WHEN failed_gate IS NULL THEN 'canonical' ELSE 'candidate' END AS lane, failed_gate, count(*) AS n FROM g GROUP BY ALL""",
+    "relation_gate": """WITH r AS (SELECT o_custkey % 7 AS s, CASE WHEN o_custkey % 13 = 0 THEN NULL WHEN o_custkey % 2 = 0 THEN 'ORG' ELSE 'PERSON' END AS st, substr(o_orderpriority, 1, 1) AS rel, o_orderkey % 7 AS d, CASE WHEN o_orderkey % 3 = 0 THEN 'ORG' ELSE 'PERSON' END AS dt FROM orders),
+g AS (SELECT *, CASE WHEN rel NOT IN ('1', '2', '3', '4') THEN 'relation_type_unknown' WHEN st IS NULL THEN 'entity_type_unresolved' WHEN rel = '4' THEN 'relation_type_candidate_only' WHEN rel = '2' AND st <> 'ORG' THEN '2.source_type' WHEN rel = '3' AND dt <> 'PERSON' THEN '3.target_type' END AS failed_gate FROM r)
+SELECT CASE WHEN failed_gate IS NULL THEN 'canonical' ELSE 'candidate' END AS lane, failed_gate, count(*) AS n, CAST(sum(CASE WHEN failed_gate IS NULL AND rel = '1' THEN least(s, d) ELSE s END) AS BIGINT) AS src_sum FROM g GROUP BY ALL""",
 }

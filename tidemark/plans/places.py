@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify
-from ..functions.geo import concern_level, concern_score, in_bbox, in_extent
+from ..functions.geo import concern_level, concern_score, correlation_score, in_bbox, in_extent
 from ..operators import spatial as sp
 from ..session import table
 
@@ -57,10 +57,11 @@ def concern(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-06: errors and purchases within 300 km and a day."""
+    """JN-06: errors and purchases within 300 km and a day whose score reaches 0.3."""
     p = _points(spark, sf_dir).select(F.col("event_id").alias("id"), "lat", "lon", F.to_date("ts").alias("day"), "event_type")
     met = sp.near_pairs(p.where("event_type = 'error'").drop("event_type"), p.where("event_type = 'purchase'").drop("event_type"), 300.0, 1, 3.0)
-    return met.select("a_id", "b_id", "days", F.round("distance_km", 3).alias("distance_km"))
+    score = correlation_score(F.col("distance_km"), F.col("days"), F.expr("a_id % 5 = 0"), F.expr("a_id % 2 = 0"), F.expr("b_id % 3 = 0"), 300.0)
+    return met.select("a_id", "b_id", "days", F.round("distance_km", 3).alias("distance_km"), score.alias("score")).where("score >= 0.3")
 
 
 def scope_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,16 +122,16 @@ QUERIES["concern_score"] = QUERIES.pop("concern")
 _IN = lambda s, w, n, e: f"lat BETWEEN {s} AND {n} AND " + (f"lon BETWEEN {w} AND {e}" if w <= e else f"(lon >= {w} OR lon <= {e})")
 _NEAR = f"""n AS (SELECT p.event_id, p.value, s.site, {_HAV.format(a='p', b='s')} AS km FROM p, s),
 m AS (SELECT * FROM n WHERE km <= 1500 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY km, site) = 1)"""
-_SCORE = "least(greatest((value / 80 - 2.0) / 4.0, 0), 1) * 40 + least(greatest(1 - (event_id % 40) / 30.0::DOUBLE, 0), 1) * 30 + least(greatest(1 - km / 15 / 100.0, 0), 1) * 30"
+_SCORE = "round((least(value / 80, 9.0) / 9.0 * 0.45 + greatest((40.0 - least(km / 15, 40.0)) / 40.0, 0) * 0.35 + greatest(1 - (event_id % 40) / 10.0::DOUBLE, 0) * 0.15) * 100, 2)"
 
 ORACLE = {
     "bbox_plain": f"WITH {_P} SELECT event_id FROM p WHERE {_IN(10, -20, 55, 60)}",
     "bbox_dateline": f"WITH {_P} SELECT event_id FROM p WHERE {_IN(-30, 160, 40, -150)}",
     "region_classify": f"WITH {_P} SELECT event_id, CASE " + " ".join(f"WHEN {_IN(s, w, n, e)} THEN '{k}'" for k, s, w, n, e in BOXES) + " ELSE 'unknown' END AS region FROM p",
     "nearest_site": f"WITH {_P}, {_S}, {_NEAR} SELECT event_id, site AS nearest_site, round(km, 3) AS distance_km FROM m",
-    "concern_score": f"WITH {_P}, {_S}, {_NEAR}, x AS (SELECT event_id, {_SCORE} AS sc FROM m) SELECT event_id, round(sc, 4) AS score, CASE WHEN sc >= 75 THEN 'critical' WHEN sc >= 50 THEN 'high' WHEN sc >= 25 THEN 'elevated' ELSE 'low' END AS level FROM x",
+    "concern_score": f"WITH {_P}, {_S}, {_NEAR}, x AS (SELECT event_id, {_SCORE} AS sc FROM m) SELECT event_id, round(sc, 4) AS score, CASE WHEN sc >= 75 THEN 'critical' WHEN sc >= 50 THEN 'elevated' WHEN sc >= 25 THEN 'moderate' END AS level FROM x",
     "correlation_pairs": f"""WITH {_P}, x AS (SELECT a.event_id AS a_id, b.event_id AS b_id, abs(date_diff('day', a.ts::DATE, b.ts::DATE)) AS days, {_HAV.format(a='a', b='b')} AS km FROM p a JOIN p b ON a.event_type = 'error' AND b.event_type = 'purchase' AND abs(date_diff('day', a.ts::DATE, b.ts::DATE)) <= 1)
-SELECT a_id, b_id, CAST(days AS INTEGER) AS days, round(km, 3) AS distance_km FROM x WHERE km <= 300""",
+SELECT * FROM (SELECT a_id, b_id, CAST(days AS INTEGER) AS days, round(km, 3) AS distance_km, least(1.0::DOUBLE, round(greatest(1 - km / 300.0, 0) * CASE WHEN days = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END + (CASE WHEN a_id % 5 = 0 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN b_id % 3 = 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN a_id % 2 = 0 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END), 2)) AS score FROM x WHERE km <= 300) WHERE score >= 0.3""",
     "scope_accounting": """WITH k AS (SELECT CASE WHEN o_custkey % 10 = 0 THEN 'conflict' WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 'stale' WHEN o_orderstatus <> 'P' THEN 'included' ELSE 'unsupported' END AS c FROM orders)
 SELECT count(*) AS candidate, count(*) FILTER (WHERE c = 'conflict') AS conflict, count(*) FILTER (WHERE c = 'stale') AS stale, count(*) FILTER (WHERE c = 'included') AS included, count(*) FILTER (WHERE c = 'unsupported') AS unsupported, true AS reconciled FROM k""",
     "scope_filter_samples": """WITH i AS (SELECT c_custkey, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN (1, 2, 3) AND o_orderstatus IN ('F', 'O') QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1)

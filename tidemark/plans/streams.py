@@ -35,12 +35,9 @@ def timeline_window_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timeline_notables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-03: events (the newest 400 high or critical) and incidents (the newest 200), 40 in all."""
     ev = _ev(spark, sf_dir)
-    events = ev.where("severity in ('high', 'critical') and value <= 400").orderBy(F.col("s").desc(), "event_id").limit(400).select("event_id", "s", F.when(F.col("severity") == "critical", 0).otherwise(2).alias("tier"), F.lit(False).alias("is_incident"))
-    incidents = ev.where("value > 400").orderBy(F.col("s").desc(), "event_id").limit(200).select("event_id", "s", F.lit(1).alias("tier"), F.lit(True).alias("is_incident"))
-    both = events.unionByName(incidents).orderBy("tier", F.col("s").desc(), "event_id").limit(40)
-    from pyspark.sql import Window
-
-    return both.withColumn("rank", F.row_number().over(Window.orderBy("tier", F.col("s").desc(), "event_id")))
+    newest = lambda rows, n, live: rows.orderBy(F.col("s").desc(), "event_id").limit(n).select("event_id", "s", "severity", F.lit(live).alias("is_incident"))
+    both = newest(ev.where("severity in ('high', 'critical')"), 400, False).unionByName(newest(ev.where("value > 400"), 200, True))
+    return t.notables(both, "event_id", "s", 40).select("event_id", "s", "tier", "is_incident", "rank")
 
 
 def timeline_geo_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,20 +48,17 @@ def timeline_geo_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-07, WIN-13: each user's points in order, 100 users by their last point. The points
-    of a track are one result row; clipped tracks keep the newest 500."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy(F.col("s").desc(), F.col("event_id").desc())
-    newest = _ev(spark, sf_dir).withColumn("n", F.row_number().over(w)).where("n <= 500")
-    got = newest.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("s", "event_id"))).alias("p"), F.max("s").alias("last_s"))
+    """AGG-07, WIN-13: each user's points in order, 100 users by their last point. The points of a
+    track are one result row."""
+    got = _ev(spark, sf_dir).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("s", "event_id"))).alias("p"), F.max("s").alias("last_s"))
     return got.orderBy(F.col("last_s").desc(), "user_id").limit(100).select("user_id", "last_s", F.array_join(F.transform("p", lambda x: x["event_id"].cast("string")), ",").alias("points"))
 
 
 def tracks_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-08: users with more points than a track may have, and the points left out."""
-    n = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    return n.agg(F.count("*").alias("users"), F.count_if(F.col("n") > 60).alias("clipped_tracks"), F.sum(F.greatest(F.col("n") - 60, F.lit(0))).alias("clipped_points"))
+    """AGG-08: users with a point in the box, and these users' points outside it."""
+    inside = F.count_if(in_bbox("lat", "lon", -40.0, 100.0, 60.0, -60.0))
+    n = _ev(spark, sf_dir).where("lat is not null and lon is not null").groupBy("user_id").agg(F.count("*").alias("n"), inside.alias("inside")).where("inside > 0")
+    return n.agg(F.count("*").alias("users"), F.coalesce(F.sum(F.col("n") - F.col("inside")), F.lit(0)).alias("clipped_points"))
 
 
 def landing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +80,9 @@ def grid_ignitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def severity_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-05: errors of each kind of user with five in an hour."""
-    ev = _ev(spark, sf_dir).where("severity in ('critical', 'high')").withColumn("grp", F.expr("user_id % 8"))
-    return twins.sliding_count(ev, ["grp"], F.col("s"), 3600).where("hits >= 5").select("grp", "event_id", "hits")
+    """STR-05: one cluster of all high and critical events: its ignition by five in 900 seconds, then updates."""
+    ev = _ev(spark, sf_dir).where("severity in ('critical', 'high')")
+    return twins.global_burst(ev, "s", "event_id", 900, 5).select("event_id", "kind")
 
 
 def cluster_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,18 +147,20 @@ _SAMPLE = lambda rows, order, n: f"SELECT *, (SELECT count(*) FROM {rows}) AS to
 
 ORACLE = {
     "timeline_window_samples": f"WITH {_EV}, w AS (SELECT event_id, severity, s FROM ev WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06') " + _SAMPLE("w", "s DESC, event_id", 50),
-    "timeline_notables": f"""WITH {_EV}, e AS (SELECT event_id, s, CASE WHEN severity = 'critical' THEN 0 ELSE 2 END AS tier, false AS is_incident FROM ev WHERE severity IN ('high', 'critical') AND value <= 400 ORDER BY s DESC, event_id LIMIT 400),
-i AS (SELECT event_id, s, 1 AS tier, true AS is_incident FROM ev WHERE value > 400 ORDER BY s DESC, event_id LIMIT 200), b AS (SELECT * FROM e UNION ALL SELECT * FROM i)
-SELECT *, CAST(row_number() OVER (ORDER BY tier, s DESC, event_id) AS INTEGER) AS rank FROM b ORDER BY rank LIMIT 40""",
+    "timeline_notables": f"""WITH {_EV}, e AS (SELECT event_id, s, severity, false AS is_incident FROM ev WHERE severity IN ('high', 'critical') ORDER BY s DESC, event_id LIMIT 400),
+i AS (SELECT event_id, s, severity, true AS is_incident FROM ev WHERE value > 400 ORDER BY s DESC, event_id LIMIT 200),
+b AS (SELECT *, CASE WHEN severity = 'critical' THEN 0 WHEN is_incident THEN 1 WHEN severity = 'high' THEN 2 ELSE 3 END AS tier FROM (SELECT * FROM e UNION ALL SELECT * FROM i)),
+u AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY tier, s DESC, is_incident) = 1)
+SELECT event_id, s, tier, is_incident, CAST(row_number() OVER (ORDER BY tier, s DESC, is_incident, event_id) AS INTEGER) AS rank FROM u ORDER BY rank LIMIT 40""",
     "timeline_geo_top": f"WITH {_EV}, w AS (SELECT event_id, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS r, s FROM ev WHERE lat BETWEEN -40 AND 60 AND (lon >= 100 OR lon <= -60)) " + _SAMPLE("w", "r DESC, s DESC, event_id", 200),
-    "tracks": f"""WITH {_EV}, n AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_id DESC) <= 500)
-SELECT user_id, max(s) AS last_s, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY s, event_id) AS points FROM n GROUP BY user_id ORDER BY last_s DESC, user_id LIMIT 100""",
-    "tracks_clipped": "SELECT count(*) AS users, count(*) FILTER (WHERE n > 60) AS clipped_tracks, CAST(sum(greatest(n - 60, 0)) AS BIGINT) AS clipped_points FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)",
+    "tracks": f"WITH {_EV} SELECT user_id, max(s) AS last_s, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY s, event_id) AS points FROM ev GROUP BY user_id ORDER BY last_s DESC, user_id LIMIT 100",
+    "tracks_clipped": f"WITH {_EV}, u AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE lat BETWEEN -40 AND 60 AND (lon >= 100 OR lon <= -60)) AS inside FROM ev WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY 1) SELECT count(*) AS users, CAST(coalesce(sum(n - inside), 0) AS BIGINT) AS clipped_points FROM u WHERE inside > 0",
     "landing_counts": f"WITH {_EV} SELECT count(*) AS events, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-20') AS recent, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-20' AND severity = 'critical') AS critical, count(*) FILTER (WHERE value > 300) AS large, count(DISTINCT user_id) AS users FROM ev",
     "latest_positions": f"WITH {_EV} SELECT user_id, event_id, lat, lon FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_id DESC) = 1",
     "grid_ignitions": f"""WITH {_EV}, c AS (SELECT CAST(floor(lat / 10) AS BIGINT) AS row, CAST(floor(lon / 10) AS BIGINT) AS col, event_id, s, count(*) OVER (PARTITION BY floor(lat / 10), floor(lon / 10) ORDER BY s RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS hits FROM ev)
 SELECT row, col, event_id, hits FROM c WHERE hits >= 3 QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY s, event_id) = 1""",
-    "severity_bursts": f"WITH {_EV}, c AS (SELECT user_id % 8 AS grp, event_id, count(*) OVER (PARTITION BY user_id % 8 ORDER BY s RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS hits FROM ev WHERE severity IN ('critical', 'high')) SELECT * FROM c WHERE hits >= 5",
+    "severity_bursts": f"""WITH {_EV}, h AS (SELECT event_id, s, lag(s, 4) OVER (ORDER BY s, event_id) AS fifth, row_number() OVER (ORDER BY s, event_id) AS r FROM ev WHERE severity IN ('critical', 'high')), g AS (SELECT min(r) AS r0 FROM h WHERE fifth >= s - 900)
+SELECT event_id, CASE WHEN r = r0 THEN 'ignition' ELSE 'update' END AS kind FROM h, g WHERE r >= r0""",
     "cluster_sessions": f"""WITH {_EV}, n AS (SELECT user_id, event_id, s, CASE WHEN s - lag(s) OVER w <= 43200 THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)),
 k AS (SELECT user_id, s, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM n) SELECT user_id, session, min(s) AS start_s, max(s) AS end_s, count(*) AS hits FROM k GROUP BY ALL""",
     "escalation": f"WITH {_EV}, h AS (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS h FROM ev) SELECT user_id, event_id, CASE WHEN h >= 50 THEN 'critical' WHEN h >= 20 THEN 'high' WHEN h >= 5 THEN 'elevated' ELSE 'low' END AS level FROM h",

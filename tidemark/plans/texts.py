@@ -14,9 +14,12 @@ from ..session import table
 
 #: Ends of words for RE2 and Java alike: ASCII white space only.
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
-_B64 = "coalesce(list_sum(list_transform(regexp_extract_all(coalesce(text, ''), '([A-Za-z0-9+/]{40,}={0,2})', 1), lambda x: length(x))), 0)"
-_JUNK = f"""CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN {_B64} > 0.25 * length(text) THEN 'base64_heavy' WHEN length(text) < 40 THEN 'too_short' WHEN len({_WORDS}) < 8 THEN 'too_few_words'
-WHEN length(text) >= 200 AND NOT regexp_matches(text, '[.!?;:\\n]') THEN 'low_prose' END"""
+_EDGE = lambda x: f"regexp_replace({x}, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')"
+_RAW = "coalesce(text, '')"
+_BARE = f"regexp_replace({_RAW}, 'data:[^, \\t\\n\\r\\f]*;base64,[A-Za-z0-9+/=]+', '', 'g')"
+_B64 = f"(length({_RAW}) - length(regexp_replace({_RAW}, 'base64,[A-Za-z0-9+/=]+', '', 'g')))"
+_JUNK = f"""CASE WHEN {_EDGE(_RAW)} = '' THEN 'empty' WHEN length({_RAW}) - length({_BARE}) > 0.25 * length({_EDGE(_RAW)}) THEN 'base64_heavy' WHEN length({_EDGE(_BARE)}) < 40 THEN 'too_short'
+WHEN len(regexp_extract_all({_BARE}, '[^ \\t\\n\\r\\f]+')) < 8 THEN 'too_few_words' WHEN length({_EDGE(_BARE)}) >= 200 AND NOT regexp_matches({_EDGE(_BARE)}, '[.!?;:\\n]') THEN 'low_prose' END"""
 
 
 def content_junk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +29,7 @@ def content_junk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-19, AGG-15."""
-    d = table(spark, sf_dir, "documents").withColumn("class", classify.survey_class("text"))
+    d = table(spark, sf_dir, "documents").withColumn("class", classify.survey_class("text", F.col("source") == "src3"))
     return d.groupBy("class", "lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -85,9 +88,13 @@ def superseded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-04, PRJ-12: excerpts and provenance classes."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.element_at(F.array(*[F.lit(x) for x in ("gdelt_", "rss_", "telegram_", "")]), (F.col("doc_id") % 4 + 1).cast("int")), "source").alias("source"), F.when(F.expr("doc_id % 5 = 0"), F.col("lang")).alias("source_type"), F.when(F.expr("doc_id % 10 = 0"), F.col("source")).alias("provider"))
+    d = table(spark, sf_dir, "documents")
+    names = F.array(*[F.lit(x) for x in ("gdelt", "RSS", "telegram", "gdelt_gkg", "gdelt_x", "other")])
+    when = lambda rule, c: F.when(F.expr(rule), c)
+    d = d.select("doc_id", "text", F.element_at(names, (F.col("doc_id") % 6 + 1).cast("int")).alias("source"), when("doc_id % 5 = 0", F.col("lang")).alias("source_type"), when("doc_id % 10 = 0", F.col("source")).alias("provider"),
+        when("doc_id % 7 = 0", F.lit("nb1")).alias("notebook_id"), when("doc_id % 11 = 0", F.lit("@Chan")).alias("telegram_channel"), when("doc_id % 4 = 0", F.lit("Feed")).alias("feed_name"))
     got = t.evidence(d, F.col("text"))
-    return got.groupBy("provenance_class").agg(F.count("*").alias("n"), F.sum(F.length("excerpt")).alias("chars"))
+    return got.groupBy("provenance_class", "provenance_provider").agg(F.count("*").alias("n"), F.sum(F.length("excerpt")).alias("chars"))
 
 
 def evidence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +109,7 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = table(spark, sf_dir, "documents")
     h = keys.content_hash("source", "lang")
-    return d.select("doc_id", h.alias("content_hash"), keys.point_id(F.sha2(F.col("doc_id").cast("string"), 256)).cast("string").alias("point_id"), keys.event_key(F.col("source"), F.col("lang"), F.substring("text", 1, 300)).alias("event_key"), keys.stream_event_id(F.col("n_chars"), F.col("doc_id")).alias("stream_id"))
+    return d.select("doc_id", h.alias("content_hash"), keys.point_id(F.sha2(F.col("doc_id").cast("string"), 256)).cast("string").alias("point_id"), keys.event_key(F.col("source"), F.col("lang"), F.col("text")).alias("event_key"), keys.stream_event_id(F.col("n_chars"), F.col("doc_id")).alias("stream_id"))
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,8 +182,8 @@ QUERIES = {
 
 _SPLIT = "string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')), ' ')"
 _CHUNKS = lambda size, step: f"""w AS (SELECT doc_id, text, {_SPLIT} AS w FROM documents WHERE text IS NOT NULL),
-c AS (SELECT doc_id, text, w, unnest(CASE WHEN len(w) < {size} THEN [0] ELSE range(0, len(w), {step}) END) AS s FROM w),
-b AS (SELECT doc_id, CAST(s // {step} AS INTEGER) AS chunk, CASE WHEN len(w) < {size} THEN text ELSE array_to_string(w[s + 1:s + {size}], ' ') END AS text FROM c)"""
+c AS (SELECT doc_id, text, w, unnest(CASE WHEN len(w) <= {size} THEN [0] ELSE range(0, len(w), {step}) END) AS s FROM w),
+b AS (SELECT doc_id, CAST(s // {step} AS INTEGER) AS chunk, CASE WHEN len(w) <= {size} THEN text ELSE array_to_string(w[s + 1:s + {size}], ' ') END AS text FROM c)"""
 _TITLE = "trim(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://[^ \\t\\n\\r\\f]+', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
 _STRIP = "html"
 for _a, _b in (("<!--(?s:.*?)-->", " "), ("<(script|style)[^>]*>(?s:.*?)</(script|style)>", " "), ("<[^>]*>", " ")):
@@ -188,7 +195,7 @@ _SQL_WS = "[ \\t\\n\\r\\f]+"
 
 ORACLE = {
     "content_junk": f"SELECT doc_id, coalesce({_JUNK}, '-') AS junk FROM documents",
-    "corpus_survey": f"""WITH c AS (SELECT lang, text, CASE WHEN length(coalesce(text, '')) < 30 THEN 'tiny' WHEN {_B64} > 0.30 * length(text) THEN 'base64' WHEN len(regexp_extract_all(text, '[.!?]')) <= 1 THEN 'fragment' ELSE 'prose' END AS class FROM documents)
+    "corpus_survey": f"""WITH c AS (SELECT lang, text, CASE WHEN length({_EDGE(_RAW)}) < 30 THEN 'EMPTY' WHEN {_B64} > 0.30 * length({_EDGE(_RAW)}) THEN 'IMAGE_HEAVY' WHEN source <> 'src3' AND length({_EDGE(_RAW)}) >= 200 AND len(regexp_extract_all(text, '[.!?]')) <= 1 THEN 'LOW_PROSE' ELSE 'ok' END AS class FROM documents)
 SELECT class, lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM c GROUP BY ALL""",
     "survey_rollup": "SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, count(*) AS n, CAST(grouping(lang, source) AS BIGINT) AS level FROM documents GROUP BY ROLLUP (lang, source)",
     "top_sources": "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 12",
@@ -205,10 +212,13 @@ regexp_replace(lower(regexp_extract(trim(url), '^([A-Za-z]+://[^/?#]*)', 1)) ||
 lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+(?:/[^/?#]+)?)', 1)) AS section FROM pages""",
     "context_windows": "WITH x AS (SELECT doc_id, coalesce(text, '') AS t, instr(lower(coalesce(text, '')), 'license') AS pos FROM documents) SELECT doc_id, md5(CASE WHEN pos > 0 THEN substr(t, greatest(pos - 60, 1), pos + 67 - greatest(pos - 60, 1)) ELSE substr(t, 1, 100) END) AS around FROM x",
     "superseded_chunks": f"WITH {_CHUNKS(100, 90)}, k AS (SELECT doc_id FROM b WHERE ({_JUNK}) IS NULL) SELECT doc_id, CAST(count(*) - 1 AS INTEGER) AS last, count(*) AS n FROM k GROUP BY doc_id",
-    "evidence_items": """SELECT CASE WHEN doc_id % 10 = 0 THEN 'canonical' WHEN doc_id % 4 = 0 THEN 'legacy_gdelt' WHEN doc_id % 4 = 1 THEN 'legacy_news' WHEN doc_id % 4 = 2 THEN 'legacy_social' ELSE 'unknown' END AS provenance_class, count(*) AS n, CAST(sum(length(substr(text, 1, 700))) AS BIGINT) AS chars FROM documents GROUP BY 1""",
+    "evidence_items": """WITH x AS (SELECT text, doc_id AS i, source AS p, ['gdelt', 'rss', 'telegram', 'gdelt_gkg', 'gdelt_x', 'other'][doc_id % 6 + 1] AS s FROM documents),
+y AS (SELECT text, CASE WHEN i % 10 = 0 THEN 'canonical' WHEN i % 7 = 0 THEN 'notebooklm' WHEN i % 11 = 0 OR s = 'telegram' THEN 'telegram' WHEN s = 'rss' THEN 'rss' WHEN s IN ('gdelt', 'gdelt_gkg') THEN 'gdelt' ELSE 'unknown' END AS provenance_class,
+CASE WHEN i % 10 = 0 THEN p WHEN i % 7 = 0 THEN 'notebooklm:nb1' WHEN i % 11 = 0 THEN 'telegram:chan' WHEN s = 'telegram' THEN 'telegram' WHEN s = 'rss' AND i % 4 = 0 THEN 'feed' WHEN s = 'rss' THEN 'rss' WHEN s IN ('gdelt', 'gdelt_gkg') THEN 'gdelt' ELSE '?' END AS provenance_provider FROM x)
+SELECT provenance_class, provenance_provider, count(*) AS n, CAST(sum(length(substr(text, 1, 700))) AS BIGINT) AS chars FROM y GROUP BY ALL""",
     "evidence_dedup": "SELECT lang AS query, doc_id AS pos FROM documents QUALIFY row_number() OVER (PARTITION BY lang, coalesce(CASE WHEN doc_id % 7 > 0 THEN sha256(text) END, source, CAST(doc_id AS VARCHAR)) ORDER BY doc_id) = 1",
     "content_hash": f"""SELECT doc_id, sha256(lower(trim(source)) || '|' || lower(trim(lang))) AS content_hash, CAST(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) AS UBIGINT) AS VARCHAR) AS point_id,
-substr(sha256(source || '|' || lang || '|' || substr(lower(regexp_replace(trim(substr(text, 1, 300)), '{_SQL_WS}', ' ', 'g')), 1, 200)), 1, 24) AS event_key, lpad(CAST(n_chars AS VARCHAR), 13, '0') || '-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS stream_id FROM documents""",
+substr(sha256(source || '|' || lang || '|' || substr(lower(regexp_replace(trim(text), '{_SQL_WS}', ' ', 'g')), 1, 200)), 1, 24) AS event_key, lpad(CAST(n_chars AS VARCHAR), 13, '0') || '-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS stream_id FROM documents""",
     "dense_topk": f"""WITH q AS (SELECT {_DENSE} AS q), e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 s AS (SELECT vec_id, list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) AS s FROM e, q) SELECT vec_id, round(s, 6) AS score FROM s WHERE s >= 0.05 ORDER BY s DESC, vec_id LIMIT 20""",
     "tier_boost": f"WITH {_BOOST} SELECT query, pos, CAST(rank AS INTEGER) AS rank, round(boosted, 9) AS boosted FROM k WHERE rank <= 40",

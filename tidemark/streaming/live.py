@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,7 +46,10 @@ def threshold_detector(events: DataFrame, key: str, seconds: str, window: int =
             if is_open and now - last > quiet:
                 out.append((str(key_value[0]), last + quiet, "close", hits))
                 is_open, hits, recent, muted = False, 0, [], last + quiet + cooldown
-            recent = [s for s in recent if now - s < window] + [now]
+            if not is_open:  # an open cluster needs no window; a closed one ignites at least, or waits out its cooldown
+                recent.append(now)
+                start = bisect.bisect_right(recent, now - window)
+                recent = recent[start:] if start else recent
             last = max(last, now)
             if is_open:
                 hits += 1
@@ -53,7 +57,7 @@ def threshold_detector(events: DataFrame, key: str, seconds: str, window: int =
             elif len(recent) >= least and now >= muted:
                 is_open, hits = True, len(recent)
                 out.append((str(key_value[0]), now, "ignition", hits))
-        state.update((recent[-10_000:], is_open, hits, last, muted))
+        state.update((recent, is_open, hits, last, muted))
         yield pd.DataFrame(out, columns=["key", "seconds", "kind", "hits"])
 
     keyed = events.select(F.col(key).cast("string").alias("key"), F.col(seconds).cast("long").alias(seconds))

@@ -87,3 +87,18 @@ def dead_letters(attempts: DataFrame, key: str, most: int) -> DataFrame:
     """Per message: attempts, whether it was acknowledged, or is for the dead-letter table."""
     per = attempts.groupBy(key).agg(F.count("*").alias("attempts"), F.bool_or("ok").alias("done"))
     return per.withColumn("dead", ~F.col("done") & (F.col("attempts") >= most))
+
+
+def global_burst(events: DataFrame, seconds: str, key: str, window: int, least: int) -> DataFrame:
+    """One cluster of all events in the order of (seconds, key): kind is ignition for the first at which
+    the last ``window`` seconds hold ``least``, update for all later ones; earlier ones are left out.
+    The window runs over counts per second, and only the second of the ignition is ordered."""
+    per = events.groupBy(F.col(seconds).cast("long").alias("__s")).agg(F.count("*").alias("__n"))
+    w = Window.orderBy("__s").rangeBetween(-window, 0)
+    first = per.withColumn("__sum", F.sum("__n").over(w)).where(F.col("__sum") >= least)
+    first = first.agg(F.min_by(F.struct("__s", (least - F.col("__sum") + F.col("__n")).alias("nth")), "__s").alias("f")).select("f.*").where("__s is not null")
+    later = events.join(F.broadcast(first), F.col(seconds) >= F.col("__s"))
+    there = later.where(F.col(seconds) == F.col("__s")).withColumn("__r", F.row_number().over(Window.partitionBy("__s").orderBy(key)))
+    there = there.where(F.col("__r") >= F.col("nth")).withColumn("kind", F.when(F.col("__r") == F.col("nth"), "ignition").otherwise("update"))
+    after = later.where(F.col(seconds) > F.col("__s")).withColumn("kind", F.lit("update"))
+    return there.select(*events.columns, "kind").unionByName(after.select(*events.columns, "kind"))
