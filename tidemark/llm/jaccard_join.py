@@ -125,8 +125,8 @@ _SETS = "doc_id long, n long, f1 long, f2 long, gid long, prefix array<long>, sk
 
 def _shared_tokens(n: int) -> int:
     """Tokens that the prefixes of two linked sets share at least, by the smaller set's size;
-    large sets have longer prefixes and must share more."""
-    return 1 if n <= 1000 else n // 50
+    larger sets have longer prefixes and must share more."""
+    return max(1, n // 50)
 
 
 def _fingerprint(x: np.ndarray) -> tuple[int, int]:
@@ -329,7 +329,7 @@ def _pairs(members: DataFrame, hot: DataFrame, percent: int, every: bool, split:
     pairs = _dealt(members, hot, every, split).repartition("token", "slot").sortWithinPartitions("token", "slot", "n", "id").mapInArrow(run, _PAIRS)
     pairs = pairs.groupBy("a", "b", "hub").agg(F.sum("w").alias("tokens"), F.min("d").alias("d"), F.min("n").alias("n"))
     if every:
-        return pairs.where("tokens >= if(n <= 1000, 1, n div 50)").select("a", "b")
+        return pairs.where("tokens >= greatest(1, n div 50)").select("a", "b")
     one = F.struct((-F.col("tokens")).alias("t"), "d", "a") if partners == 1 else F.struct("d", (-F.col("tokens")).alias("t"), "a")
     best = pairs.groupBy("b", "hub").agg(F.slice(F.array_sort(F.collect_list(one)), 1, F.when(F.col("hub"), 1).otherwise(partners)).alias("m"))
     return best.select(F.explode("m.a").alias("a"), "b").distinct()
