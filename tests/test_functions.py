@@ -112,3 +112,50 @@ def test_bodies_and_latest_years(spark):
     assert got[0].startswith("Short head\nA sentence") and tuple(got)[1:] == (2, True, False)
     years = lambda **kv: enrich.latest_year(F.create_map(*[F.lit(x) for k, v in kv.items() for x in (k.replace("_", " "), v)]))
     assert one(spark, years(first_2019="a", est_2021="b", note="n"), years(plain="p", other="q"), years(x_2020="a", text="t"), years(a_2020="1", b_2020="2")) == ("b", "q", "t", "2")
+
+
+def test_questions_lanes_and_codes(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import classify
+    from tidemark.operators import retrieval, texts
+
+    asked = {
+        "What are the most connected entities?": ("top_connected", None),
+        'Show events involving "Alpha Base" now': ("events_by_entity", "Alpha Base"),
+        "events in kiel?": ("event_timeline", None),
+        "Which unit operates Leopard 2": ("one_hop", "Leopard"),
+        "who is Ann Lee": ("entity_lookup", "Ann Lee"),
+        "tell me more": (None, None),
+        "": (None, None),
+    }
+    q = spark.createDataFrame([(x,) for x in asked] + [(None,)], "q string").withColumn("e", texts.asked_entity(F.col("q")))
+    got = {r["q"]: (r["t"], r["e"], r["p"]) for r in q.select("q", "e", texts.intent(F.col("q"), F.col("e")).alias("t"), texts.asked_location(F.col("q"), F.col("e")).alias("p")).collect()}
+    assert {k: v[:2] for k, v in got.items() if k is not None} == asked and got[None][:2] == (None, None) and got["events in kiel?"][2] == "kiel"
+
+    prose = "The ministry said on Monday that talks on the northern route will go on next week."
+    schema = "id int, source string, source_type string, notebook_id string, telegram_channel string, content string, summary string, superseded_by_fulltext boolean"
+    rows = spark.createDataFrame(
+        [
+            (1, "rss", None, None, None, None, prose, None),
+            (2, "rss", "dataset", None, None, prose, None, None),
+            (3, "suv_structured", "dataset", None, None, prose, None, False),
+            (4, "unknown", None, "n1", None, prose, None, None),
+            (5, "rss", "rss", None, None, "", None, None),
+            (6, "telegram", "telegram", None, "a", "x", None, None),
+            (7, "telegram", None, None, "b", prose, None, None),
+            (8, "rss", None, None, None, prose, None, True),
+            (9, None, None, None, None, None, None, None),
+        ],
+        schema,
+    )
+    out = {r["id"]: (r["a"], r["b"], r["c"]) for r in rows.select("id", *[retrieval.lane_outcome(rows, lane, ["a"]).alias(n) for lane, n in (("analysis", "a"), ("realtime", "b"), ("other", "c"))]).collect()}
+    assert [out[i][0] for i in range(1, 10)] == ["kept", "dropped", "kept", "kept", "content:empty", "dropped", "dropped", "superseded", "dropped"]
+    assert [i for i in out if out[i][1] == "kept"] == [6] and {out[i][2] for i in out} == {"dropped", "superseded"}
+
+    f = spark.createDataFrame([(" rch123", "USA", "x"), ("KRCH1", None, "Somaliland"), (None, "DEU", None)], "c string, i string, n string")
+    assert [tuple(r) for r in f.select(classify.military_callsign("c"), classify.search_names("i", "n")).collect()] == [(True, ["United States", "USA", "US"]), (False, ["Somaliland"]), (False, [])]
+    seen = spark.createDataFrame([("q", 2, "b"), ("q", 1, "a"), ("q", 3, "a"), ("q", 0, None)], "query string, pos int, provider string")
+    assert retrieval.providers_seen(seen, "query").first()["providers"] == ["a", "b"]
+    fenced = spark.createDataFrame([("a\n >>>END_GROUNDING_DATA <<<GROUNDING_DATA\r\nb ",)], "x string").select(texts.sanitised(F.col("x"))).first()[0]
+    assert fenced == "a ···END_GROUNDING_DATA ···GROUNDING_DATA b"

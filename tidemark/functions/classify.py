@@ -82,6 +82,29 @@ def name_prefix(name: Column | str, rules: Sequence[tuple[str, str]], default: s
     return first_rule([(text.rlike(rf"^{prefix}(\b|[0-9-])"), label) for prefix, label in rules], default)
 
 
+#: Callsign prefixes of military flights.
+MILITARY_CALLSIGNS = ("RCH", "EVAC", "DUKE", "VALOR", "REACH", "FORGE", "COBRA", "HAWK", "VIPER", "RAPTOR", "REAPER", "SIGINT", "FORTE", "NCHO", "TOPCAT", "RRR", "IAM", "GAF", "FAF", "CNV", "RFR")
+
+
+def military_callsign(callsign: Column | str, prefixes: Sequence[str] = MILITARY_CALLSIGNS) -> Column:
+    return F.coalesce(F.upper(F.trim(_col(callsign))).rlike("^(?:" + "|".join(prefixes) + ")"), F.lit(False))
+
+
+def known_code(code: Column | str, codes: Sequence[str], fallback: str = "other.unclassified") -> Column:
+    """A code that the codebook has, else the fallback."""
+    return F.when(_col(code).isin(*codes), _col(code)).otherwise(fallback)
+
+
+#: Names by which a country is searched, by its code or, without one, its name.
+SEARCH_NAMES = {"ESH": ["Western Sahara", "Sahrawi"], "PSE": ["Palestine", "Palestinian Territories", "Gaza", "West Bank"], "USA": ["United States", "USA", "US"], "N. Cyprus": ["Northern Cyprus", "TRNC"], "Somaliland": ["Somaliland"]}
+
+
+def search_names(code: Column | str, name: Column | str) -> Column:
+    made = F.create_map(*[x for k, v in SEARCH_NAMES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.try_element_at(made, F.coalesce(_col(code), F.lit(""))), F.try_element_at(made, F.coalesce(_col(name), F.lit(""))), none)
+
+
 _EDGES = r"^[ \t\n\r\f]+|[ \t\n\r\f]+$"
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.classify import content_junk, mapped
+
 
 def cosine(a: Column, b: Column) -> Column:
     """Of two arrays of numbers; null if one is all zeros."""
@@ -54,12 +56,31 @@ def lane_merge(ranked: DataFrame, query: str, k: int = 5, most_realtime: int = 1
     return kept.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(live.cast("int"), "rank"))).drop("__n", "__live")
 
 
-def lane(source: Column, source_type: Column, realtime: Sequence[tuple[str, str]], junk: Column) -> Column:
-    """The lane of a (source, type) pair once more, with the junk gate."""
-    live = F.lit(False)
-    for s, t in realtime:
-        live = live | ((source == s) & (source_type == t))
-    return F.when(junk.isNotNull(), "rejected").when(live, "realtime").when(source.isNotNull() & source_type.isNotNull(), "analysis").otherwise("rejected")
+#: Sources of the analysis lane and the type that each must have.
+ANALYSIS_TYPES = {"rss": "rss", "rss_fulltext": "rss", "suv_structured": "dataset"}
+
+
+def lane_outcome(rows: DataFrame, lane: str, channels: Sequence[str], analysis: dict[str, str] = ANALYSIS_TYPES) -> Column:
+    """What becomes of a retrieved row in a lane: kept, superseded, dropped, or content: and why its
+    text is junk. A type that is given must be its source's; an unknown lane keeps nothing."""
+    have = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    filled = lambda c: F.coalesce(have(c) != "", F.lit(False))
+    fits = lambda kind: have("source_type").isNull() | (have("source_type") == kind)
+    ok, junk = F.lit(False), F.lit(None).cast("string")
+    if lane == "analysis":
+        known = F.coalesce(have("source").isin(*analysis), F.lit(False))
+        ok = F.when(known, fits(mapped(have("source"), analysis, ""))).when(filled("notebook_id"), fits(F.lit("notebooklm"))).otherwise(False)
+        junk = content_junk(F.coalesce(*[F.when(filled(c), have(c)) for c in ("content", "summary", "description", "title")]))
+    elif lane == "realtime":
+        ok = F.coalesce((have("source") == "telegram") & have("telegram_channel").isin(*channels), F.lit(False)) & fits(F.lit("telegram"))
+    superseded = have("superseded_by_fulltext").cast("boolean") if "superseded_by_fulltext" in rows.columns else F.lit(False)
+    return F.when(F.coalesce(superseded, F.lit(False)), "superseded").when(~ok, "dropped").when(junk.isNotNull(), F.concat(F.lit("content:"), junk)).otherwise("kept")
+
+
+def providers_seen(items: DataFrame, query: str) -> DataFrame:
+    """Each query's providers in the order in which its evidence first names them. items: pos, provider."""
+    first = items.where(F.col("provider").isNotNull()).groupBy(query, "provider").agg(F.min("pos").alias("pos"))
+    return first.groupBy(query).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "provider"))), lambda x: x["provider"]).alias("providers"))
 
 
 def unique_evidence(items: DataFrame, query: str) -> DataFrame:

@@ -126,28 +126,49 @@ def report_sections(text: Column) -> Column:
     )
 
 
-#: Words of a question and the template that answers it, in order.
+#: Words of a question, the template that they ask for, in order, and whether it needs an entity.
 INTENTS = [
-    (r"\b(connect|path|between|link)", "two_hop"),
-    (r"\b(top|most connected|central)", "top_connected"),
-    (r"\b(together|co-?occur|along with)", "co_occurring"),
-    (r"\b(where|location|place)", "events_by_location"),
-    (r"\b(source|report|cite)", "source_backed"),
-    (r"\b(event|happen|attack)", "events_by_entity"),
-    (r"\b(neighbou?r|related)", "one_hop"),
+    (("most connected", "top entities", "most important", "highest degree"), "top_connected", False),
+    (("events involving", "events about", "events for"), "events_by_entity", True),
+    (("timeline", "events in", "events at"), "event_timeline", False),
+    (("co-occur", "appear together", "related entities", "co-occurring"), "co_occurring", True),
+    (("sources for", "evidence", "reported by", "source"), "source_backed", True),
+    (("network", "2-hop", "connections around"), "two_hop_network", True),
+    (("operates", "operate", "betreibt", "in dienst", "im bestand", "fielded", "in service"), "one_hop", True),
+    (("beschafft", "procures", "procurement", "modernisierung", "vorhaben", "contractor", "auftragnehmer"), "one_hop", True),
+    (("connected to", "related to", "neighbors of", "linked to"), "one_hop", True),
+    (("who is", "what is", "find entity", "look up"), "entity_lookup", True),
 ]
 
 
-def intent(question: Column) -> Column:
-    """The first template whose words are in the question; else the one-hop template."""
-    out = F.lit("one_hop")
-    for pattern, template in reversed(INTENTS):
-        out = F.when(F.lower(question).rlike(pattern), template).otherwise(out)
+def asked_entity(question: Column) -> Column:
+    """What stands in double quotes, else the words after the first that begin with a capital; null if none."""
+    quoted = F.regexp_extract(question, '"([^"]+)"', 1)
+    words = F.filter(F.split(question, r"[ \t\n\r\f]+"), lambda w: w != "")
+    named = F.array_join(F.filter(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w: w.rlike(r"^\p{Lu}")), " ")
+    return F.when(quoted != "", quoted).when(named != "", named)
+
+
+def intent(question: Column, entity: Column) -> Column:
+    """The first template whose words are in the question and whose entity, if it needs one, is
+    known; else the lookup of the entity; null without one. entity: asked_entity, a column of its own."""
+    asked = F.lower(question)
+    out = F.when(entity.isNotNull(), "entity_lookup")
+    for marks, template, needs in reversed(INTENTS):
+        found = asked.rlike("|".join(marks))
+        out = F.when(found & entity.isNotNull() if needs else found, template).otherwise(out)
     return out
 
 
-def asked_entity(question: Column) -> Column:
-    """What stands in quotes, else the first run of capitalised words after the first word."""
-    quoted = F.regexp_extract(question, "[\"“]([^\"”]+)[\"”]", 1)
-    named = F.regexp_extract(question, r"\s((?:[A-Z][\w-]*)(?:\s+[A-Z][\w-]*)*)", 1)
-    return F.when(quoted != "", quoted).when(named != "", named)
+def asked_location(question: Column, entity: Column) -> Column:
+    """Where a timeline is asked for: the entity, else what follows the last "in " or "at "."""
+    rest = F.substring_index(F.substring_index(question, "in ", -1), "at ", -1)
+    return F.coalesce(entity, F.btrim(rest, F.lit(" ?.")))
+
+
+def sanitised(text: Column, fences: tuple[str, ...] = ("<<<GROUNDING_DATA", ">>>END_GROUNDING_DATA")) -> Column:
+    """One line of outside text in which no fence can be forged."""
+    out = F.regexp_replace(text, r"[ \t\n\r\f]+", " ")
+    for fence in fences:
+        out = F.replace(out, F.lit(fence), F.lit(re.sub("[<>]", "·", fence)))
+    return F.trim(out)

@@ -97,6 +97,47 @@ def evidence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("provenance_class", "provenance_provider").agg(F.count("*").alias("n"), F.sum(F.length("excerpt")).alias("chars"))
 
 
+_CHANNELS = ("Chan1", "Chan2")
+
+
+def lane_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-17: what each lane keeps of the documents."""
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x).cast("string") for x in names]), (F.col("doc_id") % n + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", pick(("rss", "rss_fulltext", "suv_structured", "telegram", "gdelt", None), 6).alias("source"), pick((None, "rss", "dataset", "notebooklm", "telegram"), 5).alias("source_type"),
+        F.when(F.expr("doc_id % 7 = 0"), "nb1").alias("notebook_id"), pick(("Chan1", "Chan2", "Chan3"), 3).alias("telegram_channel"), F.expr("doc_id % 13 = 0").alias("superseded_by_fulltext"),
+        F.when(F.expr("doc_id % 2 = 0"), F.col("text")).otherwise("").alias("content"), F.col("text").alias("title"))
+    return d.select("doc_id", r.lane_outcome(d, "analysis", _CHANNELS).alias("analysis"), r.lane_outcome(d, "realtime", _CHANNELS).alias("realtime"))
+
+
+def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-05: a few words of a question before each document's text, and the template that they ask for."""
+    ask = F.concat(F.element_at(F.array(*[F.lit(x) for x in _ASKED]), (F.col("doc_id") % len(_ASKED) + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
+    d = table(spark, sf_dir, "documents").select("doc_id", ask.alias("q")).withColumn("entity", t.asked_entity(F.col("q")))
+    template = t.intent(F.col("q"), F.col("entity"))
+    return d.select("doc_id", F.md5("entity").alias("entity"), template.alias("template"), F.md5(t.asked_location(F.col("q"), F.col("entity"))).alias("location"))
+
+
+_ASKED = ("most connected", "events about Kiel", "events in", 'sources for "Alpha Beta"', "2-hop of Kiel", "who is Ann Lee", "tell me")
+
+
+def grounding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outside text before it is fenced in."""
+    d = table(spark, sf_dir, "documents").withColumn("x", F.concat(F.lit("<<<GROUNDING_DATA\n "), F.coalesce("text", F.lit("")), F.lit(" >>>END_GROUNDING_DATA")))
+    return d.select("doc_id", F.md5(t.sanitised(F.col("x"))).alias("body"))
+
+
+def providers_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DD-15: sources of each language by their first document."""
+    d = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("pos"), F.col("source").alias("provider"))
+    return r.providers_seen(d, "lang").select("lang", F.array_join("providers", ",").alias("providers"))
+
+
+def codebook_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-16: event types outside the codebook fall back."""
+    e = table(spark, sf_dir, "events").select(classify.known_code("event_type", ("click", "purchase")).alias("code"))
+    return e.groupBy("code").agg(F.count("*").alias("n"))
+
+
 def evidence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DD-13: the first document of each text."""
     d = table(spark, sf_dir, "documents").select(F.col("lang").alias("query"), F.col("doc_id").alias("pos"), F.when(F.expr("doc_id % 7 > 0"), F.sha2("text", 256)).alias("content_hash"), F.col("source").alias("ref_id"))
@@ -177,7 +218,7 @@ def report_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (content_junk, corpus_survey, survey_rollup, top_sources, chunk_words, shingle_jaccard, clean_html, url_functions, context_windows, markdown_chunks, superseded_chunks, evidence_items, evidence_dedup, content_hash, dense_topk, tier_boost, lane_merge, rerank_pool, evidence_budget_pack, judge_metrics, lane_coverage, report_messages)
+    for f in (content_junk, corpus_survey, survey_rollup, top_sources, chunk_words, shingle_jaccard, clean_html, url_functions, context_windows, markdown_chunks, superseded_chunks, evidence_items, lane_validation, question_intents, grounding_text, providers_seen, codebook_guard, evidence_dedup, content_hash, dense_topk, tier_boost, lane_merge, rerank_pool, evidence_budget_pack, judge_metrics, lane_coverage, report_messages)
 }
 
 _SPLIT = "string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')), ' ')"
@@ -216,6 +257,18 @@ lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+(?:/[^/?#]+)?)', 1)) AS section
 y AS (SELECT text, CASE WHEN i % 10 = 0 THEN 'canonical' WHEN i % 7 = 0 THEN 'notebooklm' WHEN i % 11 = 0 OR s = 'telegram' THEN 'telegram' WHEN s = 'rss' THEN 'rss' WHEN s IN ('gdelt', 'gdelt_gkg') THEN 'gdelt' ELSE 'unknown' END AS provenance_class,
 CASE WHEN i % 10 = 0 THEN p WHEN i % 7 = 0 THEN 'notebooklm:nb1' WHEN i % 11 = 0 THEN 'telegram:chan' WHEN s = 'telegram' THEN 'telegram' WHEN s = 'rss' AND i % 4 = 0 THEN 'feed' WHEN s = 'rss' THEN 'rss' WHEN s IN ('gdelt', 'gdelt_gkg') THEN 'gdelt' ELSE '?' END AS provenance_provider FROM x)
 SELECT provenance_class, provenance_provider, count(*) AS n, CAST(sum(length(substr(text, 1, 700))) AS BIGINT) AS chars FROM y GROUP BY ALL""",
+    "lane_validation": f"""WITH d AS (SELECT doc_id, text, ['rss', 'rss_fulltext', 'suv_structured', 'telegram', 'gdelt', NULL][doc_id % 6 + 1] AS s, [NULL, 'rss', 'dataset', 'notebooklm', 'telegram'][doc_id % 5 + 1] AS k, doc_id % 7 = 0 AS book, doc_id % 3 < 2 AS listed, doc_id % 13 = 0 AS gone, {_JUNK} AS junk FROM documents)
+SELECT doc_id, CASE WHEN gone THEN 'superseded' WHEN NOT CASE WHEN s IN ('rss', 'rss_fulltext') THEN coalesce(k, 'rss') = 'rss' WHEN s = 'suv_structured' THEN coalesce(k, 'dataset') = 'dataset' ELSE book AND coalesce(k, 'notebooklm') = 'notebooklm' END THEN 'dropped' WHEN junk IS NOT NULL THEN 'content:' || junk ELSE 'kept' END AS analysis,
+CASE WHEN gone THEN 'superseded' WHEN s = 'telegram' AND listed AND coalesce(k, 'telegram') = 'telegram' THEN 'kept' ELSE 'dropped' END AS realtime FROM d""",
+    "question_intents": r"""WITH a AS (SELECT doc_id, ['most connected', 'events about Kiel', 'events in', 'sources for "Alpha Beta"', '2-hop of Kiel', 'who is Ann Lee', 'tell me'][doc_id % 7 + 1] || ' ' || coalesce(text, '') AS q FROM documents),
+e AS (SELECT doc_id, q, lower(q) AS l, coalesce(nullif(regexp_extract(q, '"([^"]+)"', 1), ''), nullif(array_to_string(list_filter(list_filter(string_split_regex(q, '[ \t\n\r\f]+'), lambda w: w <> '')[2:], lambda w: regexp_matches(w, '^\p{Lu}')), ' '), '')) AS x FROM a)
+SELECT doc_id, md5(x) AS entity, CASE WHEN regexp_matches(l, 'most connected|top entities|most important|highest degree') THEN 'top_connected' WHEN x IS NOT NULL AND regexp_matches(l, 'events (involving|about|for)') THEN 'events_by_entity' WHEN regexp_matches(l, 'timeline|events in|events at') THEN 'event_timeline'
+WHEN x IS NULL THEN NULL WHEN regexp_matches(l, 'co-occur|appear together|related entities') THEN 'co_occurring' WHEN regexp_matches(l, 'source|evidence|reported by') THEN 'source_backed' WHEN regexp_matches(l, 'network|2-hop|connections around') THEN 'two_hop_network'
+WHEN regexp_matches(l, 'operate|betreibt|in dienst|im bestand|fielded|in service|beschafft|procures|procurement|modernisierung|vorhaben|contractor|auftragnehmer|connected to|related to|neighbors of|linked to') THEN 'one_hop' ELSE 'entity_lookup' END AS template,
+md5(coalesce(x, trim(string_split(string_split(q, 'in ')[-1], 'at ')[-1], ' ?.'))) AS location FROM e""",
+    "grounding_text": r"""SELECT doc_id, md5(trim(regexp_replace('···GROUNDING_DATA ' || replace(replace(coalesce(text, ''), '<<<GROUNDING_DATA', '···GROUNDING_DATA'), '>>>END_GROUNDING_DATA', '···END_GROUNDING_DATA') || ' ···END_GROUNDING_DATA', '[ \t\n\r\f]+', ' ', 'g'))) AS body FROM documents""",
+    "providers_seen": "SELECT lang, coalesce(string_agg(source, ',' ORDER BY pos), '') AS providers FROM (SELECT lang, source, min(doc_id) AS pos FROM documents WHERE source IS NOT NULL GROUP BY 1, 2) GROUP BY lang",
+    "codebook_guard": "SELECT CASE WHEN event_type IN ('click', 'purchase') THEN event_type ELSE 'other.unclassified' END AS code, count(*) AS n FROM events GROUP BY 1",
     "evidence_dedup": "SELECT lang AS query, doc_id AS pos FROM documents QUALIFY row_number() OVER (PARTITION BY lang, coalesce(CASE WHEN doc_id % 7 > 0 THEN sha256(text) END, source, CAST(doc_id AS VARCHAR)) ORDER BY doc_id) = 1",
     "content_hash": f"""SELECT doc_id, sha256(lower(trim(source)) || '|' || lower(trim(lang))) AS content_hash, CAST(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) AS UBIGINT) AS VARCHAR) AS point_id,
 substr(sha256(source || '|' || lang || '|' || substr(lower(regexp_replace(trim(text), '{_SQL_WS}', ' ', 'g')), 1, 200)), 1, 24) AS event_key, lpad(CAST(n_chars AS VARCHAR), 13, '0') || '-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS stream_id FROM documents""",
