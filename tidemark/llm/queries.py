@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, jaccard_join, license_scan, packing, pii, quality, secret_scan, topk_search, url_filter
+from . import chat_format, decontamination, jaccard_join, language_id, license_scan, packing, periodic_runs, phrases, pii, quality, secret_scan, topk_search, url_filter
 from .common import table
 
 
@@ -90,6 +90,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(table(spark, sf_dir, "documents"))
+
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP6_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _OP6_SQL = f"""WITH d AS (SELECT doc_id AS k, {_OP6_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS k, {_OP6_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -115,12 +127,25 @@ r AS (SELECT DISTINCT a AS k, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l
 m AS (SELECT k, min(c) AS c FROM r GROUP BY k)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.k = d.doc_id"""
 
+_OP12_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, {_LOW} AS t FROM documents),
+p AS (SELECT d, lang, unnest(q) AS t, generate_subscripts(q, 1) AS p FROM (SELECT d, lang, regexp_split_to_array(t, '[.,;:!?
+-]') AS q FROM d)),
+w AS (SELECT row_number() OVER () AS p, lang, list_filter(regexp_split_to_array(t, '[ 	]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w) x, range(1, 6) t(m) WHERE i + m - 1 <= len(w)),
+n AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
+f AS (SELECT lang, phrase, m, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT * FROM f x WHERE m > 1 AND NOT EXISTS (SELECT 1 FROM f y WHERE y.lang = x.lang AND y.m > x.m AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') AND 100 * y.a >= 100 * x.a)),
+k AS (SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS left_part, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS right_part FROM c, range(1, 5) t(k) WHERE k < m),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, l.a AS l, r.a AS r, n.n, CAST((1000::HUGEINT * k.a * n.n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score FROM k JOIN f l ON l.lang = k.lang AND l.phrase = left_part JOIN f r ON r.lang = k.lang AND r.phrase = right_part JOIN n ON n.lang = k.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_packing, op3_topk_search, op4_pii, op5_url_filter, op6_decontamination, op7_license_scan, op8_jaccard_join, op9_quality_classifier, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_chat_format, op2_packing, op3_topk_search, op4_pii, op5_url_filter, op6_decontamination, op7_license_scan, op8_jaccard_join, op9_quality_classifier, op10_secret_scan, op11_language_id, op12_phrase_mining, op13_periodic_runs)}
 
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1_SQL, "op3_topk_search": _OP3_SQL, "op6_decontamination": _OP6_SQL, "op7_license_scan": license_scan.oracle(), "op8_jaccard_join": _OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1_SQL, "op3_topk_search": _OP3_SQL, "op6_decontamination": _OP6_SQL, "op7_license_scan": license_scan.oracle(), "op8_jaccard_join": _OP8_SQL, "op12_phrase_mining": _OP12_SQL}
 
 
 def oracle_sql() -> dict[str, str]:
