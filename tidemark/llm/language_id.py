@@ -152,13 +152,13 @@ class Profiles:
 
 
 def predict(docs: DataFrame, learned: DataFrame, top: int = TOP) -> DataFrame:
-    """The rows of ``docs`` (text and any other columns) with lang_pred and score in place of the text."""
+    """The rows of ``docs`` (text and any other columns) with lang_pred and score in place of the text and of columns of these names."""
     bounded_batches(docs.sparkSession)
     rows = learned.limit(MOST_LANGUAGES * top + 1).toArrow()
     if rows.num_rows > MOST_LANGUAGES * top:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     shared = docs.sparkSession.sparkContext.broadcast(rows)
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
     schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ neighbouring word extends. Within a text:
 Texts are independent rows; nothing is shuffled. Memory follows the longest section of a text.
 
 Nulls and odd rows: a null or empty text has no runs and an empty collapsed text; repeated rows each get
-theirs; extra columns are carried or ignored, see the functions; an empty table gives no rows.
+theirs; extra columns are carried, see ``find_runs``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -235,9 +235,10 @@ _RUN = StructType([StructField(c, LongType()) for c in ("start", "length", "peri
 
 
 def find_runs(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` but text, with ``runs`` (by start and period) and ``collapsed`` (the kept words)."""
+    """The columns of ``docs`` but text, with ``runs`` (by start and period) and ``collapsed`` (the kept words), which replace
+    columns of these names."""
     bounded_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c not in ("text", "runs", "collapsed")]
     schema = docs.select(*rest).schema.add("runs", ArrayType(_RUN)).add("collapsed", "string")
     kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "period")]))
 
