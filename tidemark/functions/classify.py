@@ -155,11 +155,20 @@ def possible_explosion(frp: Column | str, brightness: Column | str) -> Column:
 ENTITY_TYPES = {"person": "PERSON", "organization": "ORGANIZATION", "location": "LOCATION", "military_unit": "MILITARY_UNIT", "weapon_system": "WEAPON_SYSTEM", "vessel": "VESSEL", "aircraft": "AIRCRAFT", "satellite": "SATELLITE"}
 
 
-def entity_type(kind: Column | str, present: Sequence[str] = tuple(ENTITY_TYPES.values())) -> Column:
-    """The present name of a legacy type; present names pass, anything else is an error."""
+#: The canonical entity types.
+CANONICAL_ENTITY_TYPES = ("ORGANIZATION", "COUNTRY", "LOCATION", "PERSON", "REGION", "WEAPON_SYSTEM", "MILITARY_UNIT", "POLICY", "TREATY", "CONCEPT", "VESSEL", "AIRCRAFT", "SATELLITE")
+
+
+def known_entity_type(kind: Column | str, present: Sequence[str] = CANONICAL_ENTITY_TYPES) -> Column:
+    """The canonical name of a legacy or canonical type; null for anything else, so that such rows can be set aside."""
     made = F.create_map(*[F.lit(x) for pair in ENTITY_TYPES.items() for x in pair])
+    return F.when(_col(kind).isin(*present), _col(kind)).otherwise(F.try_element_at(made, _col(kind)))
+
+
+def entity_type(kind: Column | str, present: Sequence[str] = CANONICAL_ENTITY_TYPES) -> Column:
+    """As ``known_entity_type``, but an unknown type ends the job; for small curated tables only."""
     unknown = F.raise_error(F.concat(F.lit("unknown entity type: "), F.coalesce(_col(kind), F.lit("null")))).cast("string")
-    return F.when(_col(kind).isin(*present), _col(kind)).otherwise(F.coalesce(F.try_element_at(made, _col(kind)), unknown))
+    return F.coalesce(known_entity_type(kind, present), unknown)
 
 
 def source_tier(name: Column | str, tiers: Sequence[tuple[str, Sequence[str]]], default: str = "tier3") -> Column:

@@ -55,16 +55,26 @@ def cell(lat: Column | str, lon: Column | str, degrees: float) -> Column:
     return F.struct(F.floor(_col(lat) / degrees).alias("row"), F.floor(_col(lon) / degrees).alias("column"))
 
 
-def _two_decimals(value: Column) -> Column:
-    """Half up from nine decimals on, so that the noise of binary fractions does not decide."""
-    return F.round(value.cast("decimal(18,9)"), 2).cast("double")
+def two_decimals(value: Column | str) -> Column:
+    """The number of two decimals next to the binary value; an exact tie goes to the even one (0.125 to 0.12).
+
+    Spark rounds the shortest decimal that reads back as the value, so that 2.675, which lies below the tie as a
+    binary value, would count as one. Such values are told apart by the exact sign of their distance to the tie:
+    split into two halves of 26 bits, both products with 1000 are exact."""
+    value = _col(value)
+    ties = F.rint(value * 1000)
+    scaled = value * 134217729.0
+    high = scaled - (scaled - value)
+    beside = (high * 1000 - ties) + (value - high) * 1000
+    looks_tied = (ties / 1000 == value) & (F.abs(ties) % 10 == 5)
+    return F.when(looks_tied & (beside != 0), (ties + F.signum(beside) * 5) / 1000).otherwise(F.bround(value, 2))
 
 
 def correlation_score(distance_km: Column, days: Column, high: Column, confident: Column, boosted: Column, reach_km: float = 50.0) -> Column:
     """Linear in the distance, half on other days, plus bonuses; two decimals, at most 1."""
     base = F.greatest(1 - distance_km / reach_km, F.lit(0.0)) * F.when(days == 0, 1.0).otherwise(0.5)
     bonus = F.when(high, 0.3).otherwise(0.0) + F.when(boosted, 0.2).otherwise(0.0) + F.when(confident, 0.1).otherwise(0.0)
-    return F.least(_two_decimals(base + bonus), F.lit(1.0))
+    return F.least(two_decimals(base + bonus), F.lit(1.0))
 
 
 def concern_score(magnitude: Column, depth_km: Column, distance_km: Column) -> Column:
@@ -72,7 +82,7 @@ def concern_score(magnitude: Column, depth_km: Column, distance_km: Column) -> C
     size = F.least(magnitude, F.lit(9.0)) / 9.0 * 0.45
     near = F.greatest((40.0 - F.least(distance_km, F.lit(40.0))) / 40.0, F.lit(0.0)) * 0.35
     shallow = F.greatest(1.0 - depth_km / 10.0, F.lit(0.0)) * 0.15
-    return _two_decimals((size + near + shallow) * 100.0)
+    return two_decimals((size + near + shallow) * 100.0)
 
 
 def concern_level(score: Column) -> Column:

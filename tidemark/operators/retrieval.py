@@ -98,6 +98,21 @@ def budget_pack(items: Column, budget: int) -> Column:
     return F.aggregate(items, start, step)
 
 
+def evidence_pack(items: Column, budget: int, separator: int = 2) -> Column:
+    """Blocks of evidence in their order, an array of structs (id, hash, size): a hash that is in the pack is left out, and so is a
+    block that does not fit whole, with a separator before all but the first; later and smaller ones are still
+    tried. The ids taken and the pack's length."""
+    start = F.struct(F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<string>").alias("hashes"), F.lit(0).cast("bigint").alias("used"))
+
+    def step(acc: Column, x: Column) -> Column:
+        size = x["size"] + F.when(F.size(acc["ids"]) > 0, separator).otherwise(0)
+        fits = (acc["used"] + size <= budget) & ~F.array_contains(acc["hashes"], x["hash"])
+        taken = F.struct(F.array_append(acc["ids"], x["id"].cast("bigint")).alias("ids"), F.array_append(acc["hashes"], x["hash"]).alias("hashes"), (acc["used"] + size).cast("bigint").alias("used"))
+        return F.when(fits, taken).otherwise(acc)
+
+    return F.aggregate(items, start, step, lambda acc: F.struct(acc["ids"].alias("ids"), acc["used"].alias("used")))
+
+
 def tail_first_budget(items: Column, budget: int) -> Column:
     """budget_pack from the end of the array, the ids again in the array's order."""
     packed = budget_pack(F.reverse(items), budget)

@@ -36,32 +36,37 @@ def body_quality(cleaned: Column, least_chars: int = 400, least_paragraphs: int
     return (F.length(cleaned) >= least_chars) & (prose_blocks(cleaned) >= least_paragraphs)
 
 
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+
+
+def markdown_segments(text: str) -> list[str]:
+    """Sentences of the paragraphs, without heading marks, each on one line."""
+    out: list[str] = []
+    for paragraph in re.split(r"\n\s*\n", text.strip()):
+        line = re.sub(r"^#{1,6}\s+", "", paragraph.strip()).replace("\n", " ")
+        out += [s.strip() for s in _SENTENCE_END.split(line) if s.strip()]
+    return out
+
+
 def markdown_chunks_of(text: str, limit: int = 2600, overlap: int = 400) -> list[str]:
-    """Paragraphs cut into sentences, filled greedily up to limit characters; a chunk starts
-    with the last whole sentences of the one before, overlap characters at most. A sentence
-    longer than the limit stays whole."""
-    sentences = [s for p in re.split(r"\n\s*\n", text) for s in re.split(r"(?<=[.!?])\s+", p.strip()) if s]
+    """Sentences of paragraphs, filled greedily up to ``limit`` characters, a space after each counted; a chunk starts
+    with the last whole sentences of the one before, as many as fit into ``overlap`` characters with spaces between them. A
+    sentence that is longer than the limit stays whole."""
     chunks: list[str] = []
     held: list[str] = []
-    size = fresh = 0
-    for s in sentences:
-        if held and fresh and size + len(s) + 1 > limit:
+    size = 0
+    for s in markdown_segments(text):
+        if held and size + len(s) + 1 > limit:
             chunks.append(" ".join(held))
-            tail: list[str] = []
-            room = overlap
-            for one in reversed(held):
-                if len(one) + 1 > room:
-                    break
-                tail.insert(0, one)
-                room -= len(one) + 1
-            held, fresh = tail, 0
+            first, room = len(held), overlap
+            while first and len(held[first - 1]) <= room:
+                first -= 1
+                room -= len(held[first]) + 1
+            held = held[first:]
             size = sum(len(x) + 1 for x in held)
         held.append(s)
         size += len(s) + 1
-        fresh += 1
-    if held and fresh:
-        chunks.append(" ".join(held))
-    return chunks
+    return [*chunks, " ".join(held)] if held else chunks
 
 
 def markdown_chunks(docs: DataFrame, key: str, text: str, limit: int = 2600, overlap: int = 400) -> DataFrame:
@@ -76,8 +81,14 @@ def markdown_chunks(docs: DataFrame, key: str, text: str, limit: int = 2600, ove
     return docs.select(key, text).mapInPandas(run, schema)
 
 
+def strip_data_uris(text: Column) -> Column:
+    """Without embedded files."""
+    return F.regexp_replace(text, r"data:[^, \t\n\r\f]*;base64,[A-Za-z0-9+/=]+", "")
+
+
 def supersede(chunks: DataFrame, key: str, junk: Column) -> DataFrame:
-    """Chunks without junk, numbered anew from 0."""
+    """Chunks without junk, numbered anew from 0. Embedded files are to be stripped before a text is cut into
+    chunks (``strip_data_uris``), so that none is cut in two."""
     from pyspark.sql import Window
 
     kept = chunks.where(junk.isNull())

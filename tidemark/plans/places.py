@@ -122,7 +122,7 @@ QUERIES["concern_score"] = QUERIES.pop("concern")
 _IN = lambda s, w, n, e: f"lat BETWEEN {s} AND {n} AND " + (f"lon BETWEEN {w} AND {e}" if w <= e else f"(lon >= {w} OR lon <= {e})")
 _NEAR = f"""n AS (SELECT p.event_id, p.value, s.site, {_HAV.format(a='p', b='s')} AS km FROM p, s),
 m AS (SELECT * FROM n WHERE km <= 1500 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY km, site) = 1)"""
-_SCORE = "CAST(round(CAST((least(value / 80, 9.0) / 9.0 * 0.45 + greatest((40.0 - least(km / 15, 40.0)) / 40.0, 0) * 0.35 + greatest(1 - (event_id % 40) / 10.0::DOUBLE, 0) * 0.15) * 100 AS DECIMAL(18, 9)), 2) AS DOUBLE)"
+_SCORE = "CAST(printf('%.2f', (least(value / 80, 9.0::DOUBLE) / 9.0::DOUBLE * 0.45::DOUBLE + greatest((40.0::DOUBLE - least(km / 15, 40.0::DOUBLE)) / 40.0::DOUBLE, 0) * 0.35::DOUBLE + greatest(1 - (event_id % 40) / 10.0::DOUBLE, 0) * 0.15::DOUBLE) * 100) AS DOUBLE)"
 
 ORACLE = {
     "bbox_plain": f"WITH {_P} SELECT event_id FROM p WHERE {_IN(10, -20, 55, 60)}",
@@ -131,7 +131,7 @@ ORACLE = {
     "nearest_site": f"WITH {_P}, {_S}, {_NEAR} SELECT event_id, site AS nearest_site, round(km, 3) AS distance_km FROM m",
     "concern_score": f"WITH {_P}, {_S}, {_NEAR}, x AS (SELECT event_id, {_SCORE} AS sc FROM m) SELECT event_id, round(sc, 4) AS score, CASE WHEN sc >= 75 THEN 'critical' WHEN sc >= 50 THEN 'elevated' WHEN sc >= 25 THEN 'moderate' END AS level FROM x",
     "correlation_pairs": f"""WITH {_P}, x AS (SELECT a.event_id AS a_id, b.event_id AS b_id, abs(date_diff('day', a.ts::DATE, b.ts::DATE)) AS days, {_HAV.format(a='a', b='b')} AS km FROM p a JOIN p b ON a.event_type = 'error' AND b.event_type = 'purchase' AND abs(date_diff('day', a.ts::DATE, b.ts::DATE)) <= 1)
-SELECT * FROM (SELECT a_id, b_id, CAST(days AS INTEGER) AS days, round(km, 3) AS distance_km, least(1.0::DOUBLE, CAST(round(CAST(greatest(1 - km / 300.0, 0) * CASE WHEN days = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END + (CASE WHEN a_id % 5 = 0 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN b_id % 3 = 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN a_id % 2 = 0 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END) AS DECIMAL(18, 9)), 2) AS DOUBLE)) AS score FROM x WHERE km <= 300) WHERE score >= 0.3""",
+SELECT * FROM (SELECT a_id, b_id, CAST(days AS INTEGER) AS days, round(km, 3) AS distance_km, least(1.0::DOUBLE, CAST(printf('%.2f', greatest(1 - km / 300.0::DOUBLE, 0) * CASE WHEN days = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END + (CASE WHEN a_id % 5 = 0 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN b_id % 3 = 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN a_id % 2 = 0 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END)) AS DOUBLE)) AS score FROM x WHERE km <= 300) WHERE score >= 0.3""",
     "scope_accounting": """WITH k AS (SELECT CASE WHEN o_custkey % 10 = 0 THEN 'conflict' WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 'stale' WHEN o_orderstatus <> 'P' THEN 'included' ELSE 'unsupported' END AS c FROM orders)
 SELECT count(*) AS candidate, count(*) FILTER (WHERE c = 'conflict') AS conflict, count(*) FILTER (WHERE c = 'stale') AS stale, count(*) FILTER (WHERE c = 'included') AS included, count(*) FILTER (WHERE c = 'unsupported') AS unsupported, true AS reconciled FROM k""",
     "scope_filter_samples": """WITH i AS (SELECT c_custkey, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN (1, 2, 3) AND o_orderstatus IN ('F', 'O') QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1)

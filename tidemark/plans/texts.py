@@ -75,14 +75,15 @@ def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-02: chunks of whole sentences; rows only."""
+    """TXT-02: chunks of whole sentences."""
     got = t.markdown_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return got.select("doc_id", "chunk", F.length("body").alias("chars"))
+    return got.select("doc_id", "chunk", F.length("body").alias("chars"), F.sha2("body", 256).alias("body_sha256"))
 
 
 def superseded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-03: chunks without junk, numbered anew."""
-    chunks = t.word_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 100, 10)
+    stripped = table(spark, sf_dir, "documents").withColumn("text", t.strip_data_uris(F.col("text")))
+    chunks = t.word_chunks(stripped, "doc_id", "text", 100, 10)
     return t.supersede(chunks, "doc_id", classify.content_junk("body")).groupBy("doc_id").agg(F.max("chunk").alias("last"), F.count("*").alias("n"))
 
 
@@ -191,10 +192,13 @@ def rerank_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-11, WIN-12, WIN-16: greedy packing of each source's documents of small size, per hundred ids."""
-    d = table(spark, sf_dir, "documents").select(F.expr("doc_id div 100").alias("batch"), F.struct(F.col("doc_id").alias("id"), F.coalesce("n_chars", F.lit(0)).alias("size")).alias("x"))
+    """WIN-11, WIN-12, WIN-16: packs of evidence blocks for lists of a hundred documents, in the order of their ids, deduplicated by content."""
+    block = F.concat(F.lit("Title: "), "source", F.lit("\nExcerpt: "), F.substring(F.coalesce("text", F.lit("")), 1, 700))
+    item = F.struct(F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("hash"), F.length(block).alias("size"))
+    d = table(spark, sf_dir, "documents").select(F.expr("doc_id div 100").alias("batch"), item.alias("x"))
     got = d.groupBy("batch").agg(F.sort_array(F.collect_list("x")).alias("items"))
-    return got.select("batch", r.budget_pack(F.col("items"), 6000)["used"].alias("used"), F.size(r.budget_pack(F.col("items"), 6000)["ids"]).alias("taken"))
+    pack = r.evidence_pack(F.col("items"), 6000)
+    return got.select("batch", pack["used"].alias("used"), F.size(pack["ids"]).alias("taken"), F.array_join(pack["ids"], ",").alias("ids"))
 
 
 def judge_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,6 +274,18 @@ md5(coalesce(x, trim(string_split(string_split(q, 'in ')[-1], 'at ')[-1], ' ?.')
     "providers_seen": "SELECT lang, coalesce(string_agg(source, ',' ORDER BY pos), '') AS providers FROM (SELECT lang, source, min(doc_id) AS pos FROM documents WHERE source IS NOT NULL GROUP BY 1, 2) GROUP BY lang",
     "codebook_guard": "SELECT CASE WHEN event_type IN ('click', 'purchase') THEN event_type ELSE 'other.unclassified' END AS code, count(*) AS n FROM events GROUP BY 1",
     "evidence_dedup": "SELECT lang AS query, doc_id AS pos FROM documents QUALIFY row_number() OVER (PARTITION BY lang, coalesce(CASE WHEN doc_id % 7 > 0 THEN sha256(text) END, source, CAST(doc_id AS VARCHAR)) ORDER BY doc_id) = 1",
+    "evidence_budget_pack": """WITH d AS (SELECT doc_id // 100 AS batch, list({'id': [doc_id], 'h': [md5(coalesce(text, ''))], 'n': CAST(len('Title: ' || source || chr(10) || 'Excerpt: ' || left(coalesce(text, ''), 700)) AS BIGINT)} ORDER BY doc_id) AS items FROM documents GROUP BY 1),
+p AS (SELECT batch, list_reduce(items, lambda a, x: CASE WHEN a.n + x.n + CASE WHEN len(a.id) > 0 THEN 2 ELSE 0 END <= 6000 AND NOT list_contains(a.h, x.h[1]) THEN {'id': a.id || x.id, 'h': a.h || x.h, 'n': a.n + x.n + CASE WHEN len(a.id) > 0 THEN 2 ELSE 0 END} ELSE a END, {'id': []::BIGINT[], 'h': []::VARCHAR[], 'n': CAST(0 AS BIGINT)}) AS p FROM d)
+SELECT batch, p.n AS used, CAST(len(p.id) AS INTEGER) AS taken, array_to_string(p.id, ',') AS ids FROM p""",
+    "markdown_chunks": r"""WITH RECURSIVE p AS (SELECT doc_id, unnest(a) AS p, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(trim(text, E' \t\n\r\f'), '\n\s*\n') AS a FROM documents WHERE text IS NOT NULL)),
+s AS (SELECT doc_id, i, unnest(a) AS s, generate_subscripts(a, 1) AS j FROM (SELECT doc_id, i, string_split(regexp_replace(replace(regexp_replace(trim(p, E' \t\n\r\f'), '^#{1,6}\s+', ''), chr(10), ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS a FROM p)),
+n AS (SELECT doc_id, trim(s, E' \t\n\r\f') AS s, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS r FROM s WHERE trim(s, E' \t\n\r\f') <> ''),
+f AS (SELECT doc_id, CAST(0 AS BIGINT) AS r, []::VARCHAR[] AS held, CAST(0 AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS done, CAST(-1 AS BIGINT) AS chunk FROM (SELECT DISTINCT doc_id FROM n)
+ UNION ALL SELECT doc_id, r, CASE WHEN over THEN carry ELSE held END || [s], CASE WHEN over THEN coalesce(list_sum(list_transform(carry, lambda x: len(x) + 1)), 0) ELSE size END + len(s) + 1, CASE WHEN over THEN array_to_string(held, ' ') END, chunk + CASE WHEN over THEN 1 ELSE 0 END
+ FROM (SELECT *, len(held) > 0 AND size + len(s) + 1 > 2600 AS over, list_reverse(list_filter(list_reverse(held), lambda x, k: list_sum(list_transform(list_reverse(held)[1:k], lambda y: len(y) + 1)) - 1 <= 400)) AS carry
+  FROM (SELECT f.doc_id, n.r, f.held, f.size, f.chunk, n.s FROM f JOIN n ON n.doc_id = f.doc_id AND n.r = f.r + 1))),
+o AS (SELECT doc_id, chunk, done AS body FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, chunk + 1, array_to_string(held, ' ') FROM f WHERE r > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY r DESC) = 1)
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(len(body) AS INTEGER) AS chars, sha256(body) AS body_sha256 FROM o""",
     "content_hash": f"""SELECT doc_id, sha256(lower(trim(source)) || '|' || lower(trim(lang))) AS content_hash, CAST(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) AS UBIGINT) AS VARCHAR) AS point_id,
 substr(sha256(source || '|' || lang || '|' || substr(lower(regexp_replace(trim(text), '{_SQL_WS}', ' ', 'g')), 1, 200)), 1, 24) AS event_key, lpad(CAST(n_chars AS VARCHAR), 13, '0') || '-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS stream_id FROM documents""",
     "dense_topk": f"""WITH q AS (SELECT {_DENSE} AS q), e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN_DIR: str | None = None
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own settings."""
@@ -24,3 +29,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that driver and executors share: spark.checkpoint.dir, and only where that is unset
+    and everything runs on one machine a temporary folder."""
+    global _OWN_DIR
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        _OWN_DIR = _OWN_DIR or "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
+        named = _OWN_DIR
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"

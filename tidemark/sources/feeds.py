@@ -97,16 +97,18 @@ def articles(rows: DataFrame, queries: Sequence[str]) -> DataFrame:
     return first_by(rows.where(position > 0), ["url"], [position, F.col("seen")])
 
 
-#: How each kind of node is written: rules for operators.upsert.upsert.
+#: How each table of the graph is written: its key, and rules for operators.upsert.upsert and sources.commits.folded.
+GRAPH_KEYS: dict[str, list[str]] = {"document": ["url"], "entity": ["name", "type"], "event": ["event_key"], "location": ["loc_key"], "aircraft": ["icao24"], "incident": ["id"], "edge": ["src", "rel", "dst"], "spotted_at": ["icao24", "dedup_key"], "corroborated_by": ["src", "dst"]}
 GRAPH_RULES: dict[str, dict[str, str]] = {
-    "event": {"title": "create", "codebook_type": "create", "num_mentions": "always", "num_sources": "always", "timeline_at": "always"},
-    "document": {"title": "create", "url": "create", "published_at": "create"},
-    "location": {"name": "coalesce", "lat": "coalesce", "lon": "coalesce", "scope_key": "coalesce"},
-    "entity": {"name": "create", "type": "create", "aliases": "append_distinct", "last_seen": "max", "first_seen": "min"},
-    "claim": {"text": "create", "confidence": "max"},
-    "company": {"country": "coalesce", "founded": "coalesce", "employees": "coalesce"},
-    "incident": {"title": "always", "severity": "always", "status": "always", "opened_at": "create"},
-    "corroboration": {"score": "always", "distance_km": "always"},
+    "document": {"title": "always", "source": "always"},
+    "entity": {"aliases": "append_distinct", "last_seen": "max"},
+    "event": {"title": "create", "summary": "create", "codebook_type": "create", "severity": "create", "confidence": "create", "timeline_at": "create", "time_basis": "create"},
+    "location": {"country": "create", "name": "create", "lat": "create", "lon": "create", "basis": "create", "scope_key": "coalesce"},
+    "aircraft": {"callsign": "always", "registration": "always", "type_code": "always", "branch": "always", "last_seen": "max"},
+    "incident": {"trigger_s": "create", "kind": "always", "title": "always", "severity": "always", "status": "always", "lat": "always", "lon": "always", "location": "always"},
+    "edge": {},
+    "spotted_at": {"loc_key": "always", "lat": "always", "lon": "always", "altitude_m": "always", "speed_ms": "always", "heading": "always", "seconds": "always"},
+    "corroborated_by": {"score": "always", "distance_km": "always", "days": "always"},
 }
 
 
