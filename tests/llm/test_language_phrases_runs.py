@@ -179,11 +179,20 @@ def test_equal_partitions_are_prefix_counts():
         for d in range(2, 6):
             if row[d] >= 0:
                 want[tuple(row[: d + 1])] += w
-    got = {tuple(m[r, : d + 1].tolist()): n for r, d, n in phrases.equal_partitions(m, weight, 1, 0, 1)}
-    assert got == dict(want)
-    ends = {tuple(m[i, : d + 1].tolist()) for i in (0, 1) for d in range(2, 6) if m[i, d] >= 0}
-    got = {tuple(m[r, : d + 1].tolist()): n for r, d, n in phrases.equal_partitions(m, weight, 20, 0, 1)}
-    assert got == {p: n for p, n in want.items() if n >= 20 or p in ends}
+    for least in (1, 20):
+        got = {tuple(m[r, : d + 1].tolist()): n for r, d, n in phrases.equal_partitions(m, weight, least)}
+        assert got == {p: n for p, n in want.items() if n >= least}
+
+
+@pytest.mark.parametrize(("share", "hot"), [(1, 1000), (10_000, 2)])
+def test_filters_and_parts_change_no_count(spark, monkeypatch, share, hot):
+    """Tables of counters as large as the corpus or of one block, hot leading words in one part or in many."""
+    monkeypatch.setattr(phrases, "SHARE", share)
+    monkeypatch.setattr(phrases, "HOT", hot)
+    monkeypatch.setattr(phrases, "_HELD", 50)
+    rnd = random.Random(share)
+    rows = [(i, " ".join(rnd.choice("a a a b c d e f".split()) for _ in range(40)), "en") for i in range(60)]
+    assert sorted(map(tuple, phrases.collocations(frame(spark, rows), 5, 5, 500).collect())) == phrases_by_hand(rows, 5, 5, 500)
 
 
 def test_scores_beyond_64_bits(spark, monkeypatch):

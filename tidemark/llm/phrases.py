@@ -5,15 +5,13 @@ longest phrase. Everything is counted per language.
 
 1. Words are counted, exactly and over all documents. A phrase can only be frequent if its words are, so
    the frequent words make a filter of a fixed size (a Bloom filter; a false hit costs time, not rows).
-2. Suffixes that begin with two words of the filter are cut at the first word that is not in it, and equal
-   ones of a task are summed. They are routed by their leading words: range partitioning in the order of
-   language and words, so that a very frequent beginning is dealt to several tasks at its later words.
-3. Each partition sorts pointers to its suffixes by multikey three-way quicksort, down to the
+2. Runs of two and of three words are counted likewise, in tables of counters, so that rare ones can be left out early.
+3. A suffix is cut where its first run that is left out ends, and equal ones of a task are summed. They are
+   routed by their leading words: by the first, and those of a very frequent one by the second too.
+4. Each partition sorts pointers to its suffixes by multikey three-way quicksort, down to the
    longest phrase. The sum over an equal partition at depth d is the count of its phrase of d words;
-   a partition whose sum is too small is abandoned. A phrase can reach into a neighbouring
-   partition only if it begins the partition's first or last suffix, so those are never abandoned
-   and their parts are added up afterwards.
-4. Each phrase meets the counts of its parts by joins. Scores are integers of 38 digits.
+   a partition whose sum is too small is abandoned.
+5. Each phrase meets the counts of its parts by joins. Scores are integers of 38 digits.
 
 Rows: see ``collocations``. Nulls and odd rows: a null text is empty, a null language is ``und``;
 repeated rows count each; extra columns are ignored; an empty table gives no rows.
@@ -31,13 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, materialize, mix64
 
 #: All separators of pieces become a point, which no word holds.
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"." * 10)
 _HELD, _ROWS = 400_000, 1 << 16
 FILTER_BITS = 1 << 26
-_BLOCK = 1 << 16
+MOST_COUNTERS, SHARE, HOT, _RUNS = 1 << 26, 32, 1000, (2, 3)
+_BLOCK, _COUNTERS = 1 << 16, 1 << 13
 
 
 def words_of(text: str) -> list[bytes]:
@@ -45,14 +44,6 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().translate(_ENDS).replace(b".", b" . ").split()
 
 
-def _rows(counts: dict[tuple[str, bytes | None], int], name: str) -> Iterator[pa.RecordBatch]:
-    items = list(counts.items())
-    for at in range(0, len(items), _ROWS):
-        part = items[at : at + _ROWS]
-        text = pa.array([x[0][1] for x in part], pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in part], pa.string()), text, pa.array([x[1] for x in part], pa.int64())], names=["lang", name, "n"])
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word, n over all rows of ``docs`` (lang, text); a null word has the number of all words."""
     bounded_batches(docs.sparkSession)
@@ -63,9 +54,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for lang, counts in held.items():
                 counts.pop(b".", None)
-                found: dict = {(lang, w): n for w, n in counts.items()}
-                found[(lang, None)] = sum(counts.values())
-                yield from _rows(found, "word")
+                items = [*counts.items(), (None, sum(counts.values()))]
+                for at in range(0, len(items), _ROWS):
+                    part = items[at : at + _ROWS]
+                    word = pa.array([x[0] for x in part], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), word, pa.array([x[1] for x in part], pa.int64())], names=["lang", "word", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -104,63 +97,160 @@ def word_filter(words: DataFrame) -> np.ndarray:
     return found
 
 
-def suffixes(docs: DataFrame, allowed: np.ndarray, longest: int) -> DataFrame:
-    """lang, suffix (two to ``longest`` words, a space behind each), n; equal suffixes of a task are one row."""
+class _Hashes(dict):
+    """Words of a language to 64-bit hashes; 0 for the end of a piece and for words that the filter lacks."""
+
+    def __init__(self, lang: str, bits: np.ndarray):
+        super().__init__({b".": 0})
+        self.lang, self.bits = lang, bits
+
+    def __missing__(self, word: bytes) -> int:
+        a, b = _bits(self.lang, word)
+        held = self.bits[a >> 3] >> (a & 7) & 1 and self.bits[b >> 3] >> (b & 7) & 1
+        found = self[word] = xxhash.xxh3_64_intdigest(word, len(self.lang)) | 1 if held else 0
+        return found
+
+
+class _Places:
+    """The places of a text's runs of two or three words in tables of ``size`` counters, for one task."""
+
+    def __init__(self, bits: np.ndarray, size: int):
+        self.bits, self.size, self.known = bits, size, {}
+
+    def of(self, lang: str, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For runs of two words and of three: by their first word, whether all are in the filter, and the place."""
+        hashes = self.known.setdefault(lang, _Hashes(lang, self.bits))
+        if len(hashes) > _HELD:
+            hashes = self.known[lang] = _Hashes(lang, self.bits)
+        h = np.array([hashes[w] for w in words], np.uint64)
+        salt = np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
+        known, mixed, out = h != 0, mix64(h ^ salt), []
+        for d in _RUNS:
+            known = known[:-1] & (h[d - 1 :] != 0)
+            mixed = mix64(mixed[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[d - 1 :])
+            out.append((known, (mixed % np.uint64(self.size)).astype(np.int64)))
+        return out
+
+
+def run_filter(docs: DataFrame, allowed: np.ndarray, words: int, least: int) -> tuple[np.ndarray, int]:
+    """Bits of the places whose runs of two or three words occur ``least`` times together (a row each), and their number.
+
+    Each task counts into tables of its own, with a counter for every ``SHARE`` words of the whole corpus but at most
+    ``MOST_COUNTERS``; the tables meet block by block as a stream of sums. Runs that share a place can only let more
+    through, and beyond that bound the filter wears off."""
+    size = -(-min(max(words // SHARE, 1), MOST_COUNTERS) // _COUNTERS) * _COUNTERS
     shared = docs.sparkSession.sparkContext.broadcast(allowed)
+    kind = np.min_scalar_type(least)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        known: dict[str, dict[bytes, bool]] = {}
-        held: dict[str, dict[bytes, int]] = {}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, table, rows = _Places(shared.value, size), np.zeros((len(_RUNS), size), kind), 0
+        held: list[list[np.ndarray]] = [[] for _ in _RUNS]
 
-        def is_known(lang: str, word: bytes) -> bool:
-            a, b = _bits(lang, word)
-            return bool(bits[a >> 3] >> (a & 7) & 1 and bits[b >> 3] >> (b & 7) & 1)
+        def add() -> None:
+            for own, parts in zip(table, held, strict=True):
+                place, n = np.unique(np.concatenate(parts), return_counts=True)
+                own[place] = np.minimum(own[place] + n, least)
+                parts.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = words_of(text) if text else []
+                if len(own) > 2:
+                    for parts, (known, place) in zip(held, places.of(lang, own), strict=True):
+                        parts.append(place[known])
+                    rows += len(own)
+                if rows > 1_000_000:
+                    add()
+                    rows = 0
+        if rows:
+            add()
+        blocks = table.reshape(-1, _COUNTERS)
+        some = np.flatnonzero(blocks.any(axis=1))
+        for at in range(0, len(some), 256):
+            part = some[at : at + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array([blocks[b].tobytes() for b in part], pa.binary())], names=["block", "counts"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held = sums.setdefault(block, np.zeros(_COUNTERS, np.int64))
+                np.minimum(held + np.frombuffer(counts, kind), least, out=held)
+        if sums:
+            bits = [np.packbits(v >= least, bitorder="little").tobytes() for v in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(bits, pa.binary())], names=["block", "bits"])
+
+    tables = docs.select("lang", "text").mapInArrow(count, "block long, counts binary")
+    found = np.zeros((len(_RUNS) * size // _COUNTERS, _COUNTERS // 8), np.uint8)
+    for row in tables.repartition("block").mapInArrow(add_up, "block long, bits binary").collect():
+        found[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return found.reshape(len(_RUNS), -1), size
+
+
+def suffixes(docs: DataFrame, allowed: np.ndarray, often: np.ndarray, size: int, hot: dict[tuple[str, bytes], int], longest: int) -> DataFrame:
+    """Per task and leading word, its suffixes: lang, lead, part, suffixes (two to ``longest`` words, a space behind each),
+    counts. A suffix ends before the first word that makes no frequent run with the ones before it. Suffixes of ``hot``
+    leading words are dealt to so many parts by their second word."""
+    shared = docs.sparkSession.sparkContext.broadcast((allowed, often, hot))
+    texts, numbers = pa.list_(pa.string()), pa.list_(pa.int64())
+
+    def bundles(lang: str, counts: dict[bytes, int], parts: dict) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[bytes, int], tuple[list, list]] = {}
+        for s, n in counts.items():
+            lead, second, _ = s.split(b" ", 2)
+            split = parts.get((lang, lead), 1)
+            own = held.setdefault((lead, xxhash.xxh3_64_intdigest(second) % split if split > 1 else 0), ([], []))
+            own[0].append(s), own[1].append(n)
+        rows = list(held.items())
+        for at in range(0, len(rows), 4096):
+            some = rows[at : at + 4096]
+            leads = pa.array([k[0] for k, _ in some], pa.binary()).cast(pa.string())
+            whole = pa.array([v[0] for _, v in some], pa.list_(pa.binary())).cast(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), leads, pa.array([k[1] for k, _ in some], pa.int32()), whole, pa.array([v[1] for _, v in some], numbers)], names=["lang", "lead", "part", "suffixes", "counts"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, frequent, parts = shared.value
+        places = _Places(bits, size)
+        held: dict[str, dict[bytes, int]] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text) if text else []
-                seen, counts = known.setdefault(lang, {b".": False}), held.setdefault(lang, {})
-                stretch: list[bytes] = []
-                for w in (*words, b"."):
-                    ok = seen.get(w)
-                    if ok is None:
-                        ok = seen[w] = is_known(lang, w)
-                    if ok:
-                        stretch.append(w + b" ")
-                        continue
-                    for i in range(len(stretch) - 1):
-                        s = b"".join(stretch[i : i + longest])
-                        counts[s] = counts.get(s, 0) + 1
-                    stretch = []
+                if len(words) < 2:
+                    continue
+                words.append(b".")
+                two, three = (known & (own[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool) for own, (known, place) in zip(frequent, places.of(lang, words), strict=True))
+                at = np.flatnonzero(two)
+                # from each position on, the first run of three that is not frequent ends its suffix
+                stops = np.append(np.flatnonzero(~three), len(three))
+                ends = np.minimum(stops[np.searchsorted(stops, at)] + 2, at + longest)
+                counts = held.setdefault(lang, {})
+                for i, j in zip(at.tolist(), ends.tolist(), strict=True):
+                    s = b" ".join(words[i:j]) + b" "
+                    counts[s] = counts.get(s, 0) + 1
                     if len(counts) > _HELD:
-                        yield from _rows({(lang, s): n for s, n in counts.items()}, "suffix")
+                        yield from bundles(lang, counts, parts)
                         counts.clear()
-            if sum(map(len, known.values())) > _HELD:
-                known = {}
             if sum(map(len, held.values())) > _HELD:
                 for lang, counts in held.items():
-                    yield from _rows({(lang, s): n for s, n in counts.items()}, "suffix")
+                    yield from bundles(lang, counts, parts)
                 held = {}
         for lang, counts in held.items():
-            yield from _rows({(lang, s): n for s, n in counts.items()}, "suffix")
+            yield from bundles(lang, counts, parts)
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, suffix string, n long")
+    return docs.select("lang", "text").mapInArrow(run, "lang string, lead string, part int, suffixes array<string>, counts array<long>")
 
 
-def equal_partitions(m: np.ndarray, weight: np.ndarray, least: int, first: int, last: int) -> Iterator[tuple[int, int, int]]:
+def equal_partitions(m: np.ndarray, weight: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
     """Multikey three-way quicksort of pointers to the rows of ``m`` (key values by depth, -1 past the end).
 
-    Yields (row, depth, sum of weights) of each equal partition of at least two keys. Partitions
-    below ``least`` are abandoned, except those that hold row ``first`` or ``last``.
+    Yields (row, depth, sum of weights) of each equal partition of the language and two words at least. Partitions
+    below ``least`` are abandoned.
     """
     deepest = m.shape[1]
-    head, tail = m[first], m[last]
-    # pointers, their keys' depth, their sum, and whether the first and the last row are among them
-    stack = [(np.arange(len(m)), 0, int(weight.sum()), True, True)]
+    stack = [(np.arange(len(m)), 0, int(weight.sum()))]  # pointers, the depth of their key, their sum
     while stack:
-        at, depth, total, has_first, has_last = stack.pop()
-        if total < least and not (has_first or has_last):
+        at, depth, total = stack.pop()
+        if total < least:
             continue
         keys = m[at, depth]
         if len(at) == 1:
@@ -175,23 +265,18 @@ def equal_partitions(m: np.ndarray, weight: np.ndarray, least: int, first: int,
             less = keys < pivot
             below, above = at[less], at[~(less | equal)]
             rest = int(weight[below].sum())
-            if len(below):
-                stack.append((below, depth, rest, has_first and head[depth] < pivot, has_last and tail[depth] < pivot))
-            if len(above):
-                stack.append((above, depth, total - same - rest, has_first and head[depth] > pivot, has_last and tail[depth] > pivot))
-        if pivot < 0:
-            continue  # these end here
-        own_first, own_last = has_first and head[depth] == pivot, has_last and tail[depth] == pivot
-        if same < least and not (own_first or own_last):
-            continue
-        if depth >= 2:  # the language, and two words at least
+            stack.append((below, depth, rest))
+            stack.append((above, depth, total - same - rest))
+        if pivot < 0 or same < least:
+            continue  # these end here, or are too few
+        if depth >= 2:
             yield int(inside[0]), depth, same
         if depth + 1 < deepest:
-            stack.append((inside, depth + 1, same, own_first, own_last))
+            stack.append((inside, depth + 1, same))
 
 
 def sort_suffixes(routed: DataFrame, least: int, longest: int) -> DataFrame:
-    """lang, phrase, n: counts of phrases in each partition of routed suffixes."""
+    """lang, phrase, n of the phrases that are frequent; all suffixes of a leading pair of words are in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -199,23 +284,20 @@ def sort_suffixes(routed: DataFrame, least: int, longest: int) -> DataFrame:
             return
         table = pa.Table.from_batches(held).combine_chunks()
         lang = pc.dictionary_encode(table.column("lang")).combine_chunks()
-        parts = pc.split_pattern(table.column("suffix"), " ").combine_chunks()
+        bundles = table.column("suffixes").combine_chunks()
+        parts = pc.split_pattern(bundles.flatten(), " ")
         starts = parts.offsets.to_numpy()
         sizes = np.diff(starts) - 1  # behind the last space there is nothing
         words = pc.dictionary_encode(parts.values)
-        number, codes = words.indices.to_numpy(), np.full((table.num_rows, longest + 1), -1, np.int32)
-        codes[:, 0] = lang.indices.to_numpy()
+        number, codes = words.indices.to_numpy(), np.full((len(parts), longest + 1), -1, np.int32)
+        codes[:, 0] = np.repeat(lang.indices.to_numpy(), pc.list_value_length(bundles).to_numpy())
         for d in range(longest):
             has = sizes > d
             codes[has, d + 1] = number[starts[:-1][has] + d]
-        ends = []
-        for least_of in (pc.min, pc.max):
-            own = pc.equal(table.column("lang"), least_of(table.column("lang")))
-            ends.append(pc.index(pc.and_(own, pc.equal(table.column("suffix"), least_of(table.column("suffix").filter(own)))), True).as_py())
         langs, names = lang.dictionary.to_pylist(), words.dictionary
-        weight = table.column("n").to_numpy()
+        weight = table.column("counts").combine_chunks().flatten().to_numpy()
         out: list[tuple[str, str, int]] = []
-        for row, depth, n in equal_partitions(codes, weight, least, *ends):
+        for row, depth, n in equal_partitions(codes, weight, least):
             out.append((langs[codes[row, 0]], " ".join(names[int(c)].as_py() for c in codes[row, 1 : depth + 1]), n))
         for at in range(0, len(out), _ROWS):
             part = out[at : at + _ROWS]
@@ -226,13 +308,16 @@ def sort_suffixes(routed: DataFrame, least: int, longest: int) -> DataFrame:
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame]:
     """Words (lang, word, n; a null word has the sum) and phrases (lang, phrase, n) with n >= least."""
-    spark = docs.sparkSession
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     words = materialize(word_counts(docs).where(f"n >= {least} OR word IS NULL"), "words")
-    found = materialize(suffixes(docs, word_filter(words.where("word IS NOT NULL")), longest), "suffixes")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // 1_000_000))
-    counted = sort_suffixes(found.repartitionByRange(tasks, "lang", "suffix"), least, longest)
-    return words, materialize(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(f"n >= {least}"), "phrases")
+    known = words.where("word IS NOT NULL")
+    allowed = word_filter(known)
+    total = words.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
+    often, size = run_filter(docs, allowed, total, least)
+    # fewer than HOT words can be so frequent
+    hot = {(lang, word.encode()): -(-n * HOT // total) for lang, word, n in known.where(F.col("n") * HOT > total).select("lang", "word", "n").collect()} if total else {}
+    routed = suffixes(docs, allowed, often, size, hot, longest).repartition("lang", "lead", "part")
+    return words, materialize(sort_suffixes(routed, least, longest), "phrases")
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, best: int = 2000) -> DataFrame:
