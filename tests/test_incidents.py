@@ -12,6 +12,7 @@ from tidemark.operators import extraction, graph_writes, scopes, upsert
 from tidemark.sources.commits import CommittedTables, folded
 from tidemark.sources.feeds import GRAPH_KEYS, GRAPH_RULES
 from tidemark.streaming import lifecycle as life
+from tidemark.streaming import topics
 
 RULES = life.Rules("firms", least=3, window=100, quiet=50, cooldown=200)
 
@@ -410,3 +411,95 @@ def test_all_canonical_types_pass_and_unknown_ones_can_be_set_aside(spark):
     assert [r[0] for r in odd.select(classify.known_entity_type("k")).collect()] == ["PERSON", None, None]
     with pytest.raises(Exception, match="unknown entity type"):
         odd.select(classify.entity_type("k")).collect()
+
+
+# --- topics
+
+MESSAGES = "shard string, s long, kind string, id string, title string, channel string, until long"
+
+
+def told(df):
+    return df.selectExpr("shard", "timestamp_seconds(s) as ts", "kind", "id", "title", "channel", "until")
+
+
+def shard_of(rows, upto=None, **limits):
+    shard = topics.Shard(topics.RULES, **limits)
+    out = []
+    for t, kind, ident, title, channel, *until in rows:
+        out += shard.apply(t, kind, ident, title, channel, *until)
+    return out + (shard.advance(upto) if upto is not None else []), shard
+
+
+FIRE = "fire at the old port tonight after a loud blast"
+
+
+def test_topics_join_by_words_in_a_channel_and_by_shingles_across():
+    reordered = "after a loud blast tonight fire at the old port"
+    rows = [(0, "signal", "1", FIRE, "c1"), (1, "signal", "2", reordered, "c1"), (2, "signal", "3", reordered.replace("tonight", "today"), "c2"), (3, "signal", "4", FIRE, "c3"), (4, "signal", "5", "", "c1"), (5, "signal", "6", "port fire", "c1")]
+    out, _ = shard_of(rows)
+    found = {e[0]: e[1] for e in out}
+    assert found["1"] == found["2"] == found["4"] and len({found["1"], found["3"], found["6"]}) == 3 and "5" not in found
+    assert found["1"] == topics.topic_key(topics.shingles(FIRE.split()))
+    assert [(e[0], e[3]) for e in out] == [("1", None), ("2", None), ("3", None), ("4", None), ("6", None)]  # the grown topic is too wide for 4, which founds it anew
+
+
+def test_topics_ignite_close_and_can_be_silenced():
+    rows = [(t, "signal", str(t), FIRE, f"c{t}") for t in (0, 1, 1801, 1802, 2000)]
+    out, shard = shard_of(rows, 5000)
+    key = out[0][1]
+    # the hit of second 0 is a window and one second old at 1801, that of second 1 exactly a window
+    assert [(e[2], e[3], e[4]) for e in out] == [(0, None, 0), (1, None, 0), (1801, None, 0), (1802, None, 0), (2000, "open", 3), (2900, "close", 3)] and shard.topics == {}
+    rows = [(0, "signal", "0", FIRE, "a"), (1, "signal", "1", FIRE, "b"), (2, "signal", "2", FIRE, "c"), (3, "silence", "op", key, "", 50), (4, "signal", "4", FIRE, "d"), (49, "signal", "5", FIRE, "d"), (50, "signal", "6", FIRE, "d"), (51, "signal", "7", FIRE, "d"), (52, "signal", "8", FIRE, "d"), (53, "promote", "op", key, ""), (54, "signal", "9", FIRE, "e"), (54, "promote", "op", "nobody", "")]
+    assert [(e[2], e[3]) for e in shard_of(rows)[0]] == [(0, None), (1, None), (2, "open"), (3, "silence"), (4, None), (49, None), (50, None), (51, None), (52, "open"), (53, "promote"), (54, "absorb")]
+
+
+def test_the_state_of_a_shard_is_bounded():
+    rnd = random.Random(1)
+    rows = [(t, "signal", str(t), " ".join(str(rnd.randrange(10**6)) for _ in range(20)), "") for t in range(40)]
+    _, shard = shard_of(rows, most=5)
+    assert [t.seen for t in shard.topics.values()] == list(range(35, 40))
+    grown = [(t, "signal", str(t), FIRE + "".join(f" w{t}{i}" for i in range(2)), "c") for t in range(40)]
+    _, shard = shard_of(grown, most_shingles=30)
+    assert max(len(t.words) for t in shard.topics.values()) <= 30 and max(len(t.grams) for t in shard.topics.values()) <= 30
+
+
+def messages(seed, n=250):
+    rnd = random.Random(seed)
+    base = [[f"w{rnd.randrange(60)}" for _ in range(12)] for _ in range(8)]
+    out = []
+    for i in range(n):
+        words = list(rnd.choice(base))
+        if rnd.random() < 0.5:
+            words[rnd.randrange(12)] = "other"
+        out.append((f"s{rnd.randrange(3)}", rnd.randrange(0, 20_000), "signal", f"{i:04d}", " ".join(words), f"c{rnd.randrange(3)}", None))
+    for i in range(6):
+        out.append((f"s{i % 3}", rnd.randrange(5_000, 20_000), rnd.choice(["promote", "silence"]), f"r{i}", topics.topic_key(topics.shingles(base[i])), None, None))
+    return out
+
+
+def topics_by_hand(rows, upto, **limits):
+    out = []
+    for name in sorted({r[0] for r in rows}):
+        own = sorted((r for r in rows if r[0] == name), key=lambda r: (r[1], r[2] != "signal", r[3]))
+        out += [(name, *e) for e in shard_of([(t, k, i, title, c or "", u) for _, t, k, i, title, c, u in own], upto, **limits)[0]]
+    return sorted(out, key=str)
+
+
+def test_topics_of_a_table_and_of_a_stream(spark, tmp_path):
+    rows = messages(2)
+    want = topics_by_hand(rows, 30_000, most=5)
+    df = spark.createDataFrame([*rows, (None, 1, "signal", "x", "y", "z", None), ("s0", None, "signal", "x", "y", "z", None)], MESSAGES)
+    got = sorted(map(tuple, topics.topic_table(told(df), upto=30_000, most=5).collect()), key=str)
+    assert got == want and {w[4] for w in want} >= {None, "open", "update", "close"}
+    order = sorted(rows, key=lambda r: (r[1] + hash(r[3]) % 50, r[3]))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for part in (order[:120], [*order[120:], ("s9", 40_000, "signal", "z", "end", "", None)], [("s9", 41_000, "signal", "z", "end", "", None)]):
+            told(spark.createDataFrame(part, MESSAGES)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            source = spark.readStream.schema(topics.MESSAGES).parquet(f"{tmp_path}/in")
+            run(topics.topic_stream(source, lateness="60 seconds", most=5), tmp_path, "out")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    streamed = sorted((tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").where("shard <> 's9'").collect()), key=str)
+    assert streamed == want

@@ -41,19 +41,26 @@ class CommittedTables:
         names = sorted(s.getPath().getName() for s in self._files.listStatus(folder) if s.getPath().getName().endswith(".json") and not s.getPath().getName().startswith("."))
         if not names:
             return []
-        read = self.spark.read.text([f"{self.root}/_commits/{n}" for n in names], wholetext=True)
-        found = sorted((json.loads(r["value"]) for r in read.collect()), key=lambda m: m["number"])
+        found = sorted((json.loads(self._text(f"{self.root}/_commits/{n}")) for n in names), key=lambda m: m["number"])
         first = max((i for i, m in enumerate(found) if m.get("compacted")), default=0)
         hidden = [b for m in found[:first] for b in m["batches"]]
         for m in found[first : first + 1]:
             m["batches"] = hidden + m["batches"]
         return found[first:]
 
+    def _text(self, path: str) -> str:
+        stream = self._files.open(self._path(path))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
     def committed(self, batch: str) -> bool:
         return any(batch in m["batches"] for m in self.manifests())
 
     def commit(self, batch: str, tables: Mapping[str, DataFrame], compacted: bool = False) -> bool:
-        """Writes rows of several tables as one; False if the batch is there already."""
+        """Writes rows of several tables as one; False if the batch is there already. Each table is a job of its own, so
+        what several are made from should be a written table."""
         if self.committed(batch):
             return False
         folders = {}
