@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -428,10 +428,29 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, split:
     return sets.join(labels, ["f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def deduplicate(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """The documents that stand for their component, with docs' columns: those whose doc_id is
     the component's smallest. Of rows with one doc_id and text the first in the order of all
-    columns stays. Rows without shingles or without an id stay."""
+    columns stays. Rows without shingles or without an id stay. Rows of one doc_id with different
+    texts are documents of their own: all but one of them take part under a number made of id and
+    text, above all usual ids, so that no text goes that exists nowhere else."""
+    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(_text_hash()).alias("__dd_first"), F.max(_text_hash()).alias("__dd_last"))
+    mixed = materialize(texts.where("__dd_first <> __dd_last").select(F.col("doc_id").alias("__dd_id"), "__dd_first"), "mixed")
+    if mixed.isEmpty():
+        return _representatives(docs, size, percent)
+    own = docs.join(_small(mixed), F.col("doc_id") == F.col("__dd_id"), "left")
+    made = F.xxhash64("doc_id", _text_hash()).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    keyed = own.withColumn("__dd_own", F.col("doc_id")).withColumn("doc_id", F.when(F.col("__dd_id").isNull() | (_text_hash() == F.col("__dd_first")), F.col("doc_id")).otherwise(made))
+    kept = _representatives(materialize(keyed.drop("__dd_id", "__dd_first"), "keyed"), size, percent)
+    return kept.withColumn("doc_id", F.col("__dd_own")).select(*docs.columns)
+
+
+def _representatives(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """deduplicate, where a doc_id has one text."""
     labels = materialize(jaccard_components(docs, size, percent).where("n_shingles > 0 and doc_id is not null"), "labels")
     kept = filter_by_ids(docs, labels.where("doc_id <> component_id").select("doc_id"), "left_anti").select(*docs.columns)
     repeated = labels.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
