@@ -38,9 +38,13 @@ from .forest import RandomForest
 from .jaccard_join import SKETCH_BITS, word_weights
 
 #: Names that a secret is assigned to, and formats of known keys.
-KEYWORDS = ("token", "secret", "passw", "pwd", *(f"{k}{mid}key" for k in ("api", "access", "private") for mid in ("", "_", "-")), "credential", "auth")
+KEYWORDS = ("token", "secret", "passw", "pwd", *(f"{k}{mid}key" for k in ("api", "access", "private") for mid in ("", "_", "-", " ")), "credential", "auth")
 ODD_CASE = ("\u017f", "\u212a")  # what KEYED takes for s and k besides the ASCII letters
-KEYED = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|credentials?|private[_-]?key|auth)["']?\s{0,4}(?:=>|[=:])\s{0,4}["']?([^\s"',;]{8,})""")
+_GAP = r"(?:[^\S\r\n]*+|\s{0,4})"  # white space up to the end of the line, or a little of any
+KEYED = re.compile(
+    r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[ _-]?key|access[ _-]?key|credentials?|private[ _-]?key|auth(?:orization)?)["']?"""
+    rf"""{_GAP}(?::=|=>|[=:]){_GAP}(?:(?:bearer|basic|digest|token)[^\S\r\n]++)?["']?([^\s"',;]{{8,}})"""
+)
 KNOWN = re.compile(
     r"AKIA[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}"
     r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
@@ -59,6 +63,7 @@ _PAIR[[*range(48, 58)]] = 26
 _WORD = re.compile(r"[^\W\d_]+")
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ASSIGNED = re.compile(r"(?:=>|[=:])\s*[\"']?$")
+LONGEST_WORD = 32
 ODDS = 16  # the feature of the path
 CONTEXT = slice(11, 16)  # features of the surroundings
 
@@ -127,16 +132,20 @@ class Dictionary:
 
 
 def coverage(value: str, words: Dictionary | set[str]) -> float:
-    """Share of a value's characters that dictionary words of three letters or more cover, greedily."""
-    low, at, covered = value.lower(), 0, 0
-    while at < len(low):
-        for n in range(min(12, len(low) - at), 2, -1):
-            if low[at : at + n] in words:
-                covered += n
-                at += n
-                break
-        else:
-            at += 1
+    """Share of a value's characters that dictionary words of 3 to ``LONGEST_WORD`` letters cover, greedily. Words are
+    letters only, so they are sought within runs of letters."""
+    covered = 0
+    low = value.lower()
+    for run in _WORD.finditer(low):
+        at, end = run.span()
+        while at < end - 2:
+            for n in range(min(LONGEST_WORD, end - at), 2, -1):
+                if low[at : at + n] in words:
+                    covered += n
+                    at += n
+                    break
+            else:
+                at += 1
     return covered / max(len(low), 1)
 
 
