@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import classify, geo
-from tidemark.operators import extraction, graph_writes, scopes, upsert
+from tidemark.operators import batches, extraction, graph_writes, measures, scopes, upsert
+from tidemark.sources import sinks
 from tidemark.sources.commits import CommittedTables, folded
 from tidemark.sources.feeds import GRAPH_KEYS, GRAPH_RULES
 from tidemark.streaming import lifecycle as life
-from tidemark.streaming import topics
+from tidemark.streaming import control, topics
 
 RULES = life.Rules("firms", least=3, window=100, quiet=50, cooldown=200)
 
@@ -503,3 +504,85 @@ def test_topics_of_a_table_and_of_a_stream(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     streamed = sorted((tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").where("shard <> 's9'").collect()), key=str)
     assert streamed == want
+
+
+# --- pages of a change, snapshots, plans
+
+
+def change_plan(spark, n=60, shift=0):
+    return spark.range(n).selectExpr("id as record_id", "concat('s', id % 3) as source", "'iso' as code_system", "case when id % 5 = 0 then 'conflict' else 'resolvable' end as status", f"case when id % 5 > 0 then named_struct('scope', concat('n', id + {shift})) end as change")
+
+
+def test_a_change_resumes_between_pages_and_a_drifted_plan_is_refused(spark, tmp_path):
+    store = CommittedTables(spark, f"file://{tmp_path}/s")
+    job = batches.PagedChange(store, "j", "scopes")
+    with pytest.raises(ValueError, match="no approved plan"):
+        job.apply()
+    approved = batches.approval(change_plan(spark))
+    assert approved == batches.approval(change_plan(spark).orderBy(F.col("record_id").desc()).repartition(3))
+    with pytest.raises(ValueError, match="drifted"):
+        job.approve(change_plan(spark, shift=1), approved, 4)
+    job.approve(change_plan(spark), approved, 4)
+    assert job.apply(1) == 1 and job.progress().count() == 1
+    again = batches.PagedChange(CommittedTables(spark, f"file://{tmp_path}/s"), "j", "scopes")
+    again.approve(change_plan(spark, shift=9), "whatever", 4)  # approved already: the stored plan stays
+    assert again.apply() == 3 and again.apply() == 0
+    rows = sorted((r["record_id"], r["scope"]) for r in store.read("scopes").collect())
+    assert rows == [(i, f"n{i}") for i in range(60) if i % 5]
+    assert again.progress().agg(F.sum("writes")).first()[0] == len(rows)
+    null = change_plan(spark).withColumn("record_id", F.when(F.col("record_id") > 3, F.col("record_id")))
+    with pytest.raises(ValueError, match="without an id"):
+        batches.PagedChange(store, "k", "scopes").approve(null, batches.approval(null), 2)
+    assert batches.jobs("r1", "r1", ["b"]) == [] and batches.jobs(None, "r2", ["b", "a", "b"]) == [("a", "r2"), ("b", "r2")]
+
+
+def test_fingerprints_of_tables(spark):
+    rows = [(1, "a", None), (2, None, 2.5), (2, None, 2.5)]
+    df = spark.createDataFrame(rows, "k int, s string, d double")
+    one = measures.fingerprint(df, "k", "s", "d").first()
+    assert one == measures.fingerprint(df.repartition(3).orderBy(F.col("k").desc()), "d", "k", "s").first() and one["rows"] == 3
+    for other in (rows[:2], [*rows[:2], (2, "", 2.5)], [*rows, (1, "a", None)]):
+        assert measures.fingerprint(spark.createDataFrame(other, df.schema), "k", "s", "d").first()["fingerprint"] != one["fingerprint"]
+
+
+def test_a_snapshot_changes_by_one_rename_and_has_a_time_to_live(spark, tmp_path):
+    one, two = (spark.createDataFrame([(1, t)], "v int, fetched_s long") for t in (100, 200))
+    path = f"file://{tmp_path}/c"
+    assert sinks.fresh_snapshot(spark, path, 0, 10) is None
+    name = sinks.write_snapshot(one, path)
+    assert sinks.write_snapshot(one, path) == name and len(CommittedTables(spark, path).manifests()) == 1
+    assert sinks.fresh_snapshot(spark, path, 109, 10).count() == 1 and sinks.fresh_snapshot(spark, path, 110, 10) is None
+    assert sinks.write_snapshot(two, path) != name and sinks.read_snapshot(spark, path).first()["fetched_s"] == 200
+    assert sinks.write_snapshot(one, path) == name and sinks.read_snapshot(spark, path).first()["fetched_s"] == 100  # back again
+
+
+def test_progress_of_sinks_by_hand(spark):
+    rnd = random.Random(4)
+    slices = sorted(rnd.sample(range(500), 120))
+    done = {"none": [], "all": slices, "gap": [s for s in slices if s != slices[40]], "late": slices[:7] + slices[9:90], "first": slices[1:], "odd": [*slices[:3], 9999, slices[0]]}
+    rows = [(k, s) for k, v in done.items() for s in v] + [("none", 7777)]
+    got = {r["sink"]: (r["pointer"], r["pending"], r["newest"]) for r in control.sink_progress(spark.createDataFrame([(s,) for s in slices], "slice_id long"), spark.createDataFrame(rows, "sink string, slice_id long"), 16).collect()}
+    for k, v in done.items():
+        own = set(v) & set(slices)
+        run_of = next((i for i, s in enumerate(slices) if s not in own), len(slices))
+        assert got[k] == (slices[run_of - 1] if run_of else None, len(slices) - len(own), slices[-1]), k
+
+
+def test_pools_are_cut_before_they_meet(spark, sf):
+    from tidemark import plans
+
+    for name in ("tier_boost", "lane_merge", "rerank_pool"):
+        plan = plans.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("WindowGroupLimit") >= 2, name
+    plan = plans.queries()["sink_progress"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and plan.count("BroadcastNestedLoopJoin") <= 1  # one row of totals
+    plan = plans.queries()["linked_evidence"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
+
+
+def test_white_space_of_any_kind_is_empty(spark):
+    prose = "One two three four five six seven eight nine ten words."
+    texts = ["   \n", None, "\x1f", prose, prose.replace(" ", " "), "a b c d e f g h" + " " * 40, "x" * 50, "data:image/png;base64," + "A" * 400 + " " + prose, "word " * 60, "word " * 60 + "\nend"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["j"] for r in df.select("i", classify.content_junk("t").alias("j")).orderBy("i").collect()]
+    assert got == ["empty", "empty", "empty", None, None, "too_short", "too_few_words", "base64_heavy", "low_prose", None]

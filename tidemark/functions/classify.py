@@ -105,28 +105,33 @@ def search_names(code: Column | str, name: Column | str) -> Column:
     return F.coalesce(F.try_element_at(made, F.coalesce(_col(code), F.lit(""))), F.try_element_at(made, F.coalesce(_col(name), F.lit(""))), none)
 
 
-_EDGES = r"^[ \t\n\r\f]+|[ \t\n\r\f]+$"
+#: White space, as at the ends of texts and between words.
+_SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def content_junk(text: Column | str) -> Column:
     """Why a text is junk, by the first rule that holds; null if it isn't. Embedded data URIs count
     against the text's length, and the other rules look at what is left without them."""
+    edges = F.lit(_SPACES)
     raw = F.coalesce(_col(text), F.lit(""))
-    n_raw = F.length(F.regexp_replace(raw, _EDGES, ""))
-    bare = F.regexp_replace(raw, r"data:[^, \t\n\r\f]*;base64,[A-Za-z0-9+/=]+", "")
-    prose = F.regexp_replace(bare, _EDGES, "")
-    n = F.length(prose)
-    words = F.regexp_count(prose, F.lit(r"[^ \t\n\r\f]+"))
-    return first_rule(
-        [(n_raw == 0, "empty"), (F.length(raw) - F.length(bare) > 0.25 * n_raw, "base64_heavy"), (n < 40, "too_short"), (words < 8, "too_few_words"), ((n >= 200) & ~prose.rlike(r"[.!?;:\n]"), "low_prose")]
-    )
+    # each step is worked out once a row, and later ones only for texts that get there
+    bare = F.when(F.contains(raw, F.lit(";base64,")), F.regexp_replace(raw, rf"data:[^,{_SPACES}]*;base64,[A-Za-z0-9+/=]+", "")).otherwise(raw)
+
+    def judge(t: Column) -> Column:
+        prose, n_raw = F.btrim(t["bare"], edges), F.length(F.btrim(t["raw"], edges))
+        n = F.length(prose)
+        few = F.size(F.split(prose, f"[{_SPACES}]+", 8)) < 8
+        rest = F.when(few, "too_few_words").when((n >= 200) & ~prose.rlike(r"[.!?;:\n]"), "low_prose")
+        return F.when(n_raw == 0, "empty").when(F.length(t["raw"]) - F.length(t["bare"]) > 0.25 * n_raw, "base64_heavy").when(n < 40, "too_short").otherwise(rest)
+
+    return F.transform(F.array(F.struct(raw.alias("raw"), bare.alias("bare"))), judge)[0]
 
 
 def survey_class(text: Column | str, notebook: Column | None = None) -> Column:
     """The corpus survey's class, whose thresholds differ from content_junk's; notebook: whether an
     item comes from a notebook, whose single sentences are prose."""
     raw = F.coalesce(_col(text), F.lit(""))
-    n = F.length(F.regexp_replace(raw, _EDGES, ""))
+    n = F.length(F.btrim(raw, F.lit(_SPACES)))
     encoded = F.length(raw) - F.length(F.regexp_replace(raw, r"base64,[A-Za-z0-9+/=]+", ""))
     sentences = F.regexp_count(raw, F.lit("[.!?]"))
     plain = F.lit(True) if notebook is None else ~F.coalesce(notebook, F.lit(False))

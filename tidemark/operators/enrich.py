@@ -94,8 +94,12 @@ def by_scope(reports: DataFrame, requests: DataFrame) -> DataFrame:
 
 def linked_evidence(documents: DataFrame, events: DataFrame, most: int = 5) -> DataFrame:
     """Each document's linked events (linked_event_ids), the highest scores first, at most so many."""
-    pairs = documents.select("url", F.explode("linked_event_ids").alias("event_id")).join(events, "event_id")
-    return first_per_key(pairs, "url", most, [F.col("score").desc(), F.col("event_id")])
+    return linked_pairs(documents.select("url", F.explode("linked_event_ids").alias("event_id")), events, most)
+
+
+def linked_pairs(links: DataFrame, events: DataFrame, most: int = 5) -> DataFrame:
+    """``linked_evidence`` from rows (url, event_id), each pair once; no document's events are gathered."""
+    return first_per_key(links.distinct().join(events, "event_id"), "url", most, [F.col("score").desc(), F.col("event_id")])
 
 
 def geo_backfill(events: DataFrame, located: DataFrame, raw: DataFrame) -> DataFrame:

@@ -48,9 +48,12 @@ def min_max(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
-    """A hash of a table that does not depend on its order: row hashes are summed."""
-    h = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256), 1, 12), 16, 10).cast("decimal(38,0)")
-    return rows.agg(F.count("*").alias("rows"), F.sum(h).cast("string").alias("fingerprint"))
+    """A SHA-256 of a table that does not depend on its order: each row as canonical JSON (columns by name, nulls kept) has a
+    hash, whose four parts of 60 bits are summed over all rows; sums and count are hashed again."""
+    hashed = rows.select(F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256).alias("h"))
+    part = lambda i: F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    whole = F.sha2(F.concat_ws("|", F.count("*").cast("string"), *[part(i) for i in range(4)]), 256)
+    return hashed.agg(F.count("*").alias("rows"), whole.alias("fingerprint"))
 
 
 def next_number(rows: DataFrame, key: str, number: str) -> DataFrame:

@@ -35,25 +35,32 @@ def rerank(pool: DataFrame, query: str, scorer: Callable[[DataFrame], Column] |
     return pool.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= keep)
 
 
-def tier_boost(pool: DataFrame, query: str, score: str, credibility: str, weight: float = 0.2) -> DataFrame:
-    """Scores normalised over each query's pool (no spread: 1), mixed with credibility; equal
-    ones keep their order."""
-    w = Window.partitionBy(query)
-    low, high = F.min(score).over(w), F.max(score).over(w)
+def boosted(pool: DataFrame, query: str, score: str, credibility: str, weight: float = 0.2) -> DataFrame:
+    """pool with ``boosted``: scores normalised over each query's pool (no spread: 1), mixed with credibility. The spans come from a
+    grouping, so that no task holds a pool."""
+    span = pool.groupBy(query).agg(F.min(score).alias("__low"), F.max(score).alias("__high"))
+    low, high = F.col("__low"), F.col("__high")
     normal = F.when(high == low, 1.0).otherwise((F.col(score) - low) / F.nullif(high - low, F.lit(0.0)))
-    boosted = (1 - weight) * normal + weight * F.col(credibility)
-    out = pool.withColumn("boosted", boosted)
-    return out.withColumn("rank", F.row_number().over(w.orderBy(F.col("boosted").desc(), "pos")))
+    return pool.join(span, query).withColumn("boosted", (1 - weight) * normal + weight * F.col(credibility)).drop("__low", "__high")
 
 
-def lane_merge(ranked: DataFrame, query: str, k: int = 5, most_realtime: int = 1) -> DataFrame:
-    """k per query: analysis first, then at most most_realtime of the realtime lane at the end."""
-    w = Window.partitionBy(query, "lane").orderBy("rank")
-    placed = ranked.withColumn("__n", F.row_number().over(w))
+def tier_boost(pool: DataFrame, query: str, score: str, credibility: str, weight: float = 0.2, keep: int | None = None) -> DataFrame:
+    """``boosted`` with the rank in each query; equal ones keep their order. With ``keep`` only the best stay, of which each task passes on
+    no more than that."""
+    w = Window.partitionBy(query).orderBy(F.col("boosted").desc(), "pos")
+    ranked = boosted(pool, query, score, credibility, weight).withColumn("rank", F.row_number().over(w))
+    return ranked if keep is None else ranked.where(F.col("rank") <= keep)
+
+
+def lane_merge(rows: DataFrame, query: str, k: int = 5, most_realtime: int = 1, order: Sequence[Column] | None = None) -> DataFrame:
+    """k per query: analysis first, then at most most_realtime of the realtime lane at the end. order: of the rows, by default their
+    rank. Each lane is cut to k rows before the lanes of a query meet."""
+    order = list(order or [F.col("rank")])
     live = F.col("lane") == "realtime"
+    placed = rows.withColumn("__n", F.row_number().over(Window.partitionBy(query, "lane").orderBy(*order))).where(F.col("__n") <= max(k, most_realtime))
     counts = F.sum(F.when(live & (F.col("__n") <= most_realtime), 1).otherwise(0)).over(Window.partitionBy(query))
     kept = placed.withColumn("__live", counts).where((live & (F.col("__n") <= most_realtime)) | (~live & (F.col("__n") <= k - F.col("__live"))))
-    return kept.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(live.cast("int"), "rank"))).drop("__n", "__live")
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(live.cast("int"), *order))).drop("__n", "__live")
 
 
 #: Sources of the analysis lane and the type that each must have.

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,49 +45,15 @@ def nearest_site(points: DataFrame, sites: Sequence[tuple[str, float, float]], r
     return points.withColumn("__s", near).withColumns({"nearest_site": F.col("__s.site"), "distance_km": F.col("__s.km")}).drop("__s")
 
 
-def point_in_rings(lats: pd.Series, lons: pd.Series, rings: list[list[tuple[float, float]]], edge_m: float = 0.1) -> tuple[pd.Series, pd.Series]:
-    """inside and on_edge of points for a polygon given as closed rings of (lon, lat), by even-odd ray casting."""
-    import numpy as np
-
-    x, y = lons.to_numpy(float), lats.to_numpy(float)
-    inside, nearest = np.zeros(len(x), bool), np.full(len(x), np.inf)
-    radius = 6_371_008.8
-    for ring in rings:
-        for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
-            crosses = (y1 > y) != (y2 > y)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                at = (x2 - x1) * (y - y1) / (y2 - y1) + x1 if y1 != y2 else np.full(len(x), np.nan)
-            inside ^= crosses & (x < at)
-            k = np.cos(np.radians(y)) * math.pi / 180 * radius
-            m = math.pi / 180 * radius
-            ax, ay, bx, by = (x1 - x) * k, (y1 - y) * m, (x2 - x) * k, (y2 - y) * m
-            dx, dy = bx - ax, by - ay
-            length = dx * dx + dy * dy
-            t = np.clip(np.where(length > 0, -(ax * dx + ay * dy) / np.where(length > 0, length, 1), 0), 0, 1)
-            nearest = np.minimum(nearest, np.hypot(ax + t * dx, ay + t * dy))
-    return pd.Series(inside), pd.Series(nearest <= edge_m)
-
-
-def locate(points: DataFrame, polygons: list[dict], edge_m: float = 0.1) -> DataFrame:
-    """points (lat, lon) with the scopes of a bounded catalog that hold them (sorted keys) and
-    those on whose edge they lie. polygons: dicts of key and rings."""
-    boxes = [(p["key"], p["rings"], min(y for r in p["rings"] for _, y in r), max(y for r in p["rings"] for _, y in r)) for p in polygons]
-
-    @F.pandas_udf("inside array<string>, edge array<string>")
-    def find(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
-        inside, edge = [[] for _ in range(len(lat))], [[] for _ in range(len(lat))]
-        for key, rings, south, north in boxes:
-            rows = [i for i, y in enumerate(lat) if y is not None and south - 0.001 <= y <= north + 0.001]
-            if rows:
-                isin, on = point_in_rings(lat.iloc[rows].reset_index(drop=True), lon.iloc[rows].reset_index(drop=True), rings, edge_m)
-                for i, a, b in zip(rows, isin, on, strict=True):
-                    if b:
-                        edge[i].append(key)
-                    elif a:
-                        inside[i].append(key)
-        return pd.DataFrame({"inside": [sorted(k) for k in inside], "edge": [sorted(k) for k in edge]})
-
-    return points.withColumn("__f", find(F.col("lat").cast("double"), F.col("lon").cast("double"))).withColumns({"inside": F.col("__f.inside"), "edge": F.col("__f.edge")}).drop("__f")
+def locate(points: DataFrame, polygons: list[dict], degrees: float = 2.0) -> DataFrame:
+    """points (lat, lon) with the scopes of a short list of polygons that hold them (sorted keys) and
+    those on whose edge they lie, by the cells of ``operators.scopes``. polygons: dicts of key and rings of (lon, lat)."""
+    from .scopes import CATALOG, ScopeIndex
+
+    rows = [(p["key"], None, "scope", [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in p["rings"]]) for p in polygons]
+    found = ScopeIndex(points.sparkSession.createDataFrame(rows, CATALOG), degrees).locate(points)
+    keys = lambda edge: F.transform(F.filter("matches", lambda m: m["edge"] == edge), lambda m: m["key"])
+    return found.withColumns({"inside": keys(False), "edge": keys(True)}).drop("matches")
 
 
 def ancestors(scope: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extraction, graph_writes
+from ..operators import batches, extraction, graph_writes
 from ..operators.scopes import ScopeIndex, resolve
 from ..session import scratch, table
 from ..sources.commits import CommittedTables, folded
@@ -210,16 +210,16 @@ def graph_writes_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = ev.selectExpr("concat('u', user_id) as icao24", "event_type as callsign", "cast(user_id as string) as registration", "'t' as type_code", "'b' as branch", "case when event_type = 'view' then 0.0D else lat end as lat", "case when event_type = 'view' then 0.0D else lon end as lon", "value as altitude_m", "1.0D as speed_ms", "2.0D as heading", "s as seconds")
     told = ev.where("event_type = 'error'").selectExpr("event_id as id", "'fire' as kind", "props as title", "'high' as severity", "'open' as status", "s as trigger_s", "case when value < 20 then cast(null as double) else lat end as lat", "lon", "cast(null as string) as location")
     pairs = ev.where("event_type = 'purchase'").selectExpr("concat('a', user_id) as src", "concat('b', event_id % 97) as dst", "value as score", "lat as distance_km", "cast(event_id as int) as days")
-    batches = {
+    commits = {
         "extraction": graph_writes.extraction_tables(outcomes, "2024-01-01T00:00:00", ALIASES),
         "sightings": graph_writes.aircraft_tables(seen),
         "incidents": graph_writes.incident_tables(told),
         "closed": graph_writes.incident_tables(told.withColumn("status", F.lit("closed")).withColumn("trigger_s", F.lit(0).cast("long"))),
         "corroborations": graph_writes.corroboration_table(pairs),
     }
-    for name, tables in batches.items():
+    for name, tables in commits.items():
         store.commit(name, tables)
-    store.commit("incidents", batches["incidents"])  # a replay
+    store.commit("incidents", commits["incidents"])  # a replay
     logs = {name: store.read(name) for name in GRAPH_KEYS}
     current = {name: folded(log, GRAPH_KEYS[name], {c: r for c, r in GRAPH_RULES[name].items() if c in log.columns}) for name, log in logs.items()}
     as_text = {
@@ -275,6 +275,31 @@ UNION ALL SELECT 'edge', 'incident:' || event_id || ' OCCURRED_AT location:' ||
 UNION ALL SELECT 'spotted_at', k, s || '|' || CAST(round(lat * 100) AS INTEGER) FROM sp
 UNION ALL SELECT 'corroborated_by', 'a' || user_id || ' b' || (event_id % 97), CAST(max_by(event_id, (value, lat, event_id)) AS VARCHAR) FROM e WHERE event_type = 'purchase' GROUP BY user_id, event_id % 97"""
 
-QUERIES = {f.__name__: f for f in (cluster_lifecycle, near_duplicate_clusters, located_scopes, extraction_outcomes)} | {"graph_commits": graph_writes_committed}
-
-ORACLE = {"cluster_lifecycle": _LIFE, "near_duplicate_clusters": _TOPICS, "located_scopes": _SCOPES, "extraction_outcomes": _OUTCOMES, "graph_commits": _GRAPH}
+def reenrichment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SPA-09, SPA-16, AGG-17, AGG-21: a change to all customers' nations, approved by its fingerprint and applied in pages with a stop between two;
+    its report, and what the control table and the written records hold."""
+    c = table(spark, sf_dir, "customer")
+    status = "case when c_custkey % 11 = 0 then 'unresolved' when c_acctbal < 0 then 'conflict' when c_custkey % 3 = 0 then 'already_normalized' else 'resolvable' end"
+    plan = c.selectExpr("c_custkey as record_id", "c_mktsegment as source", "cast(c_nationkey % 4 as string) as code_system", f"{status} as status").withColumn("change", F.when(F.col("status") == "resolvable", F.struct(F.concat(F.lit("n"), F.col("code_system")).alias("scope"))))
+    store = CommittedTables(spark, scratch(spark, "reenrichment"))
+    paged = batches.PagedChange(store, "customers", "scopes")
+    paged.approve(plan, batches.approval(plan), 6)
+    paged.apply(most_pages=2)
+    paged.apply()
+    done = store.read("scopes").groupBy("scope").agg(F.count("*").alias("records"), F.countDistinct("record_id").alias("writes"))
+    control = paged.progress().agg(F.sum("writes").alias("records"), F.max("cursor").alias("writes"))
+    out = batches.report(plan).unionByName(done.select(F.lit("written").alias("dimension"), F.col("scope").alias("value"), F.lit(None).cast("string").alias("status"), "records", "writes"))
+    return out.unionByName(control.select(F.lit("control").alias("dimension"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("status"), "records", "writes"))
+
+
+_REPORT = """WITH p AS (SELECT c_custkey AS id, c_mktsegment AS source, CAST(c_nationkey % 4 AS VARCHAR) AS cs, CASE WHEN c_custkey % 11 = 0 THEN 'unresolved' WHEN c_acctbal < 0 THEN 'conflict' WHEN c_custkey % 3 = 0 THEN 'already_normalized' ELSE 'resolvable' END AS status FROM customer),
+w AS (SELECT * FROM p WHERE status = 'resolvable')
+SELECT 'source' AS dimension, source AS value, status, count(*) AS records, count(*) FILTER (WHERE status = 'resolvable') AS writes FROM p GROUP BY source, status
+UNION ALL SELECT 'code_system', cs, status, count(*), count(*) FILTER (WHERE status = 'resolvable') FROM p GROUP BY cs, status
+UNION ALL SELECT 'all', NULL, status, count(*), count(*) FILTER (WHERE status = 'resolvable') FROM p GROUP BY status
+UNION ALL SELECT 'written', 'n' || cs, NULL, count(*), count(*) FROM w GROUP BY cs
+UNION ALL SELECT 'control', NULL, NULL, count(*), max(id) FROM w"""
+
+QUERIES = {f.__name__: f for f in (cluster_lifecycle, near_duplicate_clusters, located_scopes, extraction_outcomes, reenrichment_report)} | {"graph_commits": graph_writes_committed}
+
+ORACLE = {"cluster_lifecycle": _LIFE, "near_duplicate_clusters": _TOPICS, "located_scopes": _SCOPES, "extraction_outcomes": _OUTCOMES, "reenrichment_report": _REPORT, "graph_commits": _GRAPH}

@@ -52,8 +52,8 @@ def viewport(spark: SparkSession, sf_dir: str) -> DataFrame:
 def linked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-25: the five dearest orders of each part."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    docs = li.groupBy(F.col("l_partkey").alias("url")).agg(F.collect_set("l_orderkey").alias("linked_event_ids"))
-    return e.linked_evidence(docs, o.select(F.col("o_orderkey").alias("event_id"), F.col("o_totalprice").alias("score"))).select("url", "event_id", "place")
+    links = li.select(F.col("l_partkey").alias("url"), F.col("l_orderkey").alias("event_id"))
+    return e.linked_pairs(links, o.select(F.col("o_orderkey").alias("event_id"), F.col("o_totalprice").alias("score"))).select("url", "event_id", "place")
 
 
 def geo_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,7 +157,7 @@ SELECT event_id, s, tier, is_incident, CAST(row_number() OVER (ORDER BY tier, s
     "tracks_clipped": f"WITH {_EV}, u AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE lat BETWEEN -40 AND 60 AND (lon >= 100 OR lon <= -60)) AS inside FROM ev WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY 1) SELECT count(*) AS users, CAST(coalesce(sum(n - inside), 0) AS BIGINT) AS clipped_points FROM u WHERE inside > 0",
     "landing_counts": f"WITH {_EV} SELECT count(*) AS events, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-20') AS recent, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-20' AND severity = 'critical') AS critical, count(*) FILTER (WHERE value > 300) AS large, count(DISTINCT user_id) AS users FROM ev",
     "latest_positions": f"WITH {_EV} SELECT user_id, event_id, lat, lon FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_id DESC) = 1",
-    "grid_ignitions": f"""WITH {_EV}, c AS (SELECT CAST(floor(lat / 10) AS BIGINT) AS row, CAST(floor(lon / 10) AS BIGINT) AS col, event_id, s, count(*) OVER (PARTITION BY floor(lat / 10), floor(lon / 10) ORDER BY s RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS hits FROM ev)
+    "grid_ignitions": f"""WITH {_EV}, c AS (SELECT CAST(floor(lat / 10) AS BIGINT) AS row, CAST(floor(lon / 10) AS BIGINT) AS col, event_id, s, count(*) OVER (PARTITION BY floor(lat / 10), floor(lon / 10) ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS hits FROM ev)
 SELECT row, col, event_id, hits FROM c WHERE hits >= 3 QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY s, event_id) = 1""",
     "severity_bursts": f"""WITH {_EV}, h AS (SELECT event_id, s, lag(s, 4) OVER (ORDER BY s, event_id) AS fifth, row_number() OVER (ORDER BY s, event_id) AS r FROM ev WHERE severity IN ('critical', 'high')), g AS (SELECT min(r) AS r0 FROM h WHERE fifth >= s - 900)
 SELECT event_id, CASE WHEN r = r0 THEN 'ignition' ELSE 'update' END AS kind FROM h, g WHERE r >= r0""",

@@ -176,13 +176,13 @@ _BOOST = _POOL + ", w AS (SELECT *, 0.8::DOUBLE * ((score - min(score) OVER (PAR
 
 def tier_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-09, AGG-19, PRJ-13."""
-    return r.tier_boost(_pool(spark, sf_dir), "query", "score", "credibility").where("rank <= 40").select("query", "pos", "rank", F.round("boosted", 9).alias("boosted"))
+    return r.tier_boost(_pool(spark, sf_dir), "query", "score", "credibility", keep=40).select("query", "pos", "rank", F.round("boosted", 9).alias("boosted"))
 
 
 def lane_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-10, FLT-16."""
-    ranked = r.tier_boost(_pool(spark, sf_dir), "query", "score", "credibility")
-    return r.lane_merge(ranked, "query").select("query", "pos", "place", "lane")
+    pool = r.boosted(_pool(spark, sf_dir), "query", "score", "credibility")
+    return r.lane_merge(pool, "query", order=[F.col("boosted").desc(), F.col("pos")]).select("query", "pos", "place", "lane")
 
 
 def rerank_pool(spark: SparkSession, sf_dir: str) -> DataFrame:

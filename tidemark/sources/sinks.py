@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,18 +19,32 @@ def write_quarantine(aside: DataFrame, path: str, append: bool = True) -> None:
 
 
 def write_snapshot(rows: DataFrame, path: str) -> str:
-    """Content-addressed version of a small table beside a pointer to the present one."""
+    """A version of a small table by its content, made current by one rename: a reader finds the version before or this one.
+    Content that is current already is not written again."""
     from ..operators.measures import fingerprint
+    from .commits import CommittedTables
 
-    name = fingerprint(rows, *rows.columns).first()["fingerprint"] or "empty"
-    rows.write.mode("overwrite").parquet(f"{path}/version={name}")
-    rows.sparkSession.createDataFrame([(name,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/_current")
+    name = fingerprint(rows, *rows.columns).first()["fingerprint"]
+    store = CommittedTables(rows.sparkSession, path)
+    if not any(m["batches"][-1].startswith(name) for m in store.manifests()[-1:]):
+        store.commit(f"{name}-{uuid.uuid4().hex}", {"snapshot": rows}, compacted=True)
     return name
 
 
 def read_snapshot(spark, path: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{path}/_current").first()["version"]
-    return spark.read.parquet(f"{path}/version={version}")
+    from .commits import CommittedTables
+
+    return CommittedTables(spark, path).read("snapshot").drop("__commit")
+
+
+def fresh_snapshot(spark, path: str, now_s: int, ttl_s: int, stamp: str = "fetched_s") -> DataFrame | None:
+    """The current version while it is younger than its time to live by its stamp column, else None: fetch anew."""
+    from .commits import CommittedTables
+
+    rows = CommittedTables(spark, path).read("snapshot")
+    if rows is None or (at := rows.agg(F.max(stamp)).first()[0]) is None or now_s - at >= ttl_s:
+        return None
+    return rows.drop("__commit")
 
 
 def geojson_features(rows: DataFrame, lon: str, lat: str, properties: list[str]) -> DataFrame:

@@ -6,18 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sink_progress(slices: DataFrame, done: DataFrame) -> DataFrame:
-    """Per sink the last slice up to which all are done (null: none), how many wait, and the lag to
-    the newest slice. slices: slice_id; done: sink, slice_id. One row per sink and slice is
-    compared, so a slow sink never holds up another."""
+def _places(slices: DataFrame, width: int) -> DataFrame:
+    """Numeric slice ids with their place among all, from 1: places within stretches of ``width`` ids, after the counts of the
+    stretches before, so that no task orders all slices."""
+    cut = slices.select("slice_id").distinct().withColumn("__cut", F.floor(F.col("slice_id") / width))
+    before = cut.groupBy("__cut").agg(F.count("*").alias("__n"))
+    before = before.select("__cut", (F.sum("__n").over(Window.orderBy("__cut")) - F.col("__n")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__cut").orderBy("slice_id"))
+    return cut.withColumn("__r", within).join(before, "__cut").select("slice_id", (F.col("__before") + F.col("__r")).alias("place"))
+
+
+def sink_progress(slices: DataFrame, done: DataFrame, width: int = 4096) -> DataFrame:
+    """Per sink the last slice up to which all are done (null: none), how many wait, and the
+    newest slice. slices: slice_id (a number); done: sink, slice_id. A sink's rows are compared by place: where its
+    n-th done slice is the n-th of all, all before it are done. Slow sinks never hold up others, and no pair of sink
+    and slice is made that is not done."""
     sinks = done.select("sink").distinct()
-    wanted = slices.select("slice_id").distinct().crossJoin(F.broadcast(sinks)) if sinks.limit(101).count() <= 100 else slices.select("slice_id").distinct().join(sinks)
-    state = wanted.join(done.select("sink", "slice_id", F.lit(True).alias("ok")).distinct(), ["sink", "slice_id"], "left")
-    bad = state.where("ok is null").groupBy("sink").agg(F.min("slice_id").alias("first_pending"), F.count("*").alias("pending"))
-    good = state.where("ok").join(bad, "sink", "left").where("first_pending is null or slice_id < first_pending").groupBy("sink").agg(F.max("slice_id").alias("pointer"))
-    newest = slices.agg(F.max("slice_id").alias("newest"))
-    out = sinks.join(good, "sink", "left").join(bad, "sink", "left").crossJoin(F.broadcast(newest))
-    return out.select("sink", "pointer", F.coalesce("pending", F.lit(0)).alias("pending"), "newest")
+    placed = done.select("sink", "slice_id").distinct().join(_places(slices, width), "slice_id")
+    cut = placed.withColumn("__cut", F.floor(F.col("slice_id") / width))
+    before = cut.groupBy("sink", "__cut").agg(F.count("*").alias("__n"))
+    before = before.select("sink", "__cut", (F.sum("__n").over(Window.partitionBy("sink").orderBy("__cut")) - F.col("__n")).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("sink", "__cut").orderBy("slice_id"))
+    own = cut.withColumn("__r", nth).join(before, ["sink", "__cut"]).withColumn("__nth", F.col("__before") + F.col("__r"))
+    per = own.groupBy("sink").agg(F.max(F.when(F.col("__nth") == F.col("place"), F.col("slice_id"))).alias("pointer"), F.count("*").alias("__done"))
+    totals = slices.agg(F.countDistinct("slice_id").alias("__all"), F.max("slice_id").alias("newest"))
+    out = sinks.join(per, "sink", "left").crossJoin(F.broadcast(totals))
+    return out.select("sink", "pointer", (F.col("__all") - F.coalesce("__done", F.lit(0))).alias("pending"), "newest")
 
 
 def replay_batch(pending: DataFrame, most: int = 10) -> DataFrame:

@@ -46,15 +46,17 @@ def threshold_detector(events: DataFrame, key: str, seconds: str, window: int =
             if is_open and now - last > quiet:
                 out.append((str(key_value[0]), last + quiet, "close", hits))
                 is_open, hits, recent, muted = False, 0, [], last + quiet + cooldown
-            if not is_open:  # an open cluster needs no window; a closed one ignites at least, or waits out its cooldown
+            if not is_open and now < muted:
+                continue  # hits of the cooldown are not recorded
+            if not is_open:  # an open cluster needs no window; a hit exactly a window old counts
                 recent.append(now)
-                start = bisect.bisect_right(recent, now - window)
+                start = bisect.bisect_left(recent, now - window)
                 recent = recent[start:] if start else recent
             last = max(last, now)
             if is_open:
                 hits += 1
                 out.append((str(key_value[0]), now, "update", hits))
-            elif len(recent) >= least and now >= muted:
+            elif len(recent) >= least:
                 is_open, hits = True, len(recent)
                 out.append((str(key_value[0]), now, "ignition", hits))
         state.update((recent, is_open, hits, last, muted))

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 
 def sliding_count(events: DataFrame, keys: Sequence[str], seconds: Column, window: int) -> DataFrame:
-    """Each event with the number of its key's events in the window that ends with it. The
+    """Each event with the number of its key's events in the window that ends with it, one exactly a window old included. The
     window runs over counts per second, so that a hot key is small before it is sorted."""
     timed = events.withColumn("__s", seconds.cast("long"))
     per = timed.groupBy(*keys, "__s").agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*keys).orderBy("__s").rangeBetween(-(window - 1), 0)
+    w = Window.partitionBy(*keys).orderBy("__s").rangeBetween(-window, 0)
     per = per.withColumn("hits", F.sum("__n").over(w)).drop("__n")
     right = per.select(*[F.col(c).alias(f"__r_{c}") for c in (*keys, "__s")], "hits")
     on = F.lit(True)
