@@ -388,6 +388,11 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, split:
     """A row per row of docs (doc_id, text): doc_id, n_shingles, component_id. More rounds of promising
     pairs are made while the last round would have more than ``rounds_until`` pairs a document and
     its meetings become fewer; no parameter but size and percent changes the result."""
+    return _labelled(docs, size, percent, split, rounds_until).select("doc_id", "n_shingles", "component_id")
+
+
+def _labelled(docs: DataFrame, size: int, percent: int, split: int = _SPLIT, rounds_until: int = 4) -> DataFrame:
+    """jaccard_components with a hash of each row's set."""
     bounded_batches(docs.sparkSession)
     sets = materialize(shingle_sets(docs, size, percent), "sets")
     classes = (
@@ -425,33 +430,33 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, split:
     comps = components(links.unionByName(second))
 
     labels = classes.join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").select("f1", "f2", F.coalesce("comp", "id").alias("component"))
-    return sets.join(labels, ["f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _text_hash() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+    return sets.join(labels, ["f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.col("f1").alias("set_hash"))
 
 
 def deduplicate(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """The documents that stand for their component, with docs' columns: those whose doc_id is
     the component's smallest. Of rows with one doc_id and text the first in the order of all
     columns stays. Rows without shingles or without an id stay. Rows of one doc_id with different
-    texts are documents of their own: all but one of them take part under a number made of id and
-    text, above all usual ids, so that no text goes that exists nowhere else."""
-    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(_text_hash()).alias("__dd_first"), F.max(_text_hash()).alias("__dd_last"))
-    mixed = materialize(texts.where("__dd_first <> __dd_last").select(F.col("doc_id").alias("__dd_id"), "__dd_first"), "mixed")
+    sets are documents of their own: the join is made anew with all but one of them under a number made of
+    id and text, above all usual ids, so that no text goes that exists nowhere else."""
+    labels = materialize(_labelled(docs, size, percent).where("n_shingles > 0 and doc_id is not null"), "labels")
+    mixed = labels.groupBy("doc_id").agg(F.min("set_hash").alias("__dd_first"), F.max("set_hash").alias("__dd_last")).where("__dd_first <> __dd_last")
+    mixed = materialize(mixed.select(F.col("doc_id").alias("__dd_id")), "mixed")
     if mixed.isEmpty():
-        return _representatives(docs, size, percent)
+        return _representatives(docs, labels)
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
     own = docs.join(_small(mixed), F.col("doc_id") == F.col("__dd_id"), "left")
-    made = F.xxhash64("doc_id", _text_hash()).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
-    keyed = own.withColumn("__dd_own", F.col("doc_id")).withColumn("doc_id", F.when(F.col("__dd_id").isNull() | (_text_hash() == F.col("__dd_first")), F.col("doc_id")).otherwise(made))
-    kept = _representatives(materialize(keyed.drop("__dd_id", "__dd_first"), "keyed"), size, percent)
-    return kept.withColumn("doc_id", F.col("__dd_own")).select(*docs.columns)
+    first = materialize(own.where("__dd_id is not null").groupBy(F.col("__dd_id").alias("__dd_key")).agg(F.min(text).alias("__dd_text")), "first-texts")
+    made = F.xxhash64("doc_id", text).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    keyed = own.join(_small(first), F.col("__dd_id") == F.col("__dd_key"), "left").withColumn("__dd_own", F.col("doc_id"))
+    keyed = keyed.withColumn("doc_id", F.when(F.col("__dd_id").isNull() | (text == F.col("__dd_text")), F.col("doc_id")).otherwise(made))
+    keyed = materialize(keyed.drop("__dd_id", "__dd_key", "__dd_text"), "keyed")
+    labels = materialize(_labelled(keyed, size, percent).where("n_shingles > 0 and doc_id is not null"), "labels")
+    return _representatives(keyed, labels).withColumn("doc_id", F.col("__dd_own")).select(*docs.columns)
 
 
-def _representatives(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """deduplicate, where a doc_id has one text."""
-    labels = materialize(jaccard_components(docs, size, percent).where("n_shingles > 0 and doc_id is not null"), "labels")
+def _representatives(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """deduplicate, where a doc_id has one set."""
     kept = filter_by_ids(docs, labels.where("doc_id <> component_id").select("doc_id"), "left_anti").select(*docs.columns)
     repeated = labels.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
