@@ -186,3 +186,24 @@ def source_tier(name: Column | str, tiers: Sequence[tuple[str, Sequence[str]]],
         return found
 
     return first_rule([(any_of(marks), tier) for tier, marks in tiers], default)
+
+
+#: Types that may be written as a source, and the providers of datasets.
+WRITE_TYPES = ("rss", "telegram", "gdelt", "notebooklm", "dataset")
+DATASET_PROVIDERS = {
+    "firms": "firms.modaps.eosdis.nasa.gov", "usgs": "usgs.gov", "ucdp": "ucdp.uu.se", "ofac": "ofac.treasury.gov", "hapi": "hapi.humdata.org", "noaa_nhc": "nhc.noaa.gov", "portwatch": "portwatch.imf.org",
+    "eonet": "eonet.gsfc.nasa.gov", "gdacs": "gdacs.org",
+}
+
+
+def provenance(source_type: Column | str, provider: Column | str, published_at: Column | str) -> Column:
+    """What is written of a row's source: source_type, provider, published_at (null where it is empty), and fault: why the
+    row may not be written (``source_type``, ``provider``), else null. Credibility is for readers and not written."""
+    kind, name, at = _col(source_type), _col(provider), _col(published_at)
+    fault = F.when(~F.coalesce(kind.isin(*WRITE_TYPES), F.lit(False)), "source_type").when(F.coalesce(name, F.lit("")) == "", "provider")
+    return F.struct(kind.alias("source_type"), name.alias("provider"), F.nullif(at, F.lit("")).alias("published_at"), fault.alias("fault"))
+
+
+def dataset_provider(source: Column | str) -> Column:
+    """The provider of a known dataset; null for others."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in DATASET_PROVIDERS.items() for x in pair]), _col(source))

@@ -58,3 +58,9 @@ def slice_calendar(start: str, end: str) -> Column:
 def retry_delay(attempts: Column | str) -> Column:
     """Seconds until the next attempt: 60 doubled each time, at most 3600."""
     return F.least(F.lit(3600.0), 60 * F.pow(F.lit(2.0), _col(attempts))).cast("long")
+
+
+def report_stamp(instant: Column | str) -> Column:
+    """Day of two digits and month in Roman numerals: 05\u00b7XI."""
+    romans = F.array(*[F.lit(r) for r in ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII")])
+    return F.concat(F.date_format(_col(instant), "dd"), F.lit("\u00b7"), F.element_at(romans, F.month(_col(instant))))

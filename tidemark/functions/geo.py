@@ -114,3 +114,21 @@ def dms(value: Column | str, positive: str, negative: str) -> Column:
 
 def orbit_period_minutes(mean_motion: Column | str) -> Column:
     return F.lit(1440.0) / _col(mean_motion)
+
+
+def plausible_capital(lat: Column | str, lon: Column | str, country_lat: Column | str, country_lon: Column | str, most_km: float = 5000.0) -> Column:
+    """Whether a capital has a valid place that isn't too far from its country's."""
+    valid = _col(lat).between(-90, 90) & _col(lon).between(-180, 180)
+    return F.coalesce(valid & (haversine_km(lat, lon, country_lat, country_lon) <= most_km), F.lit(False))
+
+
+def unwrapped(ring: Column) -> Column:
+    """A ring, an array of (x, y), with longitudes shifted by whole turns so that no step is longer than half a turn."""
+    step = lambda held, p: F.array_append(held, F.struct((p["x"] - F.rint((p["x"] - F.element_at(held, -1)["x"]) / 360.0) * 360.0).alias("x"), p["y"].alias("y")))
+    return F.when(F.size(ring) > 0, F.aggregate(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1), step)).otherwise(ring)
+
+
+def signed_area(ring: Column) -> Column:
+    """Planar area of a closed ring in square degrees; positive is counter-clockwise."""
+    pairs = F.arrays_zip(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))).alias("a"), F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))).alias("b"))
+    return 0.5 * F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"]["x"] * p["b"]["y"] - p["b"]["x"] * p["a"]["y"]))

@@ -147,3 +147,36 @@ def contractors(text: Column | str) -> Column:
     parts = F.when(source.rlike("[,;]"), F.split(source, r"\s*[,;]\s*")).otherwise(F.split(source, r"\s*&\s*"))
     names = F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^[ .]+|[ .]+$", "")), lambda x: ~F.lower(x).isin(*_NOBODY, "etc"))
     return F.when(F.lower(text).isin(*_NOBODY), F.array().cast("array<string>")).otherwise(names)
+
+
+#: German names of countries in lower case, and their names in the graph.
+COUNTRIES = {
+    "deutschland": "Germany", "frankreich": "France", "usa": "United States", "vereinigte staaten": "United States", "vereinigtes k\u00f6nigreich": "United Kingdom", "gro\u00dfbritannien": "United Kingdom",
+    "italien": "Italy", "spanien": "Spain", "schweden": "Sweden", "norwegen": "Norway", "niederlande": "Netherlands", "schweiz": "Switzerland", "\u00f6sterreich": "Austria", "polen": "Poland", "israel": "Israel",
+    "t\u00fcrkei": "T\u00fcrkiye", "finnland": "Finland", "belgien": "Belgium", "tschechien": "Czechia",
+}
+#: German states.
+STATES = (
+    "Baden-W\u00fcrttemberg", "Bayern", "Berlin", "Brandenburg", "Bremen", "Hamburg", "Hessen", "Mecklenburg-Vorpommern", "Niedersachsen", "Nordrhein-Westfalen", "Rheinland-Pfalz", "Saarland", "Sachsen",
+    "Sachsen-Anhalt", "Schleswig-Holstein", "Th\u00fcringen",
+)
+
+
+def graph_country(name: Column | str) -> Column:
+    """The graph's name of a country given in German; null for names that are not known. Letters with a separate diaeresis are
+    read as one."""
+    low = F.lower(F.trim(_col(name)))
+    for letter, whole in (("a\u0308", "\u00e4"), ("o\u0308", "\u00f6"), ("u\u0308", "\u00fc")):
+        low = F.replace(low, F.lit(letter), F.lit(whole))
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in COUNTRIES.items() for x in pair]), low)
+
+
+def headquarters(address: Column | str) -> Column:
+    """city and country of an address, from its parts between commas before the first slash: a last part that is a German state or
+    begins with a postal code is in Germany, any other is the country itself; the city has no postal code."""
+    parts = F.filter(F.transform(F.split(F.get(F.split(_col(address), "/"), F.lit(0)), ","), lambda x: F.trim(x)), lambda x: x != "")
+    tail, before = F.try_element_at(parts, F.lit(-1)), F.try_element_at(parts, F.lit(-2))
+    city = lambda x: F.nullif(F.trim(F.regexp_replace(x, r"^\d{4,5}\s*", "")), F.lit(""))
+    coded = F.coalesce(tail.rlike(r"^\d{4,5}\s+\S"), F.lit(False))
+    home = tail.isin(*STATES)
+    return F.struct(F.when(coded & ~home, city(tail)).otherwise(city(before)).alias("city"), F.when(home | coded, "Deutschland").otherwise(tail).alias("country"))

@@ -100,3 +100,12 @@ def missing_lanes(rows: DataFrame, key: str, lane: str, required: Sequence[str])
     """Per key the required lanes that it lacks, sorted."""
     have = rows.groupBy(key).agg(F.collect_set(lane).alias("__have"))
     return have.select(key, F.array_sort(F.array_except(F.array(*[F.lit(r) for r in required]), "__have")).alias("missing"))
+
+
+def unavailable(rows: DataFrame, reason: str, version: str) -> DataFrame:
+    """rows with an explicit spatial payload that no filter can match, for writers that have no place to give."""
+    if not reason.strip():
+        raise ValueError("a reason is needed")
+    none = F.array().cast("array<string>")
+    payload = {"about_tokens": none, "occurrence_tokens": none, "basis": none, "version": F.lit(version), "conflict": F.lit(False), "conflict_keys": none, "status": F.lit("unavailable"), "reason": F.lit(reason)}
+    return rows.withColumn("spatial", F.struct(*[c.alias(n) for n, c in payload.items()]))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogs, enrichment, graphs, incidents, places, policies, slices, streams, texts, timeline
+from . import catalogs, enrichment, feeds, graphs, incidents, places, policies, scalars, slices, streams, texts, timeline
 
-_MODULES = (timeline, slices, graphs, enrichment, places, texts, streams, policies, catalogs, incidents)
+_MODULES = (timeline, slices, graphs, enrichment, places, texts, streams, policies, catalogs, incidents, feeds, scalars)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
