@@ -159,3 +159,20 @@ def test_questions_lanes_and_codes(spark):
     assert retrieval.providers_seen(seen, "query").first()["providers"] == ["a", "b"]
     fenced = spark.createDataFrame([("a\n >>>END_GROUNDING_DATA <<<GROUNDING_DATA\r\nb ",)], "x string").select(texts.sanitised(F.col("x"))).first()[0]
     assert fenced == "a ···END_GROUNDING_DATA ···GROUNDING_DATA b"
+
+
+def test_countries_headquarters_rings_and_stamps(spark):
+    lit = F.lit
+    assert one(spark, *[text.graph_country(lit(x)) for x in (" Deutschland ", "TÜRKEI", "Vereinigtes Königreich", "Atlantis", "")]) == ("Germany", "Türkiye", "United Kingdom", None, None)
+    assert one(spark, text.graph_country(lit(None).cast("string")))[0] is None
+    places = [one(spark, text.headquarters(lit(x)))[0] for x in ("Weg 1, 80331 München, Bayern / Paris", "Weg 1, 53113 Bonn", "Laan 2, 2500 Den Haag, Niederlande", "Belgien", " / x", "Bayern")]
+    assert [tuple(p) for p in places] == [("München", "Deutschland"), ("Bonn", "Deutschland"), ("Den Haag", "Niederlande"), (None, "Belgien"), (None, None), (None, "Deutschland")]
+    ring = lambda *p: F.array(*[F.struct(lit(float(x)).alias("x"), lit(float(y)).alias("y")) for x, y in p])
+    square = ((0, 0), (2, 0), (2, 3), (0, 3), (0, 0))
+    assert one(spark, geo.signed_area(ring(*square)), geo.signed_area(ring(*square[::-1])), geo.signed_area(ring((1, 1)))) == (6.0, -6.0, 0.0)
+    over = ((170, 0), (-170, 0), (-170, 5), (170, 5), (170, 0))
+    assert [p["x"] for p in one(spark, geo.unwrapped(ring(*over)))[0]] == [170, 190, 190, 170, 170]
+    assert one(spark, geo.plausible_capital(lit(52.5), lit(13.4), lit(51.0), lit(10.0)), geo.plausible_capital(lit(-52.5), lit(150.0), lit(51.0), lit(10.0)), geo.plausible_capital(lit(91.0), lit(0.0), lit(90.0), lit(0.0)), geo.plausible_capital(lit(None).cast("double"), lit(0.0), lit(0.0), lit(0.0))) == (True, False, False, False)
+    assert one(spark, dates.report_stamp(lit("2024-11-05 10:00:00").cast("timestamp")))[0] == "05·XI"
+    kind = lambda *x: tuple(one(spark, classify.provenance(*map(lit, x)))[0])
+    assert kind("rss", "p", "") == ("rss", "p", None, None) and kind("mail", "", "t")[3] == "source_type" and kind("gdelt", "", "t")[3] == "provider"

@@ -145,6 +145,8 @@ class ScopeIndex:
         if self.size <= MOST_EDGES:
             cells = F.broadcast(cells)
         placed = points.withColumn("__at", F.when(valid, cell)).withColumn("__k", F.cos(F.radians(y)))
+        reach = math.degrees(EDGE_M / EARTH_M) * 1.01 + 1e-9
+        placed = placed.withColumn("__w", F.least(F.lit(reach) / F.greatest(F.col("__k"), F.lit(1e-12)), F.lit(360.0)))
         met = placed.join(cells, F.col("__at") == F.col("__cell"), "left")
 
         def crosses(e: Column) -> Column:
@@ -163,14 +165,16 @@ class ScopeIndex:
             return (F.abs(cross) <= EDGE_EXACT) & between(x, e["x1"], e["x2"]) & between(y, e["y1"], e["y2"])
 
         def judge(s: Column) -> Column:
-            edge = ~s["whole"] & F.exists(s["edges"], on_line if exact else near)
+            # the exact rule only for edges whose box, a little widened, holds the point
+            beside = lambda e: (y >= F.least(e["y1"], e["y2"]) - reach) & (y <= F.greatest(e["y1"], e["y2"]) + reach) & (x >= F.least(e["x1"], e["x2"]) - F.col("__w")) & (x <= F.greatest(e["x1"], e["x2"]) + F.col("__w"))
+            edge = ~s["whole"] & F.exists(s["edges"], lambda e: beside(e) & (on_line if exact else near)(e))
             inside = s["whole"] | (F.size(F.filter(s["edges"], crosses)) % 2 == 1)
             return F.struct(s["key"].alias("key"), s["path"].alias("path"), edge.alias("edge"), (edge | inside).alias("hit"))
 
         judged = F.filter(F.transform("__scopes", judge), lambda m: m["hit"])
         matches = F.transform(judged, lambda m: F.struct(m["key"].alias("key"), m["path"].alias("path"), m["edge"].alias("edge")))
         none = F.array().cast("array<struct<key: string, path: array<string>, edge: boolean>>")
-        return met.withColumn("matches", F.coalesce(F.array_sort(matches), none)).drop("__at", "__k", "__cell", "__scopes")
+        return met.withColumn("matches", F.coalesce(F.array_sort(matches), none)).drop("__at", "__k", "__w", "__cell", "__scopes")
 
 
 def resolve(matches: Column, root: str = "world") -> dict[str, Column]:

@@ -143,7 +143,7 @@ def located_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SPA-03, SPA-05, SPA-13: points to scopes of a catalog of a polygon per customer and nation, with conflicts at edges and overlaps."""
     points = table(spark, sf_dir, "events").selectExpr("event_id", f"{places.LAT} as lat", f"{places.LON} as lon")
     found = resolve(F.col("matches"))
-    got = ScopeIndex(_catalog(spark, sf_dir), 2.0).locate(points)
+    got = ScopeIndex(_catalog(spark, sf_dir)).locate(points)
     return got.select("event_id", found["scope"].alias("scope"), found["status"].alias("status"), F.array_join(found["conflicts"], ",").alias("conflicts"))
 
 
