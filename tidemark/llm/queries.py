@@ -127,9 +127,25 @@ r AS (SELECT DISTINCT a AS k, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l
 m AS (SELECT k, min(c) AS c FROM r GROUP BY k)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.k = d.doc_id"""
 
+# crc32 by its table of 256 entries, which the query makes from the polynomial
+_OP11_SQL = r"""WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS r, doc_id, lang, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: unicode(x)::BIGINT), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 5 = 0 AS held_out,
+  trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g')) AS s FROM documents, tab),
+c AS (SELECT r, lang, held_out, list_transform(string_split(' ' || s || ' ', ''), lambda x: CASE WHEN x = ' ' THEN 0 ELSE unicode(x) END::BIGINT) AS c FROM d WHERE s <> ''),
+p AS (SELECT r, lang, held_out, unnest(c) AS a, unnest(c[2:] || [NULL]) AS b, unnest(c[3:] || [NULL, NULL]) AS e FROM c),
+g AS (SELECT r, lang, held_out, (a << 42) | 4398044413952 | 2097151 AS g FROM p WHERE a > 0 UNION ALL SELECT r, lang, held_out, (a << 42) | (b << 21) | 2097151 FROM p WHERE b IS NOT NULL UNION ALL SELECT r, lang, held_out, (a << 42) | (b << 21) | e FROM p WHERE e IS NOT NULL AND b > 0),
+n AS (SELECT r, lang, held_out, g, count(*) AS n FROM g GROUP BY ALL),
+q AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) - 1 AS k FROM (SELECT lang, g, sum(n) AS n FROM n WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL) QUALIFY k < 400),
+o AS (SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY n DESC, g) - 1 AS k FROM n QUALIFY k < 400),
+m AS (SELECT r, count(*) AS m FROM o GROUP BY r),
+f AS (SELECT o.r, q.lang, sum(400 - abs(o.k - q.k)) AS near FROM o JOIN q ON q.g = o.g GROUP BY ALL),
+b AS (SELECT m.r, l.lang, coalesce(near, 0) / (400.0::DOUBLE * m) AS score FROM m, (SELECT DISTINCT lang FROM q) l LEFT JOIN f ON f.r = m.r AND f.lang = l.lang QUALIFY row_number() OVER (PARTITION BY m.r ORDER BY coalesce(near, 0) DESC, l.lang) = 1)
+SELECT doc_id, held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN b ON b.r = d.r"""
+
 _OP12_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, {_LOW} AS t FROM documents),
 p AS (SELECT d, lang, unnest(q) AS t, generate_subscripts(q, 1) AS p FROM (SELECT d, lang, regexp_split_to_array(t, '[.,;:!?
--]') AS q FROM d)),
+-
+]') AS q FROM d)),
 w AS (SELECT row_number() OVER () AS p, lang, list_filter(regexp_split_to_array(t, '[ 	]+'), lambda x: x <> '') AS w FROM p),
 g AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w) x, range(1, 6) t(m) WHERE i + m - 1 <= len(w)),
 n AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
@@ -145,7 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_chat_format, op2_packing, op3_topk_search, op4_pii, op5_url_filter, op6_decontamination, op7_license_scan, op8_jaccard_join, op9_quality_classifier, op10_secret_scan, op11_language_id, op12_phrase_mining, op13_periodic_runs)}
 
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1_SQL, "op3_topk_search": _OP3_SQL, "op6_decontamination": _OP6_SQL, "op7_license_scan": license_scan.oracle(), "op8_jaccard_join": _OP8_SQL, "op12_phrase_mining": _OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1_SQL, "op3_topk_search": _OP3_SQL, "op6_decontamination": _OP6_SQL, "op7_license_scan": license_scan.oracle(), "op8_jaccard_join": _OP8_SQL, "op11_language_id": _OP11_SQL, "op12_phrase_mining": _OP12_SQL}
 
 
 def oracle_sql() -> dict[str, str]:
