@@ -60,6 +60,23 @@ def test_tle_markdown_tables(spark):
     assert [(r["branch"], r["program"]) for r in readers.heading_fill(lines, "d", "p", "l").orderBy("p").collect()] == [("Army", "P1"), ("Navy", "P2")]
 
 
+def test_tle_numbers_of_more_than_five_digits(spark):
+    one, two = "1 {}U 98067A   24001.50000000  .00016717  00000-0  10270-3 0  9000", "2 {}  51.6400 208.9163 0006317  69.9862  25.2906 15.50000000    04"
+    names = ("25544", "    5", "900123", "1234567")
+    body = "\n".join(x for n in names for x in (f"SAT {n}", one.format(n), two.format(n)))
+    r = readers.parse_tle(spark.createDataFrame([(body,)], "t string"), F.col("t")).collect()
+    assert [(x["norad_id"], x["inclination"], x["mean_motion"]) for x in r] == [(int(n), 51.64, 15.5) for n in names]
+
+
+def test_element_files_beyond_five_digits(spark, tmp_path):
+    from tidemark.plans import feeds
+
+    rows = [(k, f"C{k}") for k in (7, 99_999, 100_000, 900_123)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {(r["name"], r["norad_id"], r["inclination"], r["motion"]) for r in feeds.element_files(spark, str(tmp_path)).collect()}
+    assert got == {(n, k, k % 180 * 10 + 5, (1 + k % 15) * 10 + 5) for k, n in rows if k % 13 != 4}
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2)], "date string, v int")
     sinks.write_slices(rows, str(tmp_path / "s"))

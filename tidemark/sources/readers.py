@@ -126,9 +126,14 @@ def newest_items(items: DataFrame, feed: str, order: Sequence[Column], n: int =
 
 def parse_tle(files: DataFrame, text: Column) -> DataFrame:
     """Satellites of element files (name, line 1, line 2): after a bad record the reading goes on
-    one line later. Out: name, norad_id, inclination, mean_motion, period_minutes."""
+    one line later. A number of more than five digits moves what follows it. Out: name, norad_id, inclination, mean_motion,
+    period_minutes."""
+    import re
+
     import pandas as pd
 
+    number = re.compile(r"[12] ( *\d+)")
+
     def run(batches):
         for batch in batches:
             rows = []
@@ -137,10 +142,12 @@ def parse_tle(files: DataFrame, text: Column) -> DataFrame:
                 i = 0
                 while i + 2 < len(lines):
                     name, one, two = lines[i : i + 3]
-                    if one.startswith("1 ") and two.startswith("2 ") and len(one) >= 62 and len(two) >= 63:
+                    # the places by which a number is wider than its field
+                    first, second = (max(m.end() - 7, 0) if (m := number.match(x)) else 0 for x in (one, two))
+                    if one.startswith("1 ") and two.startswith("2 ") and len(one) >= 62 + first and len(two) >= 63 + second:
                         try:
-                            motion = float(two[52:63])
-                            rows.append((name.strip(), int(one[2:7]), float(two[8:16]), motion, 1440.0 / motion))
+                            motion = float(two[52 + second : 63 + second])
+                            rows.append((name.strip(), int(one[2 : 7 + first]), float(two[8 + second : 16 + second]), motion, 1440.0 / motion))
                             i += 3
                             continue
                         except (ValueError, ZeroDivisionError):
