@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,6 +220,22 @@ def test_polygons_over_the_date_line_and_at_its_edge(spark):
     assert [g[:2] for g in got] == [("over", "resolved")] * 4 + [(None, "unresolved")] * 2 + [("east", "resolved"), (None, "conflict"), (None, "conflict"), (None, "unresolved"), ("cap", "resolved"), (None, "conflict")]
 
 
+def test_a_point_in_many_scopes_is_resolved_in_proportion_to_them(spark):
+    # scopes c0 to c2999 below n: with a test of each against each other one row alone takes minutes
+    path = "array('world', 'n', concat('c', i))"
+    m = f"array_append(transform(sequence(0, 2999), i -> named_struct('key', concat('c', i), 'path', {path}, 'edge', false)), named_struct('key', 'n', 'path', array('world', 'n'), 'edge', false))"
+    found = scopes.resolve(F.col("matches"))
+    df = spark.range(40).selectExpr("id", f"{m} as matches")
+    began = time.monotonic()
+    rows = df.select(found["scope"].alias("scope"), found["status"].alias("status"), F.size(found["conflicts"]).alias("n")).collect()
+    assert {tuple(r) for r in rows} == {("n", "conflict", 3000)} and time.monotonic() - began < 30
+
+
+def test_a_catalog_in_one_partition_is_cut_by_many_tasks(spark):
+    index = scopes.ScopeIndex(catalog(spark, *[(f"k{i}", "world", "country", box(i, 0, i + 3, 3)) for i in range(40)]).coalesce(1))
+    assert "REPARTITION_BY_NUM" in index.cells._jdf.queryExecution().executedPlan().toString()
+
+
 def test_two_tolerances_of_the_edge(spark):
     index = scopes.ScopeIndex(catalog(spark, ("a", "world", "country", box(0, 0, 10, 10))))
     near = 0.05 / (math.radians(1) * scopes.EARTH_M)

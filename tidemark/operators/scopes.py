@@ -113,7 +113,7 @@ class ScopeIndex:
         self.degrees = degrees
         self.lineages = lineages(catalog).where("fault is null")
         self.cells = self._cover(catalog.join(self.lineages, "key").select("key", "path", "rings"), slack_m).persist()
-        edges = F.sum(F.aggregate("scopes", F.lit(0), lambda n, s: n + 1 + F.coalesce(F.size(s["edges"]), F.lit(0))))
+        edges = F.sum(F.aggregate("border", F.size("inside"), lambda n, s: n + 1 + F.size(s["edges"])))
         self.size = self.cells.agg(edges).first()[0] or 0
 
     def _cover(self, scopes: DataFrame, slack_m: float) -> DataFrame:
@@ -130,8 +130,12 @@ class ScopeIndex:
                         edges = [None if e is None else [dict(zip(("x1", "y1", "x2", "y2"), x, strict=True)) for x in e.tolist()] for _, _, e in part]
                         yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in part], pa.int64()), pa.array([key] * len(part), pa.string()), pa.array([path] * len(part), pa.list_(pa.string())), pa.array([w for _, w, _ in part], pa.bool_()), pa.array(edges, point)], names=names)
 
-        each = scopes.where("rings is not null").mapInArrow(cut, _CELL)
-        return each.groupBy("cell").agg(F.collect_list(F.struct("key", "path", "whole", "edges")).alias("scopes"))
+        # cutting is the work here, and a catalog's file may be one partition
+        spark = scopes.sparkSession
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        each = scopes.where("rings is not null").repartition(parts, F.xxhash64("key")).mapInArrow(cut, _CELL)
+        inside = F.when(F.col("whole"), F.struct("key", "path", F.lit(False).alias("edge")))
+        return each.groupBy("cell").agg(F.collect_list(inside).alias("inside"), F.collect_list(F.when(~F.col("whole"), F.struct("key", "path", "edges"))).alias("border"))
 
     def locate(self, points: DataFrame, exact: bool = False, lat: str = "lat", lon: str = "lon") -> DataFrame:
         """points with ``matches``: an array of (key, path, edge), edge where the point is on the boundary, by key.
@@ -141,7 +145,7 @@ class ScopeIndex:
         rows, columns = round(180 / self.degrees), round(360 / self.degrees)
         valid = (y >= -90) & (y <= 90) & (x >= -180) & (x <= 180)
         cell = F.least(F.floor((y + 90) / self.degrees), F.lit(rows - 1)) * columns + F.least(F.floor((x + 180) / self.degrees), F.lit(columns - 1))
-        cells = self.cells.select(F.col("cell").alias("__cell"), F.col("scopes").alias("__scopes"))
+        cells = self.cells.select(F.col("cell").alias("__cell"), F.col("inside").alias("__inside"), F.col("border").alias("__border"))
         if self.size <= MOST_EDGES:
             cells = F.broadcast(cells)
         placed = points.withColumn("__at", F.when(valid, cell)).withColumn("__k", F.cos(F.radians(y)))
@@ -167,14 +171,14 @@ class ScopeIndex:
         def judge(s: Column) -> Column:
             # the exact rule only for edges whose box, a little widened, holds the point
             beside = lambda e: (y >= F.least(e["y1"], e["y2"]) - reach) & (y <= F.greatest(e["y1"], e["y2"]) + reach) & (x >= F.least(e["x1"], e["x2"]) - F.col("__w")) & (x <= F.greatest(e["x1"], e["x2"]) + F.col("__w"))
-            edge = ~s["whole"] & F.exists(s["edges"], lambda e: beside(e) & (on_line if exact else near)(e))
-            inside = s["whole"] | (F.size(F.filter(s["edges"], crosses)) % 2 == 1)
-            return F.struct(s["key"].alias("key"), s["path"].alias("path"), edge.alias("edge"), (edge | inside).alias("hit"))
+            edge = F.exists(s["edges"], lambda e: beside(e) & (on_line if exact else near)(e))
+            inside = F.size(F.filter(s["edges"], crosses)) % 2 == 1
+            return F.transform(F.array(edge), lambda on: F.struct(s["key"].alias("key"), s["path"].alias("path"), on.alias("edge"), (on | inside).alias("hit")))[0]
 
-        judged = F.filter(F.transform("__scopes", judge), lambda m: m["hit"])
+        judged = F.filter(F.transform("__border", judge), lambda m: m["hit"])
         matches = F.transform(judged, lambda m: F.struct(m["key"].alias("key"), m["path"].alias("path"), m["edge"].alias("edge")))
         none = F.array().cast("array<struct<key: string, path: array<string>, edge: boolean>>")
-        return met.withColumn("matches", F.coalesce(F.array_sort(matches), none)).drop("__at", "__k", "__w", "__cell", "__scopes")
+        return met.withColumn("matches", F.coalesce(F.sort_array(F.concat("__inside", matches)), none)).drop("__at", "__k", "__w", "__cell", "__inside", "__border")
 
 
 def resolve(matches: Column, root: str = "world") -> dict[str, Column]:
@@ -184,15 +188,23 @@ def resolve(matches: Column, root: str = "world") -> dict[str, Column]:
     boundary, its parent, with a conflict. Several: their deepest common ancestor, with a conflict.
     The root is never a scope."""
     below = lambda m: F.slice(m["path"], 1, F.size(m["path"]) - 1)
-    terminal = F.filter(matches, lambda m: ~F.exists(matches, lambda o: (o["key"] != m["key"]) & F.array_contains(below(o), m["key"])))
-    shared = lambda a, b: F.filter(a, lambda k, i: F.slice(a, 1, i + 1) == F.slice(b, 1, i + 1))
-    first = F.get(terminal, 0)
-    common = F.aggregate(terminal, first["path"], lambda held, m: shared(held, m["path"]))
-    lone = F.size(terminal) == 1
-    path = F.when(lone & ~first["edge"], first["path"]).when(lone, below(first)).otherwise(common)
-    scope = F.try_element_at(path, F.lit(-1))
-    scope = F.when(scope != root, scope)
-    conflict = (F.size(terminal) > 1) | F.coalesce(lone & first["edge"], F.lit(False))
-    conflicts = F.when(conflict, F.array_sort(F.transform(terminal, lambda m: m["key"]))).otherwise(F.array().cast("array<string>"))
-    status = F.when(conflict, "conflict").when(scope.isNotNull(), "resolved").otherwise("unresolved")
-    return {"scope": scope, "conflicts": conflicts, "status": status}
+    # an array of one value names it, so that it is worked out once for all its uses
+    once = lambda value, use: F.transform(F.array(value), use)[0]
+    above = F.array_intersect(F.transform(matches, lambda m: m["key"]), F.flatten(F.transform(matches, below)))
+    terminal = once(above, lambda keys: F.filter(matches, lambda m: ~F.array_contains(keys, m["key"])))
+
+    def shared(paths: Column) -> Column:
+        # what the first and the last in order begin with, all between them do
+        return once(F.array_max(paths), lambda last: once(F.array_min(paths), lambda first: F.filter(first, lambda k, i: F.slice(first, 1, i + 1) == F.slice(last, 1, i + 1))))
+
+    def judge(terminal: Column) -> Column:
+        first = F.get(terminal, F.lit(0))
+        lone = F.size(terminal) == 1
+        conflict = (F.size(terminal) > 1) | F.coalesce(lone & first["edge"], F.lit(False))
+        path = F.when(lone & ~first["edge"], first["path"]).when(lone, below(first)).otherwise(shared(F.transform(terminal, lambda m: m["path"])))
+        scope = once(F.try_element_at(path, F.lit(-1)), lambda s: F.when(s != root, s))
+        conflicts = F.when(conflict, F.sort_array(F.transform(terminal, lambda m: m["key"]))).otherwise(F.array().cast("array<string>"))
+        return once(scope, lambda s: F.struct(s.alias("scope"), conflicts.alias("conflicts"), F.when(conflict, "conflict").when(s.isNotNull(), "resolved").otherwise("unresolved").alias("status")))
+
+    found = once(terminal, judge)
+    return {c: found[c] for c in ("scope", "conflicts", "status")}
