@@ -96,3 +96,12 @@ def test_longest_contained(spark):
 def test_plans_push_down(spark, sf):
     plan = spark.read.parquet(f"{sf}/events.parquet").where(timeline.in_window("ts", "2024-01-03 00:00:00", "2024-01-04 00:00:00")).select("event_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in plan
+
+
+def test_support_of_relations_is_counted_without_arrays(spark):
+    rows = [("a", "r", "b", i % 3 if i % 4 else None, i // 2 if i % 5 else None) for i in range(40)] + [("a", "r", "c", None, None)]
+    df = spark.createDataFrame(rows, "src string, rel string, dst string, provenance int, evidence int")
+    got = graph.relation_support(df, 3)
+    assert {r["dst"]: (r["provenance"], r["support"], r["evidence"]) for r in got.collect()} == {"b": ([0, 1, 2], 3, [0, 1, 2]), "c": ([], 0, None)}
+    plan = got.select("support", "evidence")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(provenance" not in plan and "collect_set(provenance" not in plan and "WindowGroupLimit" in plan

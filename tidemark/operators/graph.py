@@ -91,11 +91,14 @@ def relation_support(relations: DataFrame, samples: int = 5) -> DataFrame:
     """Per relation: its distinct provenance (sorted), its support, and the first evidence samples in
     order; no more evidence than that is gathered."""
     keys = ["src", "rel", "dst"]
-    provenance = relations.groupBy(*keys).agg(F.sort_array(F.collect_set("provenance")).alias("provenance"))
-    few = relations.select(*keys, "evidence").where("evidence is not null").distinct()
-    few = few.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("evidence"))).where(F.col("__n") <= samples)
-    few = few.groupBy(*keys).agg(F.sort_array(F.collect_list("evidence")).alias("evidence"))
-    return provenance.join(few, keys, "left").withColumn("support", F.size("provenance"))
+    # told apart by a grouping that can spill; where only the support is read, no array is made
+    told = relations.select(*keys, "provenance").distinct().groupBy(*keys)
+    provenance = told.agg(F.sort_array(F.collect_list("provenance")).alias("provenance"), F.count("provenance").cast("int").alias("support"))
+    # a rank that equal evidence shares is limited in each task before the shuffle
+    few = relations.select(*keys, "evidence").where("evidence is not null")
+    few = few.withColumn("__n", F.dense_rank().over(Window.partitionBy(*keys).orderBy("evidence"))).where(F.col("__n") <= samples)
+    few = few.groupBy(*keys).agg(F.sort_array(F.collect_set("evidence")).alias("evidence"))
+    return provenance.join(few, keys, "left").select(*keys, "provenance", "evidence", "support")
 
 
 def gate_relations(relations: DataFrame, rules: DataFrame) -> DataFrame:
