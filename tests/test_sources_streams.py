@@ -77,6 +77,15 @@ def test_element_files_beyond_five_digits(spark, tmp_path):
     assert got == {(n, k, k % 180 * 10 + 5, (1 + k % 15) * 10 + 5) for k, n in rows if k % 13 != 4}
 
 
+def test_collections_of_a_feed_are_lines_not_files(spark, tmp_path):
+    from tidemark.plans import feeds
+
+    spark.range(5_000).selectExpr("id as event_id", "cast(id % 90 as double) as value").write.parquet(str(tmp_path / "events.parquet"))
+    got = feeds.feature_collections(spark, str(tmp_path))
+    assert got.count() == 5_000 and got.select("id").distinct().count() == 5_000
+    assert len(got.inputFiles()) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # there was a file for each hundred
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2)], "date string, v int")
     sinks.write_slices(rows, str(tmp_path / "s"))

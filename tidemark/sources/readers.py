@@ -77,10 +77,11 @@ def canonical_documents(rows: DataFrame) -> DataFrame:
     return rows.select(document_id("gkg_record_id").alias("doc_id"), compact_instant("v21_date").alias("date"), F.col("v2_document_identifier").alias("url"), split_list("v1_themes").alias("themes"), split_list("v1_persons").alias("persons"), split_list("v1_organizations").alias("organizations"), *numbers)
 
 
-def read_geojson(spark: SparkSession, path: str, properties: dict[str, tuple[str, str]]) -> DataFrame:
-    """Features as rows: lon, lat (of points), geometry type and typed properties (name: (field, type))."""
+def read_geojson(spark: SparkSession, path: str, properties: dict[str, tuple[str, str]], lines: bool = False) -> DataFrame:
+    """Features as rows: lon, lat (of points), geometry type and typed properties (name: (field, type)). A file is one collection,
+    or holds many, one in each of its ``lines``: a task then reads part of a file instead of every file being one."""
     schema = T.StructType.fromDDL("features array<struct<id: string, geometry: struct<type: string, coordinates: string>, properties: map<string, string>>>")
-    f = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f"))
+    f = spark.read.option("multiLine", not lines).schema(schema).json(path).select(F.explode("features").alias("f"))
     numbers = F.from_json(F.when(F.col("f.geometry.type") == "Point", F.col("f.geometry.coordinates")), "array<double>")
     return f.select(F.col("f.id").alias("id"), F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"), F.get(numbers, F.lit(0)).alias("lon"), F.get(numbers, F.lit(1)).alias("lat"), F.get(numbers, F.lit(2)).alias("depth_km"), *[F.try_element_at("f.properties", F.lit(field)).try_cast(kind).alias(name) for name, (field, kind) in properties.items()])
 
@@ -182,12 +183,13 @@ def heading_fill(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
     return lines.withColumn("branch", branch).where(F.col(line).rlike("^### ")).select(doc, pos, "branch", F.trim(F.substring(line, 5, 10_000)).alias("program"))
 
 
-def sparql_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Bindings of a linked-data result: item id, label, and the point's lat and lon."""
+def sparql_rows(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Bindings of a linked-data result: item id, label, and the point's lat and lon. A file is one result, or holds one in each
+    of its ``lines``."""
     from ..functions.geo import wkt_point
 
     schema = T.StructType.fromDDL("results struct<bindings: array<map<string, struct<value: string>>>>")
-    b = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("results.bindings").alias("b"))
+    b = spark.read.option("multiLine", not lines).schema(schema).json(path).select(F.explode("results.bindings").alias("b"))
     value = lambda k: F.try_element_at("b", F.lit(k))["value"]
     return b.select(F.regexp_extract(value("item"), r"(Q\d+)$", 1).alias("qid"), value("itemLabel").alias("label"), wkt_point(value("coord")).alias("point")).where("qid <> ''")
 
