@@ -105,3 +105,10 @@ def test_support_of_relations_is_counted_without_arrays(spark):
     assert {r["dst"]: (r["provenance"], r["support"], r["evidence"]) for r in got.collect()} == {"b": ([0, 1, 2], 3, [0, 1, 2]), "c": ([], 0, None)}
     plan = got.select("support", "evidence")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(provenance" not in plan and "collect_set(provenance" not in plan and "WindowGroupLimit" in plan
+
+
+def test_chunks_of_a_batch_leave_it_in_parts(spark):
+    df = spark.createDataFrame([(i, "One two. Three four. " * 20 if i % 7 else None) for i in range(450)], "k long, t string").coalesce(1)
+    want = [(i, j, c) for i in range(450) if i % 7 for j, c in enumerate(texts.markdown_chunks_of("One two. Three four. " * 20, 100, 20))]
+    assert sorted(tuple(r) for r in texts.markdown_chunks(df, "k", "t", 100, 20).collect()) == want
+    assert "MapInArrow" in texts.markdown_chunks(df, "k", "t")._jdf.queryExecution().executedPlan().toString()

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,12 +74,16 @@ def markdown_chunks(docs: DataFrame, key: str, text: str, limit: int = 2600, ove
     """markdown_chunks_of for each row: key, chunk, body."""
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, chunk int, body string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, i, c) for k, t in zip(batch[key], batch[text], strict=True) if t for i, c in enumerate(markdown_chunks_of(t, limit, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "chunk", "body"])
-
-    return docs.select(key, text).mapInPandas(run, schema)
+            # a batch has thousands of texts; few of them at a time are taken out of it and chunked
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                rows = [(k, i, c) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if t for i, c in enumerate(markdown_chunks_of(t, limit, overlap))]
+                types = (part.schema.field(0).type, pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)], names=[key, "chunk", "body"])
+
+    return docs.select(key, text).mapInArrow(run, schema)
 
 
 def strip_data_uris(text: Column) -> Column:
