@@ -52,10 +52,11 @@ def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-05: similarity of each document to the next one's words."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(tx.stream_title("text"), " "), lambda w: w != "").alias("w"))
-    d = d.select("doc_id", tx.word_shingles(F.col("w"), 5).alias("s"))
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.filter(F.split(tx.stream_title("text"), " "), lambda w: w != "").alias("w"))
+    d = d.select("doc_id", tx.shingle_hashes(F.col("w"), 5).alias("s"))
     pairs = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("s2")), "doc_id")
-    return pairs.select("doc_id", F.round(tx.jaccard("s", "s2"), 6).alias("similarity"))
+    both, all_of_both = F.size(F.array_intersect("s", "s2")), F.size("s") + F.size("s2")
+    return pairs.select("doc_id", F.round(F.when(all_of_both == 0, 0.0).otherwise(both / (all_of_both - both)), 6).alias("similarity"))
 
 
 def clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
