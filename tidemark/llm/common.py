@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR
 
 
-def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Arrow batches of texts by bytes instead of by rows alone, since a text may be long: a
     batch is held by the JVM and by the Python worker at once. A setting of the user's stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -132,6 +132,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     model = fit(x, y) if len(y) and 0 < y.sum() < len(y) else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    # called non-deterministic, or a filter that the optimizer makes of ``keep`` (evidence is not null) evaluates it a second time,
+    # in Python workers of its own, which then stay
     @F.pandas_udf("double")
     def ratio(texts: pd.Series) -> pd.Series:
         model = shared.value
@@ -142,7 +144,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     sites, rate = site_posteriors(docs, labels, host, path)
     if sites.limit(broadcast_sites + 1).count() <= broadcast_sites:
         sites = F.broadcast(sites)
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), ratio("text").alias("evidence"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), ratio.asNondeterministic()("text").alias("evidence"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     joined = keyed.join(sites, ["host", "path"], "left").withColumn("site_rate", F.coalesce("site_rate", "host_rate", F.lit(rate)))
     odds = F.col("evidence") + F.log(F.col("site_rate") / (1 - F.col("site_rate")))
     return joined.select("row", "evidence", "site_rate", (1 / (1 + F.exp(-odds))).alias("quality")).withColumn("keep", F.col("quality") >= threshold)
