@@ -78,13 +78,16 @@ def parsed(answer: str | dict, types: frozenset[str]) -> dict:
     return out
 
 
-def extract(docs: DataFrame, call: Callable[[str, str], str | dict], types: Sequence[str], text: str = "text", url: str = "url", rows_a_batch: int = 200) -> DataFrame:
-    """docs with ``outcome``. ``call`` runs on the executors, once per row; a null text is empty.
+def extract(docs: DataFrame, call: Callable[[str, str], str | dict], types: Sequence[str], text: str = "text", url: str = "url", rows_a_batch: int = 200, keep: Sequence[str] | None = None) -> DataFrame:
+    """docs with ``outcome``, all their columns or those in ``keep``. ``call`` runs on the executors, once per row; a null text is
+    empty. A text that isn't kept goes to them as its first ``CHARS`` characters only.
 
     Batches are small, so that a lost executor repeats few calls; ``call`` should be idempotent."""
     known = frozenset(types)
-    schema = docs.drop("outcome").withColumn("outcome", F.lit(None).cast(OUTCOME)).schema
-    columns = [c for c in docs.columns if c != "outcome"]
+    columns = [c for c in keep or docs.columns if c != "outcome"]
+    schema = docs.select(*columns).withColumn("outcome", F.lit(None).cast(OUTCOME)).schema
+    head = docs.withColumn(text, F.substring(text, 1, CHARS)) if text not in columns else docs
+    sent = head.select(*dict.fromkeys([*columns, text, url]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -102,7 +105,7 @@ def extract(docs: DataFrame, call: Callable[[str, str], str | dict], types: Sequ
                         out.append({"status": status, "error": said, "events": None, "entities": None, "locations": None})
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, kind)], names=[*columns, "outcome"])
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
 
 
 def primary_type(outcome: Column) -> Column:
