@@ -5,7 +5,10 @@ latitude, even-odd; null or empty: no geometry). Rings may run over the date lin
 unwrapped. ``ScopeIndex`` cuts each polygon into cells of a grid: cells that lie wholly inside it, and border cells,
 which carry the polygon's edges of their row of cells (ray casting to the east needs no others). One row per
 cell holds all its candidates, so a point meets them by one equality join on its cell, and the rest is
-expressions in its own row: no loop over polygons, nothing is collected, no second shuffle.
+expressions in its own row: no loop over polygons, nothing is collected, no second shuffle where the cover is broadcast.
+
+Scopes of one parent with the same rings are one class: they are cut, held and tested once. Points of one place are
+judged once, a hundred at a time, where the cover is joined by a shuffle.
 
 Nulls and odd rows: a point that is null, not finite or out of range has no matches; equal points each get theirs;
 scopes without geometry match nothing; an empty catalog matches nothing.
@@ -14,11 +17,11 @@ scopes without geometry match nothing; an empty catalog matches nothing.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_008.8
@@ -27,7 +30,9 @@ EDGE_M, EDGE_EXACT = 0.1, 1e-10
 #: A cover with more edges than this is joined by a shuffle instead of a broadcast.
 MOST_EDGES = 500_000
 CATALOG = "key string, parent string, kind string, rings array<array<struct<x: double, y: double>>>"
-_CELL = "cell long, key string, path array<string>, whole boolean, edges array<struct<x1: double, y1: double, x2: double, y2: double>>"
+#: Rows of one place that share what was found for it, where the cover is joined by a shuffle.
+TOGETHER = 100
+_CELL = "cell long, above array<string>, keys array<string>, whole boolean, edges array<struct<x1: double, y1: double, x2: double, y2: double>>"
 
 
 def lineages(catalog: DataFrame, deepest: int = 8) -> DataFrame:
@@ -112,45 +117,75 @@ class ScopeIndex:
             raise ValueError("cells have to divide 180 degrees")
         self.degrees = degrees
         self.lineages = lineages(catalog).where("fault is null")
-        self.cells = self._cover(catalog.join(self.lineages, "key").select("key", "path", "rings"), slack_m).persist()
-        edges = F.sum(F.aggregate("border", F.size("inside"), lambda n, s: n + 1 + F.size(s["edges"])))
-        self.size = self.cells.agg(edges).first()[0] or 0
+        known = catalog.where("rings is not null").join(self.lineages, "key")
+        classes = known.groupBy(F.slice("path", 1, F.size("path") - 1).alias("above"), "rings").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+        self.cells = self._cover(classes, slack_m).persist()
+        held = F.aggregate("border", F.aggregate("inside", F.lit(0), lambda n, s: n + 1 + F.size(s["keys"])), lambda n, s: n + 1 + F.size(s["keys"]) + F.size(s["edges"]))
+        self.size = self.cells.agg(F.sum(held)).first()[0] or 0
 
-    def _cover(self, scopes: DataFrame, slack_m: float) -> DataFrame:
+    def _cover(self, classes: DataFrame, slack_m: float) -> DataFrame:
         degrees = self.degrees
-        point = pa.list_(pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")]))
+        names = ["cell", "above", "keys", "whole", "edges"]
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = ["cell", "key", "path", "whole", "edges"]
             for batch in batches:
-                for key, path, rings in zip(*(batch.column(c).to_pylist() for c in ("key", "path", "rings")), strict=True):
-                    found = list(_cells(rings or [], degrees, slack_m))
-                    for at in range(0, len(found), 1000):
-                        part = found[at : at + 1000]
-                        edges = [None if e is None else [dict(zip(("x1", "y1", "x2", "y2"), x, strict=True)) for x in e.tolist()] for _, _, e in part]
-                        yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in part], pa.int64()), pa.array([key] * len(part), pa.string()), pa.array([path] * len(part), pa.list_(pa.string())), pa.array([w for _, w, _ in part], pa.bool_()), pa.array(edges, point)], names=names)
+                above, keys = batch.column("above"), batch.column("keys")
+
+                def part(of: list[int], found: list[tuple[int, bool, np.ndarray | None]], above=above, keys=keys) -> pa.RecordBatch:
+                    edges = [np.zeros((0, 4)) if e is None else e for _, _, e in found]
+                    ends = pa.StructArray.from_arrays(list(pa.array(column) for column in np.ascontiguousarray(np.vstack(edges).T)), names=["x1", "y1", "x2", "y2"])
+                    at = pa.array(np.concatenate(([0], np.cumsum([len(e) for e in edges]))), pa.int32())
+                    which = pa.array(of, pa.int64())
+                    return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in found], pa.int64()), above.take(which), keys.take(which), pa.array([w for _, w, _ in found], pa.bool_()), pa.ListArray.from_arrays(at, ends)], names=names)
+
+                of, found, held = [], [], 0
+                for i, rings in enumerate(batch.column("rings").to_pylist()):
+                    many = len(keys[i])
+                    for cell in _cells(rings, degrees, slack_m):
+                        of.append(i)
+                        found.append(cell)
+                        held += 1 + many + (0 if cell[2] is None else len(cell[2]))
+                        if held > 50_000:
+                            yield part(of, found)
+                            of, found, held = [], [], 0
+                if found:
+                    yield part(of, found)
 
         # cutting is the work here, and a catalog's file may be one partition
-        spark = scopes.sparkSession
+        spark = classes.sparkSession
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        each = scopes.where("rings is not null").repartition(parts, F.xxhash64("key")).mapInArrow(cut, _CELL)
-        inside = F.when(F.col("whole"), F.struct("key", "path", F.lit(False).alias("edge")))
-        return each.groupBy("cell").agg(F.collect_list(inside).alias("inside"), F.collect_list(F.when(~F.col("whole"), F.struct("key", "path", "edges"))).alias("border"))
+        each = classes.repartition(parts, F.xxhash64(F.col("keys")[0])).mapInArrow(cut, _CELL)
+        inside, border = F.when(F.col("whole"), F.struct("above", "keys")), F.when(~F.col("whole"), F.struct("above", "keys", "edges"))
+        return each.groupBy("cell").agg(F.collect_list(inside).alias("inside"), F.collect_list(border).alias("border"))
 
     def locate(self, points: DataFrame, exact: bool = False, lat: str = "lat", lon: str = "lon") -> DataFrame:
         """points with ``matches``: an array of (key, path, edge), edge where the point is on the boundary, by key.
 
         ``exact`` takes a cross product of at most 1e-10 for the boundary, else a tenth of a metre is."""
+        each = lambda h: F.transform(h["keys"], lambda k: F.struct(k.alias("key"), F.array_append(h["above"], k).alias("path"), h["edge"].alias("edge")))
+        return self.judge(points, lambda held: {"matches": F.sort_array(F.flatten(F.transform(held, each)))}, exact, lat, lon)
+
+    def judge(self, points: DataFrame, found: Callable[[Column], dict[str, Column]], exact: bool = False, lat: str = "lat", lon: str = "lon") -> DataFrame:
+        """points with the columns that ``found`` makes of the classes of scopes that hold them: an array of (above, keys,
+        edge), in no order. above has the keys from the root to the parent of the class's keys."""
         y, x = F.col(lat).cast("double"), F.col(lon).cast("double")
         rows, columns = round(180 / self.degrees), round(360 / self.degrees)
         valid = (y >= -90) & (y <= 90) & (x >= -180) & (x <= 180)
         cell = F.least(F.floor((y + 90) / self.degrees), F.lit(rows - 1)) * columns + F.least(F.floor((x + 180) / self.degrees), F.lit(columns - 1))
         cells = self.cells.select(F.col("cell").alias("__cell"), F.col("inside").alias("__inside"), F.col("border").alias("__border"))
-        if self.size <= MOST_EDGES:
+        placed = points.withColumns({"__y": y, "__x": x, "__at": F.when(valid, cell)})
+        shared = self.size > MOST_EDGES
+        if shared:
+            # points without a place are no group, nor do they meet in one task
+            lost = placed.withColumn("__s", F.when(F.col("__at").isNull(), -1 - F.monotonically_increasing_id()))
+            place = Window.partitionBy("__y", "__x", "__s").orderBy("__y")
+            lost = lost.withColumn("__n", F.floor((F.row_number().over(place) - 1) / TOGETHER)).withColumn("__at", F.coalesce("__at", "__s"))
+            placed = lost.groupBy("__y", "__x", "__s", "__n", "__at").agg(F.collect_list(F.struct(*points.columns)).alias("__rows"))
+        else:
             cells = F.broadcast(cells)
-        placed = points.withColumn("__at", F.when(valid, cell)).withColumn("__k", F.cos(F.radians(y)))
+        y, x = F.col("__y"), F.col("__x")
         reach = math.degrees(EDGE_M / EARTH_M) * 1.01 + 1e-9
-        placed = placed.withColumn("__w", F.least(F.lit(reach) / F.greatest(F.col("__k"), F.lit(1e-12)), F.lit(360.0)))
+        placed = placed.withColumn("__k", F.cos(F.radians("__y"))).withColumn("__w", F.least(F.lit(reach) / F.greatest(F.col("__k"), F.lit(1e-12)), F.lit(360.0)))
         met = placed.join(cells, F.col("__at") == F.col("__cell"), "left")
 
         def crosses(e: Column) -> Column:
@@ -173,12 +208,17 @@ class ScopeIndex:
             beside = lambda e: (y >= F.least(e["y1"], e["y2"]) - reach) & (y <= F.greatest(e["y1"], e["y2"]) + reach) & (x >= F.least(e["x1"], e["x2"]) - F.col("__w")) & (x <= F.greatest(e["x1"], e["x2"]) + F.col("__w"))
             edge = F.exists(s["edges"], lambda e: beside(e) & (on_line if exact else near)(e))
             inside = F.size(F.filter(s["edges"], crosses)) % 2 == 1
-            return F.transform(F.array(edge), lambda on: F.struct(s["key"].alias("key"), s["path"].alias("path"), on.alias("edge"), (on | inside).alias("hit")))[0]
+            return F.transform(F.array(edge), lambda on: F.struct(s["above"].alias("above"), s["keys"].alias("keys"), on.alias("edge"), (on | inside).alias("hit")))[0]
 
         judged = F.filter(F.transform("__border", judge), lambda m: m["hit"])
-        matches = F.transform(judged, lambda m: F.struct(m["key"].alias("key"), m["path"].alias("path"), m["edge"].alias("edge")))
-        none = F.array().cast("array<struct<key: string, path: array<string>, edge: boolean>>")
-        return met.withColumn("matches", F.coalesce(F.sort_array(F.concat("__inside", matches)), none)).drop("__at", "__k", "__w", "__cell", "__inside", "__border")
+        one = lambda m, edge: F.struct(m["above"].alias("above"), m["keys"].alias("keys"), edge.alias("edge"))
+        held = F.concat(F.transform("__inside", lambda m: one(m, F.lit(False))), F.transform(judged, lambda m: one(m, m["edge"])))
+        none = F.array().cast("array<struct<above: array<string>, keys: array<string>, edge: boolean>>")
+        kept = ["__rows"] if shared else points.columns
+        # generated columns are worked out once, however often they are named
+        made = met.select(*kept, F.explode(F.array(F.coalesce(held, none))).alias("__held"))
+        made = made.select(*kept, *[c.alias(name) for name, c in found(F.col("__held")).items()])
+        return made.select(F.inline("__rows"), *[c for c in made.columns if c != "__rows"]) if shared else made
 
 
 def resolve(matches: Column, root: str = "world") -> dict[str, Column]:
@@ -208,3 +248,27 @@ def resolve(matches: Column, root: str = "world") -> dict[str, Column]:
 
     found = once(terminal, judge)
     return {c: found[c] for c in ("scope", "conflicts", "status")}
+
+
+def resolve_classes(held: Column, root: str = "world") -> Column:
+    """``resolve`` for classes of scopes (see ``ScopeIndex.judge``), as one struct of scope, conflicts and status."""
+    once = lambda value, use: F.transform(F.array(value), use)[0]
+    none = F.array().cast("array<string>")
+
+    def shared(paths: Column) -> Column:
+        return once(F.array_max(paths), lambda last: once(F.array_min(paths), lambda first: F.filter(first, lambda k, i: F.slice(first, 1, i + 1) == F.slice(last, 1, i + 1))))
+
+    def decide(above: Column, terminal: Column) -> Column:
+        lowest = F.filter(held, lambda h: F.exists(h["keys"], lambda k: ~F.array_contains(above, k)))
+        return once(lowest, lambda classes: of(terminal, classes))
+
+    def of(terminal: Column, classes: Column) -> Column:
+        first = F.get(classes, F.lit(0))
+        lone = F.size(terminal) == 1
+        conflict = (F.size(terminal) > 1) | F.coalesce(lone & first["edge"], F.lit(False))
+        path = F.when(lone & ~first["edge"], terminal).when(lone, first["above"]).otherwise(shared(F.transform(classes, lambda h: h["above"])))
+        scope = once(F.try_element_at(path, F.lit(-1)), lambda s: F.when(s != root, s))
+        return once(scope, lambda s: F.struct(s.alias("scope"), F.when(conflict, F.sort_array(terminal)).otherwise(none).alias("conflicts"), F.when(conflict, "conflict").when(s.isNotNull(), "resolved").otherwise("unresolved").alias("status")))
+
+    # keys above another match are few, and those of all classes are told apart from them at once
+    return once(F.array_distinct(F.flatten(F.transform(held, lambda h: h["above"]))), lambda above: once(F.array_except(F.flatten(F.transform(held, lambda h: h["keys"])), above), lambda terminal: decide(above, terminal)))
