@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def points(spark):
 def test_scopes_with_the_same_rings_are_held_once_in_a_cell(spark):
     rows = [("world", None, "world", None), *((f"k{i}", "world", "country", box(0.5, 0.5, 3.5, 3.5)) for i in range(50))]
     index = scopes.ScopeIndex(spark.createDataFrame(rows, scopes.CATALOG))
-    assert index.cells.agg(F.max(F.size("border")), F.max(F.size("inside"))).first() == (1, 1)
+    assert index.cells.agg(F.max(F.size("classes")), F.max(F.size("names"))).first() == (1, 50)
     got = index.locate(spark.createDataFrame([(1.0, 1.0), (2.5, 0.5)], "lat double, lon double")).collect()
     assert [[(m["key"], m["path"], m["edge"]) for m in r["matches"]] for r in got] == [[(k, ["world", k], edge) for k in sorted(f"k{i}" for i in range(50))] for edge in (False, True)]
 
@@ -59,5 +60,23 @@ def test_classes_are_resolved_as_their_scopes_are(spark, catalog, points, monkey
     index = scopes.ScopeIndex(catalog)
     by_scope = scopes.resolve(F.col("matches"))
     want = index.locate(points).select("i", *[by_scope[c].alias(c) for c in ("scope", "conflicts", "status")]).collect()
-    got = index.judge(points, lambda held: {"found": scopes.resolve_classes(held)}).select("i", "found.*").collect()
+    got = index.judge(points, lambda names, classes: {"found": scopes.resolve_classes(names, classes)}).select("i", "found.*").collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and {r["status"] for r in got} == {"resolved", "conflict", "unresolved"}
+
+
+def test_polygons_are_cut_at_once_as_one_by_one():
+    rnd = random.Random(6)
+    rings = [[(-180, 80), (-60, 80), (60, 80), (180, 80), (180, 90), (60, 90), (-60, 90), (-180, 90), (-180, 80)], [(170, -10), (-170, -10), (-170, 10), (170, 10), (170, -10)]]
+    for _ in range(200):
+        x, y, r = rnd.uniform(-180, 180), rnd.uniform(-70, 70), rnd.uniform(0.1, 9)
+        rings.append([(x + r, y), (x, y + r), (x - r, y), (x, y - r), (x + r, y)])
+    edges = [scopes._edges([[{"x": float(x), "y": float(y)} for x, y in ring]]) for ring in rings]
+
+    def listed(found):
+        of, cell, whole, sizes, ends = found
+        parts = [e.tolist() for e in np.split(ends, np.cumsum(sizes)[:-1])]
+        return list(zip(of.tolist(), cell.tolist(), whole.tolist(), parts, strict=True))
+
+    got = listed(scopes._cells(edges, 1.0, 0.1))
+    assert got == [(i, *row[1:]) for i, e in enumerate(edges) for row in listed(scopes._cells([e], 1.0, 0.1))]
+    assert {w for _, _, w, _ in got} == {True, False} and all(not p for _, _, w, p in got if w)

@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,51 +63,75 @@ def _edges(rings: list) -> np.ndarray:
     return np.vstack(found) if found else np.zeros((0, 4))
 
 
-def _crossings(x: np.ndarray, y: float, e: np.ndarray) -> np.ndarray:
-    """How many edges lie east of each of the points (x, y)."""
-    e = e[(e[:, 1] > y) != (e[:, 3] > y)]
-    at = np.sort(e[:, 0] + (y - e[:, 1]) * (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1]))
-    return len(at) - np.searchsorted(at, x, side="right")
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def _cells(rings: list, degrees: float, slack_m: float) -> Iterator[tuple[int, bool, np.ndarray | None]]:
-    """(cell, wholly inside, edges) of a polygon; edges are shifted to the turn of the cell's longitudes."""
-    e = _edges(rings)
-    if not len(e):
-        return
+def _cells(polygons: list[np.ndarray], degrees: float, slack_m: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The cells of polygons given by their edges: which polygon, cell, whether it lies wholly inside, how many edges it has, and the
+    edges of all cells one after another, shifted to the turn of the cell's longitudes. All polygons are cut at once."""
     rows, columns = round(180 / degrees), round(360 / degrees)
     slack = math.degrees(slack_m / EARTH_M) + 1e-9
+    e = np.vstack(polygons)
+    of = np.repeat(np.arange(len(polygons)), [len(x) for x in polygons])
     low, high = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
-    row_of = lambda y: min(max(math.floor((y + 90) / degrees), 0), rows - 1)
-    for r in range(row_of(low.min() - slack), row_of(high.max() + slack) + 1):
-        south, north = r * degrees - 90, (r + 1) * degrees - 90
-        band = e[(high >= south - slack) & (low <= north + slack)]
-        if not len(band):
-            continue
-        wide = min(slack / max(math.cos(math.radians(min(max(abs(south), abs(north)), 90.0))), 1e-12), 360.0)
-        dy = band[:, 3] - band[:, 1]
-        level = dy == 0
-        ends = (np.array([[south - slack], [north + slack]]) - band[:, 1]) / np.where(level, 1, dy)
-        ends = np.sort(np.clip(np.where(level, np.array([[0.0], [1.0]]), ends), 0, 1), axis=0)
-        xs = np.sort(band[:, 0] + ends * (band[:, 2] - band[:, 0]), axis=0)
-        first = np.floor((xs[0] - wide + 180) / degrees).astype(np.int64)
-        last = np.floor((xs[1] + wide + 180) / degrees).astype(np.int64)
-        west = int(first.min())
-        touched = np.zeros(int(last.max()) - west + 2, np.int64)
-        np.add.at(touched, first - west, 1)
-        np.add.at(touched, last - west + 1, -1)
-        border = np.cumsum(touched)[:-1] > 0
-        inside = _crossings((np.arange(len(border)) + west + 0.5) * degrees - 180, (south + north) / 2, band) % 2 == 1
-        # near a pole a row of cells may be met on several turns: outside all but one of them, so that their crossings add up
-        found: dict[int, list[np.ndarray] | None] = {}
-        for c in np.flatnonzero(border | inside).tolist():
-            turn, column = divmod(c + west, columns)
-            if not border[c]:
-                found[column] = None
-            elif (held := found.setdefault(column, [])) is not None:
-                held.append(band - np.array([360.0 * turn, 0, 360.0 * turn, 0]))
-        for column, held in found.items():
-            yield r * columns + column, held is None, None if held is None else np.vstack(held)
+    # edges and the rows of cells that they reach, by polygon and row
+    row_of = lambda y: np.clip(np.floor((y + 90) / degrees), 0, rows - 1).astype(np.int64)
+    first, last = np.maximum(row_of(low - slack) - 1, 0), np.minimum(row_of(high + slack) + 1, rows - 1)
+    edge = np.repeat(np.arange(len(e)), last - first + 1)
+    row = _ranges(first, last - first + 1)
+    met = (high[edge] >= row * degrees - 90 - slack) & (low[edge] <= (row + 1) * degrees - 90 + slack)
+    edge, row = edge[met], row[met]
+    order = np.argsort(of[edge] * rows + row, kind="stable")
+    edge, row = edge[order], row[order]
+    bands, start, band, many = np.unique(of[edge] * rows + row, return_index=True, return_inverse=True, return_counts=True)
+    band_row = bands % rows
+    # the columns that an edge touches in a row
+    x1, y1, x2, y2 = e[edge].T
+    south, north = row * degrees - 90, (row + 1) * degrees - 90
+    pole = np.minimum(np.maximum(np.abs(south), np.abs(north)), 90.0)
+    wide = np.minimum(slack / np.maximum(np.cos(np.radians(pole)), 1e-12), 360.0)
+    level = y1 == y2
+    ends = (np.array([south - slack, north + slack]) - y1) / np.where(level, 1, y2 - y1)
+    ends = np.sort(np.clip(np.where(level, np.array([[0.0], [1.0]]), ends), 0, 1), axis=0)
+    xs = np.sort(x1 + ends * (x2 - x1), axis=0)
+    first = np.floor((xs[0] - wide + 180) / degrees).astype(np.int64)
+    last = np.floor((xs[1] + wide + 180) / degrees).astype(np.int64)
+    west, east = np.full(len(bands), np.iinfo(np.int64).max), np.full(len(bands), np.iinfo(np.int64).min)
+    np.minimum.at(west, band, first)
+    np.maximum.at(east, band, last)
+    # a place for each column of each band, and one more: what begins at one and ends before another is summed up
+    width = east - west + 2
+    base = np.cumsum(width) - width
+    touched = np.zeros(int(width.sum()), np.int64)
+    np.add.at(touched, base[band] + first - west[band], 1)
+    np.add.at(touched, base[band] + last - west[band] + 1, -1)
+    border = np.cumsum(touched) > 0
+    # ray casting from the middles of cells; one next to a crossing is a border cell in any case
+    middle = (south + north) / 2
+    crossed = (y1 > middle) != (y2 > middle)
+    x1, y1, x2, y2, middle, through = (v[crossed] for v in (x1, y1, x2, y2, middle, band))
+    at = x1 + (middle - y1) * (x2 - x1) / (y2 - y1)
+    before = np.clip(np.ceil((at + 180) / degrees - 0.5 - west[through]), 0, width[through] - 1).astype(np.int64)
+    rays = np.zeros(len(touched), np.int64)
+    np.add.at(rays, base[through], 1)
+    np.add.at(rays, base[through] + before, -1)
+    whole = (np.cumsum(rays) % 2 == 1) & ~border
+    kept = np.flatnonzero(border | whole)
+    band = np.searchsorted(base, kept, side="right") - 1
+    turn, column = np.divmod(kept - base[band] + west[band], columns)
+    # near a pole a row of cells may be met on several turns: outside all but one of them, so that their crossings add up
+    key = (bands[band] // rows) * (rows * columns) + band_row[band] * columns + column
+    order = np.argsort(key, kind="stable")
+    key, band, turn, whole = key[order], band[order], turn[order], whole[kept][order]
+    found, start_of, cell = np.unique(key, return_index=True, return_inverse=True)
+    inside = np.logical_or.reduceat(whole, start_of)
+    sizes = np.where(inside[cell], 0, many[band])
+    edges = e[edge[_ranges(start[band], sizes)]]
+    edges[:, [0, 2]] -= 360.0 * np.repeat(turn, sizes)[:, None]
+    return found // (rows * columns), found % (rows * columns), inside, np.add.reduceat(sizes, start_of), edges
 
 
 class ScopeIndex:
@@ -120,7 +145,7 @@ class ScopeIndex:
         known = catalog.where("rings is not null").join(self.lineages, "key")
         classes = known.groupBy(F.slice("path", 1, F.size("path") - 1).alias("above"), "rings").agg(F.sort_array(F.collect_list("key")).alias("keys"))
         self.cells = self._cover(classes, slack_m).persist()
-        held = F.aggregate("border", F.aggregate("inside", F.lit(0), lambda n, s: n + 1 + F.size(s["keys"])), lambda n, s: n + 1 + F.size(s["keys"]) + F.size(s["edges"]))
+        held = F.aggregate("classes", F.size("names"), lambda n, s: n + 1 + F.size(s["edges"]))
         self.size = self.cells.agg(F.sum(held)).first()[0] or 0
 
     def _cover(self, classes: DataFrame, slack_m: float) -> DataFrame:
@@ -131,48 +156,66 @@ class ScopeIndex:
             for batch in batches:
                 above, keys = batch.column("above"), batch.column("keys")
 
-                def part(of: list[int], found: list[tuple[int, bool, np.ndarray | None]], above=above, keys=keys) -> pa.RecordBatch:
-                    edges = [np.zeros((0, 4)) if e is None else e for _, _, e in found]
-                    ends = pa.StructArray.from_arrays(list(pa.array(column) for column in np.ascontiguousarray(np.vstack(edges).T)), names=["x1", "y1", "x2", "y2"])
-                    at = pa.array(np.concatenate(([0], np.cumsum([len(e) for e in edges]))), pa.int32())
-                    which = pa.array(of, pa.int64())
-                    return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in found], pa.int64()), above.take(which), keys.take(which), pa.array([w for _, w, _ in found], pa.bool_()), pa.ListArray.from_arrays(at, ends)], names=names)
-
-                of, found, held = [], [], 0
+                def part(at: list[int], polygons: list[np.ndarray], above=above, keys=keys) -> Iterator[pa.RecordBatch]:
+                    of, cell, whole, sizes, edges = _cells(polygons, degrees, slack_m)
+                    of, ends = np.array(at)[of], np.concatenate(([0], np.cumsum(sizes)))
+                    # a batch is bounded by what it holds, and has one cell at least
+                    held = np.cumsum(1 + pc.list_value_length(keys).to_numpy()[of] + sizes)
+                    first = 0
+                    while first < len(of):
+                        last = max(first + 1, int(np.searchsorted(held, (held[first - 1] if first else 0) + 50_000, side="right")))
+                        x = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in edges[ends[first] : ends[last]].T], names=["x1", "y1", "x2", "y2"])
+                        which = pa.array(of[first:last])
+                        listed = pa.ListArray.from_arrays(pa.array(ends[first : last + 1] - ends[first], pa.int32()), x)
+                        yield pa.RecordBatch.from_arrays([pa.array(cell[first:last]), above.take(which), keys.take(which), pa.array(whole[first:last]), listed], names=names)
+                        first = last
+
+                at, polygons, area = [], [], 0
                 for i, rings in enumerate(batch.column("rings").to_pylist()):
-                    many = len(keys[i])
-                    for cell in _cells(rings, degrees, slack_m):
-                        of.append(i)
-                        found.append(cell)
-                        held += 1 + many + (0 if cell[2] is None else len(cell[2]))
-                        if held > 50_000:
-                            yield part(of, found)
-                            of, found, held = [], [], 0
-                if found:
-                    yield part(of, found)
+                    edges = _edges(rings)
+                    if not len(edges):
+                        continue
+                    at.append(i)
+                    polygons.append(edges)
+                    # the cells of its box, and its edges in each row
+                    spans = np.ptp(edges[:, [0, 2]]) / degrees + 2, np.ptp(edges[:, [1, 3]]) / degrees + 2
+                    area += spans[0] * spans[1] + np.abs(edges[:, 3] - edges[:, 1]).sum() / degrees + 3 * len(edges)
+                    if area > 500_000:
+                        yield from part(at, polygons)
+                        at, polygons, area = [], [], 0
+                if polygons:
+                    yield from part(at, polygons)
 
         # cutting is the work here, and a catalog's file may be one partition
         spark = classes.sparkSession
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
         each = classes.repartition(parts, F.xxhash64(F.col("keys")[0])).mapInArrow(cut, _CELL)
-        inside, border = F.when(F.col("whole"), F.struct("above", "keys")), F.when(~F.col("whole"), F.struct("above", "keys", "edges"))
-        return each.groupBy("cell").agg(F.collect_list(inside).alias("inside"), F.collect_list(border).alias("border"))
+        cells = each.groupBy("cell").agg(F.collect_list(F.struct("above", "keys", "whole", "edges")).alias("held"))
+        # keys are put in order once a cell, so that those of a point are in order too
+        names = F.flatten(F.transform("held", lambda c, i: F.transform(c["keys"], lambda k: F.struct(k.alias("key"), i.alias("class")))))
+        classes = F.transform("held", lambda c: F.struct(c["above"].alias("above"), c["whole"].alias("whole"), c["edges"].alias("edges")))
+        return cells.select("cell", F.sort_array(names).alias("names"), classes.alias("classes"))
 
     def locate(self, points: DataFrame, exact: bool = False, lat: str = "lat", lon: str = "lon") -> DataFrame:
         """points with ``matches``: an array of (key, path, edge), edge where the point is on the boundary, by key.
 
         ``exact`` takes a cross product of at most 1e-10 for the boundary, else a tenth of a metre is."""
-        each = lambda h: F.transform(h["keys"], lambda k: F.struct(k.alias("key"), F.array_append(h["above"], k).alias("path"), h["edge"].alias("edge")))
-        return self.judge(points, lambda held: {"matches": F.sort_array(F.flatten(F.transform(held, each)))}, exact, lat, lon)
 
-    def judge(self, points: DataFrame, found: Callable[[Column], dict[str, Column]], exact: bool = False, lat: str = "lat", lon: str = "lon") -> DataFrame:
-        """points with the columns that ``found`` makes of the classes of scopes that hold them: an array of (above, keys,
-        edge), in no order. above has the keys from the root to the parent of the class's keys."""
+        def matches(names: Column, classes: Column) -> dict[str, Column]:
+            of = lambda n: F.get(classes, n["class"])
+            return {"matches": F.transform(names, lambda n: F.struct(n["key"].alias("key"), F.array_append(of(n)["above"], n["key"]).alias("path"), of(n)["edge"].alias("edge")))}
+
+        return self.judge(points, matches, exact, lat, lon)
+
+    def judge(self, points: DataFrame, found: Callable[[Column, Column], dict[str, Column]], exact: bool = False, lat: str = "lat", lon: str = "lon") -> DataFrame:
+        """points with the columns that ``found`` makes of the scopes that hold them: their names (key, class) by key, and
+        the classes (above, edge) by their number, null where they do not hold the point. above has the keys from the root
+        to the parent of the class's scopes."""
         y, x = F.col(lat).cast("double"), F.col(lon).cast("double")
         rows, columns = round(180 / self.degrees), round(360 / self.degrees)
         valid = (y >= -90) & (y <= 90) & (x >= -180) & (x <= 180)
         cell = F.least(F.floor((y + 90) / self.degrees), F.lit(rows - 1)) * columns + F.least(F.floor((x + 180) / self.degrees), F.lit(columns - 1))
-        cells = self.cells.select(F.col("cell").alias("__cell"), F.col("inside").alias("__inside"), F.col("border").alias("__border"))
+        cells = self.cells.select(F.col("cell").alias("__cell"), F.col("names").alias("__names"), F.col("classes").alias("__classes"))
         placed = points.withColumns({"__y": y, "__x": x, "__at": F.when(valid, cell)})
         shared = self.size > MOST_EDGES
         if shared:
@@ -203,21 +246,20 @@ class ScopeIndex:
             between = lambda v, a, b: (v >= F.least(a, b) - EDGE_EXACT) & (v <= F.greatest(a, b) + EDGE_EXACT)
             return (F.abs(cross) <= EDGE_EXACT) & between(x, e["x1"], e["x2"]) & between(y, e["y1"], e["y2"])
 
-        def judge(s: Column) -> Column:
-            # the exact rule only for edges whose box, a little widened, holds the point
-            beside = lambda e: (y >= F.least(e["y1"], e["y2"]) - reach) & (y <= F.greatest(e["y1"], e["y2"]) + reach) & (x >= F.least(e["x1"], e["x2"]) - F.col("__w")) & (x <= F.greatest(e["x1"], e["x2"]) + F.col("__w"))
-            edge = F.exists(s["edges"], lambda e: beside(e) & (on_line if exact else near)(e))
-            inside = F.size(F.filter(s["edges"], crosses)) % 2 == 1
-            return F.transform(F.array(edge), lambda on: F.struct(s["above"].alias("above"), s["keys"].alias("keys"), on.alias("edge"), (on | inside).alias("hit")))[0]
-
-        judged = F.filter(F.transform("__border", judge), lambda m: m["hit"])
-        one = lambda m, edge: F.struct(m["above"].alias("above"), m["keys"].alias("keys"), edge.alias("edge"))
-        held = F.concat(F.transform("__inside", lambda m: one(m, F.lit(False))), F.transform(judged, lambda m: one(m, m["edge"])))
-        none = F.array().cast("array<struct<above: array<string>, keys: array<string>, edge: boolean>>")
+        # the exact rule only for edges whose box, a little widened, holds the point
+        beside = lambda e: (x >= F.least(e["x1"], e["x2"]) - F.col("__w")) & (x <= F.greatest(e["x1"], e["x2"]) + F.col("__w")) & (y >= F.least(e["y1"], e["y2"]) - reach) & (y <= F.greatest(e["y1"], e["y2"]) + reach)
+        on_edge = lambda c: F.exists(c["edges"], lambda e: beside(e) & (on_line if exact else near)(e))
+        inside = lambda c: F.size(F.filter(c["edges"], crosses)) % 2 == 1
+        hits = F.transform("__classes", lambda c: F.when(c["whole"], 1).when(on_edge(c), 2).when(inside(c), 1).otherwise(0))
         kept = ["__rows"] if shared else points.columns
         # generated columns are worked out once, however often they are named
-        made = met.select(*kept, F.explode(F.array(F.coalesce(held, none))).alias("__held"))
-        made = made.select(*kept, *[c.alias(name) for name, c in found(F.col("__held")).items()])
+        made = met.select(*kept, "__names", "__classes", F.explode_outer(F.array(hits)).alias("__hits"))
+        hit = lambda i: F.get(F.col("__hits"), i)
+        none = F.array().cast("array<struct<key: string, class: int>>"), F.array().cast("array<struct<above: array<string>, edge: boolean>>")
+        names = F.coalesce(F.filter("__names", lambda n: hit(n["class"]) > 0), none[0])
+        classes = F.coalesce(F.transform("__classes", lambda c, i: F.when(hit(i) > 0, F.struct(c["above"].alias("above"), (hit(i) == 2).alias("edge")))), none[1])
+        made = made.select(*kept, F.explode(F.array(F.struct(names.alias("names"), classes.alias("classes")))).alias("__held"))
+        made = made.select(*kept, *[c.alias(name) for name, c in found(F.col("__held.names"), F.col("__held.classes")).items()])
         return made.select(F.inline("__rows"), *[c for c in made.columns if c != "__rows"]) if shared else made
 
 
@@ -250,25 +292,26 @@ def resolve(matches: Column, root: str = "world") -> dict[str, Column]:
     return {c: found[c] for c in ("scope", "conflicts", "status")}
 
 
-def resolve_classes(held: Column, root: str = "world") -> Column:
-    """``resolve`` for classes of scopes (see ``ScopeIndex.judge``), as one struct of scope, conflicts and status."""
+def resolve_classes(names: Column, classes: Column, root: str = "world") -> Column:
+    """``resolve`` for what ``ScopeIndex.judge`` gives, as one struct of scope, conflicts and status."""
     once = lambda value, use: F.transform(F.array(value), use)[0]
-    none = F.array().cast("array<string>")
 
     def shared(paths: Column) -> Column:
         return once(F.array_max(paths), lambda last: once(F.array_min(paths), lambda first: F.filter(first, lambda k, i: F.slice(first, 1, i + 1) == F.slice(last, 1, i + 1))))
 
-    def decide(above: Column, terminal: Column) -> Column:
-        lowest = F.filter(held, lambda h: F.exists(h["keys"], lambda k: ~F.array_contains(above, k)))
-        return once(lowest, lambda classes: of(terminal, classes))
-
-    def of(terminal: Column, classes: Column) -> Column:
-        first = F.get(classes, F.lit(0))
-        lone = F.size(terminal) == 1
-        conflict = (F.size(terminal) > 1) | F.coalesce(lone & first["edge"], F.lit(False))
-        path = F.when(lone & ~first["edge"], terminal).when(lone, first["above"]).otherwise(shared(F.transform(classes, lambda h: h["above"])))
+    def judge(terminal: Column) -> Column:
+        lowest = F.transform(F.array_distinct(F.transform(terminal, lambda n: n["class"])), lambda i: F.get(classes, i))
+        return once(lowest, lambda of: once(F.transform(terminal, lambda n: n["key"]), lambda keys: decide(keys, of)))
+
+    def decide(keys: Column, of: Column) -> Column:
+        first = F.get(of, F.lit(0))
+        lone = F.size(keys) == 1
+        conflict = (F.size(keys) > 1) | F.coalesce(lone & first["edge"], F.lit(False))
+        path = F.when(lone & ~first["edge"], keys).when(lone, first["above"]).otherwise(shared(F.transform(of, lambda c: c["above"])))
         scope = once(F.try_element_at(path, F.lit(-1)), lambda s: F.when(s != root, s))
-        return once(scope, lambda s: F.struct(s.alias("scope"), F.when(conflict, F.sort_array(terminal)).otherwise(none).alias("conflicts"), F.when(conflict, "conflict").when(s.isNotNull(), "resolved").otherwise("unresolved").alias("status")))
+        conflicts = F.when(conflict, keys).otherwise(F.array().cast("array<string>"))
+        return once(scope, lambda s: F.struct(s.alias("scope"), conflicts.alias("conflicts"), F.when(conflict, "conflict").when(s.isNotNull(), "resolved").otherwise("unresolved").alias("status")))
 
-    # keys above another match are few, and those of all classes are told apart from them at once
-    return once(F.array_distinct(F.flatten(F.transform(held, lambda h: h["above"]))), lambda above: once(F.array_except(F.flatten(F.transform(held, lambda h: h["keys"])), above), lambda terminal: decide(above, terminal)))
+    above = F.array_distinct(F.flatten(F.transform(F.filter(classes, lambda c: c.isNotNull()), lambda c: c["above"])))
+    terminal = once(above, lambda keys: F.filter(names, lambda n: ~F.array_contains(keys, n["key"])))
+    return once(terminal, judge)
